@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality
+from . import bpe, chat, counts, lines, mixing, quality
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,6 +26,23 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op3_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    done = bpe.decode(bpe.encode(docs).drop("text"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each document before and after two edits: seven code points cut out at a third, a word put in at two."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda at, length, text: F.struct(at.alias("start"), F.lit(length).alias("length"), F.lit(text).alias("text"))
+    edits = F.array(edit(F.floor(n / 3), 7, ""), edit(F.floor(2 * n / 3), 0, " [edit] "))
+    done = counts.count_tokens(docs.withColumn("edits", edits), "edits").drop("text", "edits")
+    return done.select("doc_id", "n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
+
+
 def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of each conversation, read back from its formatted examples."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -44,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to query."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op9_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op7_token_counts, op9_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
