@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, lines, mixing, quality
+from . import bpe, chat, counts, lines, media, mixing, quality, urls
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,6 +33,19 @@ def op3_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: (verdict, rule) of the query below.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    done = urls.judge(pages, URL_RULES)
+    return done.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
+
+
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each document before and after two edits: seven code points cut out at a third, a word put in at two."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -43,6 +56,18 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
 
 
+def op8_media(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's stored image and of the samples read back from it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    done = media.store_and_read(docs)
+    tail = F.expr("substring(payload, length(payload) - 15, 16)")
+    return done.select(
+        F.col("key").cast("long").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of each conversation, read back from its formatted examples."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -61,7 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to query."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op7_token_counts, op9_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
