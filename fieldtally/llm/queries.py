@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, lines, media, mixing, quality, urls
+from . import bpe, chat, counts, lines, media, mixing, near_dups, quality, urls
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """Group of every document, by links of similar shingle sets."""
+    return near_dups.group(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
 #: (verdict, rule) of the query below.
 URL_RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -86,7 +91,7 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to query."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op4_near_dups, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
