@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, lines, media, mixing, near_dups, quality, urls
+from . import bpe, chat, counts, lines, media, mixing, near_dups, quality, substrings, urls
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.group(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes that each document loses to strings that also start elsewhere."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    done = substrings.dedup_substrings(docs).drop("text")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 #: (verdict, rule) of the query below.
 URL_RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -91,7 +98,7 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to query."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op4_near_dups, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op4_near_dups, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
