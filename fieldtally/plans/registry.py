@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = relational.Q
 
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
-    return {}
+    return {name: text for name, (_, text) in _ALL.items() if text}
