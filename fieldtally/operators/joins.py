@@ -34,9 +34,8 @@ def first_range(rows: DataFrame, ranges: DataFrame, frame: str = "frame") -> Dat
     A project has a handful of ranges; they come as one array of the row's plan, so rows are never multiplied.
     """
     listed = ranges.agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in ranges.columns if c != "pos"]))).alias("r"))
-    all_ranges = listed.scalar()
-    fit = F.filter(all_ranges, lambda r: F.col(frame).between(r["start_frame"], r["end_frame"]))
-    return rows.withColumn("range", F.get(fit, F.lit(0)))
+    fit = F.filter("_ranges", lambda r: F.col(frame).between(r["start_frame"], r["end_frame"]))
+    return rows.withColumn("_ranges", listed.scalar()).withColumn("range", F.get(fit, F.lit(0))).drop("_ranges")
 
 
 def positional(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str) -> DataFrame:
@@ -101,7 +100,8 @@ def assign_transects(tracks: DataFrame, centre_lines: DataFrame, areas: DataFram
         f = foot(F.col("x"), F.col("y"), r["ax"], r["ay"], r["bx"], r["by_"])
         return F.struct(f["d"].alias("d"), r["transect_id"].alias("transect_id"))
 
-    held = F.filter(listed, lambda r: (F.col("x") >= r["lx"]) & (F.col("x") <= r["hx"]) & (F.col("y") >= r["ly"]) & (F.col("y") <= r["hy"]))
+    tracks = tracks.withColumn("_areas", listed)
+    held = F.filter("_areas", lambda r: (F.col("x") >= r["lx"]) & (F.col("x") <= r["hx"]) & (F.col("y") >= r["ly"]) & (F.col("y") <= r["hy"]))
     best = tracks.withColumn("b", F.array_min(F.transform(held, candidate)))
     far = F.col("b.d") > truncation if truncation is not None else F.lit(False)
     return best.select(

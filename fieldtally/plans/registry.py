@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import relational, tracked
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = relational.Q
+_ALL = relational.Q | tracked.Q
 
 
 def queries() -> dict[str, Query]:
