@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, tracked
+from . import relational, scalars, tracked
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = relational.Q | tracked.Q
+_ALL = relational.Q | tracked.Q | scalars.Q
 
 
 def queries() -> dict[str, Query]:
