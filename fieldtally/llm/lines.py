@@ -56,12 +56,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "at")
     first = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     first = stored(first.where("n > 1"), "repeats")
-    later = found.withColumn("place", place).join(first, ["h1", "h2"]).where(F.col("place") > F.col("first"))
+    later = found.withColumn("place", place).join(first.hint("merge"), ["h1", "h2"]).where(F.col("place") > F.col("first"))
     covered = later.groupBy("doc_id", "_k1", "_k2").agg(F.array_sort(F.collect_set("at")).alias("_starts"))
     covered = stored(covered, "covered")
     keyed = docs.select("*", *_row_key(docs))
     both = keyed.alias("d").join(
-        covered.alias("c"), F.expr("d.doc_id <=> c.doc_id and d._k1 = c._k1 and d._k2 = c._k2"), "left"
+        covered.hint("merge").alias("c"), F.expr("d.doc_id <=> c.doc_id and d._k1 = c._k1 and d._k2 = c._k2"), "left"
     )
     lines = F.split(F.col("d.text"), "\n", -1)
     starts = F.col("c._starts")
