@@ -133,4 +133,6 @@ CTE = ",\n".join([
 def sql(body: str) -> str:
     """A query over the tables above."""
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {CTE},\n" + body[15:]
     return f"with {CTE}" + (",\n" + body[5:] if body.lower().startswith("with ") else "\n" + body)

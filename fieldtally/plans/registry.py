@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scalars, tracked
+from . import relational, scalars, surveyed, tracked
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = relational.Q | tracked.Q | scalars.Q
+_ALL = relational.Q | tracked.Q | scalars.Q | surveyed.Q
 
 
 def queries() -> dict[str, Query]:
