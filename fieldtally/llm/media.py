@@ -128,7 +128,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, base = fs.FileSystem.from_uri(self.folder)
-        found = [f for f in files.get_file_info(fs.FileSelector(base)) if f.is_file and f.path.endswith(".zip")]
+        found = [f for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.path.endswith(".zip")]
         found.sort(key=lambda f: f.path)
         return [Range(f.path, at, at + self.size) for f in found for at in range(0, f.size, self.size)] or [Range("", 0, 0)]
 

@@ -6,7 +6,7 @@ an anchor make a context of at most a few hundred bytes. Only contexts whose anc
 
 * contexts that are equal as a whole are repeated, without another look;
 * different contexts of one anchor go to suffix arrays (``suffixes``), in blocks of at most BLOCK contexts; where an
-  anchor has several blocks, windows that are unique in their block are compared over blocks by hash.
+  anchor has several blocks, the different windows of each are compared over blocks by hash.
 
 Each grouping is by an anchor or a context, counts are partial sums, joins on hot keys can be split.
 """
@@ -128,24 +128,27 @@ def _emit(docs: DataFrame, columns: str) -> DataFrame:
 def _blocks(found: DataFrame) -> DataFrame:
     """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, data): (anchor, whole, start, digest).
 
-    ``start`` is a repeated window of the context, with a null ``digest``; or, where the anchor has several blocks, a
-    window that is unique in its block, with a digest to compare it by.
+    ``start`` is a repeated window of the context, with a null ``digest``; or, where the anchor has several blocks, one
+    place of each different window in the block, with a digest to compare it by with other blocks.
     """
 
     def run(table: pa.Table) -> pa.Table:
         data = table.column("data").to_pylist()
         found = repeated_starts(data, WIDTH)
         several = table.column("blocks")[0].as_py() > 1
-        context, start, digest = [], [], []
+        context, start, digest, told = [], [], [], set()
         for i, (t, s) in enumerate(zip(data, found)):
             context += [i] * len(s)
             start += s
             digest += [None] * len(s)
             if several:
-                rest = sorted(set(range(len(t) - WIDTH + 1)) - set(s))
-                context += [i] * len(rest)
-                start += rest
-                digest += [hashlib.blake2b(t[j : j + WIDTH], digest_size=16).digest() for j in rest]
+                for j in range(len(t) - WIDTH + 1):
+                    name = hashlib.blake2b(t[j : j + WIDTH], digest_size=16).digest()
+                    if name not in told:
+                        told.add(name)
+                        context.append(i)
+                        start.append(j)
+                        digest.append(name)
         take = pa.array(context, pa.int64())
         return pa.table({
             "anchor": table.column("anchor").take(take), "whole": table.column("whole").take(take),
