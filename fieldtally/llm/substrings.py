@@ -13,8 +13,6 @@ Each grouping is by an anchor or a context, counts are partial sums, joins on ho
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +28,7 @@ PIECE = 24
 SPAN = WIDTH - PIECE + 1
 #: Every window has at least so many bytes on one side of its anchor.
 SIDE = (WIDTH - PIECE) // 2
-BLOCK = 48
+BLOCK = 256
 #: Texts are hashed together up to so many bytes; longer ones in parts.
 PART = 4 << 20
 
@@ -126,36 +124,43 @@ def _emit(docs: DataFrame, columns: str) -> DataFrame:
 
 
 def _blocks(found: DataFrame) -> DataFrame:
-    """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, data): (anchor, whole, start, digest).
+    """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, data): (anchor, whole, lo, hi, digest).
 
-    ``start`` is a repeated window of the context, with a null ``digest``; or, where the anchor has several blocks, one
-    place of each different window in the block, with a digest to compare it by with other blocks.
+    ``lo`` to ``hi`` are repeated windows of the context, with a null ``digest``; or, where the anchor has several
+    blocks, one place of each different window in the block, with a digest to compare it by with other blocks.
     """
 
     def run(table: pa.Table) -> pa.Table:
         data = table.column("data").to_pylist()
-        found = repeated_starts(data, WIDTH)
-        several = table.column("blocks")[0].as_py() > 1
-        context, start, digest, told = [], [], [], set()
-        for i, (t, s) in enumerate(zip(data, found)):
-            context += [i] * len(s)
-            start += s
-            digest += [None] * len(s)
-            if several:
-                for j in range(len(t) - WIDTH + 1):
-                    name = hashlib.blake2b(t[j : j + WIDTH], digest_size=16).digest()
-                    if name not in told:
-                        told.add(name)
-                        context.append(i)
-                        start.append(j)
-                        digest.append(name)
-        take = pa.array(context, pa.int64())
+        context, lo, hi = [], [], []
+        for i, starts in enumerate(repeated_starts(data, WIDTH)):
+            if starts:
+                s = np.asarray(starts, np.int32)
+                breaks = np.flatnonzero(np.diff(s) > 1)
+                lo.append(s[np.concatenate([[0], breaks + 1])])
+                hi.append(s[np.concatenate([breaks, [len(s) - 1]])])
+                context.append(np.full(len(lo[-1]), i))
+        digest = [np.zeros(sum(map(len, lo)), np.int64)]
+        told = len(digest[0])
+        if table.column("blocks")[0].as_py() > 1:
+            bytes_ = np.frombuffer(b"".join(data), np.uint8)
+            begins = np.cumsum([0, *map(len, data)])
+            sums, down = _hashes(bytes_)
+            at = np.concatenate([np.arange(b, b + len(t) - WIDTH + 1) for b, t in zip(begins, data)])
+            names, first = np.unique(mix((sums[at + WIDTH] - sums[at]) * down[at]), return_index=True)
+            owner = np.searchsorted(begins, at[first], side="right") - 1
+            context.append(owner)
+            lo.append((at[first] - begins[owner]).astype(np.int32))
+            hi.append(lo[-1])
+            digest.append(names.view(np.int64))
+        flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+        take, names = pa.array(flat(context, np.int64)), flat(digest, np.int64)
         return pa.table({
             "anchor": table.column("anchor").take(take), "whole": table.column("whole").take(take),
-            "start": pa.array(start, pa.int32()), "digest": pa.array(digest, pa.binary()),
+            "lo": pa.array(flat(lo, np.int32)), "hi": pa.array(flat(hi, np.int32)), "digest": pa.array(names, mask=np.arange(len(names)) < told),
         })
 
-    return found.groupBy("anchor", "block").applyInArrow(run, "anchor long, whole long, start int, digest binary")
+    return found.groupBy("anchor", "block").applyInArrow(run, "anchor long, whole long, lo int, hi int, digest long")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -186,13 +191,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # rows that share doc_id and text bring a context more than once
     cut = stored(cut, "bytes").dropDuplicates(["anchor", "whole"])
     marks = stored(_blocks(cut), "marks")
-    many = marks.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    over = marks.join(stored(many.select("digest"), "digests").hint("merge"), "digest").select("anchor", "whole", "start")
-    start = marks.where("digest is null").select("anchor", "whole", "start").union(over)
+    many = marks.where("digest is not null").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    over = marks.join(stored(many.select("anchor", "digest"), "digests").hint("merge"), ["anchor", "digest"])
+    runs = marks.where("digest is null").select("anchor", "whole", "lo", "hi").union(over.select("anchor", "whole", "lo", "hi"))
     once = alike.join(each.where("n = 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"])
-    alone = start.hint("merge").join(once, ["anchor", "whole"])
-    at = (F.col("at.lo") + F.col("start")).alias("lo")
-    alone = alone.select("at.doc_id", "at.k", at, at.alias("hi"))
+    alone = runs.hint("merge").join(once, ["anchor", "whole"])
+    alone = alone.select("at.doc_id", "at.k", (F.col("at.lo") + F.col("lo")).alias("lo"), (F.col("at.lo") + F.col("hi")).alias("hi"))
     return equal.union(alone)
 
 

@@ -74,38 +74,44 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     if not n:
         return []
     group, length, order = _lyndon_groups(text)
-    followers: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, g in enumerate(group):
-        followers[s + length[g]].append(s)
+    # the suffixes that continue with e behind their Lyndon prefix, as a chain from head[e]
+    head, following = [-1] * (n + 1), [-1] * n
     slots: list[list[int]] = [[] for _ in length]
-    for s in followers[n]:
+    for s in range(n):
+        e = s + length[group[s]]
+        following[s] = head[e]
+        head[e] = s
+    s = head[n]
+    while s >= 0:
         slots[group[s]].append(s)
+        s = following[s]
     out: list[int] = []
     for g in order:
         here = slots[g]
         for e in here:  # grows while it is read
-            for s in followers[e]:
+            s = head[e]
+            while s >= 0:
                 slots[group[s]].append(s)
+                s = following[s]
         out += here
     return out
 
 
 def repeated_starts(texts: list[bytes], width: int) -> list[list[int]]:
     """For each text, starts of strings of ``width`` bytes that also begin elsewhere in these texts."""
-    joined = bytearray()
-    places, letters = [], []
+    data = b"\0".join([*texts, b""])
+    places, ends = [], []
     for t in texts:
-        places.append(len(joined))
-        joined += t + b"\0"
-        letters += [b + 1 for b in t] + [0]
-    data = bytes(joined)
-    owner_end = []
+        at = len(ends)
+        places.append(at)
+        ends += [at + len(t) - width] * (len(t) + 1)
+    letters = [b + 1 for b in data]
     for t, at in zip(texts, places):
-        owner_end += [at + len(t) - width] * (len(t) + 1)
+        letters[at + len(t)] = 0
     found: list[int] = []
     last, last_key, marked = -1, b"", False
     for s in suffix_array(letters):
-        if s > owner_end[s]:
+        if s > ends[s]:
             continue
         key = data[s : s + width]
         if key == last_key:

@@ -106,3 +106,11 @@ def parity(a: DataFrame, b: DataFrame, group: str, order_a: str, order_b: str, v
     both = x.join(y, [group, "n"])
     differ = F.abs(F.col(va) - F.col(vb)) > 1e-6
     return both.groupBy(group).agg(F.min(F.when(differ, F.col("n"))).cast("long").alias("first_mismatch"), F.count(F.lit(1)).alias("compared"))
+
+
+def append_run(runs: DataFrame, kind: str) -> DataFrame:
+    """Runs with a new active one of a kind, next generation of it; all others become inactive."""
+    top = runs.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("m")).scalar()
+    new = runs.agg((F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("generation"))), F.lit(0)) + 1).alias("generation"))
+    new = new.select((top + 1).alias("run_id"), F.lit(kind).alias("kind"), "generation", F.lit(True).alias("is_active"))
+    return runs.withColumn("is_active", F.lit(False)).unionByName(new)
