@@ -56,7 +56,7 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
-    """Contexts of some texts: row, lo (first window), hi (last), anchor, whole, left and right (hashes), has_left, has_right."""
+    """Contexts of some texts: row, lo (first window), hi (last), p (the anchor's place), anchor, whole, left and right (hashes), has_left, has_right."""
     data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
     lengths = np.asarray([len(p) for _, _, p in parts])
     begins = np.concatenate([[0], np.cumsum(lengths)])
@@ -85,7 +85,7 @@ def contexts(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     right = span(p + PIECE, np.where(has_right, p + PIECE + SIDE, p + PIECE))
     shift = np.asarray([a for _, a, _ in parts])[owner] - begins[owner]
     return {
-        "row": np.asarray([r for r, _, _ in parts])[owner], "lo": lo + shift, "hi": hi + shift, "anchor": piece[p],
+        "row": np.asarray([r for r, _, _ in parts])[owner], "lo": lo + shift, "hi": hi + shift, "p": p + shift, "anchor": piece[p],
         "whole": whole, "left": left, "right": right, "has_left": has_left, "has_right": has_right,
     }
 
@@ -96,9 +96,9 @@ def _text_rows(docs: DataFrame) -> DataFrame:
 
 
 def _emit(docs: DataFrame, columns: str) -> DataFrame:
-    """Contexts of all texts, with the wanted columns of doc_id, k, lo, hi, anchor, whole, l, r."""
+    """Contexts of all texts, with the wanted columns of doc_id, k, lo, hi, p, anchor, whole, l, r; hi and p count from lo."""
     names = columns.split()
-    kinds = {"doc_id": "long", "k": "long", "lo": "long", "hi": "int", "anchor": "long", "whole": "long", "l": "int", "r": "int"}
+    kinds = {"doc_id": "long", "k": "long", "lo": "long", "hi": "int", "p": "int", "anchor": "long", "whole": "long", "l": "int", "r": "int"}
 
     def run(batches):
         for b in batches:
@@ -113,6 +113,7 @@ def _emit(docs: DataFrame, columns: str) -> DataFrame:
                         "k": lambda: part.column(1).take(row),
                         "lo": lambda: pa.array(c["lo"]),
                         "hi": lambda: pa.array((c["hi"] - c["lo"]).astype(np.int32)),
+                        "p": lambda: pa.array((c["p"] - c["lo"]).astype(np.int32)),
                         "anchor": lambda: pa.array(c["anchor"].view(np.int64)),
                         "whole": lambda: pa.array(c["whole"].view(np.int64)),
                         "l": lambda: pa.array((c["left"] >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~c["has_left"]),
@@ -167,21 +168,26 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, k, lo, hi): runs of window starts, ``lo`` to ``hi`` included, whose WIDTH bytes also start elsewhere."""
     shared = _emit(docs, "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(shared.select("anchor"), "anchors")
-    seen = _emit(docs, "anchor whole l r doc_id k lo hi").join(shared.hint("merge"), "anchor")
+    seen = _emit(docs, "anchor whole l r doc_id k lo hi p").join(shared.hint("merge"), "anchor")
     seen = stored(seen, "contexts")
-    place = F.struct("doc_id", "k", "lo", "hi")
+    place = F.struct("doc_id", "k", "lo", "hi", "p")
     each = seen.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.first(place).alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
     each = stored(each, "different")
     equal = seen.join(each.where("n > 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"])
     equal = equal.select("doc_id", "k", "lo", (F.col("lo") + F.col("hi")).alias("hi"))
 
-    # of the others, those that share an anchor and one side of it with a different context
+    # of the others, those that share an anchor and one side of it with a different context; a window has SIDE bytes to
+    # the left of its anchor or else more than SIDE to the right, so that those of a side that is not shared are alone
     sides = []
     for side in ("l", "r"):
         common = each.where(F.col(side).isNotNull()).groupBy("anchor", side).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         common = stored(common.select("anchor", side), "sides")
-        sides.append(each.join(common.hint("merge"), ["anchor", side]).select("anchor", "whole", "at"))
-    alike = stored(sides[0].union(sides[1]).dropDuplicates(["anchor", "whole"]), "alike")
+        sides.append(each.join(common.hint("merge"), ["anchor", side]).select("anchor", "whole", "at", F.lit(side).alias("side")))
+    alike = sides[0].union(sides[1]).groupBy("anchor", "whole").agg(F.first("at").alias("at"), F.min("side").alias("from"), F.max("side").alias("to"))
+    skipped = F.when(F.col("from") == "l", 0).otherwise(F.greatest(F.lit(0), F.col("at.p") - (SIDE - 1)))
+    last = F.when(F.col("to") == "r", F.col("at.hi")).otherwise(F.least("at.hi", F.col("at.p") - SIDE))
+    place = F.struct("at.doc_id", "at.k", (F.col("at.lo") + skipped).alias("lo"), (last - skipped).alias("hi"))
+    alike = stored(alike.select("anchor", "whole", place.alias("at")), "alike")
     size = stored(alike.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
     wanted = alike.join(size.hint("merge"), "anchor").withColumn("block", F.pmod(F.xxhash64("whole", F.lit(1)), F.col("blocks")).cast("int"))
     wanted = wanted.select("anchor", "whole", "block", "blocks", "at.*")
