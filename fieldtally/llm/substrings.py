@@ -6,7 +6,8 @@ an anchor make a context of at most a few hundred bytes. Only contexts whose anc
 
 * contexts that are equal as a whole are repeated, without another look;
 * different contexts of one anchor go to suffix arrays (``suffixes``), in blocks of at most BLOCK contexts; where an
-  anchor has several blocks, the different windows of each are compared over blocks by hash.
+  anchor has several blocks, the different windows of each are compared over blocks by hash, but for windows whose
+  core (what STEP neighbours have in common) is in no other context.
 
 Each grouping is by an anchor or a context, counts are partial sums, joins on hot keys can be split.
 """
@@ -29,6 +30,8 @@ SPAN = WIDTH - PIECE + 1
 #: Every window has at least so many bytes on one side of its anchor.
 SIDE = (WIDTH - PIECE) // 2
 BLOCK = 256
+#: Windows of so many neighbouring places have a core in common.
+STEP = 11
 #: Texts are hashed together up to so many bytes; longer ones in parts.
 PART = 4 << 20
 
@@ -124,11 +127,40 @@ def _emit(docs: DataFrame, columns: str) -> DataFrame:
     return _text_rows(docs).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+def _cores(found: DataFrame) -> DataFrame:
+    """(anchor, whole, core, k) of contexts (anchor, whole, p, data).
+
+    Windows with k * STEP to k * STEP + STEP - 1 bytes to the left of their anchor make class k; equal windows are in
+    one class and have the bytes in common that all windows of the class hold, of which ``core`` is a hash.
+    """
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, p = b.column(3).to_pylist(), b.column(2).to_numpy().astype(np.int64)
+            lengths = np.asarray(list(map(len, data)))
+            begins = np.cumsum(lengths) - lengths
+            sums, down = _hashes(np.frombuffer(b"".join(data), np.uint8))
+            first = (p - (lengths - WIDTH)) // STEP
+            n = p // STEP - first + 1
+            row = np.repeat(np.arange(len(data)), n)
+            k = np.arange(len(row)) - (np.cumsum(n) - n)[row] + first[row]
+            at = begins[row] + p[row]
+            lo, end = at - STEP * k, at + PIECE + np.maximum(0, WIDTH - PIECE - STEP * k - STEP + 1)
+            core = mix((sums[end] - sums[lo]) * down[lo] + k.astype(np.uint64))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(core.view(np.int64)), pa.array(k.astype(np.int32))], ["anchor", "whole", "core", "k"])
+
+    return found.select("anchor", "whole", "p", "data").mapInArrow(run, "anchor long, whole long, core long, k int")
+
+
 def _blocks(found: DataFrame) -> DataFrame:
-    """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, data): (anchor, whole, lo, hi, digest).
+    """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, p, near, data): (anchor, whole, lo, hi, digest).
 
     ``lo`` to ``hi`` are repeated windows of the context, with a null ``digest``; or, where the anchor has several
-    blocks, one place of each different window in the block, with a digest to compare it by with other blocks.
+    blocks, one place of each different window in the block, with a digest to compare it by with other blocks; of
+    these, only windows of the classes in the bits of ``near``.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -148,6 +180,9 @@ def _blocks(found: DataFrame) -> DataFrame:
             begins = np.cumsum([0, *map(len, data)])
             sums, down = _hashes(bytes_)
             at = np.concatenate([np.arange(b, b + len(t) - WIDTH + 1) for b, t in zip(begins, data)])
+            of = np.searchsorted(begins, at, side="right") - 1
+            place, near = (table.column(c).to_numpy().astype(np.int64) for c in ("p", "near"))
+            at = at[(near[of] >> ((begins[of] + place[of] - at) // STEP)) & 1 == 1]
             names, first = np.unique(mix((sums[at + WIDTH] - sums[at]) * down[at]), return_index=True)
             owner = np.searchsorted(begins, at[first], side="right") - 1
             context.append(owner)
@@ -186,16 +221,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     alike = sides[0].union(sides[1]).groupBy("anchor", "whole").agg(F.first("at").alias("at"), F.min("side").alias("from"), F.max("side").alias("to"))
     skipped = F.when(F.col("from") == "l", 0).otherwise(F.greatest(F.lit(0), F.col("at.p") - (SIDE - 1)))
     last = F.when(F.col("to") == "r", F.col("at.hi")).otherwise(F.least("at.hi", F.col("at.p") - SIDE))
-    place = F.struct("at.doc_id", "at.k", (F.col("at.lo") + skipped).alias("lo"), (last - skipped).alias("hi"))
+    place = F.struct("at.doc_id", "at.k", (F.col("at.lo") + skipped).alias("lo"), (last - skipped).alias("hi"), (F.col("at.p") - skipped).alias("p"))
     alike = stored(alike.select("anchor", "whole", place.alias("at")), "alike")
     size = stored(alike.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
     wanted = alike.join(size.hint("merge"), "anchor").withColumn("block", F.pmod(F.xxhash64("whole", F.lit(1)), F.col("blocks")).cast("int"))
     wanted = wanted.select("anchor", "whole", "block", "blocks", "at.*")
     cut = _text_rows(docs).alias("t").join(wanted.hint("merge").alias("w"), F.expr("t.doc_id <=> w.doc_id and t.k = w.k"))
     piece = F.expr(f"substring(cast(t.text as binary), cast(w.lo + 1 as int), w.hi + {WIDTH})")
-    cut = cut.select("anchor", "whole", "block", "blocks", piece.alias("data"))
+    cut = cut.select("anchor", "whole", "block", "blocks", "p", piece.alias("data"))
     # rows that share doc_id and text bring a context more than once
     cut = stored(cut, "bytes").dropDuplicates(["anchor", "whole"])
+    cores = stored(_cores(cut.where("blocks > 1")), "cores")
+    common = stored(cores.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "core"), "common")
+    near = cores.join(common.hint("merge"), ["anchor", "core"]).groupBy("anchor", "whole").agg(F.expr("bit_or(shiftleft(1, k))").alias("near"))
+    cut = cut.join(near.hint("merge"), ["anchor", "whole"], "left").fillna(0, ["near"])
     marks = stored(_blocks(cut), "marks")
     many = marks.where("digest is not null").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     over = marks.join(stored(many.select("anchor", "digest"), "digests").hint("merge"), ["anchor", "digest"])
