@@ -1,7 +1,8 @@
 """URL filters: a tree of path templates for each host, judged by smoothed labelled purity.
 
-A URL's path is cut into segments. Level by level, segments that vary become a wildcard: those that look like an
-identifier, and those of a branching point with many rare children. Sibling branches whose labels and traffic below
+A URL's path is cut into segments. Level by level, until no path has segments left, segments that vary become a
+wildcard: those that look like an identifier, unless their own labels differ from those of the identifiers beside them,
+and those of a branching point with many rare children. Sibling branches whose labels and traffic below
 are statistically alike are merged into one wildcard branch as well. Each remaining template has counts of good and
 bad labels; its purity is smoothed towards its parent's, up to the host and all hosts together. A URL is blocked if
 the deepest template that it fits is impure. Rules (allow and block lists) come first.
@@ -17,14 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Segments kept one by one; what is deeper shares one last segment.
-DEPTH = 3
-#: A segment with digits, or of hexadecimal or long opaque text, is an identifier.
+#: A segment with digits, or of hexadecimal or long opaque text, looks like an identifier.
 IDENTIFIER = r"^(?=.*[0-9]).*$|^[0-9a-fA-F-]{8,}$|^.{40,}$"
-WILDCARD, REST = "*", "**"
+WILDCARD = "*"
 #: A branching point generalises its children if they average fewer pages than this and are at least so many.
 RARE, MANY = 5.0, 20
-#: Sibling branches are alike if their bad rates differ by less than so many standard errors.
+#: Sibling branches are alike if their bad rates differ by less than so many standard errors; identifiers likewise.
 ALIKE_Z = 2.0
 #: Pseudo-labels by which a template is pulled to its parent, and the bad share that rejects.
 PRIOR, PRIOR_BAD, REJECT = 8.0, 0.1, 0.5
@@ -56,73 +55,62 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path, identifiers as wildcards, everything below DEPTH as one."""
-    s = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
-    s = F.transform(s, lambda x: F.when(x.rlike(IDENTIFIER), WILDCARD).otherwise(x))
-    return F.when(F.size(s) > DEPTH, F.concat(F.slice(s, 1, DEPTH), F.array(F.lit(REST)))).otherwise(s)
+    """All segments of a path, as they are."""
+    return F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
 
 
-def templates(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree of labelled paths: (nodes, generalised).
+def alike(bad: Column, labelled: Column, all_bad: Column, all_labelled: Column) -> Column:
+    """Whether a branch's bad rate is within ALIKE_Z standard errors of its siblings'; true without labels."""
+    rate = F.try_divide(all_bad, all_labelled)
+    error = F.sqrt(F.try_divide(F.greatest(rate * (1 - rate), F.lit(0.01)), labelled))
+    return F.coalesce(F.abs(F.try_divide(bad, labelled) - rate) < ALIKE_Z * error, F.lit(True))
 
-    ``paths``: host, segments, bad (1, 0, or null without a label). ``nodes``: host, depth, template (array), n, good,
-    bad. ``generalised``: host, prefix (array), segment: branches that a wildcard stands for. Rows are pre-aggregated
-    by whole path first, so both grow with the number of different paths alone.
+
+def templates(paths: DataFrame) -> DataFrame:
+    """The deepest template of each labelled path, and its purity: host, segments, template (array), bad_share.
+
+    ``paths``: host, segments, bad (1, 0, or null without a label). Rows are pre-aggregated by whole path first, so the
+    result grows with the number of different paths alone. There is a stored level for each segment of the longest
+    path; a path leaves at its last segment. A level's share is smoothed towards its parent's, from all hosts down.
     """
-    leaf = paths.groupBy("host", F.col("segments").alias("rest")).agg(
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
+    smoothed = (F.col("bad") + PRIOR * F.col("up")) / (F.col("labelled") + PRIOR)
+    level = paths.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("bad", F.lit(0)).cast("long")).alias("bad"), F.count("bad").alias("labelled")
     )
-    leaf = stored(leaf.withColumn("prefix", F.array().cast("array<string>")), "paths")
-    nodes, merged = [], []
-    sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
-    nodes.append(leaf.groupBy("host", "prefix").agg(*sums).select("host", F.col("prefix").alias("template"), "n", "bad", "labelled"))
-    for _ in range(DEPTH + 1):
-        here = leaf.where(F.size("rest") > 0).withColumn("segment", F.col("rest")[0])
-        child = here.groupBy("host", "prefix", "segment").agg(*sums)
-        # a branching point's facts: children, pages and labels below it
-        named = F.col("segment") != WILDCARD
-        point = child.groupBy("host", "prefix").agg(
-            F.sum(named.cast("int")).alias("kids"), F.sum(F.when(named, F.col("n"))).alias("pages"),
-            F.sum(F.when(named, F.col("bad"))).alias("all_bad"), F.sum(F.when(named, F.col("labelled"))).alias("all_labelled"),
-        )
-        rate = F.col("all_bad") / F.col("all_labelled")
-        own = F.col("bad") / F.col("labelled")
-        error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) / F.col("labelled"))
-        rare = (F.col("pages") < RARE * F.col("kids")) & (F.col("kids") >= MANY)
-        alike = F.coalesce(F.abs(own - rate) < ALIKE_Z * error, F.lit(True)) & (F.col("kids") >= MANY)
-        joined = child.join(point, ["host", "prefix"])
-        general = stored(joined.where(named & (rare | alike)).select("host", "prefix", "segment"), "generalised")
-        merged.append(general)
-        moved = here.join(general.withColumn("general", F.lit(WILDCARD)), ["host", "prefix", "segment"], "left")
-        leaf = moved.select(
-            "host", F.concat("prefix", F.array(F.coalesce("general", "segment"))).alias("prefix"),
-            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), "n", "bad", "labelled",
-        )
-        leaf = stored(leaf.groupBy("host", "prefix", "rest").agg(*sums), "level")
-        nodes.append(leaf.groupBy("host", "prefix").agg(*sums).select("host", F.col("prefix").alias("template"), "n", "bad", "labelled"))
-    tree, general = nodes[0], merged[0]
-    for x in nodes[1:]:
-        tree = tree.unionByName(x)
-    for x in merged[1:]:
-        general = general.unionByName(x)
-    return stored(tree, "templates"), stored(general, "wildcards")
-
-
-def purity(tree: DataFrame) -> DataFrame:
-    """Templates with ``bad_share``: smoothed towards the parent's share, level by level, from all hosts down."""
-    total = tree.where(F.size("template") == 0).agg(
+    level = stored(level, "paths")
+    total = level.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR * PRIOR_BAD) / (F.coalesce(F.sum("labelled"), F.lit(0)) + PRIOR)).alias("up")
     )
-    smoothed = (F.col("bad") + PRIOR * F.col("up")) / (F.col("labelled") + PRIOR)
-    level = tree.where(F.size("template") == 0).withColumn("up", total.scalar()).withColumn("bad_share", smoothed)
-    out = level = level.select("host", "template", "n", "bad", "labelled", "bad_share")
-    for depth in range(1, DEPTH + 2):
-        parent = level.select("host", F.col("template").alias("above"), F.col("bad_share").alias("up"))
-        here = tree.where(F.size("template") == depth).withColumn("above", F.slice("template", 1, depth - 1))
-        level = here.join(parent, ["host", "above"]).withColumn("bad_share", smoothed)
-        level = level.select("host", "template", "n", "bad", "labelled", "bad_share")
-        out = out.unionByName(level)
-    return out
+    root = level.groupBy("host").agg(*sums).withColumn("up", total.scalar()).select("host", smoothed.alias("bad_share"))
+    level = stored(level.join(root, "host").withColumn("template", F.array().cast("array<string>")), "level")
+    kept = ("host", "segments", "template", "bad_share")
+    done, depth = level.where(F.size("segments") == 0).select(*kept), 0
+    while not (here := level.where(F.size("segments") > depth)).isEmpty():
+        here = here.withColumn("segment", F.get("segments", F.lit(depth)))
+        child = stored(here.groupBy("host", "template", "segment").agg(*sums, F.first("bad_share").alias("up")), "children")
+        wild = F.col("segment") == WILDCARD
+        opaque = ~wild & F.col("segment").rlike(IDENTIFIER)
+        named = ~wild & ~opaque
+        # a branching point's facts: children, pages and labels below it, of names and of what looks like an identifier
+        point = child.groupBy("host", "template").agg(
+            F.sum(named.cast("int")).alias("kids"), F.sum(F.when(named, F.col("n"))).alias("pages"),
+            F.sum(F.when(named, F.col("bad"))).alias("named_bad"), F.sum(F.when(named, F.col("labelled"))).alias("named_labelled"),
+            F.sum(F.when(opaque, F.col("bad"))).alias("opaque_bad"), F.sum(F.when(opaque, F.col("labelled"))).alias("opaque_labelled"),
+        )
+        rare = F.col("pages") < RARE * F.col("kids")
+        own = F.col("bad"), F.col("labelled")
+        merged = (F.col("kids") >= MANY) & (rare | alike(*own, F.col("named_bad"), F.col("named_labelled")))
+        general = wild | (opaque & alike(*own, F.col("opaque_bad"), F.col("opaque_labelled"))) | (named & F.coalesce(merged, F.lit(False)))
+        step = child.join(point, ["host", "template"])
+        step = step.select("host", "template", "segment", F.when(general, WILDCARD).otherwise(F.col("segment")).alias("to"), "n", "bad", "labelled", "up")
+        node = step.groupBy("host", "template", "to").agg(*sums, F.first("up").alias("up"))
+        step = step.select("host", "template", "segment", "to").join(node.select("host", "template", "to", smoothed.alias("bad_share")), ["host", "template", "to"])
+        moved = here.drop("bad_share").join(step, ["host", "template", "segment"])
+        level = moved.select("host", "segments", F.concat("template", F.array("to")).alias("template"), "bad_share", "n", "bad", "labelled")
+        level, depth = stored(level, "level"), depth + 1
+        done = done.unionByName(level.where(F.size("segments") == depth).select(*kept))
+    return done
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str | None = None, url: str = "url") -> DataFrame:
@@ -138,17 +126,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str | None = No
     p = pages.withColumn("_u", parts(F.col(url)))
     p = p.withColumn("_r", rule_for(F.col("_u.host"), F.col("_u.path"), rules)).withColumn("_s", segments(F.col("_u.path")))
     bad = F.col(label) if label else F.col("_r.verdict") == "block"
-    tree, general = templates(p.select(F.col("_u.host").alias("host"), F.col("_s").alias("segments"), bad.cast("int").alias("bad")))
     # templates of the different paths, then joined to the rows: one row a path, however many pages it has
-    walk = p.select(F.col("_u.host").alias("host"), F.col("_s").alias("segments")).distinct()
-    walk = walk.withColumn("prefix", F.array().cast("array<string>"))
-    for depth in range(DEPTH + 1):
-        walk = walk.withColumn("segment", F.get("segments", F.lit(depth)))
-        walk = walk.join(general.withColumn("general", F.lit(WILDCARD)), ["host", "prefix", "segment"], "left")
-        step = F.array_compact(F.array(F.coalesce("general", "segment")))
-        walk = walk.select("host", "segments", F.concat("prefix", step).alias("prefix"))
-    judged = walk.withColumnRenamed("prefix", "template").join(purity(tree).select("host", "template", "bad_share"), ["host", "template"])
-    judged = stored(judged, "judged").alias("j")
+    judged = templates(p.select(F.col("_u.host").alias("host"), F.col("_s").alias("segments"), bad.cast("int").alias("bad"))).alias("j")
     both = p.alias("p").join(judged, F.expr("p._u.host = j.host and p._s = j.segments"))
     verdict = F.when(F.col("j.bad_share") >= REJECT, "block").otherwise("allow")
     return both.select(

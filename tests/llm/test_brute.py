@@ -199,3 +199,19 @@ def test_templates_reject_what_labels_reject(spark):
     held = [x for x in r if x.page_id % 5 == 0]
     assert sum((x.verdict == "block") == ("promo" in x.url) for x in held) == len(held)
     assert {x.template for x in r} == {"/promo/*", "/news/*"}
+
+
+def test_templates_part_at_any_depth(spark):
+    """Branches that part at the fifth segment are told apart, and so are labelled segments that hold digits."""
+    rows = []
+    for i in range(600):
+        kind = "casino" if i % 3 == 0 else "news"
+        label = None if i % 5 == 0 else kind == "casino"
+        rows.append((i, f"http://site.org/en/shop/a/b/{kind}/x/{i}", label))
+        rows.append((i + 600, f"http://deals.org/{'web2-spam' if kind == 'casino' else 'top10'}/{i}", label))
+    p = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    r = urls.judge(p, [], "bad").collect()
+    held = [x for x in r if x.page_id % 5 == 0]
+    assert len(r) == 1200
+    assert [x.url for x in held if (x.verdict == "block") != ("casino" in x.url or "spam" in x.url)] == []
+    assert {x.template for x in r} == {"/en/shop/a/b/casino/x/*", "/en/shop/a/b/news/x/*", "/web2-spam/*", "/top10/*"}
