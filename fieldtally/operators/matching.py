@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import _cut
 from .numerics import assign
 
 BLOCKED = 1e9
@@ -16,9 +17,13 @@ MIN_SHARED, GATE_PX, MIN_CONFIDENCE = 8, 28.0, 0.20
 
 def fit_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
     """Least-squares affine (3 x 2) from points p to q; None for fewer than three or collinear points."""
-    if len(p) < 3:
+    return fit_affine_rows(np.column_stack([p, np.ones(len(p))]), q, len(p)) if len(p) else None
+
+
+def fit_affine_rows(a: np.ndarray, q: np.ndarray, n: int) -> np.ndarray | None:
+    """The same of n rows (x, y, 1), or of their triangle."""
+    if n < 3:
         return None
-    a = np.column_stack([p, np.ones(len(p))])
     if np.linalg.matrix_rank(a, tol=1e-6) < 3:
         return None
     m = np.linalg.lstsq(a, q, rcond=None)[0]
@@ -29,6 +34,26 @@ def _apply(m: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.column_stack([p, np.ones(len(p))]) @ m
 
 
+def _assigned(m: np.ndarray, by_frame) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the boxes that are assigned one to one within each frame."""
+    ps, qs = [], []
+    for _, g in by_frame:
+        w = g.drop_duplicates("id_w").sort_values("id_w")[["xw", "yw"]].to_numpy(float)
+        t = g.drop_duplicates("id_t").sort_values("id_t")[["xt", "yt"]].to_numpy(float)
+        d = np.hypot(*(_apply(m, w)[:, None, :] - t[None, :, :]).transpose(2, 0, 1))
+        for i, j in assign(d):
+            ps.append(w[i])
+            qs.append(t[j])
+    return np.asarray(ps), np.asarray(qs)
+
+
+def _lone(pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the frames with one box on either side."""
+    counts = pairs.groupby("frame_t").agg(nt=("id_t", "nunique"), nw=("id_w", "nunique"))
+    lone = pairs[pairs["frame_t"].map((counts.nt == 1) & (counts.nw == 1))]
+    return lone[["xw", "yw"]].to_numpy(float), lone[["xt", "yt"]].to_numpy(float)
+
+
 def register(pairs: pd.DataFrame, size_t=(1.0, 1.0), size_w=(1.0, 1.0), rounds: int = 5) -> tuple[np.ndarray, float, int]:
     """Affine from colour to thermal pixels, its RMSE and pairs.
 
@@ -37,23 +62,13 @@ def register(pairs: pd.DataFrame, size_t=(1.0, 1.0), size_w=(1.0, 1.0), rounds:
     frames and refitting take turns while the error falls.
     """
     by_frame = pairs.groupby("frame_t")
-    counts = by_frame.agg(nt=("id_t", "nunique"), nw=("id_w", "nunique"))
-    lone = pairs[pairs["frame_t"].map((counts.nt == 1) & (counts.nw == 1))]
-    p, q = lone[["xw", "yw"]].to_numpy(float), lone[["xt", "yt"]].to_numpy(float)
-    m, used = fit_affine(p, q), len(lone)
+    p, q = _lone(pairs)
+    m, used = fit_affine(p, q), len(p)
     error = np.sqrt(((_apply(m, p) - q) ** 2).sum(axis=1).mean()) if m is not None else np.inf
     if m is None:
         m, used = np.asarray([[size_t[0] / size_w[0], 0], [0, size_t[1] / size_w[1]], [0, 0]], float), 0
     for _ in range(rounds):
-        ps, qs = [], []
-        for _, g in by_frame:
-            w = g.drop_duplicates("id_w").sort_values("id_w")[["xw", "yw"]].to_numpy(float)
-            t = g.drop_duplicates("id_t").sort_values("id_t")[["xt", "yt"]].to_numpy(float)
-            d = np.hypot(*(_apply(m, w)[:, None, :] - t[None, :, :]).transpose(2, 0, 1))
-            for i, j in assign(d):
-                ps.append(w[i])
-                qs.append(t[j])
-        p, q = np.asarray(ps), np.asarray(qs)
+        p, q = _assigned(m, by_frame)
         new = fit_affine(p, q) if len(p) else None
         if new is None:
             break
@@ -64,24 +79,76 @@ def register(pairs: pd.DataFrame, size_t=(1.0, 1.0), size_w=(1.0, 1.0), rounds:
     return m, float(error), used
 
 
-AFFINE = "a double, b double, tx double, c double, d double, ty double, rmse double, pairs long"
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The 5 x 5 triangle of rows (x, y, 1, x', y'): those of parts, one below the other, give that of the whole."""
+    r = np.linalg.qr(rows, mode="r") if len(rows) else np.zeros((0, 5))
+    return np.vstack([r, np.zeros((5 - len(r), 5))])
 
 
-def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0), most_frames: int = 2000) -> DataFrame:
-    """One affine for each flight, from the pairs on its first ``most_frames`` mapped frames.
+def fit_triangle(r: np.ndarray, n: int) -> tuple[np.ndarray | None, float]:
+    """``fit_affine`` of n pairs and its RMSE from their triangle."""
+    m = fit_affine_rows(r[:, :3], r[:, 3:], n)
+    return m, float(np.sqrt((r[3:, 3:] ** 2).sum() / n)) if m is not None else np.inf
 
-    An affine has six unknowns; the number of frames that it is fitted to is a documented bound on a task's input.
-    """
-    from pyspark.sql import Window
 
-    rank = F.dense_rank().over(Window.partitionBy(by).orderBy("frame_t"))
-    few = pairs.withColumn("_r", rank).where(F.col("_r") <= most_frames).drop("_r")
+AFFINE = "a double, b double, tx double, c double, d double, ty double, rmse double, pairs long"
+#: Frames of a flight in a group; groups are merged, none is dropped.
+FRAMES = 2000
+
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        m, e, n = register(g, size_t, size_w)
-        return pd.DataFrame([{by: g[by].iloc[0], "a": m[0, 0], "b": m[1, 0], "tx": m[2, 0], "c": m[0, 1], "d": m[1, 1], "ty": m[2, 1], "rmse": e, "pairs": n}])
+def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0), rounds: int = 5) -> DataFrame:
+    """One affine for each flight, from the pairs on all its mapped frames: ``register`` with the frames in groups.
 
-    return few.groupBy(by).applyInPandas(fit, f"{by} {dict(pairs.dtypes)[by]}, {AFFINE}")
+    A group of FRAMES frames is reduced to the triangle of its assigned pairs and a flight's triangles are merged, which
+    is the least-squares fit of all its pairs. The affines so far are a table by flight that each round joins.
+    """
+    kind = f"{by} {dict(pairs.dtypes)[by]}"
+    state = ["a", "b", "tx", "c", "d", "ty", "rmse", "pairs", "live"]
+    part = f"{kind}, {AFFINE}, live boolean, r array<double>, n long"
+    start = [size_t[0] / size_w[0], 0.0, 0.0, 0.0, size_t[1] / size_w[1], 0.0]
+    columns = [by, "frame_t", "id_t", "id_w", "xt", "yt", "xw", "yw"]
+    frames = _cut(pairs.select(*columns, F.floor(F.col("frame_t") / FRAMES).alias("_part")))
+
+    def matrix(row) -> np.ndarray:
+        return np.asarray(row[state[:6]].tolist(), float).reshape(2, 3).T
+
+    def flat(m: np.ndarray) -> list[float]:
+        return m.T.ravel().tolist()
+
+    def reduced(g: pd.DataFrame, p: np.ndarray, q: np.ndarray, now: list) -> pd.DataFrame:
+        r = triangle(np.column_stack([p, np.ones(len(p)), q])) if len(p) else triangle(p)
+        return pd.DataFrame([[g[by].iloc[0], *now, r.ravel().tolist(), len(p)]], columns=[by, *state, "r", "n"])
+
+    def seeds(g: pd.DataFrame) -> pd.DataFrame:
+        return reduced(g, *_lone(g), [*start, np.inf, 0, True])
+
+    def assigned(g: pd.DataFrame) -> pd.DataFrame:
+        return reduced(g, *_assigned(matrix(g.iloc[0]), g.groupby("frame_t")), g[state].iloc[0].tolist())
+
+    def merged(g: pd.DataFrame, first: bool) -> pd.DataFrame:
+        now, n = g[state].iloc[0].tolist(), int(g["n"].sum())
+        m, e = fit_triangle(triangle(np.vstack([np.asarray(r, float).reshape(5, 5) for r in g["r"]])), n)
+        if m is not None and (first or e < now[6] - 1e-6):
+            now = [*flat(m), e, n, True]
+        elif not first:
+            now[-1] = False
+        return pd.DataFrame([[g[by].iloc[0], *now]], columns=[by, *state])
+
+    def settled(parts: DataFrame, first: bool) -> DataFrame:
+        return _cut(parts.groupBy(by).applyInPandas(lambda g: merged(g, first), f"{kind}, {AFFINE}, live boolean"))
+
+    now = settled(frames.groupBy(by, "_part").applyInPandas(seeds, part), True)
+    done = []
+    for _ in range(rounds):
+        parts = frames.join(now, by).groupBy(by, "_part").applyInPandas(assigned, part)
+        now = settled(parts, False)
+        done.append(now.where("not live"))
+        now = now.where("live")
+        if now.isEmpty():
+            break
+    for x in done:
+        now = now.unionByName(x)
+    return now.drop("live")
 
 
 def candidates(pairs: DataFrame, affines: DataFrame, by: str) -> DataFrame:

@@ -73,6 +73,25 @@ def test_registration_from_herd_frames_only():
     assert error < 1e-6 and m[0, 0] == pytest.approx(0.8) and m[2, 0] == pytest.approx(3)
 
 
+def test_registration_uses_all_frames(spark):
+    """Frames after the first 2000 count: those with one box on either side come last."""
+    rows = []
+    for f in range(2100):
+        w = [(100 + 40 * k + 9 * (f % 50) * ((-1) ** k), 80 + 55 * k + 4 * (f % 70)) for k in range(1 if f >= 2050 else 2)]
+        for flight, noise in ((1, 0), (2, 3))[f < 1990 :]:
+            for i, (xw, yw) in enumerate(w):
+                for j, (a, b) in enumerate(w):
+                    rows.append((flight, f, j, i, 0.8 * a + 0.05 * b + 3 + noise * (f * 7 % 5), -0.05 * a + 0.8 * b - 2 - noise * (f % 3 if f < 2050 else f % 11), float(xw), float(yw)))
+    pairs = pd.DataFrame(rows, columns=["flight_id", "frame_t", "id_t", "id_w", "xt", "yt", "xw", "yw"])
+    got = {r.flight_id: r for r in matching.registrations(spark.createDataFrame(pairs), "flight_id", (80, 80), (100, 100)).collect()}
+    assert set(got) == {1, 2}
+    for flight, g in pairs.groupby("flight_id"):
+        m, error, used = matching.register(g, (80, 80), (100, 100))
+        r = got[flight]
+        assert (r.a, r.b, r.tx, r.c, r.d, r.ty) == pytest.approx(tuple(m.T.ravel()), abs=1e-6)
+        assert r.pairs == used and r.rmse == pytest.approx(error, abs=1e-6)
+
+
 def test_boundary_is_inside_for_covers_only(spark):
     ring = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (10, 0), (10, 10), (0, 10))])
     r = spark.range(1).select(geometry.covers(F.lit(10.0), F.lit(5.0), ring), geometry.in_polygon(F.lit(10.0), F.lit(5.0), ring), geometry.in_polygon(F.lit(5.0), F.lit(5.0), ring)).first()
