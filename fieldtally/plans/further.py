@@ -24,21 +24,33 @@ PERP = "with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y,
 
 
 @query(PERP + " select p.id, c.transect_id as seg_id, round(abs(p.y - l.ay), 6) as distance_m from c join p using (id) join lines l using (transect_id) where r = 1 and d <= 80")
-def j24_perpendicular(spark, sf):
-    p = d.detections(spark, sf).where("detection_id % 11 = 0").selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y", "cast(detection_id % 180 as double) as cam_x", "cast(detection_id % 450 as double) as cam_y")
+def j24_perpendicular(spark, sf, where="detection_id % 11 = 0"):
+    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y", "cast(detection_id % 180 as double) as cam_x", "cast(detection_id % 450 as double) as cam_y")
     r = survey.perpendicular(p, d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq"), 80.0)
     return r.select("id", "seg_id", F.round("distance_m", 6).alias("distance_m"))
 
 
+@query()
+def j24_perpendicular_all(spark, sf):
+    """The same for every detection."""
+    return j24_perpendicular(spark, sf, "true")
+
+
 @query("with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y from det where detection_id % 11 = 0), s as (select id, x, transect_id, abs(y - ay) as d, row_number() over (partition by id order by (x < 0 or x > 190)::int, abs(y - ay), transect_id) as r from p, lines where ay > y - 40 and ay < y + 40 and x + 50 > 0 and x - 50 < 190) select id, transect_id as seg_id, round(d, 6) as distance_m, x between 0 and 190 as interior from s where r = 1")
-def j25_visible_segments(spark, sf):
-    p = d.detections(spark, sf).where("detection_id % 11 = 0").selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+def j25_visible_segments(spark, sf, where="detection_id % 11 = 0"):
+    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     c = lambda i, j: F.struct((F.col("x") + 50 * i).alias("x"), (F.col("y") + 40 * j).alias("y"))
     p = p.withColumn("ring", F.array(c(-1, -1), c(1, -1), c(1, 1), c(-1, 1)))
     r = survey.visible_perpendicular(p, d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq"))
     return r.withColumn("distance_m", F.round("distance_m", 6))
 
 
+@query()
+def j25_visible_segments_all(spark, sf):
+    """The same for every detection."""
+    return j25_visible_segments(spark, sf, "true")
+
+
 @query("select l.transect_id, coalesce(n, 0) as count, coalesce(f, 0) as frames, coalesce(s, 0) as frames_with_fov from lines l left join (select obj + 1 as transect_id, count(*) as n from det where obj < 6 group by 1) a using (transect_id) left join (select frame // 20 + 1 as transect_id, count(*) as f, count(x) as s from poses group by 1) p using (transect_id)")
 def a17_transect_table(spark, sf):
     a = d.detections(spark, sf).where("obj < 6").select((F.col("obj") + 1).alias("transect_id"))

@@ -168,27 +168,45 @@ NEAR = "f as (select detection_id as id, transect_id, ax + t*(bx-ax) as fx, ay +
 
 
 @query(f"with {NEAR}, g as (select *, sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) as d from f) select id, transect_id as seg_id, round(d, 6) as distance, round(fx, 4) as foot_x, round(fy, 4) as foot_y from (select *, row_number() over (partition by id order by d, transect_id) as r from g) where r = 1 and d <= 60")
-def j23_nearest_segment(spark, sf):
-    p = d.detections(spark, sf).where("detection_id % 7 = 0").selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+def j23_nearest_segment(spark, sf, where="detection_id % 7 = 0"):
+    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     s = d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq")
     r = joins.nearest_segment(p, s, 60.0)
     return r.select("id", "seg_id", F.round("distance", 6).alias("distance"), F.round("foot_x", 4).alias("foot_x"), F.round("foot_y", 4).alias("foot_y"))
 
 
+@query()
+def j23_nearest_segment_all(spark, sf):
+    """The same for every detection."""
+    return j23_nearest_segment(spark, sf, "true")
+
+
 @query(f"with {NEAR}, g as (select *, sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) as d from f join (select transect_id, least(ax,bx) - 10 as lx, ay - 30 as ly, greatest(ax,bx) - 20 as hx, ay + 30 as hy from lines) a using (transect_id) where x between lx and hx and y between ly and hy), b as (select *, row_number() over (partition by id order by d, transect_id) as r from g) select p.detection_id as id, case when d <= 15 then transect_id end as transect_id, round(d, 6) as distance, d is null as outside, coalesce(d > 15, false) as truncated from (select detection_id from det where detection_id % 7 = 0) p left join (select * from b where r = 1) b on b.id = p.detection_id")
-def j26_assign_transects(spark, sf):
-    p = d.detections(spark, sf).where("detection_id % 7 = 0").selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+def j26_assign_transects(spark, sf, where="detection_id % 7 = 0"):
+    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     lines = d.lines(spark, sf).drop("seq")
     areas = lines.selectExpr("transect_id", "least(ax,bx) - 10 as lx", "ay - 30 as ly", "greatest(ax,bx) - 20 as hx", "ay + 30 as hy")
     return joins.assign_transects(p, lines, areas, 15.0).withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def j26_assign_transects_all(spark, sf):
+    """The same for every detection."""
+    return j26_assign_transects(spark, sf, "true")
+
+
 @query("with p as (select flight_id * 15 + obj as track_id, frame, x1 as x, y1 as y from det where detection_id % 3 = 0) select a.track_id as a, b.track_id as b, round(min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))), 6) as nearest from p a join p b on a.track_id < b.track_id and abs(a.frame - b.frame) <= 2 and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 60 group by 1, 2")
-def j27_near_tracks(spark, sf):
-    p = d.detections(spark, sf).where("detection_id % 3 = 0").selectExpr("flight_id * 15 + obj as track_id", "frame", "x1 as x", "y1 as y")
+def j27_near_tracks(spark, sf, where="detection_id % 3 = 0"):
+    p = d.detections(spark, sf).where(where).selectExpr("flight_id * 15 + obj as track_id", "frame", "x1 as x", "y1 as y")
     return joins.near_tracks(p, 60.0, 2).withColumn("nearest", F.round("nearest", 6))
 
 
+@query()
+def j27_near_tracks_all(spark, sf):
+    """The same for every detection."""
+    return j27_near_tracks(spark, sf, "true")
+
+
 @query("with v as (select confidence * 40 as dist from det), w as (select quantile_cont(dist, 0.95) as w, count(*) as n from v), b as (select least(20, greatest(5, n // 5)) as b, w from w), h as (select least(floor(dist / w * b), b - 1)::bigint as bin, count(*) as n from v, b where dist <= w group by 1) select r.i as bin, coalesce(n, 0) as n from (select unnest(range(b)) as i from b) r left join h on h.bin = r.i")
 def a20_distance_histogram(spark, sf):
     v = d.detections(spark, sf).select((F.col("confidence") * 40).alias("dist"))
