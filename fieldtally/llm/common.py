@@ -16,10 +16,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see.
 
-    Only where the session has none (tests on one machine), a temporary folder is set.
+    Only where the session has none and runs on this machine alone (tests), a temporary folder is set. Elsewhere the
+    setting is required: executors could not see a folder of the driver's.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,9 +58,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` has it (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def named(column: str) -> Column:
+    """A column by its name as it is, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, new: tuple[str, ...] = (), **beside: Column) -> DataFrame:
+    """All columns of ``df`` but those named in ``new`` as one struct ``row``, with the columns ``beside`` next to it.
+
+    An operator works on what it put beside the row and ends with ``row.*``; so no column of the input, whatever its
+    name, can clash with one of the operator's own. Names in ``new`` are compared without case.
+    """
+    kept = [named(c) for c in df.columns if c.lower() not in new]
+    return df.select(F.struct(*kept).alias("row"), *[v.alias(k) for k, v in beside.items()])
+
+
+def row_keys(*columns: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that together name a row by its content; a null differs from every value."""
+    parts = [x for c in columns for x in (named(c).isNull(), named(c))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)

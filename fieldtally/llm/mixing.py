@@ -16,12 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import packed, row_keys, stored, words
 
 #: Weights of the sources in code point order (null last), repeated as often as needed.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
+#: Rates and offsets are whole numbers of such parts of a copy.
+SCALE = 10**12
 SEED = "mix"
 
 
@@ -62,24 +64,26 @@ def _class(size: Column) -> Column:
 
 
 def _offset(seed: str) -> Column:
-    """The source's random offset in [0, 1), the same in each run."""
+    """The source's random offset, in SCALE-ths of a copy: the same in each run."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
-    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("long") % SCALE
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with a struct column ``mix``: size, source_size, target, copies (0 or more).
+def _placed(docs: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
+    """(k1, k2, size, source_size, target, rate, u, first): where each different row of ``docs`` lies on its source's line.
 
-    Needs columns doc_id, text and source. A null source is a source, a null text has size 0. Rows that share a
-    doc_id are ordered by a hash of their text; rows equal in all of these are interchangeable. Two runs over equal
-    rows give equal copies, whatever the partitions.
+    ``first`` is the place of the first of the rows that are equal in doc_id, source and text; the others follow it.
     """
-    keyed = docs.withColumn("mix", F.struct(word_count(F.col("text")).alias("size"), _hash().alias("h")))
-    sized = stored(keyed.select("source", F.col("mix.size").alias("size"), F.substring("mix.h", 1, 8).alias("h")), "sizes")
+    k1, k2 = row_keys("doc_id", "source", "text")
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    size = word_count(F.col("text")).alias("size")
+    sized = docs.select("source", size, h.alias("h"), F.col("doc_id").alias("id"), k1.alias("k1"), k2.alias("k2"))
+    sized = stored(sized, "sizes")
     aims = targets(sized.select("source", "size"), weights, share, most)
     digits = max(1, min(8, math.ceil(math.log(sized.count() + 1, 256))))
-    piece = sized.select("source", _class(F.col("size")).alias("c"), F.substring("h", 1, digits).alias("p"))
-    counted = piece.groupBy("source", "c", "p").agg(F.count(F.lit(1)).alias("n"))
+    each = sized.groupBy("source", "size", "h", "id", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
+    each = each.withColumn("c", _class(F.col("size"))).withColumn("p", F.substring("h", 1, digits))
+    counted = each.groupBy("source", "c", "p").agg(F.sum("m").alias("n"))
     in_class = Window.partitionBy("source", "c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before_p", F.coalesce(F.sum("n").over(in_class), F.lit(0)))
     classes = counted.groupBy("source", "c").agg(F.sum("n").alias("nc"))
@@ -90,32 +94,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         counted.alias("k")
         .join(classes.alias("c"), F.expr("k.source <=> c.source and k.c = c.c"))
         .join(aims.alias("a"), F.expr("k.source <=> a.source"))
-        .select("k.source", "k.c", "k.p", (F.col("before_p") + F.col("before_c")).alias("before"), "source_size", "target", rate.alias("rate"))
+        .select(
+            "k.source", "k.c", "k.p", (F.col("before_p") + F.col("before_c")).alias("before"), "source_size", "target",
+            F.floor(rate * SCALE + 0.5).alias("rate"),
+        )
     )
-    piece_of = Window.partitionBy("source", "_c", "_p").orderBy("mix.h", "doc_id", F.xxhash64("text"))
-    rows = (
-        keyed.withColumn("_c", _class(F.col("mix.size")))
-        .withColumn("_p", F.substring("mix.h", 1, digits))
-        .withColumn("_n", F.row_number().over(piece_of))
-    )
-    drawn = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d._c = f.c and d._p = f.p"))
-    drawn = drawn.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns if c != "mix"],
-        *[F.col("d.mix.size").alias("_size"), F.col("f.source_size").alias("_ss"), F.col("f.target").alias("_target")],
-        *[F.col("f.rate").alias("_rate"), (F.col("_n") + F.col("f.before")).alias("_place")],
-    )
-    u = _offset(seed)
-    copies = F.floor(F.col("_rate") * F.col("_place") + u) - F.floor(F.col("_rate") * (F.col("_place") - 1) + u)
-    copies = F.least(copies, F.lit(int(most))).cast("int")  # against a last-digit error of the product
-    out = F.struct(F.col("_size").alias("size"), F.col("_ss").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
-    return drawn.select(*[c for c in docs.columns if c != "mix"], out.alias("mix"))
-
-
-def _hash() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    in_piece = Window.partitionBy("source", "c", "p").orderBy("h", "id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    rows = each.withColumn("here", F.coalesce(F.sum("m").over(in_piece), F.lit(0)))
+    both = rows.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d.c = f.c and d.p = f.p"))
+    both = both.select("d.*", "f.before", "f.source_size", "f.target", "f.rate").withColumn("u", _offset(seed))
+    return both.select("k1", "k2", "size", "source_size", "target", "rate", "u", (F.col("here") + F.col("before") + 1).alias("first"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """``docs`` with a struct column ``mix``: size, source_size, target, copies (0 or more).
+
+    Needs columns doc_id, text and source; all columns but one named mix pass through. A null source is a source, a
+    null text has size 0. Rows that share a doc_id are ordered by a hash of their content; rows equal in doc_id, text
+    and source are interchangeable. Two runs over equal rows give equal copies, whatever the partitions. An empty
+    table gives an empty one. Places and rates are whole numbers (a rate in SCALE-ths of a copy), so that sums over
+    any number of rows are exact: a document gets its rate rounded down or up, never more.
+    """
+    placed = stored(_placed(docs, weights, share, most, seed), "places")
+    k1, k2 = row_keys("doc_id", "source", "text")
+    both = packed(docs, ("mix",), k1=k1, k2=k2).join(placed.hint("merge"), ["k1", "k2"])
+    place = F.col("first") + F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1", "k2")) - 1
+    upto = lambda at: F.expr(f"(cast(rate as decimal(19,0)) * cast({at} as decimal(19,0)) + u) div {SCALE}")
+    copies = upto("place") - upto("(place - 1)")
+    out = F.struct("size", "source_size", "target", copies.cast("int").alias("copies"))
+    return both.withColumn("place", place).select("row.*", out.alias("mix"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row as often as it was drawn, without the column ``mix``."""
-    times = F.explode(F.when(F.col("mix.copies") > 0, F.sequence(F.lit(1), F.col("mix.copies"))))
-    return mixed.withColumn("_copy", times).drop("mix", "_copy")
+    drawn = packed(mixed, ("mix",), n=F.col("mix.copies")).where("n > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -49,7 +49,8 @@ f as (
   select *, first_value(case when level <= ratio then level end ignore nulls) over (order by ratio, source nulls last rows between unbounded preceding and current row) as common from v),
 t as (
   select source, source_size, least(coalesce(weight * common, lim), lim) as target,
-    ('0x' || substr(md5('mix:' || coalesce('s' || source, 'n')), 1, 12))::bigint::double / 281474976710656.0 as u from f),
+    ('0x' || substr(md5('mix:' || coalesce('s' || source, 'n')), 1, 12))::bigint % 1000000000000 as u,
+    cast(floor(coalesce(least(coalesce(weight * common, lim), lim) / nullif(source_size, 0), 0) * 1e12 + 0.5) as hugeint) as rate from f),
 o as (
   select doc_id, source, size, md5(coalesce(cast(doc_id as varchar), 'null')) as h,
     length(bin(size)) * 16 + (('0x' || hex(substr(rpad(bin(size), 4, '0'), 1, 4)))::bigint * 0) as cl,
@@ -57,7 +58,7 @@ o as (
 p as (
   select *, row_number() over (partition by source order by length(bin(size)) desc, top desc, h, doc_id) as place from o)
 select doc_id, size, t.source_size, t.target,
-  size * least(cast(floor(coalesce(target / nullif(source_size, 0), 0) * place + u) - floor(coalesce(target / nullif(source_size, 0), 0) * (place - 1) + u) as bigint), 2) as taken
+  size * cast((rate * place + u) // 1000000000000 - (rate * (place - 1) + u) // 1000000000000 as bigint) as taken
 from p join t on p.source is not distinct from t.source
 """
 
