@@ -4,7 +4,8 @@ Encoding reads bytes from left to right. For each position it keeps the last tok
 there: the one vocabulary entry that ends there and stays apart from the token before it under the merge list. The
 tokens on the way back from a position form a chain. The merge list's longest token, of L bytes, bounds what later
 bytes can still reach: every future chain starts at one of the last L positions, so what those chains share is
-stable and is emitted. State is the unstable part alone, whatever the text's length.
+stable and is emitted. State is the unstable part alone, whatever the text's length: texts come in as chunks, also in
+the middle of a special token or of a pre-token of any length, and ids leave chunk by chunk.
 
 Decoding maps ids to bytes and bytes to text with an incremental UTF-8 state machine.
 """
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .common import named, packed
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies, with white space named as a property.
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -30,7 +32,10 @@ PRE_TOKEN = (
 )
 #: A pre-token that ends so many code points before the end of what was read does not depend on what follows.
 PRE_TOKEN_LOOKAHEAD = 3
+#: Code points that are read at once, and bytes of a longer text that become such a chunk.
 CHUNK = 1 << 16
+#: Bytes of results that are sent on together; a longer result alone.
+SENT = 8 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: Pairs of tokens that a worker remembers as staying apart or not.
@@ -62,6 +67,11 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
         coded = [tuple(bytes(alphabet[c] for c in part) for part in pair) for pair in pairs]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(coded)}
+        #: The merge that makes a token: rank, left and right part.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (rank, token) in self.merges.items():
+            if token not in self.made or rank < self.made[token][0]:
+                self.made[token] = (rank, a, b)
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.bytes_of = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in self.ids.items():
@@ -71,38 +81,36 @@ class Vocabulary:
         self.base = [self.ids[bytes([b])] for b in range(256)]
         #: The sufficient lookahead of the merge list: no token spans more bytes.
         self.lookahead = max(map(len, self.ids))
-        self._apart: dict[tuple[int, int], bool] = {}
-        #: Starts of tokens, with the token's id where the start is a whole token, else -1.
-        self.starts: dict[bytes, int] = {}
-        for token, i in self.ids.items():
-            for k in range(1, len(token)):
-                self.starts.setdefault(token[:k], self.ids.get(token[:k], -1))
-            self.starts[token] = i
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Merges applied to a few bytes, lowest rank first. Only for the two tokens that ``apart`` compares."""
-        ids = [self.base[b] for b in piece]
-        while len(ids) > 1:
-            best = min(zip(ids, ids[1:]), key=lambda p: self.merges.get(p, (1 << 30, 0))[0])
-            if best not in self.merges:
-                break
-            out, i, new = [], 0, self.merges[best][1]
-            while i < len(ids):
-                joined = i + 1 < len(ids) and (ids[i], ids[i + 1]) == best
-                out.append(new if joined else ids[i])
-                i += 1 + joined
-            ids = out
-        return ids
+        self.known: dict[tuple[int, int], bool] = {}
+        #: All ends of tokens, with the token's id where an end is a whole token, else -1.
+        self.ends = {token[k:]: -1 for token in self.ids for k in range(1, len(token))} | self.ids
 
     def apart(self, a: int, b: int) -> bool:
-        """Whether the merge list leaves these two neighbours as they are."""
-        found = self._apart.get((a, b))
+        """Whether the merge list leaves these two neighbours as they are.
+
+        Goes back in time over what stood left and right of the border: the part that was merged last is undone first,
+        and a pair across the border would have been merged if it comes before what was undone.
+        """
+        found = self.known.get((a, b))
         if found is None:
-            if len(self._apart) >= PAIRS:
-                self._apart.clear()
-            found = self._apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            found = self.known[a, b] = self._stays(a, b)
         return found
 
+    def _stays(self, a: int, b: int) -> bool:
+        before = len(self.merges)
+        while True:
+            if self.merges.get((a, b), (before,))[0] < before:
+                return False
+            made_a, made_b = self.made.get(a), self.made.get(b)
+            if made_a is None and made_b is None:
+                return True
+            if made_b is None or (made_a is not None and made_a[0] > made_b[0]):
+                before, a = made_a[0], made_a[2]
+            else:  # of equal ranks, the pair on the left comes first
+                before, b = made_b[0] + 1, made_b[1]
+
 
 class Transducer:
     """Bytes of one pre-token in, stable token ids out."""
@@ -114,12 +122,13 @@ class Transducer:
         self.last: list[int] = [-1]
 
     def feed(self, data: bytes) -> list[int]:
-        """Ids that these bytes make stable."""
+        """Ids that these bytes make stable. What is stable is looked up once the buffer holds twice the lookahead."""
         out: list[int] = []
         step = 4 * self.v.lookahead
         for at in range(0, len(data), step):
             self._read(data[at : at + step])
-            out += self._emit(self._stable())
+            if len(self.buffer) > 2 * self.v.lookahead:
+                out += self._emit(self._stable())
         return out
 
     def finish(self) -> list[int]:
@@ -129,14 +138,20 @@ class Transducer:
         return out
 
     def _read(self, data: bytes) -> None:
-        ids, apart, last = self.v.ids, self.v.apart, self.last
+        ends, known, apart, last = self.v.ends.get, self.v.known.get, self.v.apart, self.last
         buffer = self.buffer + data
         for end in range(len(self.buffer) + 1, len(buffer) + 1):
-            for start in range(max(0, end - self.v.lookahead), end):
-                token = ids.get(buffer[start:end])
-                if token is not None and (last[start] < 0 or apart(last[start], token)):
-                    last.append(token)
-                    break
+            start, found = end, []
+            while start and (token := ends(buffer[start - 1 : end])) is not None:
+                found.append(token)
+                start -= 1
+            for token in reversed(found):  # the longest first; there always is one, as a byte is a token
+                if token >= 0:
+                    before = last[start]
+                    if before < 0 or (stays := known((before, token))) or (stays is None and apart(before, token)):
+                        break
+                start += 1
+            last.append(token)
         self.buffer = buffer
 
     def _chain(self, end: int) -> list[int]:
@@ -164,42 +179,11 @@ class Transducer:
         return out
 
 
-def within_lookahead(v: Vocabulary, data: bytes) -> list[int]:
-    """Ids of a pre-token that fits the lookahead, so that nothing needs to be emitted before its end.
+class Pieces(dict):
+    """Ids of pre-tokens as little-endian 32-bit bytes: what the transducer made of each. Remembers two generations.
 
-    A depth-first walk over the same chains as the transducer's: the longest token that stays apart from the one
-    before it, and a step back where none does. A place that was left once never lies on the chain.
+    A pre-token longer than the lookahead is not remembered, so that memory is bounded.
     """
-    ids, starts, apart, size = v.ids, v.starts, v.apart, len(data)
-    out: list[int] = []
-    at, length, left = 0, -1, set()
-    while at < size:
-        if length < 0:  # the longest token that begins here
-            end = at + 1
-            while end <= size:
-                token = starts.get(data[at:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    length = end - at
-                end += 1
-        while length > 0:
-            token = ids.get(data[at : at + length])
-            if token is not None and at + length not in left and (not out or apart(out[-1], token)):
-                break
-            length -= 1
-        if length > 0:
-            out.append(token)
-            at, length = at + length, -1
-        else:
-            left.add(at)
-            length = len(v.bytes_of[out.pop()])
-            at, length = at - length, length - 1
-    return out
-
-
-class Pieces(dict):
-    """Ids of pre-tokens as little-endian 32-bit bytes; remembers two generations of REMEMBERED each."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -209,9 +193,9 @@ class Pieces(dict):
         packed = self.old.get(piece)
         if packed is None:
             data = piece.encode("utf-8", "replace")
+            packed = np.asarray(self.transducer.feed(data) + self.transducer.finish(), "<u4").tobytes()
             if len(data) > self.transducer.v.lookahead:
-                return np.asarray(self.transducer.feed(data) + self.transducer.finish(), "<u4").tobytes()
-            packed = np.asarray(within_lookahead(self.transducer.v, data), "<u4").tobytes()
+                return packed
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -225,43 +209,89 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.pieces = vocabulary, Pieces(vocabulary)
         self.find = regex.compile(PRE_TOKEN)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-
-    def pre_tokens(self, text: str) -> Iterator[list[str]]:
-        """Pre-tokens of a text without special tokens, a list for each chunk."""
-        if len(text) <= CHUNK:
-            yield self.find.findall(text)
-            return
-        at = 0
-        while at < len(text):
-            size = CHUNK
-            found: list[str] = []
-            while not found and at < len(text):  # a pre-token longer than a chunk: read on
-                end, done = min(len(text), at + size), at
-                for m in self.find.finditer(text, at, end):
-                    if end < len(text) and m.end() > end - PRE_TOKEN_LOOKAHEAD:
+        self.special = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
+        self.longest = max(map(len, vocabulary.special), default=0)
+        self.spaces = regex.compile(r"\p{White_Space}*")
+        self.runs = [self.spaces, *map(regex.compile, (r"\p{L}*", r"\p{N}*", r"[^\p{White_Space}\p{L}\p{N}]*"))]
+
+    def segments(self, chunks: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, bool | None]]:
+        """Text between special tokens, and whether it ends there; a special token comes with None.
+
+        ``chunks``: pieces of a text, and whether a piece is the last. Only what could be the start of a special token
+        is held back.
+        """
+        held = ""
+        for chunk, last in chunks:
+            held += chunk
+            sure = len(held) if last else len(held) - self.longest + 1  # what begins before is whole
+            at = 0
+            for m in self.special.finditer(held):
+                if m.start() >= sure:
+                    break
+                yield held[at : m.start()], True
+                yield m[0], None
+                at = m.end()
+            upto = max(at, sure)
+            if upto > at or last:
+                yield held[at:upto], last
+            held = held[upto:]
+
+    def pre_tokens(self, segments: Iterable[tuple[str, bool | None]]) -> Iterator[tuple[list[str] | str, bool | None]]:
+        """(list of whole pre-tokens, None), (special token, None) or, of a very long pre-token, (part, whether it ends)."""
+        held, run = "", None
+        for text, ends in segments:
+            if ends is None:
+                yield text, None
+                continue
+            held += text
+            while held or run is not None:
+                if run is not None:
+                    n = run.match(held).end()
+                    over = n < len(held)
+                    # the last of several spaces belongs to what follows them, if anything does
+                    n -= run is self.spaces and n > 0 and (over or not ends)
+                    yield held[:n], over or ends
+                    held = held[n:]
+                    if not over and not ends:
                         break
-                    found.append(m[0])
-                    done = m.end()
-                size *= 4
-            yield found
-            at = done
-
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text cut at special tokens, and whether a part is one."""
-        for part in self.split.split(text) if self.split else [text]:
-            if part:
-                yield part, part in self.v.special
-
-    def stream(self, text: str) -> Iterator[bytes]:
-        """Packed ids, a piece for each chunk."""
-        look = self.pieces.__getitem__
-        for part, special in self.parts(text):
-            if special:
-                yield np.asarray([self.v.special[part]], "<u4").tobytes()
+                    run = None
+                elif ends:
+                    yield self.find.findall(held), None
+                    held = ""
+                else:
+                    found, done = self.find.findall(held), len(held)
+                    while found and done > len(held) - PRE_TOKEN_LOOKAHEAD:
+                        done -= len(found.pop())
+                    yield found, None
+                    held = held[done:]
+                    if len(held) <= CHUNK:
+                        break
+                    letter = self.find.match(held)[0][-1]
+                    run = next(r for r in self.runs if r.match(letter).end())
+                    if held[0] == " " and run is not self.spaces:
+                        yield " ", False
+                        held = held[1:]
+
+    def stream(self, text: str | Iterable[tuple[str, bool]]) -> Iterator[bytes]:
+        """Packed ids of a text, or of one that comes in chunks (piece, whether it is the last)."""
+        look, transducer, special = self.pieces.__getitem__, self.pieces.transducer, self.v.special
+        for piece, ends in self.pre_tokens(self.segments([(text, True)] if isinstance(text, str) else text)):
+            if ends is not None:
+                ids = transducer.feed(piece.encode("utf-8", "replace"))
+                yield np.asarray(ids + transducer.finish() if ends else ids, "<u4").tobytes()
+            elif isinstance(piece, str):
+                yield np.asarray([special[piece]], "<u4").tobytes()
+            else:
+                yield b"".join(map(look, piece))
+
+    def whole(self, text: str) -> Iterator[str]:
+        """Special tokens and pre-tokens of a text, one after the other."""
+        for segment, ends in self.segments([(text, True)]):
+            if ends is None:
+                yield segment
             else:
-                for found in self.pre_tokens(part):
-                    yield b"".join(map(look, found))
+                for m in self.find.finditer(segment):
+                    yield m[0]
 
 
 def decode_stream(vocabulary: Vocabulary, packed: Iterable[bytes]) -> Iterator[str]:
@@ -279,52 +309,88 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(Vocabulary(path or default_vocabulary()))
 
 
-def _appended(df: DataFrame, source: str, make, fields: list[StructField]) -> DataFrame:
-    """``df`` with columns made from ``source`` by ``make(list of values) -> list of arrays``, in Arrow batches."""
-    names = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
-    if source not in kept:
-        df = df.withColumn("_source", F.col(source))
-        source, kept = "_source", [*kept, "_source"]
-    schema = StructType([df.schema[c] for c in kept if c != "_source"] + fields)
-    only = [c for c in kept if c != "_source"]
+def views(array: pa.Array) -> Iterator[memoryview]:
+    """The bytes of each value of a string or binary array, without a copy; none for a null."""
+    large = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
+    _, offsets, data = array.buffers()
+    if not len(array):
+        return
+    ends = np.frombuffer(offsets, np.int64 if large else np.int32)[array.offset : array.offset + len(array) + 1].tolist()
+    data = memoryview(data if data is not None else b"")
+    for valid, start, end in zip(array.is_valid(), ends, ends[1:]):
+        yield data[start:end] if valid.as_py() else data[:0]
+
+
+def text_chunks(data: memoryview) -> Iterator[tuple[str, bool]]:
+    """UTF-8 bytes as pieces of text, and whether a piece is the last."""
+    if len(data) <= CHUNK:
+        yield str(data, "utf-8", "replace"), True
+        return
+    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(data), CHUNK):
+        last = at + CHUNK >= len(data)
+        yield machine.decode(data[at : at + CHUNK], last), last
+
+
+class Grown:
+    """A string or binary column that grows piece by piece in one buffer."""
+
+    def __init__(self):
+        self.data, self.ends = bytearray(), [0]
+
+    def close(self) -> None:
+        """The value ends here."""
+        self.ends.append(len(self.data))
+
+    def array(self, kind: pa.DataType) -> pa.Array:
+        return pa.Array.from_buffers(kind, len(self.ends) - 1, [None, pa.py_buffer(np.asarray(self.ends, np.int32)), pa.py_buffer(self.data)])
+
+
+def _appended(df: DataFrame, source: str, write, finish, fields: list[StructField]) -> DataFrame:
+    """``df`` with columns made from the bytes of ``source``: ``write(value)`` yields pieces of a result, ``finish(Grown)`` makes the columns."""
+    sent = packed(df, tuple(f.name.lower() for f in fields), source=named(source))
+    schema = StructType([sent.schema["row"], *fields])
 
     def run(batches):
-        for whole in batches:
-            # few rows at a time, so that long texts don't add up
-            for at in range(0, max(1, whole.num_rows), 256):
-                b = whole.slice(at, 256)
-                made = make(b.column(b.schema.get_field_index(source)))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in only] + made, only + [f.name for f in fields])
+        for b in batches:
+            grown, start = Grown(), 0
+            for i, value in enumerate(views(b.column(1)), 1):
+                for piece in write(value):
+                    grown.data += piece
+                grown.close()
+                if len(grown.data) > SENT or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i - start), *finish(grown)], schema.names)
+                    grown, start = Grown(), i
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema).select("row.*", *[f.name for f in fields])
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with columns n_tokens and ids (token ids as little-endian unsigned 32-bit integers).
 
     A null text counts as empty: no ids. Special tokens inside a text count as such. Columns of these names are
-    replaced, all others pass through. ``vocabulary`` is the path of a tokenizer file on every executor.
+    replaced, all others pass through, whatever their names; rows are independent, so ties and repeated rows get equal
+    ids and an empty table gives an empty one. A very long text is read and encoded in chunks. ``vocabulary`` is the
+    path of a tokenizer file on every executor.
     """
 
-    def make(texts):
-        e = encoder(vocabulary)
-        ids = [b"".join(e.stream(t.as_py() or "")) for t in texts]
-        return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+    def write(value):
+        return encoder(vocabulary).stream(text_chunks(value))
+
+    def finish(grown):
+        return [pa.array(np.diff(grown.ends) // 4, pa.int64()), grown.array(pa.binary())]
 
-    return _appended(docs, text, make, [StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    return _appended(docs, text, write, finish, [StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
-    """``encoded`` with a column decoded: the text of its ids, special tokens included. Null ids give an empty text."""
-
-    def make(packed):
-        v = encoder(vocabulary).v
-        step = 4 * CHUNK
-        out = []
-        for p in packed:
-            data = p.as_py() or b""
-            out.append("".join(decode_stream(v, (data[i : i + step] for i in range(0, len(data), step)))))
-        return [pa.array(out, pa.string())]
-
-    return _appended(encoded, ids, make, [StructField("decoded", StringType())])
+    """``encoded`` with a column decoded: the text of its ids, special tokens included.
+
+    Null ids give an empty text. A column named decoded is replaced, all others pass through; rows are independent.
+    """
+
+    def write(value):
+        parts = (value[i : i + 4 * CHUNK] for i in range(0, len(value), 4 * CHUNK))
+        return (t.encode() for t in decode_stream(encoder(vocabulary).v, parts))
+
+    return _appended(encoded, ids, write, lambda grown: [grown.array(pa.string())], [StructField("decoded", StringType())])
