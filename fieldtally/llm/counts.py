@@ -1,156 +1,281 @@
 """Edit-aware token counts.
 
 A document's text is cut into leaves at pre-token boundaries; a segment tree keeps code points and tokens of each
-subtree. An edit re-encodes the leaves that it touches and the leaf before them, and goes on only until a pre-token
-boundary of the new text falls on one of the old text. Sums change on the paths from those leaves to the root.
+subtree. ``plant`` encodes the texts once and stores each document's leaves as a column of the table. ``revise`` takes
+such a table and edits: it puts the tree up again from the stored leaves, without encoding them, and re-encodes only
+the leaves that an edit touches and the leaf before them, on until a pre-token boundary of the new text falls on one of
+the old text. Sums change on the paths from those leaves to the root alone, also where the number of leaves changes:
+the tree is cut at the touched leaves and joined again. The leaves that result can be stored for later edits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .bpe import PRE_TOKEN_LOOKAHEAD, Encoder, encoder
+from .bpe import PRE_TOKEN_LOOKAHEAD, Encoder, encoder, text_chunks, views
+from .common import named, packed
 
 #: Code points that a leaf has at least, but for the last one.
 LEAF = 256
+LEAVES = "array<struct<chars: int, tokens: int>>"
+
+
+class Node:
+    """A leaf with the sums of its subtree. ``rank`` is random and larger than those below, which keeps trees flat."""
+
+    __slots__ = ("text", "own", "rank", "left", "right", "chars", "tokens")
+    made = 0
+
+    def __init__(self, text: str, tokens: int):
+        Node.made += 1
+        self.text, self.own, self.left, self.right = text, tokens, None, None
+        self.rank = Node.made * 0x9E3779B97F4A7C15 & 0xFFFFFFFF
+        self.chars, self.tokens = len(text), tokens
+
+    def pull(self) -> Node:
+        """Sums from the children's."""
+        self.chars, self.tokens = len(self.text), self.own
+        for child in (self.left, self.right):
+            if child is not None:
+                self.chars += child.chars
+                self.tokens += child.tokens
+        return self
+
+
+def join(a: Node | None, b: Node | None) -> Node | None:
+    """The tree with the leaves of ``a``, then those of ``b``."""
+    if a is None or b is None:
+        return a if b is None else b
+    if a.rank > b.rank:
+        a.right = join(a.right, b)
+        return a.pull()
+    b.left = join(a, b.left)
+    return b.pull()
+
+
+def split(t: Node | None, chars: int) -> tuple[Node | None, Node | None]:
+    """The leaves that begin before a place, which is a leaf's boundary, and the others."""
+    if t is None:
+        return None, None
+    here = t.left.chars if t.left is not None else 0
+    if here < chars:
+        t.right, behind = split(t.right, chars - here - len(t.text))
+        return t.pull(), behind
+    before, t.left = split(t.left, chars)
+    return before, t.pull()
+
+
+def leaf_at(t: Node, char: int) -> tuple[int, int]:
+    """Where the leaf that holds a code point begins and ends."""
+    first = 0
+    while True:
+        here = t.left.chars if t.left is not None else 0
+        if char < here:
+            t = t.left
+        elif char < here + len(t.text) or t.right is None:
+            return first + here, first + here + len(t.text)
+        else:
+            first += here + len(t.text)
+            char -= here + len(t.text)
+            t = t.right
+
+
+def leaves_of(t: Node | None) -> Iterator[Node]:
+    """Leaves from left to right."""
+    path = []
+    while path or t is not None:
+        while t is not None:
+            path.append(t)
+            t = t.left
+        t = path.pop()
+        yield t
+        t = t.right
+
+
+def tree_of(leaves: Iterable[tuple[str, int]]) -> Node | None:
+    """A tree of leaves (text, tokens)."""
+    path: list[Node] = []  # the right edge, from the root down
+    for text, tokens in leaves:
+        node, below = Node(text, tokens), None
+        while path and path[-1].rank < node.rank:
+            below = path.pop().pull()
+        node.left = below
+        if path:
+            path[-1].right = node
+        path.append(node)
+    root = None
+    while path:
+        root = path.pop().pull()
+    return root
 
 
 class CountTree:
-    """Counts of one text. ``reencoded`` is the number of code points that edits have encoded again."""
+    """Counts of one text. ``reencoded`` is the number of code points that were encoded since the tree was put up."""
 
-    def __init__(self, e: Encoder, text: str):
+    def __init__(self, e: Encoder, leaves: Iterable[tuple[str, int]] = ()):
         self.e, self.reencoded = e, 0
-        self.leaves = self._cut(text)
-        self._build()
-
-    def _count(self, piece: str) -> int:
-        special = self.e.v.special
-        return 1 if piece in special else len(self.e.pieces[piece]) // 4
-
-    def _pieces(self, text: str):
-        for part, special in self.e.parts(text):
-            if special:
-                yield part
-            else:
-                for found in self.e.pre_tokens(part):
-                    yield from found
-
-    def _cut(self, text: str, behind: str = "") -> list[tuple[str, int]] | None:
-        """Leaves (text, tokens) of a text that begins at a pre-token boundary and is followed by ``behind``.
-
-        None if the text's end is no pre-token boundary there.
-        """
-        out, held, size, tokens, left = [], [], 0, 0, len(text)
-        for piece in self._pieces(text + behind):
-            if left <= 0:
-                break
-            left -= len(piece)
-            held.append(piece)
-            size += len(piece)
-            tokens += self._count(piece)
-            if size >= LEAF:
-                out.append(("".join(held), tokens))
-                held, size, tokens = [], 0, 0
-        if held:
-            out.append(("".join(held), tokens))
-        return None if left < 0 else out
-
-    def _build(self) -> None:
-        self.base = 1
-        while self.base < len(self.leaves):
-            self.base *= 2
-        self.sums = [(0, 0)] * (2 * self.base)
-        for i, (t, n) in enumerate(self.leaves):
-            self.sums[self.base + i] = (len(t), n)
-        for i in range(self.base - 1, 0, -1):
-            self._pull(i)
-
-    def _pull(self, i: int) -> None:
-        a, b = self.sums[2 * i], self.sums[2 * i + 1]
-        self.sums[i] = (a[0] + b[0], a[1] + b[1])
+        self.look = max(PRE_TOKEN_LOOKAHEAD, *map(len, e.v.special), 0)
+        self.root = tree_of(leaves)
 
     @property
     def n_tokens(self) -> int:
-        return self.sums[1][1]
+        return self.root.tokens if self.root is not None else 0
 
     @property
     def n_chars(self) -> int:
-        return self.sums[1][0]
-
-    def _leaf_at(self, char: int) -> tuple[int, int]:
-        """The leaf that holds a code point, and the leaf's first code point."""
-        i, first = 1, 0
-        while i < self.base:
-            i *= 2
-            if char >= first + self.sums[i][0]:
-                first += self.sums[i][0]
-                i += 1
-        return min(i - self.base, max(0, len(self.leaves) - 1)), first
+        return self.root.chars if self.root is not None else 0
+
+    def leaves(self) -> Iterator[tuple[str, int]]:
+        return ((n.text, n.own) for n in leaves_of(self.root))
 
     def edit(self, start: int, length: int, text: str) -> None:
         """Replace ``length`` code points at ``start`` by ``text``; both are clipped to the text there is."""
-        start = min(max(0, start), self.n_chars)
-        length = min(max(0, length), self.n_chars - start)
-        look = max(PRE_TOKEN_LOOKAHEAD, *map(len, self.e.v.special), 0)
-        if not self.leaves:
-            self.leaves, self.reencoded = self._cut(text), self.reencoded + len(text)
-            return self._build()
+        n = self.n_chars
+        start = min(max(0, start), n)
+        length = min(max(0, length), n - start)
+        if self.root is None:
+            self.root, self.reencoded = tree_of(cut(self.e, text)), self.reencoded + len(text)
+            return
         # a leaf's start stands if the edit is beyond all that this boundary can depend on
-        first, at = self._leaf_at(max(0, start - 1 - look))
-        stop = 1 + self._leaf_at(min(self.n_chars - 1, start + length))[0]
-        grown = None
-        while grown is None:
-            old = "".join(t for t, _ in self.leaves[first:stop])
-            new = old[: start - at] + text + old[start - at + length :]
-            behind = "".join(t for t, _ in self.leaves[stop : stop + 2])[: look + 1]
-            grown = self._cut(new, behind)
+        first = leaf_at(self.root, max(0, start - 1 - self.look))[0]
+        stop = leaf_at(self.root, min(n - 1, start + length))[1]
+        before, rest = split(self.root, first)
+        touched, after = split(rest, stop - first)
+        old = "".join(t.text for t in leaves_of(touched))
+        more = 1
+        while True:
+            new = old[: start - first] + text + old[start - first + length :]
+            grown = cut(self.e, new, self._head(after))
             self.reencoded += len(new)
-            stop += grown is None
-        if len(grown) == stop - first:
-            for i, leaf in enumerate(grown, first):
-                self._set(i, leaf)
-        else:
-            self.leaves[first:stop] = grown
-            self._build()
+            if grown is not None:
+                break
+            for _ in range(more):  # twice as many leaves each time, so that one long pre-token costs no more than its size
+                if after is not None:
+                    taken, after = split(after, leaf_at(after, 0)[1])
+                    old += taken.text
+            more *= 2
+        self.root = join(join(before, tree_of(grown)), after)
 
-    def _set(self, i: int, leaf: tuple[str, int]) -> None:
-        self.leaves[i] = leaf
-        node = self.base + i
-        self.sums[node] = (len(leaf[0]), leaf[1])
-        while node > 1:
-            node //= 2
-            self._pull(node)
+    def _head(self, t: Node | None) -> str:
+        """The first code points of a subtree, as many as a boundary can depend on."""
+        out = ""
+        for leaf in leaves_of(t):
+            out += leaf.text[: self.look + 1 - len(out)]
+            if len(out) > self.look:
+                break
+        return out
 
 
-def count_tokens(docs: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with columns n_tokens, n_tokens_after, n_chars, n_chars_after and n_chars_reencoded.
+def cut(e: Encoder, text: str, behind: str = "") -> list[tuple[str, int]] | None:
+    """Leaves (text, tokens) of a text that begins at a pre-token boundary and is followed by ``behind``.
 
-    ``edits`` names a column of arrays of structs (start, length, text), applied one after the other to the text as
-    the ones before have left it; code points, clipped to the text. Null text: empty. Null edits, or null parts of
-    one: no edit, position 0, no length, no text. Columns of the new names are replaced, all others pass through.
+    None if the text's end is no pre-token boundary there.
     """
-    new = ("n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
-    kept = [c for c in docs.columns if c.lower() not in new]
-    sent = docs.select(*kept, F.col(text).alias("_text"), F.col(edits).alias("_edits"))
-    schema = StructType([docs.schema[c] for c in kept] + [StructField(n, LongType()) for n in new])
+    special, pieces = e.v.special, e.pieces
+    out, held, size, tokens, left = [], [], 0, 0, len(text)
+    for piece in e.whole(text + behind):
+        if left <= 0:
+            break
+        left -= len(piece)
+        held.append(piece)
+        size += len(piece)
+        tokens += 1 if piece in special else len(pieces[piece]) // 4
+        if size >= LEAF:
+            out.append(("".join(held), tokens))
+            held, size, tokens = [], 0, 0
+    if held:
+        out.append(("".join(held), tokens))
+    return None if left < 0 else out
+
+
+def _mapped(sent: DataFrame, make, fields: str) -> DataFrame:
+    """``sent`` (row and further columns) with columns that ``make(further values)`` returns for each row."""
+    new = StructType.fromDDL(fields)
+    kinds = [f.name for f in new]
 
     def run(batches):
-        e = encoder(vocabulary)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 256):
-                b = whole.slice(at, 256)
-                rows = []
-                for t, todo in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
-                    tree = CountTree(e, t.as_py() or "")
-                    before = (tree.n_tokens, tree.n_chars)
-                    for x in todo.as_py() or []:
-                        if x is not None:
-                            tree.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
-                    rows.append((before[0], tree.n_tokens, before[1], tree.n_chars, tree.reencoded))
-                made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(new))]
-                yield pa.RecordBatch.from_arrays(b.columns[:-2] + made, kept + list(new))
-
-    return sent.mapInArrow(run, schema)
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                rows = [make(*values) for values in zip(*map(_values, b.columns[1:]))]
+                made = pa.RecordBatch.from_pylist([dict(zip(kinds, r)) for r in rows], _arrow(new))
+                yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], ["row", *kinds])
+
+    schema = StructType([sent.schema["row"], *new.fields])
+    return sent.mapInArrow(run, schema).select("row.*", *kinds)
+
+
+def _values(column: pa.Array):
+    return views(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else (v.as_py() for v in column)
+
+
+def _arrow(fields: StructType) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    leaves = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+    return pa.schema([(f.name, kinds.get(f.dataType.simpleString(), leaves)) for f in fields])
+
+
+def _text(value: memoryview) -> str:
+    return "".join(t for t, _ in text_chunks(value))
+
+
+def plant(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with columns n_tokens, n_chars (code points) and leaves: what later edits need of each text's tree.
+
+    A null or empty text has no leaves. Columns of these names are replaced, all others pass through, whatever their
+    names. Rows are independent: ties and repeated rows get equal counts, an empty table gives an empty one.
+    """
+
+    def make(value):
+        leaves = cut(encoder(vocabulary), _text(value))
+        return sum(n for _, n in leaves), sum(len(t) for t, _ in leaves), [{"chars": len(t), "tokens": n} for t, n in leaves]
+
+    sent = packed(docs, ("n_tokens", "n_chars", "leaves"), value=named(text))
+    return _mapped(sent, make, f"n_tokens long, n_chars long, leaves {LEAVES}")
+
+
+def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text", leaves: str = "leaves") -> DataFrame:
+    """``planted`` with columns text_after, leaves_after, n_tokens_after, n_chars_after and n_chars_reencoded.
+
+    ``edits`` names a column of arrays of structs (start, length, text), applied one after the other to the text as
+    the ones before have left it; code points, clipped to the text. Null edits, or null parts of one: no edit, position
+    0, no length, no text. Only touched leaves are encoded; ``n_chars_reencoded`` counts their code points. Leaves that
+    are null, or don't fit the text, are made anew (and counted). Other columns pass through, whatever their names.
+    """
+
+    def make(value, stored, todo):
+        e, t = encoder(vocabulary), _text(value)
+        if sum(x["chars"] for x in stored or ()) == len(t):
+            at, found = 0, []
+            for x in stored or ():
+                found.append((t[at : at + x["chars"]], x["tokens"]))
+                at += x["chars"]
+            tree = CountTree(e, found)
+        else:
+            tree = CountTree(e)
+            tree.edit(0, 0, t)
+        for x in todo or []:
+            if x is not None:
+                tree.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
+        now = list(tree.leaves())
+        return "".join(p for p, _ in now), [{"chars": len(p), "tokens": n} for p, n in now], tree.n_tokens, tree.n_chars, tree.reencoded
+
+    new = ("text_after", "leaves_after", "n_tokens_after", "n_chars_after", "n_chars_reencoded")
+    sent = packed(planted, new, value=named(text), stored=named(leaves), todo=named(edits))
+    return _mapped(sent, make, f"text_after string, leaves_after {LEAVES}, n_tokens_after long, n_chars_after long, n_chars_reencoded long")
+
+
+def count_tokens(docs: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with columns n_tokens, n_tokens_after, n_chars, n_chars_after and n_chars_reencoded: ``plant``, then ``revise``.
+
+    Columns of the new names are replaced, all others pass through.
+    """
+    new = ("n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
+    sent = packed(docs, new, value=named(text), edits=named(edits))
+    done = revise(plant(sent, vocabulary, "value"), "edits", vocabulary, "value")
+    return done.select("row.*", *new)

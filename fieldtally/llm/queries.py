@@ -64,7 +64,7 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda at, length, text: F.struct(at.alias("start"), F.lit(length).alias("length"), F.lit(text).alias("text"))
     edits = F.array(edit(F.floor(n / 3), 7, ""), edit(F.floor(2 * n / 3), 0, " [edit] "))
-    done = counts.count_tokens(docs.withColumn("edits", edits), "edits").drop("text", "edits")
+    done = counts.revise(counts.plant(docs).withColumn("edits", edits), "edits")
     return done.select("doc_id", "n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
 
 
@@ -84,7 +84,7 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of each conversation, read back from its formatted examples."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    more = spark.sql("select * from values (-7, 0, 'user', :said), (-7, 1, 'assistant', :said) as t(conv_id, turn, role, text)", {"said": said})
     more = more.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
     return chat.read_back(chat.format_examples(turns.unionByName(more)))
 
