@@ -1,15 +1,20 @@
 """Near-duplicates by an LSH forest of MinHash signatures.
 
-A document is the set of its 5-word shingles. TREES independent signatures order all different sets; neighbours in
-an order with a long common prefix are candidates. A run of an order in which neighbours share DEPTHS[0] values is a
-region; a region of many documents is cut deeper, by longer prefixes, as far as the signature goes. Candidates are
-confirmed on their full sets.
-
-Nothing is ever expanded into all pairs of a large group: sets that are equal are one node from the start. Regions of
-up to SMALL nodes list their pairs. Larger ones are compared set by set in blocks of about BLOCK nodes, and a block
-pair gives only the links that hold its components together. So no link between different sets is lost that the
-forest reaches: at a similarity of 0.85, a pair is missed by all trees with a probability below 1e-6 (below 1e-4
-inside regions that are cut deepest, where documents have many links).
+A document is the set of its 5-word shingles. Each tree sorts all different sets by a signature of DEPTH values
+(range-partitioned, so that no order is in one task), and every set gets the length of the prefix that it has in common
+with its neighbours in that order. A run of neighbours with DEPTHS[0] values in common is a region. Its depth adapts:
+a region of more than DENSE sets is cut where neighbours have fewer than DEPTHS[1], then DEPTHS[2] values in common, and
+sets of such regions are sorted in MORE further trees at that depth. Candidates are the pairs inside the regions that
+result; they are confirmed on full sets.
+
+A pair at a similarity of 0.85 is missed with a probability below 1e-6 either way: (1 - 0.85^4)^20 = 4e-7 where no region
+is dense, (1 - 0.85^6)^30 = 7e-7 at the most where some are.
+
+Nothing is expanded into all pairs of a group. Equal sets are one set from the start. Regions of up to SMALL sets list
+their pairs. Larger ones are read in chunks of at most CHUNK neighbours, whose links are found at once; those links make
+components. What a region still has to show are links between different components: its largest component is the hub,
+and only sets outside of it are compared with the others. A region of copies is one component by then, and costs no
+more than its chunks did.
 """
 
 from __future__ import annotations
@@ -17,34 +22,29 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, packed, remove, stored
 from .components import components
 from .shingling import grouped, mix, shingle_sets
 
-TREES, DEPTHS = 20, (4, 5, 6)
-SMALL, DENSE, BLOCK = 8, 512, 128
+TREES, MORE, DEPTHS = 20, 10, (4, 5, 6)
+DEPTH = DEPTHS[-1]
+SMALL, DENSE, CHUNK = 8, 512, 128
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, TREES * DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (TREES + MORE) * DEPTH, dtype=np.uint64) | np.uint64(1)
 
 
-def _forest(shingles: np.ndarray) -> np.ndarray:
-    """For each tree, a hash of (tree, first d values) for each depth d: names of the regions that the set is in."""
+def _signature(shingles: np.ndarray) -> bytes:
+    """For each tree, DEPTH least hashes of 32 bits."""
     least = np.full(len(_FACTORS), (1 << 32) - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
         hashes = (shingles[at : at + 4096, None] * _FACTORS) >> np.uint64(32)
         np.minimum(least, hashes.min(axis=0), out=least)
-    values = least.reshape(TREES, -1)
-    out = np.empty((TREES, len(DEPTHS)), np.uint64)
-    name = np.arange(TREES, dtype=np.uint64)
-    for d in range(DEPTHS[-1]):
-        name = mix(name * np.uint64(0x100000001B3) + values[:, d])
-        if d + 1 in DEPTHS:
-            out[:, DEPTHS.index(d + 1)] = name
-    return out.ravel()
+    return least.astype(">u4").tobytes()
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -58,22 +58,21 @@ def _texts(column) -> list[bytes]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set) and regions (TREES times a name for each depth) of each row."""
+    """doc_id, n_shingles, key (null for an empty set) and signature of each row."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 sets = [s for g in grouped(_texts(b.column(1))) for s in shingle_sets(g)]
-                regions = [_forest(s).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     b.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(regions, pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "key", "regions"])
+                    pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
+                ], ["doc_id", "n_shingles", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, regions array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, signature binary")
 
 
 def _node(doc_id: Column, key: Column) -> Column:
@@ -88,24 +87,70 @@ def _least_id(node: Column) -> Column:
     return F.when(F.startswith(node, F.lit("0")), value.cast("long"))
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """(region, n, node) of all regions with two nodes or more, cut deeper where they are dense."""
-    names = [f"r{d}" for d in DEPTHS]
+def _order(classes: DataFrame, trees: range, least: int) -> DataFrame:
+    """(part, place, sig, node) of the sets that have ``least`` values in common with a neighbour in an order.
+
+    ``sig`` is the tree's number and signature. Orders are cut into ranges of rows; at the ends of a range, where one
+    neighbour is in another task, a set stays.
+    """
+    width = 4 * DEPTH
     each = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(*[F.get(F.col("regions"), t * len(DEPTHS) + i).alias(n) for i, n in enumerate(names)]),
+        F.sequence(F.lit(trees.start), F.lit(trees.stop - 1)),
+        lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 8, "0")), F.substring(F.col("signature"), t * width + 1, F.lit(width))),
     )
-    rows = classes.select("node", F.inline(each))
-    done = None
-    for i, name in enumerate(names):
-        size = stored(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "region-sizes")
-        rows = stored(rows.join(size.hint("merge"), name), "regions")
-        last = i == len(names) - 1
-        fits = rows if last else rows.where(F.col("n") <= DENSE)
-        fits = fits.select(F.col(name).alias("region"), "n", "node")
-        done = fits if done is None else done.union(fits)
-        rows = rows.where(F.col("n") > DENSE).drop("n", name)
-    return done
+    rows = classes.select(F.explode(each).alias("sig"), "node")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node")
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of values that rows have in common from the first on; -1 in different trees."""
+        return np.cumprod(a == b, axis=1).sum(axis=1) - 1
+
+    def run(batches):
+        part, place, held = TaskContext.get().partitionId(), 0, None  # the last row waits for its neighbour
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held[0], b]).combine_chunks().to_batches()[0]
+            sig = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u4").reshape(-1, DEPTH + 1)
+            both = common(sig[1:], sig[:-1])
+            before = np.concatenate([[DEPTH if held is None else held[1]], both])
+            near = np.maximum(before[:-1], both) >= least
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(near.sum(), part, np.int32)), pa.array(place + np.flatnonzero(near)), *b.slice(0, len(near)).filter(pa.array(near)).columns
+            ], ["part", "place", "sig", "node"])
+            place += len(near)
+            held = (b.slice(len(near)), int(before[-1]))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place]), *held[0].columns], ["part", "place", "sig", "node"])
+
+    return stored(rows.mapInArrow(run, "part int, place long, sig binary, node string"), "order")
+
+
+def _runs(rows: DataFrame, depth: int) -> DataFrame:
+    """``rows`` of an order with ``region`` (a hash of tree and prefix) and ``n``, its sets; those of two sets or more."""
+    rows = rows.drop("region", "n").withColumn("region", F.xxhash64(F.lit(depth), F.substring("sig", 1, 4 + 4 * depth)))
+    size = stored(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "region-sizes")
+    return stored(rows.join(size.hint("merge"), "region"), "regions")
+
+
+def _regions(classes: DataFrame) -> DataFrame:
+    """(region, n, part, place, node) of all regions with two sets or more, cut deeper where they are dense."""
+    rows, done, dense = _runs(_order(classes, range(TREES), DEPTHS[0]), DEPTHS[0]), [], None
+    for depth in DEPTHS[1:]:
+        done.append(rows.where(F.col("n") <= DENSE))
+        rows = rows.where(F.col("n") > DENSE)
+        if dense is None:
+            dense = stored(rows.select("node").distinct(), "dense")
+        rows = _runs(rows, depth)
+    done.append(rows)
+    further = classes.join(dense.hint("merge"), "node", "left_semi")
+    done.append(_runs(_order(further, range(TREES, TREES + MORE), DEPTH), DEPTH))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("region", "n", "part", "place", "node")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -160,21 +205,41 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     return out
 
 
-def _dense_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in regions of more than SMALL nodes: (a, b)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.hint("merge").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
+def _grouped_links(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b): links inside groups of ``keys`` between sets ``mine`` and sets ``theirs``; a set may be both."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        own, nodes = g["own"].to_numpy(), g["node"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        nodes, left, right = g["node"].to_numpy(), np.flatnonzero(g["mine"]), np.flatnonzero(g["theirs"])
         found = block_links([np.frombuffer(s, np.uint64) for s in g["shingles"]], left, right, percent) if len(left) and len(right) else []
         return pd.DataFrame([(nodes[a], nodes[b]) for a, b in found], columns=["a", "b"], dtype=object)
 
-    return dealt.groupBy("region", "i", "j").applyInPandas(run, "a string, b string")
+    return dealt.select(*keys, "node", "shingles", "mine", "theirs").groupBy(*keys).applyInPandas(run, "a string, b string")
+
+
+def _chunk_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between neighbours: sets of a region and of one chunk of its order."""
+    dealt = rows.withColumn("chunk", F.floor(F.col("place") / CHUNK)).hint("merge").join(sets, "node")
+    return _grouped_links(dealt.withColumns({"mine": F.lit(True), "theirs": F.lit(True)}), ["region", "part", "chunk"], percent)
+
+
+def _hub_links(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside regions between components (node, label): of sets outside a region's hub, with all of the region."""
+    label = F.coalesce("label", "node")
+    rows = stored(rows.hint("merge").join(found, "node", "left").select("region", "n", "node", label.alias("label")), "labelled")
+    by = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    hub = by.groupBy("region").agg(F.max_by("label", F.struct("m", "label")).alias("hub"), (F.first("n") - F.max("m")).alias("out"))
+    hub = stored(hub.where("out > 0"), "hubs")
+    dealt = rows.join(hub.hint("merge"), "region").withColumn("out?", F.col("label") != F.col("hub"))
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / CHUNK)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.ceil(n / CHUNK).cast("int") - 1)
+    # every set meets each block of sets that are outside the hub; those are themselves in one such block
+    pairs = F.flatten(F.array(
+        F.transform(each(F.col("out")), lambda j: F.struct(part(F.col("n"), 1).alias("i"), j.alias("j"), F.lit(True).alias("theirs"))),
+        F.when(F.col("out?"), F.transform(each(F.col("n")), lambda i: F.struct(i.alias("i"), part(F.col("out"), 2).alias("j"), F.lit(False).alias("theirs")))).otherwise(F.array()),
+    ))
+    dealt = dealt.select("region", "node", "out?", F.inline(pairs))
+    dealt = dealt.groupBy("region", "i", "j", "node").agg(F.max(~F.col("theirs")).alias("mine"), F.max("theirs").alias("theirs"))
+    return _grouped_links(stored(dealt, "hub-blocks").hint("merge").join(sets, "node"), ["region", "i", "j"], percent)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,28 +265,42 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable over links, the own one included; ``kept`` says whether it is the
     row's own. A null text, or one without words, has no shingles and no links: it is kept. Rows with equal sets are
     linked; rows that share a doc_id are judged one by one. A null doc_id counts as larger than any other; a group of
-    such rows alone has a null component_id and keeps all. Of ``docs``, only doc_id and text are read.
+    such rows alone has a null component_id and keeps all. An empty table gives an empty one. Of ``docs``, only doc_id
+    and text are read.
     """
+    spark = docs.sparkSession
     rows = stored(features(docs), "features")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("regions").alias("regions"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("node", _node(F.col("doc_id"), F.col("key"))), "classes")
-    regions = _regions(classes)
+    regions = stored(_regions(classes.select("node", "signature")), "all-regions")
     small = regions.where(F.col("n") <= SMALL).groupBy("region").agg(F.array_sort(F.collect_list("node")).alias("m"))
     pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = stored(small.select(F.inline(pair)).distinct(), "pairs")
-    dense = regions.where(F.col("n") > SMALL)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(dense.select("node")).distinct()
-    sets = stored(_sets(docs, classes.join(nodes.hint("merge"), "node")), "sets")
-    links = _pair_links(pairs, sets, percent).union(_dense_links(dense, sets, percent))
-    found = components(stored(links, "links"))
-    named = stored(classes.join(found.hint("merge"), "node").select("key", _least_id(F.col("label")).alias("least")), "components")
-    out = rows.select("doc_id", "n_shingles", "key").alias("r").join(named.hint("merge").alias("n"), F.expr("r.key = n.key"), "left")
-    own = out.join(classes.select(F.col("key").alias("k"), F.col("doc_id").alias("first")).hint("merge").alias("c"), F.expr("r.key = c.k"), "left")
-    component = F.when(F.col("r.key").isNull(), F.col("r.doc_id")).otherwise(F.coalesce("least", "first"))
-    return own.select("r.doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    large = regions.where(F.col("n") > SMALL)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    sets = stored(_sets(docs, classes.drop("signature").join(nodes.hint("merge"), "node")), "sets")
+    links = stored(_pair_links(pairs, sets, percent).union(_chunk_links(large, sets, percent)), "links")
+    found = stored(components(links), "components")
+    over = stored(_hub_links(large, found, sets, percent), "hub-links")
+    if not over.isEmpty():
+        # components that are linked in a region become one: each node follows its label
+        name = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        ends = over.hint("merge").join(name("a"), "a", "left").hint("merge").join(name("b"), "b", "left")
+        ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        higher = stored(components(stored(ends, "component-links")).toDF("label", "top"), "higher")
+        found = found.join(higher.hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        alone = higher.withColumnRenamed("label", "node").join(found.hint("merge"), "node", "left_anti")
+        found = found.union(alone.select("node", F.col("top").alias("label")))
+    named_ = stored(classes.drop("signature").join(found.hint("merge"), "node", "left").select("key", F.coalesce(_least_id(F.col("label")), "doc_id").alias("least")), "named")
+    for done in (regions, pairs, sets, links, over):
+        remove(spark, done)
+    out = rows.select("doc_id", "n_shingles", "key").hint("merge").join(named_, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each group, those with its smallest doc_id. All columns pass through."""
-    kept = stored(group(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(kept.hint("merge"), F.expr("cast(doc_id as long) <=> _kept_id"), "left_semi")
+    kept = stored(group(docs, percent).where("kept").select(F.col("doc_id").alias("id")).distinct(), "kept")
+    rows = packed(docs, doc=named("doc_id").cast("long"))
+    return rows.join(kept.hint("merge"), F.expr("doc <=> id"), "left_semi").select("row.*")

@@ -55,7 +55,7 @@ def components_of(sets: dict) -> dict:
 
 def test_near_dups_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "DENSE", 60)
-    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "CHUNK", 16)
     t = texts(5, 400)
     sets = {}
     for i, x in enumerate(t):
