@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, counts, lines, media, mixing, near_dups, quality, substrings, urls
+from .common import bind, stored, words
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,11 +52,25 @@ URL_RULES = [
 ]
 
 
+#: A page is bad if its visible text has fewer words than this, or more than a symbol in so many words.
+PAGE_WORDS, PAGE_WORDS_A_SYMBOL = 60, 10
+#: What is not visible text.
+MARKUP = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+
+
+def page_is_bad(html: Column) -> Column:
+    """Label of a page by its content alone, so independent of its URL; null without content."""
+    text = F.regexp_replace(html, MARKUP, " ")
+    counted = F.transform(F.array(text), lambda t: F.struct(F.size(words(t)).alias("n"), (F.length(t) - F.length(F.translate(t, "#*$%|", ""))).alias("s")))[0]
+    return F.when(html.isNotNull(), bind(counted, lambda c: (c["n"] < PAGE_WORDS) | (PAGE_WORDS_A_SYMBOL * c["s"] > c["n"])))
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
-    done = urls.judge(pages, URL_RULES)
-    return done.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = stored(pages.select("page_id", "url", page_is_bad(F.col("html")).alias("bad")), "labelled-pages")
+    done = urls.judge(pages, URL_RULES, "bad")
+    return done.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 6).alias("bad_share"), "support")
 
 
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """URL filters: a tree of path templates for each host, judged by smoothed labelled purity.
 
-A URL's path is cut into segments. Level by level, until no path has segments left, segments that vary become a
-wildcard: those that look like an identifier, unless their own labels differ from those of the identifiers beside them,
-and those of a branching point with many rare children. Sibling branches whose labels and traffic below
-are statistically alike are merged into one wildcard branch as well. Each remaining template has counts of good and
-bad labels; its purity is smoothed towards its parent's, up to the host and all hosts together. A URL is blocked if
-the deepest template that it fits is impure. Rules (allow and block lists) come first.
+A URL's path is cut into segments. Level by level, until no path has segments left, segments that vary become the
+wildcard ``*``: those that look like an identifier, unless their own labels differ from those of the identifiers beside
+them, and those of a branching point with many rare children. Of the named siblings that remain, those on one side of
+the rejection share are compared with each other: a branch that is statistically like the rest of its side is merged
+with it into one branch, ``{good}`` or ``{bad}``, also where there are only two. Branches without labels stay as they
+are. Each template has counts of good and bad labels; its share of bad ones is smoothed towards its parent's, up to the
+host and all hosts together. A URL is blocked if the deepest template that it fits is impure and has labels of its own;
+without labels it is allowed. Rules (allow and block lists) come first.
 
 Every step is a grouped aggregation over (host, template so far, segment); counts of one host are partial sums, so
 a host with a third of all rows is no larger than its number of templates.
@@ -16,17 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, packed, stored
 
 #: A segment with digits, or of hexadecimal or long opaque text, looks like an identifier.
 IDENTIFIER = r"^(?=.*[0-9]).*$|^[0-9a-fA-F-]{8,}$|^.{40,}$"
-WILDCARD = "*"
+WILDCARD, GOOD, BAD = "*", "{good}", "{bad}"
 #: A branching point generalises its children if they average fewer pages than this and are at least so many.
 RARE, MANY = 5.0, 20
-#: Sibling branches are alike if their bad rates differ by less than so many standard errors; identifiers likewise.
+#: Branches are alike if their shares of bad labels differ by less than so many standard errors.
 ALIKE_Z = 2.0
 #: Pseudo-labels by which a template is pulled to its parent, and the bad share that rejects.
-PRIOR, PRIOR_BAD, REJECT = 8.0, 0.1, 0.5
+PRIOR, PRIOR_BAD, REJECT = 2.0, 0.1, 0.5
 
 
 def parts(url: Column) -> Column:
@@ -60,14 +62,18 @@ def segments(path: Column) -> Column:
 
 
 def alike(bad: Column, labelled: Column, all_bad: Column, all_labelled: Column) -> Column:
-    """Whether a branch's bad rate is within ALIKE_Z standard errors of its siblings'; true without labels."""
-    rate = F.try_divide(all_bad, all_labelled)
-    error = F.sqrt(F.try_divide(F.greatest(rate * (1 - rate), F.lit(0.01)), labelled))
-    return F.coalesce(F.abs(F.try_divide(bad, labelled) - rate) < ALIKE_Z * error, F.lit(True))
+    """Whether a branch's share of bad labels is within ALIKE_Z standard errors of that of the rest; null without labels.
+
+    ``all_``: sums over the branch and the rest. The error is the usual one of two shares under one common share.
+    """
+    share = F.try_divide(all_bad, all_labelled)
+    rest = all_labelled - labelled
+    variance = F.greatest(share * (1 - share), F.lit(0.01)) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), rest))
+    return F.abs(F.try_divide(bad, labelled) - F.try_divide(all_bad - bad, rest)) < ALIKE_Z * F.sqrt(variance)
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """The deepest template of each labelled path, and its purity: host, segments, template (array), bad_share.
+    """The deepest template of each path, and its purity: host, segments, template (array), bad_share, support (labels).
 
     ``paths``: host, segments, bad (1, 0, or null without a label). Rows are pre-aggregated by whole path first, so the
     result grows with the number of different paths alone. There is a stored level for each segment of the longest
@@ -82,57 +88,61 @@ def templates(paths: DataFrame) -> DataFrame:
     total = level.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR * PRIOR_BAD) / (F.coalesce(F.sum("labelled"), F.lit(0)) + PRIOR)).alias("up")
     )
-    root = level.groupBy("host").agg(*sums).withColumn("up", total.scalar()).select("host", smoothed.alias("bad_share"))
+    root = level.groupBy("host").agg(*sums).withColumn("up", total.scalar())
+    root = root.select("host", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
     level = stored(level.join(root, "host").withColumn("template", F.array().cast("array<string>")), "level")
-    kept = ("host", "segments", "template", "bad_share")
+    kept = ("host", "segments", "template", "bad_share", "support")
     done, depth = level.where(F.size("segments") == 0).select(*kept), 0
+    wild = F.col("segment").isin(WILDCARD, GOOD, BAD)  # as in a path that is a template itself
+    opaque = ~wild & F.col("segment").rlike(IDENTIFIER)
+    plain = ~wild & ~opaque
+    side = F.when(plain & (F.col("labelled") > 0), F.when(F.col("bad") >= REJECT * F.col("labelled"), BAD).otherwise(GOOD))
+    kinds = {"named": plain, "opaque": opaque, "good": side == GOOD, "bad": side == BAD}
     while not (here := level.where(F.size("segments") > depth)).isEmpty():
         here = here.withColumn("segment", F.get("segments", F.lit(depth)))
         child = stored(here.groupBy("host", "template", "segment").agg(*sums, F.first("bad_share").alias("up")), "children")
-        wild = F.col("segment") == WILDCARD
-        opaque = ~wild & F.col("segment").rlike(IDENTIFIER)
-        named = ~wild & ~opaque
-        # a branching point's facts: children, pages and labels below it, of names and of what looks like an identifier
-        point = child.groupBy("host", "template").agg(
-            F.sum(named.cast("int")).alias("kids"), F.sum(F.when(named, F.col("n"))).alias("pages"),
-            F.sum(F.when(named, F.col("bad"))).alias("named_bad"), F.sum(F.when(named, F.col("labelled"))).alias("named_labelled"),
-            F.sum(F.when(opaque, F.col("bad"))).alias("opaque_bad"), F.sum(F.when(opaque, F.col("labelled"))).alias("opaque_labelled"),
-        )
-        rare = F.col("pages") < RARE * F.col("kids")
-        own = F.col("bad"), F.col("labelled")
-        merged = (F.col("kids") >= MANY) & (rare | alike(*own, F.col("named_bad"), F.col("named_labelled")))
-        general = wild | (opaque & alike(*own, F.col("opaque_bad"), F.col("opaque_labelled"))) | (named & F.coalesce(merged, F.lit(False)))
-        step = child.join(point, ["host", "template"])
-        step = step.select("host", "template", "segment", F.when(general, WILDCARD).otherwise(F.col("segment")).alias("to"), "n", "bad", "labelled", "up")
+        # a branching point's facts: children, pages and labels below it, of each kind of child
+        facts = [
+            F.sum(F.when(is_one, F.lit(1) if c == "kids" else F.col(c))).alias(f"{kind}_{c}")
+            for kind, is_one in kinds.items() for c in ("kids", "n", "bad", "labelled")
+        ]
+        point = child.groupBy("host", "template").agg(*facts)
+        near = {k: F.coalesce(alike(F.col("bad"), F.col("labelled"), F.col(f"{k}_bad"), F.col(f"{k}_labelled")), F.lit(k == "opaque")) for k in ("opaque", "good", "bad")}
+        varies = plain & (F.col("named_kids") >= MANY) & (F.col("named_n") < RARE * F.col("named_kids"))
+        general = (
+            F.when(wild | varies | (opaque & near["opaque"]), WILDCARD)
+            .when((side == GOOD) & near["good"], GOOD)
+            .when((side == BAD) & near["bad"], BAD)
+            .otherwise(F.col("segment"))
+        )
+        step = child.join(point, ["host", "template"]).select("host", "template", "segment", general.alias("to"), "n", "bad", "labelled", "up")
         node = step.groupBy("host", "template", "to").agg(*sums, F.first("up").alias("up"))
-        step = step.select("host", "template", "segment", "to").join(node.select("host", "template", "to", smoothed.alias("bad_share")), ["host", "template", "to"])
-        moved = here.drop("bad_share").join(step, ["host", "template", "segment"])
-        level = moved.select("host", "segments", F.concat("template", F.array("to")).alias("template"), "bad_share", "n", "bad", "labelled")
+        node = node.select("host", "template", "to", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
+        step = step.select("host", "template", "segment", "to").join(node, ["host", "template", "to"])
+        moved = here.drop("bad_share", "support").join(step, ["host", "template", "segment"])
+        level = moved.select("host", "segments", F.concat("template", F.array("to")).alias("template"), "bad_share", "support", "n", "bad", "labelled")
         level, depth = stored(level, "level"), depth + 1
         done = done.unionByName(level.where(F.size("segments") == depth).select(*kept))
     return done
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str | None = None, url: str = "url") -> DataFrame:
-    """``pages`` with columns host, path, rule, verdict, template and bad_share.
+def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str, url: str = "url") -> DataFrame:
+    """``pages`` with columns host, path, rule, verdict, template, bad_share and support.
 
-    The verdict is the longest fitting rule's, else ``block`` where the URL's template has a bad share of REJECT or
-    more, else ``allow``. ``label`` names a boolean column (true: bad; null: no label); without it, the rules' own
-    verdicts are the labels. A null URL, or one without ``://``, has an empty host and path and is judged like any
-    other of that host. Columns of the new names are replaced, others pass through; repeated rows get equal results.
+    The verdict is the longest fitting rule's, else ``block`` where the URL's template has labels and a bad share of
+    REJECT or more, else ``allow``. ``label`` names a boolean column (true: bad; null: no label). A null URL, or one
+    without ``://``, has an empty host and path and is judged like any other of that host. Columns of the new names are
+    replaced, others pass through, whatever their names; repeated rows get equal results, and an empty table gives an
+    empty one.
     """
-    new = ("host", "path", "rule", "verdict", "template", "bad_share")
-    kept = [c for c in pages.columns if c.lower() not in new]
-    p = pages.withColumn("_u", parts(F.col(url)))
-    p = p.withColumn("_r", rule_for(F.col("_u.host"), F.col("_u.path"), rules)).withColumn("_s", segments(F.col("_u.path")))
-    bad = F.col(label) if label else F.col("_r.verdict") == "block"
+    new = ("host", "path", "rule", "verdict", "template", "bad_share", "support")
+    p = packed(pages, new, u=parts(named(url)), bad=named(label).cast("int"))
+    p = p.withColumns({"r": rule_for(F.col("u.host"), F.col("u.path"), rules), "host": F.col("u.host"), "segments": segments(F.col("u.path"))})
     # templates of the different paths, then joined to the rows: one row a path, however many pages it has
-    judged = templates(p.select(F.col("_u.host").alias("host"), F.col("_s").alias("segments"), bad.cast("int").alias("bad"))).alias("j")
-    both = p.alias("p").join(judged, F.expr("p._u.host = j.host and p._s = j.segments"))
-    verdict = F.when(F.col("j.bad_share") >= REJECT, "block").otherwise("allow")
-    return both.select(
-        *[F.col(f"p.`{c}`") for c in kept],
-        F.col("p._u.host").alias("host"), F.col("p._u.path").alias("path"), F.col("p._r.rule").alias("rule"),
-        F.coalesce(F.col("p._r.verdict"), verdict).alias("verdict"),
-        F.concat(F.lit("/"), F.array_join("j.template", "/")).alias("template"), F.col("j.bad_share").alias("bad_share"),
+    both = p.join(templates(p.select("host", "segments", "bad")), ["host", "segments"])
+    verdict = F.when((F.col("support") > 0) & (F.col("bad_share") >= REJECT), "block").otherwise("allow")
+    out = both.select(
+        "row", "host", F.col("u.path").alias("path"), F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), verdict).alias("verdict"),
+        F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_share", "support",
     )
+    return out.select("row.*", *new)

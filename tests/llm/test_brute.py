@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -232,6 +233,94 @@ def test_systematic_draws_stay_near_targets(spark):
         assert abs(taken[s] - target[s]) <= 2 * most[s]
 
 
+def templates_by_hand(rows):
+    """Template, share and support of each (host, segments), level by level, from rows (host, segments, bad or None)."""
+    z, prior = urls.ALIKE_Z, urls.PRIOR
+    looks = re.compile(urls.IDENTIFIER)
+    share_all = (sum(b or 0 for *_, b in rows) + prior * urls.PRIOR_BAD) / (sum(b is not None for *_, b in rows) + prior)
+
+    def alike(own, pool):
+        (b, n), (pb, pn) = own, pool
+        if not n or pn == n:
+            return None
+        p = pb / pn
+        v = max(p * (1 - p), 0.01) * (1 / n + 1 / (pn - n))
+        return abs(b / n - (pb - b) / (pn - n)) < z * v**0.5
+
+    def counted(rs):
+        return sum(b or 0 for *_, b in rs), sum(b is not None for *_, b in rs)
+
+    out = {}
+
+    def walk(rs, template, up):
+        bad, labelled = counted(rs)
+        share = (bad + prior * up) / (labelled + prior)
+        depth = len(template)
+        for h, s, _ in rs:
+            if len(s) == depth:
+                out[h, s] = (template, share, labelled)
+        kids = defaultdict(list)
+        for r in rs:
+            if len(r[1]) > depth:
+                kids[r[1][depth]].append(r)
+        named = {k: v for k, v in kids.items() if not looks.search(k)}
+        opaque = {k: v for k, v in kids.items() if looks.search(k)}
+        sides = {}
+        for k, v in named.items():
+            b, n = counted(v)
+            sides[k] = ("{bad}" if b >= urls.REJECT * n else "{good}") if n else None
+        pool = lambda ks: tuple(map(sum, zip(*[counted(kids[k]) for k in ks])))
+        varies = len(named) >= urls.MANY and sum(map(len, named.values())) < urls.RARE * len(named)
+        merged = defaultdict(list)
+        for k, v in kids.items():
+            to = k
+            if k in opaque:
+                if alike(counted(v), pool(opaque)) in (None, True):
+                    to = "*"
+            elif varies:
+                to = "*"
+            elif sides[k] and alike(counted(v), pool([x for x in named if sides[x] == sides[k]])):
+                to = sides[k]
+            merged[to] += v
+        for to, v in merged.items():
+            walk(v, (*template, to), share)
+
+    for host in {h for h, *_ in rows}:
+        walk([r for r in rows if r[0] == host], (), share_all)
+    return out
+
+
+def test_templates_equal_those_made_by_hand(spark):
+    r = random.Random(12)
+    kinds = {"news": 0.05, "blog": 0.1, "promo": 0.9, "win": 0.85, "mixed": 0.5}
+    rows = []
+    for i in range(3000):
+        host = r.choice(["a.org", "b.org", "c.net"])
+        kind = r.choice(list(kinds))
+        path = [kind] + [r.choice(["x", "y", f"p{r.randrange(40)}", str(r.randrange(900)), "deadbeef" * 2, "wörter"]) for _ in range(r.randrange(4))]
+        if r.random() < 0.1:
+            path = [f"word{'abcdefghij'[r.randrange(10)]}{'klmnopqrst'[r.randrange(10)]}"]
+        bad = None if r.random() < 0.3 else int(r.random() < kinds[kind])
+        rows.append((host, tuple(path), bad))
+    want = templates_by_hand(rows)
+    p = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s), None if b is None else bool(b)) for i, (h, s, b) in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = urls.judge(p, [("allow", "c.net/news")], "bad").collect()
+    seen = set()
+    for x in got:
+        h, s, _ = rows[x.page_id]
+        template, share, support = want[h, s]
+        assert (x.template, x.support) == ("/" + "/".join(template), support) and abs(x.bad_share - share) < 1e-9
+        ruled = h == "c.net" and x.path.startswith("/news")
+        assert x.verdict == ("allow" if ruled or support == 0 or share < urls.REJECT else "block")
+        seen.update(template)
+    assert {"*", "{good}", "{bad}"} <= seen and {x.verdict for x in got} == {"allow", "block"}
+
+
+def test_no_label_no_block(spark):
+    p = spark.createDataFrame([(1, "http://x.org/bad/1", True), (2, "http://y.org/q/2", None)], "page_id long, url string, bad boolean")
+    assert {x.page_id: x.verdict for x in urls.judge(p, [], "bad").collect()} == {1: "block", 2: "allow"}
+
+
 def test_templates_reject_what_labels_reject(spark):
     """Held-out purity: unlabelled pages of a bad template are blocked, those of a good one aren't."""
     rows = []

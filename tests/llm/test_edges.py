@@ -54,6 +54,9 @@ def test_mixing(docs, empty):
     assert sorted(map(str, m)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     assert mixing.emit(mixing.mix(docs)).columns == [c for c in docs.columns if c != "mix"]
     assert mixing.mix(empty).count() == 0
+    equal = docs.where("doc_id = 6").crossJoin(docs.sparkSession.range(100)).drop("id")
+    drawn = [x.mix.copies for x in mixing.mix(equal, share=2.5, most=2.5).collect()]
+    assert sum(drawn) == 250 and set(drawn) == {2, 3} and mixing.emit(mixing.mix(equal, share=2.5, most=2.5)).count() == 250
     t = {x.source: x for x in mixing.targets(mixing.mix(docs).select("source", F.col("mix.size").alias("size"))).collect()}
     total = sum(x.source_size for x in t.values())
     assert sum(x.target for x in t.values()) == pytest.approx(1.5 * total)
@@ -92,15 +95,64 @@ def test_substrings(docs, empty):
 
 
 def test_urls(spark):
-    rows = [(1, None, 1), (2, "no host", 1), (3, "HTTP://A.Example.COM/en/x", 1), (4, "http://x.com?q", 1), (4, "http://x.com?q", 1), (5, "://", 1), (6, "http://bad.net/fr/1" + "/y" * 5000, 1)]
-    p = spark.createDataFrame(rows, "page_id long, url string, verdict int")
+    rows = [(1, None, 1), (2, "no host", 1), (3, "HTTP://A.Example.COM/en/x", 1), (4, "http://x.com?q", 1), (4, "http://x.com?q", 1), (5, "://", 1), (6, "http://bad.net/fr/1" + "/y" * 200, 1)]
+    p = spark.createDataFrame(rows, "page_id long, url string, verdict int").withColumn("bad", F.expr("if(page_id = 4, null, page_id > 3)"))
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("block", "net/fr/")]
-    r = {x.page_id: x for x in urls.judge(p, rules).collect()}
+    r = {x.page_id: x for x in urls.judge(p, rules, "bad").collect()}
     assert (r[1].host, r[1].path, r[1].verdict) == ("", "", "allow")
     assert (r[3].host, r[3].rule, r[3].verdict) == ("a.example.com", "example.com/en/", "block")
-    assert (r[4].host, r[4].path, r[4].rule) == ("x.com", "", None)
-    assert r[6].verdict == "block" and urls.judge(p, rules).count() == 7
-    assert urls.judge(p.limit(0), rules).count() == 0
+    assert (r[4].host, r[4].path, r[4].rule, r[4].support, r[4].verdict) == ("x.com", "", None, 0, "allow")
+    assert r[6].verdict == "block" and urls.judge(p, rules, "bad").count() == 7
+    assert urls.judge(p.limit(0), rules, "bad").count() == 0
+
+
+#: Names that operators give to columns of their own, now or in the past, and awkward ones.
+OWN = """row k1 k2 n u r segments value stored todo edits doc id data lo hi place first size rate target starts later all copies
+source_size h c p here before m mix2 node key label region bad support_ d k _n _c _p _size _rate _copy _u _s _r _k1 _k2 _lo _data _source
+_kept_id _text _edits a.b Upper sig part chunk hub out_ i j mine theirs""".split()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    rows = [(1, "one two three\nfour\nfive\nsix", "a"), (2, "one two three\nfour\nfive\nsix", "a"), (3, None, None), (4, "x" * 300 + " y", "b")]
+    return spark.createDataFrame([(*r, *[f"{r[0]}:{c}" for c in OWN]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in OWN))
+
+
+OPERATORS = {
+    "quality": lambda d: quality.ledger(d),
+    "quality_keep": lambda d: quality.keep(d),
+    "mix": lambda d: mixing.mix(d),
+    "emit": lambda d: mixing.emit(mixing.mix(d)),
+    "encode": lambda d: bpe.encode(d),
+    "decode": lambda d: bpe.decode(bpe.encode(d)),
+    "near_dups": lambda d: near_dups.keep_one(d),
+    "substrings": lambda d: substrings.dedup_substrings(d),
+    "urls": lambda d: urls.judge(d.withColumn("lbl", F.lit(True)), [("block", "net/")], "lbl", "text"),
+    "plant": lambda d: counts.plant(d),
+    "counts": lambda d: counts.count_tokens(d.withColumn("todo2", F.expr("array(named_struct('start', 1L, 'length', 2, 'text', 'zz'))")), "todo2"),
+    "lines": lambda d: lines.dedup_lines(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_any_name_pass_through(crowded, name):
+    out = OPERATORS[name](crowded).collect()
+    assert out or name == "quality_keep"
+    for x in out:
+        assert [x[c] for c in OWN] == [f"{x.doc_id}:{c}" for c in OWN]
+
+
+def test_pipeline_stages_take_any_columns(spark, crowded):
+    import corpus_pipeline as p
+
+    plain = crowded.withColumn("ledger", F.lit("mine")).withColumn("n_chars", F.lit(7).cast("long"))
+    for name, stage in p.STAGES:
+        for docs in (plain, plain.limit(0), plain.union(plain)):
+            out = stage(spark, docs, "")
+            want = [c for c in docs.columns if name != "bpe" or c != "text"]
+            assert out.columns == (want if name != "bpe" else [*want, "n_tokens", "ids", "decoded_sha256"])
+            for x in out.collect():
+                assert x.ledger == "mine" and [x[c] for c in OWN] == [f"{x.doc_id}:{c}" for c in OWN]
 
 
 def test_counts(docs, empty):
@@ -117,6 +169,44 @@ def test_media(docs, empty):
     want = sorted((str(k) if k is not None else "", len((t or "").encode()), hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for k, t, *_ in ROWS)
     assert got == want
     assert media.store_and_read(empty).count() == 0
+    none = media.store_and_read(docs.select(F.expr("if(doc_id = 8, 'None', null)").alias("k"), "text"), "k").groupBy("key").count().collect()
+    assert {x.key: x["count"] for x in none} == {"None": 1, None: len(ROWS) - 1}
+
+
+def test_media_are_what_other_libraries_read(spark, docs, tmp_path):
+    """ZIP and PNG by the JVM's own readers; digests, feature and CRC of the query by the standard library."""
+    import math
+    import zlib
+    from collections import Counter
+
+    from fieldtally.llm import queries
+
+    folder = f"file://{tmp_path}/b"
+    media.write_archives(docs.coalesce(1), "doc_id", "text", folder)
+    jvm, seen = spark.sparkContext._jvm, 0
+    for name in (tmp_path / "b").glob("*.zip"):
+        archive = jvm.java.util.zip.ZipFile(str(name))
+        for entry in archive.entries():
+            image = jvm.javax.imageio.ImageIO.read(archive.getInputStream(entry))
+            place = int(entry.getName().split("/")[0])
+            text = (ROWS[place][1] or "").encode()
+            assert (image.getWidth(), image.getHeight()) == (192, max(1, -(-len(text) // 192)))
+            raster = image.getRaster()
+            for y in {0, image.getHeight() - 1}:
+                line = raster.getPixels(0, y, 192, 1, spark.sparkContext._gateway.new_array(jvm.int, 192))
+                assert bytes(line) == media.padded(text)[192 * y : 192 * y + 192]
+            seen += 1
+    assert seen == len(ROWS)
+    docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates().write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {k: (t or "").encode() for k, t, *_ in ROWS if k is not None}
+    for x in queries.op8_media(spark, str(tmp_path)).collect():
+        data = texts[x.doc_id].ljust(max(192, -(-len(texts[x.doc_id]) // 192) * 192), b" ")
+        n = Counter(data)
+        bits = -sum(c / len(data) * math.log2(c / len(data)) for c in n.values())
+        assert (x.n_bytes, x.payload_bytes, x.tail_crc32) == (len(texts[x.doc_id]), len(data), zlib.crc32(data[-16:]))
+        assert x.payload_sha256 == hashlib.sha256(data).hexdigest()
+        assert x.media_sha256 == hashlib.sha256(media.to_image(texts[x.doc_id])).hexdigest() and x.media_bytes == len(media.to_image(texts[x.doc_id]))
+        assert x.feature == f"192x{len(data) // 192};mean={sum(data) / len(data):.3f};bits={abs(bits):.3f}"
 
 
 def test_media_survives_a_broken_member(spark, docs, tmp_path):
@@ -151,3 +241,6 @@ def test_lines(docs, empty):
     assert by[8].n_removed == 0 and by[9].kept_text == "five" and by[9].n_removed == 3
     assert by[1].kept_text is None and by[1].n_lines == 0 and by[4].n_removed == 0
     assert lines.dedup_lines(empty).count() == 0
+    # of equal rows, one keeps its lines
+    twice = docs.where("doc_id = 8")
+    assert sorted(x.n_removed for x in lines.dedup_lines(twice.union(twice).union(twice)).collect()) == [0, 4, 4]
