@@ -66,7 +66,7 @@ def named(column: str) -> Column:
 def packed(df: DataFrame, new: tuple[str, ...] = (), **beside: Column) -> DataFrame:
     """All columns of ``df`` but those named in ``new`` as one struct ``row``, with the columns ``beside`` next to it.
 
-    An operator works on what it put beside the row and ends with ``row.*``; so no column of the input, whatever its
+    An operator works on what it put beside the row and ends with ``row.*`` and the columns named in ``new``; so no column of the input, whatever its
     name, can clash with one of the operator's own. Names in ``new`` are compared without case.
     """
     kept = [named(c) for c in df.columns if c.lower() not in new]

@@ -6,10 +6,10 @@ further up in the same one) is removed, and so are all lines that such windows c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bind, stored
+from .common import SPACE_CHARS, bind, packed, row_keys, stored
 
 WINDOW = 3
 
@@ -34,46 +34,41 @@ def _windows(text: Column) -> Column:
     return bind(F.split(text, "\n", -1), made)
 
 
-def _row_key(docs: DataFrame) -> list[Column]:
-    """Names a row by content: place in the order of documents (doc_id, nulls last) and a hash of the text."""
-    return [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), F.col("text")).alias("_k2")]
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with columns n_lines, n_removed and kept_text.
 
-    Documents are ordered by doc_id (nulls last), then by a hash of their text; a window's first occurrence in that
-    order stays whole. Rows equal in doc_id and text are one document here and get equal results. A null or empty
-    text, and one of fewer than three lines, keeps all it has; windows without any word never count as repeated.
-    Columns n_lines, n_removed and kept_text of the input are replaced, others pass through.
+    Documents are ordered by doc_id (nulls last), then by hashes of their text; a window's first occurrence in that
+    order stays whole. Of rows that are equal in doc_id and text one comes first, and the others, whose windows all
+    are later occurrences, lose what those cover. A null or empty text, and one of fewer than three lines, keeps all
+    it has; windows without any word never count as repeated. An empty table gives an empty one. Columns n_lines,
+    n_removed and kept_text of the input are replaced, others pass through, whatever their names.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "kept_text")]
-    docs = docs.select(*names)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *_row_key(docs), "text")
-    found = rows.select("doc_id", "_k1", "_k2", F.inline(_windows(F.col("text"))))
-    found = stored(found, "windows")
+    k1, k2 = row_keys("doc_id", "text")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), k1.alias("k1"), k2.alias("k2"), "text")
+    found = stored(rows.select("id", "k1", "k2", F.inline(_windows(F.col("text")))), "windows")
     # nulls last: (0, id) sorts before (1, null)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2", "at")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "at")
     first = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     first = stored(first.where("n > 1"), "repeats")
-    later = found.withColumn("place", place).join(first.hint("merge"), ["h1", "h2"]).where(F.col("place") > F.col("first"))
-    covered = later.groupBy("doc_id", "_k1", "_k2").agg(F.array_sort(F.collect_set("at")).alias("_starts"))
-    covered = stored(covered, "covered")
-    keyed = docs.select("*", *_row_key(docs))
-    both = keyed.alias("d").join(
-        covered.hint("merge").alias("c"), F.expr("d.doc_id <=> c.doc_id and d._k1 = c._k1 and d._k2 = c._k2"), "left"
+    again = found.withColumn("place", place).join(first.hint("merge"), ["h1", "h2"])
+    # rows equal in doc_id and text share k1 and k2: whether a window is later for their first is kept beside its place
+    covered = again.groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_set(F.when(F.col("place") > F.col("first"), F.col("at")))).alias("later"), F.array_sort(F.collect_set("at")).alias("all")
     )
-    lines = F.split(F.col("d.text"), "\n", -1)
-    starts = F.col("c._starts")
-    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.lit(_offsets()), lambda k: s + k))))
+    covered = stored(covered, "covered")
+    both = packed(docs, ("n_lines", "n_removed", "kept_text"), text=F.col("text"), k1=k1, k2=k2).join(covered.hint("merge"), ["k1", "k2"], "left")
+    turn = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1", "k2"))
+    both = both.withColumn("starts", F.when(turn == 1, F.col("later")).otherwise(F.col("all"))).withColumn("starts", F.when(F.size("starts") > 0, F.col("starts")))
+    lines = F.split(F.col("text"), "\n", -1)
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.lit(_offsets()), lambda k: s + k))))
     left = bind(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)))
     out = both.select(
-        *[F.col(f"d.`{c}`") for c in names],
-        F.when(F.col("d.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(starts.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
-        F.when(starts.isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
+        "row",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
     )
-    return out
+    return out.select("row.*", "n_lines", "n_removed", "kept_text")
 
 
 def _offsets() -> list[int]:

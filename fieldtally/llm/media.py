@@ -80,11 +80,14 @@ def feature(samples: bytes) -> str:
     counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
     share = counts[counts > 0] / len(samples)
     mean = float((counts * np.arange(256)).sum() / len(samples))
-    return f"{WIDTH}x{len(samples) // WIDTH};mean={mean:.3f};bits={float(-(share * np.log2(share)).sum()):.3f}"
+    return f"{WIDTH}x{len(samples) // WIDTH};mean={mean:.3f};bits={abs(float((share * np.log2(share)).sum())):.3f}"
 
 
 def write_archives(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
-    """Write ``text`` (null: empty) of each row as a member named ``place/key``; one row an archive: archive, members.
+    """Write ``text`` (null: empty) of each row as a member named ``place/key``, or ``place`` where the key is null.
+
+    One row an archive: archive, members. An empty table makes no archive, and a text of any length is one member.
+    Of ``docs``, only key and text are read.
 
     An archive's name comes from its partition and number alone and it is renamed into place when complete, so a task
     that runs again replaces its own files. Rows that repeat, and null keys, make members of their own.
@@ -104,7 +107,8 @@ def write_archives(docs: DataFrame, key: str, text: str, folder: str) -> DataFra
             with files.open_output_stream(hidden) as out, zipfile.ZipFile(out, "w") as archive:
                 while row is not None and size < ARCHIVE_BYTES:
                     media = to_image((row[1].as_py() or "").encode())
-                    archive.writestr(zipfile.ZipInfo(f"{place}/{row[0].as_py()}"), media)
+                    named = f"{place}/{row[0].as_py()}" if row[0].is_valid else str(place)
+                    archive.writestr(zipfile.ZipInfo(named), media)
                     size, members, place = size + len(media) + 200, members + 1, place + 1
                     row = next(rows, None)
             files.move(hidden, name)
@@ -186,7 +190,12 @@ def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
 
 
 def measured(members: DataFrame) -> DataFrame:
-    """Members with their payload (samples read back), n_bytes (unpadded) and feature; an unreadable image adds to ``error``."""
+    """Members with their payload (samples read back), n_bytes (unpadded) and feature; an unreadable image adds to ``error``.
+
+    Needs columns media and error; payload, n_bytes and feature are replaced, others pass through. Null media give nulls,
+    an empty table an empty one.
+    """
+    members = members.drop("payload", "n_bytes", "feature")
     names = members.columns
 
     def run(batches):
@@ -209,12 +218,15 @@ def measured(members: DataFrame) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows written to archives in the shared folder and read back: key (string), media, payload, n_bytes, feature, error."""
+    """Rows written to archives in the shared folder and read back: key (string), media, payload, n_bytes, feature, error.
+
+    One row for each row of ``docs``, repeated ones and null keys included; a null text is an empty one. Further
+    columns of ``docs`` are not written: join them by key. An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     folder = shared_path(spark, "media")
     write_archives(docs, key, text, folder)
     members = read_archives(spark, folder)
-    key_of = F.expr("substring(member, instr(member, '/') + 1)")
-    return measured(members.select(F.nullif(key_of, F.lit("None")).alias("key"), "media", "error"))
-
-
+    at = F.instr("member", "/")
+    key_of = F.when(at > 0, F.substring(F.col("member"), at + 1, F.length("member")))
+    return measured(members.select(key_of.alias("key"), "media", "error"))

@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     upto = lambda at: F.expr(f"(cast(rate as decimal(19,0)) * cast({at} as decimal(19,0)) + u) div {SCALE}")
     copies = upto("place") - upto("(place - 1)")
     out = F.struct("size", "source_size", "target", copies.cast("int").alias("copies"))
-    return both.withColumn("place", place).select("row.*", out.alias("mix"))
+    return both.withColumn("place", place).select("row", out.alias("mix")).select("row.*", "mix")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

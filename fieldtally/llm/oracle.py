@@ -81,19 +81,19 @@ select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_char
 
 _OP10 = r"""
 with d as (
-  select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null),
+  select row_number() over (order by doc_id nulls last) as r, doc_id, text, string_split(text, chr(10)) as l from documents),
 w as (
-  select doc_id, text, i - 1 as pos, l[i:i+2] as k from (select doc_id, text, l, unnest(range(1, greatest(len(l) - 1, 1))) as i from d)),
+  select r, i - 1 as pos, l[i:i+2] as k from (select r, l, unnest(range(1, greatest(len(l) - 1, 1))) as i from d where text is not null)),
 k as (
-  select doc_id, text, pos, k, row_number() over (partition by k order by doc_id nulls last, pos) as n from w
+  select r, pos, row_number() over (partition by k order by r, pos) as n from w
   where regexp_matches(array_to_string(k, ''), '[^\x20\x09-\x0D]')),
 gone as (
-  select distinct doc_id, unnest(range(pos, pos + 3)) as p from k where n > 1),
-g as (select doc_id, list(p) as p from gone group by doc_id)
-select documents.doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len(p), 0) as bigint) as n_removed,
-  sha256(case when p is null then coalesce(documents.text, '') else
+  select distinct r, unnest(range(pos, pos + 3)) as p from k where n > 1),
+g as (select r, list(p) as p from gone group by r)
+select doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len(p), 0) as bigint) as n_removed,
+  sha256(case when p is null then coalesce(text, '') else
     array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(p, i - 1)), lambda i: l[i]), chr(10)) end) as kept_sha256
-from documents left join d on documents.doc_id = d.doc_id left join g on documents.doc_id = g.doc_id
+from d left join g on d.r = g.r
 """
 
 SQL = {"op1_quality_rules": _OP1, "op2_mix_sources": _OP2, "op9_chat_format": _OP9, "op10_line_dedup": _OP10}

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bind, words
+from .common import SPACE_CHARS, bind, named, packed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -109,11 +109,12 @@ def _lines(text: Column) -> Column:
     )
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``ledger``: a struct of the measurements and ``failed_bits``.
+def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
+    """``docs`` with a column ``into``: a struct of the measurements and ``failed_bits``.
 
     A null or empty text has no words and no lines, and so fails ``too_few_words``. Other columns, whatever their
-    names, pass through; one named ledger is replaced. Rows are independent: ties and repeats get equal ledgers.
+    names, pass through; one named as ``into`` is replaced. Rows are independent: ties and repeats get equal ledgers, and
+    an empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     counted = bind(
@@ -137,17 +138,23 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
             bits = bits.bitwiseOR(F.when(rule.failed(fields), 1 << rule.bit).otherwise(0))
         return F.struct(*[v.alias(k) for k, v in fields.items()], bits.cast("long").alias("failed_bits"))
 
-    return docs.withColumn("ledger", bind(measured, judged))
+    return docs.withColumn(into, bind(measured, judged))
 
 
-def kept_by(policy: str = DEFAULT_POLICY) -> Column:
+def kept_by(policy: str = DEFAULT_POLICY, ledger: str = "ledger") -> Column:
     """Whether a policy keeps the row, from its ledger alone."""
-    return F.col("ledger.failed_bits").bitwiseAND(F.lit(mask(policy))) == 0
+    return named(ledger)["failed_bits"].bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def apply_policy(ledgered: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+def apply_policy(ledgered: DataFrame, policy: str = DEFAULT_POLICY, ledger: str = "ledger") -> DataFrame:
     """The rows that a policy keeps, without their ledger."""
-    return ledgered.where(kept_by(policy)).drop("ledger")
+    return ledgered.where(kept_by(policy, ledger)).drop(ledger)
+
+
+def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
+    """The rows that a policy keeps; all columns pass through, one named ledger as well."""
+    judged = ledger(packed(docs, text=named(text)))
+    return judged.where(kept_by(policy)).select("row.*")
 
 
 def ablations(ledgered: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:

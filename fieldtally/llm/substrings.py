@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import packed, stored
 from .shingling import _BYTES, mix, powers
 from .suffixes import repeated_starts
 
@@ -261,25 +262,21 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     Removed is each byte covered by a string of WIDTH bytes that also starts anywhere else in the table: in another
     row, a repeated row included, or in the same text. A null text is empty, and nothing shorter than WIDTH bytes is
-    touched. Columns of the new names are replaced, others pass through. Needs doc_id and text.
+    touched. Columns of the new names are replaced, others pass through, whatever their names. Rows that repeat get
+    equal results, and an empty table gives an empty one. Needs doc_id and text.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
-    names = [c for c in docs.columns if c.lower() not in new]
-    runs = repeated_windows(docs).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_runs"))
+    runs = repeated_windows(docs).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
     runs = stored(runs, "runs")
-    both = docs.select(*names).alias("d").join(
-        runs.hint("merge").alias("r"), F.expr("cast(d.doc_id as long) <=> r.doc_id and xxhash64(d.text) = r.k"), "left"
-    )
-    sent = both.select(*[F.col(f"d.`{c}`") for c in names], F.col("r._runs.lo").alias("_lo"), F.col("r._runs.hi").alias("_hi"), F.encode("d.text", "utf-8").alias("_data"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
+    sent = packed(docs, new, doc=F.col("doc_id").cast("long"), text=F.xxhash64("text"), data=F.encode("text", "utf-8"))
+    sent = sent.join(runs.hint("merge"), F.expr("doc <=> doc_id and text = k"), "left").select("row", "runs.lo", "runs.hi", "data")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                w = len(names)
                 rows = []
-                for lo, hi, data in zip(b.column(w), b.column(w + 1), b.column(w + 2)):
+                for lo, hi, data in zip(*b.columns[1:]):
                     text = data.as_py() or b""
                     spans = removed_runs(list(zip(lo.as_py() or [], hi.as_py() or [])))
                     kept, last = [], 0
@@ -289,6 +286,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                     kept.append(text[last:])
                     rows.append((len(text), sum(e - a for a, e in spans), len(spans), b"".join(kept)))
                 made = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(b.columns[:w] + made, names + list(new))
+                yield pa.RecordBatch.from_arrays([b.column(0), *made], ["row", *new])
 
-    return sent.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    schema = StructType([sent.schema["row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_bytes binary")])
+    return sent.mapInArrow(run, schema).select("row.*", *new)
