@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,9 +38,11 @@ CHUNK = 1 << 16
 #: Bytes of results that are sent on together; a longer result alone.
 SENT = 8 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes at the beginning of pre-tokens, and how many such beginnings a worker remembers with the state behind them.
+HEAD, HEADS = 5, 50_000
 #: Pairs of tokens that a worker remembers as staying apart or not.
-PAIRS = 500_000
+PAIRS = 150_000
 
 
 def default_vocabulary() -> str:
@@ -56,28 +59,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def read_tokens(path: str) -> tuple[dict[bytes, int], dict[str, int], list[tuple[bytes, bytes]]]:
+    """Ids of tokens and of special tokens, and the merges in order, of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    alphabet = byte_alphabet()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
+    return (
+        {bytes(alphabet[c] for c in t): i for t, i in file["model"]["vocab"].items()},
+        {t["content"]: t["id"] for t in file.get("added_tokens", [])},
+        [tuple(bytes(alphabet[c] for c in part) for part in pair) for pair in pairs],
+    )
+
+
+def bytes_by_id(ids: dict[bytes, int], special: dict[str, int]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (1 + max([*ids.values(), *special.values()]))
+    for token, i in [*ids.items(), *((t.encode(), i) for t, i in special.items())]:
+        out[i] = token
+    return out
+
+
 class Vocabulary:
     """Tokens, merge ranks and special tokens of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        alphabet = byte_alphabet()
-        self.ids = {bytes(alphabet[c] for c in t): i for t, i in file["model"]["vocab"].items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
-        coded = [tuple(bytes(alphabet[c] for c in part) for part in pair) for pair in pairs]
+        self.ids, self.special, coded = read_tokens(path)
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(coded)}
         #: The merge that makes a token: rank, left and right part.
         self.made: dict[int, tuple[int, int, int]] = {}
         for (a, b), (rank, token) in self.merges.items():
             if token not in self.made or rank < self.made[token][0]:
                 self.made[token] = (rank, a, b)
-        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
-        self.bytes_of = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, i in self.ids.items():
-            self.bytes_of[i] = token
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
+        self.bytes_of = bytes_by_id(self.ids, self.special)
+        self.lengths = list(map(len, self.bytes_of))
         self.base = [self.ids[bytes([b])] for b in range(256)]
         #: The sufficient lookahead of the merge list: no token spans more bytes.
         self.lookahead = max(map(len, self.ids))
@@ -120,21 +135,38 @@ class Transducer:
         self.buffer = b""
         #: last[i] is the last token of the first i unstable bytes; last[0] the last token that is stable.
         self.last: list[int] = [-1]
+        #: States after the first HEAD bytes of a pre-token, where many begin alike.
+        self.heads: dict[bytes, tuple[int, ...]] = {}
 
     def feed(self, data: bytes) -> list[int]:
         """Ids that these bytes make stable. What is stable is looked up once the buffer holds twice the lookahead."""
         out: list[int] = []
-        step = 4 * self.v.lookahead
-        for at in range(0, len(data), step):
-            self._read(data[at : at + step])
-            if len(self.buffer) > 2 * self.v.lookahead:
+        look = self.v.lookahead
+        if not self.buffer and self.last[0] < 0 and len(data) > HEAD:
+            head, data = data[:HEAD], data[HEAD:]
+            state = self.heads.get(head)
+            if state is None:
+                self._read(head)
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[head] = tuple(self.last)
+            else:
+                self.buffer, self.last = head, [*state]
+        for at in range(0, len(data), 4 * look):
+            self._read(data[at : at + 4 * look])
+            if len(self.buffer) > 2 * look:
                 out += self._emit(self._stable())
         return out
 
     def finish(self) -> list[int]:
         """The remaining ids; the transducer is then ready for another pre-token."""
-        out = self._emit(len(self.buffer))
-        self.last = [-1]
+        last, lengths, end, out = self.last, self.v.lengths, len(self.buffer), []
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= lengths[token]
+        out.reverse()
+        self.buffer, self.last = b"", [-1]
         return out
 
     def _read(self, data: bytes) -> None:
@@ -158,7 +190,7 @@ class Transducer:
         """Boundaries from ``end`` back to 0."""
         out = [end]
         while end:
-            end -= len(self.v.bytes_of[self.last[end]])
+            end -= self.v.lengths[self.last[end]]
             out.append(end)
         return out
 
@@ -179,6 +211,11 @@ class Transducer:
         return out
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces(dict):
     """Ids of pre-tokens as little-endian 32-bit bytes: what the transducer made of each. Remembers two generations.
 
@@ -193,7 +230,7 @@ class Pieces(dict):
         packed = self.old.get(piece)
         if packed is None:
             data = piece.encode("utf-8", "replace")
-            packed = np.asarray(self.transducer.feed(data) + self.transducer.finish(), "<u4").tobytes()
+            packed = as_bytes(self.transducer.feed(data) + self.transducer.finish())
             if len(data) > self.transducer.v.lookahead:
                 return packed
         if len(self) >= REMEMBERED:
@@ -278,26 +315,29 @@ class Encoder:
         for piece, ends in self.pre_tokens(self.segments([(text, True)] if isinstance(text, str) else text)):
             if ends is not None:
                 ids = transducer.feed(piece.encode("utf-8", "replace"))
-                yield np.asarray(ids + transducer.finish() if ends else ids, "<u4").tobytes()
+                yield as_bytes(ids + transducer.finish() if ends else ids)
             elif isinstance(piece, str):
-                yield np.asarray([special[piece]], "<u4").tobytes()
+                yield as_bytes([special[piece]])
             else:
                 yield b"".join(map(look, piece))
 
-    def whole(self, text: str) -> Iterator[str]:
-        """Special tokens and pre-tokens of a text, one after the other."""
-        for segment, ends in self.segments([(text, True)]):
+    def lists(self, chunks: Iterable[tuple[str, bool]]) -> Iterator[tuple[list[str], bool]]:
+        """Pre-tokens of a text that comes in chunks, some at a time, and whether they are a special token."""
+        parts = []
+        for piece, ends in self.pre_tokens(self.segments(chunks)):
             if ends is None:
-                yield segment
+                yield (piece, False) if isinstance(piece, list) else ([piece], True)
             else:
-                for m in self.find.finditer(segment):
-                    yield m[0]
+                parts.append(piece)
+                if ends:
+                    yield ["".join(parts)], False
+                    parts = []
 
 
-def decode_stream(vocabulary: Vocabulary, packed: Iterable[bytes]) -> Iterator[str]:
-    """Text of packed ids, chunk by chunk; a broken sequence becomes U+FFFD."""
+def decode_stream(bytes_of: list[bytes], packed: Iterable[bytes]) -> Iterator[str]:
+    """Text of packed ids, chunk by chunk; a broken sequence becomes U+FFFD. ``bytes_of``: the bytes of each id."""
     machine = codecs.getincrementaldecoder("utf-8")("replace")
-    token = vocabulary.bytes_of.__getitem__
+    token = bytes_of.__getitem__
     for ids in packed:
         yield machine.decode(b"".join(map(token, np.frombuffer(ids, "<u4").tolist())))
     yield machine.decode(b"", True)
@@ -309,6 +349,12 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(Vocabulary(path or default_vocabulary()))
 
 
+@lru_cache(maxsize=2)
+def id_bytes(path: str | None) -> list[bytes]:
+    """The bytes of each token id, which is all that decoding needs."""
+    return bytes_by_id(*read_tokens(path or default_vocabulary())[:2])
+
+
 def views(array: pa.Array) -> Iterator[memoryview]:
     """The bytes of each value of a string or binary array, without a copy; none for a null."""
     large = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
@@ -391,6 +437,6 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids")
 
     def write(value):
         parts = (value[i : i + 4 * CHUNK] for i in range(0, len(value), 4 * CHUNK))
-        return (t.encode() for t in decode_stream(encoder(vocabulary).v, parts))
+        return (t.encode() for t in decode_stream(id_bytes(vocabulary), parts))
 
     return _appended(encoded, ids, write, lambda grown: [grown.array(pa.string())], [StructField("decoded", StringType())])
