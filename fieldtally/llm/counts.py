@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bpe import PRE_TOKEN_LOOKAHEAD, Encoder, encoder, text_chunks, views
+from .bpe import CHUNK, PRE_TOKEN_LOOKAHEAD, Encoder, encoder, text_chunks, views
 from .common import named, packed
 
 #: Code points that a leaf has at least, but for the last one.
@@ -174,23 +174,26 @@ class CountTree:
 def cut(e: Encoder, text: str, behind: str = "") -> list[tuple[str, int]] | None:
     """Leaves (text, tokens) of a text that begins at a pre-token boundary and is followed by ``behind``.
 
-    None if the text's end is no pre-token boundary there.
+    None if the text's end is no pre-token boundary there. A leaf also ends with what was read at once.
     """
-    special, pieces = e.v.special, e.pieces
-    out, held, size, tokens, left = [], [], 0, 0, len(text)
-    for piece in e.whole(text + behind):
-        if left <= 0:
+    whole, size = text + behind if behind else text, len(text)
+    chunks = ((whole[i : i + CHUNK], i + CHUNK >= len(whole)) for i in range(0, len(whole), CHUNK))
+    look, out, at = e.pieces.__getitem__, [], 0
+    for found, special in e.lists(chunks):
+        if at >= size:
             break
-        left -= len(piece)
-        held.append(piece)
-        size += len(piece)
-        tokens += 1 if piece in special else len(pieces[piece]) // 4
-        if size >= LEAF:
-            out.append(("".join(held), tokens))
-            held, size, tokens = [], 0, 0
-    if held:
-        out.append(("".join(held), tokens))
-    return None if left < 0 else out
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + at
+        counts = [1] if special else [len(p) // 4 for p in map(look, found)]
+        first, stop = 0, len(found)
+        if len(ends) and ends[-1] > size:
+            stop = int(np.searchsorted(ends, size)) + 1
+            if ends[stop - 1] != size:
+                return None
+        while first < stop:
+            last = min(stop - 1, int(np.searchsorted(ends, at + LEAF)))
+            out.append((whole[at : ends[last]], sum(counts[first : last + 1])))
+            first, at = last + 1, int(ends[last])
+    return out
 
 
 def _mapped(sent: DataFrame, make, fields: str) -> DataFrame:
