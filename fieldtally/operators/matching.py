@@ -153,7 +153,7 @@ def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0
 
 def candidates(pairs: DataFrame, affines: DataFrame, by: str) -> DataFrame:
     """Track pairs with shared frames, exact median distance after registration and mean confidences."""
-    p = pairs.join(F.broadcast(affines), by)
+    p = pairs.join(affines, by)
     dx = F.col("a") * F.col("xw") + F.col("b") * F.col("yw") + F.col("tx") - F.col("xt")
     dy = F.col("c") * F.col("xw") + F.col("d") * F.col("yw") + F.col("ty") - F.col("yt")
     p = p.withColumn("dist", F.sqrt(dx * dx + dy * dy))
@@ -200,6 +200,39 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((common > 0) & (total > 0), common / np.where(total > 0, total, 1), 0.0)
 
 
+def best_pairs(overlap: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """One-to-one pairs of the most and then the largest overlaps, among those of ``least`` or more.
+
+    Boxes that nothing connects do not bear on each other, so only connected groups of them are solved together.
+    """
+    rows, cols = np.nonzero(overlap >= least)
+    if not len(rows):
+        return []
+    by_row, by_col = np.bincount(rows, minlength=overlap.shape[0]), np.bincount(cols, minlength=overlap.shape[1])
+    alone = (by_row[rows] == 1) & (by_col[cols] == 1)
+    out = list(zip(rows[alone].tolist(), cols[alone].tolist()))
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    left = list(zip(rows[~alone].tolist(), cols[~alone].tolist()))
+    for i, j in left:
+        group[root(~j)] = root(i)
+    members: dict[int, tuple[set, set]] = {}
+    for i, j in left:
+        r, c = members.setdefault(root(i), (set(), set()))
+        r.add(i)
+        c.add(j)
+    for r, c in members.values():
+        r, c = sorted(r), sorted(c)
+        part = overlap[np.ix_(r, c)]
+        out += [(r[i], c[j]) for i, j in assign(np.where(part < least, 1e6, 1 - part)) if part[i, j] >= least]
+    return out
+
+
 class Tracker:
     """Tracks by overlap from frame to frame; ``max_age`` counts frames with detections that a track missed (-1: for ever)."""
 
@@ -216,10 +249,9 @@ class Tracker:
             overlap = _iou(boxes, self.boxes)
             if self.aware:
                 overlap[classes[:, None] != self.classes[None, :]] = 0.0
-            for i, j in assign(np.where(overlap < self.least, 1e6, 1 - overlap)):
-                if overlap[i, j] >= self.least:
-                    out[i], missed[j] = self.ids[j], False
-                    self.boxes[j], self.ages[j] = boxes[i], 0
+            for i, j in best_pairs(overlap, self.least):
+                out[i], missed[j] = self.ids[j], False
+                self.boxes[j], self.ages[j] = boxes[i], 0
         fresh = np.flatnonzero(out == 0)
         out[fresh] = self.next + np.arange(len(fresh))
         self.next += len(fresh)
@@ -240,11 +272,13 @@ def track(detections: DataFrame, by: list[str], **settings) -> DataFrame:
     kinds = dict(detections.dtypes)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        t, parts = Tracker(**settings), []
-        for _, f in g.sort_values(["frame", "detection_id"]).groupby("frame", sort=True):
-            ids = t.step(f[["x1", "y1", "x2", "y2"]].to_numpy(float), f["cls"].to_numpy(np.int64))
-            parts.append(f[[*by, "detection_id", "frame"]].assign(track_id=ids))
-        return pd.concat(parts)[[*by, "track_id", "detection_id", "frame"]]
+        t, g = Tracker(**settings), g.sort_values(["frame", "detection_id"])
+        frames, boxes, classes = g["frame"].to_numpy(), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["cls"].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.diff(frames)) + 1
+        ids = [t.step(b, c) for b, c in zip(np.split(boxes, cuts), np.split(classes, cuts))]
+        return g.assign(track_id=np.concatenate(ids))[[*by, "track_id", "detection_id", "frame"]]
 
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", track_id long, detection_id long, frame long"
-    return detections.groupBy(*by).applyInPandas(run, schema)
+    # by number of groups, not by bytes: a short run of boxes is long work
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return detections.repartition(parts, *by).groupBy(*by).applyInPandas(run, schema)

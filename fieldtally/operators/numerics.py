@@ -1,4 +1,4 @@
-"""Small numerical kernels on NumPy: simplex search, quasi-Newton polish, Hessians, assignment, union area."""
+"""Small numerical kernels on NumPy: simplex search, Hessians, assignment, union area."""
 
 from __future__ import annotations
 
@@ -61,39 +61,6 @@ def hessian(f, x, eps: float) -> np.ndarray:
     return out
 
 
-def polish(f, start, most: int = 500) -> tuple[np.ndarray, float]:
-    """BFGS with a backtracking line search from ``start``."""
-    x = np.asarray(start, float)
-    value, g, inverse = f(x), gradient(f, x), np.eye(len(x))
-    for _ in range(most):
-        if not np.all(np.isfinite(g)) or np.max(np.abs(g)) < 1e-7:
-            break
-        way = -inverse @ g
-        if way @ g >= 0:
-            way, inverse = -g, np.eye(len(x))
-        t = 1.0
-        while t > 1e-12 and not f(x + t * way) <= value + 1e-4 * t * (way @ g):
-            t /= 2
-        if t <= 1e-12:
-            break
-        s = t * way
-        new = gradient(f, x + s)
-        y = new - g
-        x, value, g = x + s, f(x + s), new
-        if s @ y > 1e-12:
-            rho = 1.0 / (s @ y)
-            left = np.eye(len(x)) - rho * np.outer(s, y)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-    return x, float(value)
-
-
-_gammaln = np.vectorize(math.lgamma, otypes=[float])
-
-
-def log_gamma(x) -> np.ndarray:
-    return _gammaln(x)
-
-
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one assignment of least total cost, all rows or all columns: shortest augmenting paths with potentials."""
     cost = np.asarray(cost, float)
