@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
+
 
 def merge_groups(pairs: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over pairs (a, b), by label propagation with checkpoints in between."""
@@ -22,8 +24,6 @@ def merge_groups(pairs: DataFrame) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a checkpoint in the shared folder; a temporary one only where the session names none."""
     context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp())
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

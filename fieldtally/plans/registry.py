@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import further, published, relational, scalars, surveyed, tracked
+from . import files, further, published, relational, scalars, surveyed, tracked
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = relational.Q | tracked.Q | scalars.Q | surveyed.Q | published.Q | further.Q
+_ALL = relational.Q | tracked.Q | scalars.Q | surveyed.Q | published.Q | further.Q | files.Q
 
 
 def queries() -> dict[str, Query]:

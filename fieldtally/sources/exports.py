@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -126,6 +126,11 @@ def route_kml(points: DataFrame) -> DataFrame:
     return p.select(F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><LineString><coordinates>'), c, F.lit("</coordinates></LineString></Placemark></kml>")).alias("value"))
 
 
+def world_lines(pixel: Column, left: Column, top: Column) -> Column:
+    """The six lines that place a north-up raster, as an array."""
+    return F.transform(F.array(pixel, F.lit(0.0), F.lit(0.0), -pixel, left + pixel / 2, top - pixel / 2), lambda v: F.format_string("%.10f", v))
+
+
 def world_file(pixel: float, left: float, top: float) -> str:
     """The six lines that place a north-up raster."""
     return "\n".join(f"{v:.10f}" for v in (pixel, 0.0, 0.0, -pixel, left + pixel / 2, top - pixel / 2))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LABEL_MARKER = "# labels"
 
 
+def _file() -> Column:
+    """The file that a row was read from."""
+    return F.input_file_name().alias("file")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of small text files with their file and 0-based line number."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
@@ -61,34 +66,34 @@ def tracks_csv(spark: SparkSession, path: str) -> DataFrame:
     """Pixel tracks: frame, track_id, box, confidence, class and ``interpolated`` (missing: 0)."""
     raw = spark.read.option("header", True).csv(path)
     get = lambda c, kind, default=None: (F.col(c).try_cast(kind) if c in raw.columns else F.lit(default).cast(kind)).alias(c)
-    out = raw.select(get("frame", "long"), get("track_id", "long"), *[get(c, "double") for c in ("x1", "y1", "x2", "y2")], F.coalesce(get("conf", "double"), F.lit(1.0)).alias("confidence"), get("cls", "string"), get("interpolated", "int", 0))
+    out = raw.select(_file(), get("frame", "long"), get("track_id", "long"), *[get(c, "double") for c in ("x1", "y1", "x2", "y2")], F.coalesce(get("conf", "double"), F.lit(1.0)).alias("confidence"), get("cls", "string"), get("interpolated", "int", 0))
     return out.withColumn("interpolated", F.coalesce("interpolated", F.lit(0)) == 1).where("frame is not null and track_id is not null")
 
 
 def poses_json(spark: SparkSession, path: str) -> DataFrame:
     """Frames of a poses file by their place in it: frame, imagefile, x, y, z, rotation, fovy, ts."""
     schema = "images array<struct<imagefile:string,location:array<double>,rotation:array<double>,fovy:array<double>,timestamp:string>>"
-    x = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("images").alias("frame", "i"))
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select(_file(), F.posexplode("images").alias("frame", "i"))
     xyz = [F.get("i.location", F.lit(k)).alias(c) for k, c in enumerate("xyz")]
     ts = F.coalesce(F.try_to_timestamp("i.timestamp"), F.timestamp_seconds(F.col("i.timestamp").try_cast("double")))
-    return x.select(F.col("frame").cast("long").alias("frame"), "i.imagefile", *xyz, "i.rotation", F.get("i.fovy", F.lit(0)).alias("fovy"), ts.alias("ts"))
+    return x.select("file", F.col("frame").cast("long").alias("frame"), "i.imagefile", *xyz, "i.rotation", F.get("i.fovy", F.lit(0)).alias("fovy"), ts.alias("ts"))
 
 
 def labels_json(spark: SparkSession, path: str) -> DataFrame:
     """Key frames of a labels file (track id to frame to box): label_track_id, frame, x1..y2, stop."""
     schema = "tracks map<string,struct<keyframes:map<string,struct<box:array<double>,stop:boolean>>>>"
-    x = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("tracks").alias("t", "v"))
-    x = x.select(F.col("t").try_cast("long").alias("label_track_id"), F.explode("v.keyframes").alias("f", "k"))
-    return x.select("label_track_id", F.col("f").try_cast("long").alias("frame"), *[F.get("k.box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.coalesce("k.stop", F.lit(False)).alias("stop"))
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select(_file(), F.explode("tracks").alias("t", "v"))
+    x = x.select("file", F.col("t").try_cast("long").alias("label_track_id"), F.explode("v.keyframes").alias("f", "k"))
+    return x.select("file", "label_track_id", F.col("f").try_cast("long").alias("frame"), *[F.get("k.box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.coalesce("k.stop", F.lit(False)).alias("stop"))
 
 
 def segmentation_json(spark: SparkSession, path: str) -> DataFrame:
     """Polygons of a segmentation file: frame, prompt, score, ring."""
     schema = "frames map<string,array<struct<prompt:string,predictions:array<struct<score:double,polygons:array<array<array<double>>>>>>>>"
-    x = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("frames").alias("f", "ps"))
-    x = x.select(F.col("f").try_cast("long").alias("frame"), F.explode("ps").alias("p")).select("frame", "p.prompt", F.explode("p.predictions").alias("q"))
-    x = x.select("frame", "prompt", "q.score", F.explode("q.polygons").alias("r"))
-    return x.select("frame", "prompt", "score", F.transform("r", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))).alias("ring"))
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select(_file(), F.explode("frames").alias("f", "ps"))
+    x = x.select("file", F.col("f").try_cast("long").alias("frame"), F.explode("ps").alias("p")).select("file", "frame", "p.prompt", F.explode("p.predictions").alias("q"))
+    x = x.select("file", "frame", "prompt", "q.score", F.explode("q.polygons").alias("r"))
+    return x.select("file", "frame", "prompt", "score", F.transform("r", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))).alias("ring"))
 
 
 def route_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -97,24 +102,24 @@ def route_geojson(spark: SparkSession, path: str) -> DataFrame:
     x = spark.read.schema(schema).option("multiLine", True).json(path)
     lines = F.filter("features", lambda f: f["geometry"]["type"] == "LineString")
     c = F.from_json(F.get(lines, F.lit(0))["geometry"]["coordinates"], "array<array<double>>")
-    return x.select(F.posexplode(c).alias("seq", "c")).select("seq", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
+    return x.select(_file(), F.posexplode(c).alias("seq", "c")).select("file", "seq", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
 
 
 def corrections_json(spark: SparkSession, path: str) -> DataFrame:
     """Frame ranges of a corrections file in their order, the default last (over all frames)."""
     part = "struct<translation:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double>>"
     ranges = "array<struct<start:long,end:long,translation:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double>>>"
-    x = spark.read.schema(f"default {part}, corrections {ranges}").option("multiLine", True).json(path)
-    listed = x.select(F.posexplode("corrections").alias("pos", "r"), "default")
-    own = listed.select("pos", F.col("r.start").alias("start_frame"), F.col("r.end").alias("end_frame"), F.coalesce("r.translation", "default.translation").alias("translation"), F.coalesce("r.rotation", "default.rotation").alias("rotation"))
-    last = x.select(F.lit(2**31 - 1).alias("pos"), F.lit(-(2**62)).alias("start_frame"), F.lit(2**62).alias("end_frame"), "default.translation", "default.rotation")
+    x = spark.read.schema(f"default {part}, corrections {ranges}").option("multiLine", True).json(path).select(_file(), "default", "corrections")
+    listed = x.select("file", F.posexplode("corrections").alias("pos", "r"), "default")
+    own = listed.select("file", "pos", F.col("r.start").alias("start_frame"), F.col("r.end").alias("end_frame"), F.coalesce("r.translation", "default.translation").alias("translation"), F.coalesce("r.rotation", "default.rotation").alias("rotation"))
+    last = x.select("file", F.lit(2**31 - 1).alias("pos"), F.lit(-(2**62)).alias("start_frame"), F.lit(2**62).alias("end_frame"), "default.translation", "default.rotation")
     return own.unionByName(last)
 
 
 def dem_origin(spark: SparkSession, path: str) -> DataFrame:
     """Origin of a terrain's metadata: x, y (0 where it has none)."""
     x = spark.read.schema("origin array<double>").option("multiLine", True).json(path)
-    return x.select(*[F.coalesce(F.get("origin", F.lit(k)), F.lit(0.0)).alias(c) for k, c in enumerate("xy")])
+    return x.select(_file(), *[F.coalesce(F.get("origin", F.lit(k)), F.lit(0.0)).alias(c) for k, c in enumerate("xy")])
 
 
 def flight_log(spark: SparkSession, path: str) -> DataFrame:
@@ -129,19 +134,20 @@ def flight_log(spark: SparkSession, path: str) -> DataFrame:
 
     formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss"]
     when = find("datetime", "time(utc)", "timestamp")
-    out = raw.select(find("latitude", "lat").try_cast("double").alias("lat"), find("longitude", "lon").try_cast("double").alias("lon"), F.coalesce(*[F.try_to_timestamp(when, F.lit(f)) for f in formats]).alias("ts"), find("isvideo", "isphoto", "flag").alias("flag"))
+    out = raw.select(_file(), find("latitude", "lat").try_cast("double").alias("lat"), find("longitude", "lon").try_cast("double").alias("lon"), F.coalesce(*[F.try_to_timestamp(when, F.lit(f)) for f in formats]).alias("ts"), find("isvideo", "isphoto", "flag").alias("flag"))
     return out.where("lat is not null and lon is not null and not (lat = 0 and lon = 0)")
 
 
-def gps_bounds(log: DataFrame) -> DataFrame:
-    return log.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+def gps_bounds(log: DataFrame, *by: str) -> DataFrame:
+    """Bounding box of a flight log's positions, or of each group's."""
+    return log.groupBy(*by).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
 
 
 def subtitle_hours(spark: SparkSession, path: str) -> DataFrame:
     """Local hours of day found in subtitle files."""
-    x = spark.read.text(path).select(F.regexp_extract("value", r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1).alias("t")).where("t <> ''")
+    x = spark.read.text(path).select(_file(), F.regexp_extract("value", r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1).alias("t")).where("t <> ''")
     ts = F.to_timestamp("t", "yyyy-MM-dd HH:mm:ss")
-    return x.select((F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0).alias("hour"))
+    return x.select("file", (F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0).alias("hour"))
 
 
 def required_tiles(lx: Column, ly: Column, hx: Column, hy: Column, size: int = 50_000) -> Column:
@@ -197,3 +203,10 @@ def tracklets_npz(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"file": name, "frame": f, "x1": np.nanmin(xs[:, ok], 0), "y1": np.nanmin(ys[:, ok], 0), "x2": np.nanmax(xs[:, ok], 0), "y2": np.nanmax(ys[:, ok], 0)})
 
     return files.mapInPandas(read, "file string, frame long, x1 double, y1 double, x2 double, y2 double")
+
+
+def transects_json(spark: SparkSession, path: str) -> DataFrame:
+    """Transects of a project's file: transect_id, name, first_frame, last_frame."""
+    schema = "transects array<struct<id:long,name:string,start_frame:long,end_frame:long>>"
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select(_file(), F.explode("transects").alias("t"))
+    return x.select("file", F.col("t.id").alias("transect_id"), "t.name", F.col("t.start_frame").alias("first_frame"), F.col("t.end_frame").alias("last_frame"))
