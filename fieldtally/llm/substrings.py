@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import packed, stored
+from .bpe import views
+from .common import packed, remove, stored
 from .shingling import _BYTES, mix, powers
 from .suffixes import repeated_starts
 
@@ -202,10 +203,11 @@ def _blocks(found: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, k, lo, hi): runs of window starts, ``lo`` to ``hi`` included, whose WIDTH bytes also start elsewhere."""
-    shared = _emit(docs, "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = stored(_emit(docs, "anchor whole l r doc_id k lo hi p"), "all-contexts")
+    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(shared.select("anchor"), "anchors")
-    seen = _emit(docs, "anchor whole l r doc_id k lo hi p").join(shared.hint("merge"), "anchor")
-    seen = stored(seen, "contexts")
+    seen = stored(every.join(shared.hint("merge"), "anchor"), "contexts")
+    remove(docs.sparkSession, every)
     place = F.struct("doc_id", "k", "lo", "hi", "p")
     each = seen.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.first(place).alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
     each = stored(each, "different")
@@ -268,16 +270,17 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
     runs = repeated_windows(docs).groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
     runs = stored(runs, "runs")
-    sent = packed(docs, new, doc=F.col("doc_id").cast("long"), text=F.xxhash64("text"), data=F.encode("text", "utf-8"))
-    sent = sent.join(runs.hint("merge"), F.expr("doc <=> doc_id and text = k"), "left").select("row", "runs.lo", "runs.hi", "data")
+    sent = packed(docs, new, doc=F.col("doc_id").cast("long"), h=F.xxhash64("text"))
+    sent = sent.join(runs.hint("merge"), F.expr("doc <=> doc_id and h = k"), "left").select("row", "runs.lo", "runs.hi")
+    at_text = next(i for i, f in enumerate(sent.schema["row"].dataType) if f.name.lower() == "text")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 rows = []
-                for lo, hi, data in zip(*b.columns[1:]):
-                    text = data.as_py() or b""
+                for lo, hi, data in zip(b.column(1), b.column(2), views(b.column(0).field(at_text))):
+                    text = data.tobytes()
                     spans = removed_runs(list(zip(lo.as_py() or [], hi.as_py() or [])))
                     kept, last = [], 0
                     for a, e in spans:
