@@ -148,6 +148,16 @@ def fill_only(source: DataFrame, target: DataFrame, pairs: DataFrame) -> DataFra
     return t.select("id", species.alias("species_id"), fill("sex"), fill("age"), "manual")
 
 
+def sync_report(source: DataFrame, target: DataFrame, pairs: DataFrame, source_modality: str, target_modality: str) -> DataFrame:
+    """What ``fill_only`` fills: rows, species and sexes. Refused where both sides are of one camera."""
+    if source_modality == target_modality:
+        raise ValueError("a sync needs two cameras")
+    old = target.select("id", F.col("species_id").alias("_s"), F.col("sex").alias("_x"))
+    both = fill_only(source, target, pairs).join(old, "id")
+    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return both.agg(F.lit(target_modality).alias("modality"), F.count(F.lit(1)).alias("n"), one(F.col("species_id") != F.col("_s")).alias("species_filled"), one(F.col("_x").isNull() & F.col("sex").isNotNull()).alias("sex_filled"))
+
+
 def frame_pairs(thermal: DataFrame, colour: DataFrame, frames: DataFrame) -> DataFrame:
     """All boxes of two cameras on mapped frames: frame_t, id_t, id_w and the distance of their centres."""
     t = thermal.select(F.col("frame").alias("frame_t"), F.col("id").alias("id_t"), F.col("x").alias("xt"), F.col("y").alias("yt"))

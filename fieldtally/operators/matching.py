@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import _cut
@@ -151,6 +151,18 @@ def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0
     return now.drop("live")
 
 
+def rmse(pairs: DataFrame, m: tuple[float, ...], by: str) -> DataFrame:
+    """Root mean square error and number of pairs of an affine (a, b, tx, c, d, ty) in each group."""
+    dx = m[0] * F.col("xw") + m[1] * F.col("yw") + m[2] - F.col("xt")
+    dy = m[3] * F.col("xw") + m[4] * F.col("yw") + m[5] - F.col("yt")
+    return pairs.groupBy(by).agg(F.sqrt(F.avg(dx * dx + dy * dy)).alias("rmse"), F.count(F.lit(1)).alias("pairs"))
+
+
+def inverse_scale(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Struct (x, y): how much larger a box is on the other side of an affine, by the norms of its columns."""
+    return F.struct((1 / F.sqrt(a * a + c * c)).alias("x"), (1 / F.sqrt(b * b + d * d)).alias("y"))
+
+
 def candidates(pairs: DataFrame, affines: DataFrame, by: str) -> DataFrame:
     """Track pairs with shared frames, exact median distance after registration and mean confidences."""
     p = pairs.join(affines, by)

@@ -20,6 +20,18 @@ def replace_keys(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def replace_geo(resolved: DataFrame, failed: DataFrame) -> DataFrame:
+    """State of each detection of a new run: resolved, or failed with a reason; a position wins over a failure."""
+    r = resolved.select("detection_id", F.lit("resolved").alias("state"), F.lit(None).cast("string").alias("reason"))
+    f = without(failed, resolved, "detection_id").select("detection_id", F.lit("failed").alias("state"), "reason")
+    return r.unionByName(f)
+
+
+def adopt(store: DataFrame, legacy: DataFrame, by: str) -> DataFrame:
+    """The store with legacy rows of those groups for which it has none."""
+    return store.unionByName(legacy.join(store.select(by).distinct(), by, "left_anti").select(*store.columns))
+
+
 def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key isn't in ``gone``."""
     return rows.join(gone.select(*keys).distinct(), list(keys), "left_anti")

@@ -49,6 +49,16 @@ def transect_table(transects: DataFrame, assigned: DataFrame, footprints: DataFr
     return out.select("transect_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("count", "frames", "frames_with_fov")])
 
 
+def centre_lines(positions: DataFrame, transects: DataFrame, by: str, origin: float) -> DataFrame:
+    """Points, first and last x of each transect's line: the positions (by, frame, x) in its frame range.
+
+    A flight has few transects, so they are joined by flight and cut by range.
+    """
+    inside = transects.join(positions, by).where("frame between first_frame and last_frame")
+    x = F.col("x") + origin
+    return inside.groupBy(by, "transect_id").agg(F.count(F.lit(1)).alias("points"), F.min_by(x, "frame").alias("first_x"), F.max_by(x, "frame").alias("last_x"))
+
+
 def voted(predictions: DataFrame, quorum: float = 0.5) -> DataFrame:
     """Class of each track by stages: species first, then sex and age among tracks of a voted species."""
     from .tracks import quorum_vote

@@ -67,6 +67,18 @@ def path_lengths(poses: DataFrame, by: list[str] | None = None) -> DataFrame:
     return poses.withColumn("last", last).withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("cum", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("last", "step")
 
 
+def path_between(lengths: DataFrame, pairs: DataFrame, by: str) -> DataFrame:
+    """Length of the path between two frames (by, a, b) of ``path_lengths``, in either order: ``length_m``."""
+    at = lambda c: lengths.select(by, F.col("frame").alias(c), F.col("cum").alias(f"_{c}"))
+    return pairs.join(at("a"), [by, "a"]).join(at("b"), [by, "b"]).select(by, "a", "b", F.abs(F.col("_a") - F.col("_b")).alias("length_m"))
+
+
+def cohort_ratio(areas: DataFrame, by: str) -> DataFrame:
+    """Areas with their ratio to the median of their cohort."""
+    middle = areas.groupBy(by).agg(F.expr("percentile(area, 0.5)").alias("_m"))
+    return areas.join(middle, by).withColumn("ratio", F.try_divide(F.col("area"), F.col("_m"))).drop("_m")
+
+
 def last_box(rows: DataFrame, track: str = "track_id") -> DataFrame:
     """The row of each track's last frame, the first one by detection_id."""
     others = [c for c in rows.columns if c != track]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -119,11 +119,18 @@ def route_line(poses: DataFrame) -> DataFrame:
     return p.select(F.size("p").cast("long").alias("points"), F.to_json(F.struct(F.lit("LineString").alias("type"), c.alias("coordinates"))).alias("value"))
 
 
-def route_kml(points: DataFrame) -> DataFrame:
-    """KML text of an ordered route (seq, lon, lat)."""
-    p = points.agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("p"))
+def split_plan(features: DataFrame, by: str, order: str) -> DataFrame:
+    """Features (name) of a flight plan as ``kind`` route or transect; transects are numbered from 1 in order."""
+    route = F.lower("name").startswith("total")
+    number = F.row_number().over(Window.partitionBy(by, route).orderBy(order))
+    return features.withColumn("kind", F.when(route, "route").otherwise("transect")).withColumn("number", F.when(route, 0).otherwise(number).cast("long"))
+
+
+def route_kml(points: DataFrame, *by: str) -> DataFrame:
+    """KML text of each ordered route (seq, lon, lat)."""
+    p = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("p"))
     c = F.array_join(F.transform("p", lambda q: F.concat_ws(",", q["lon"].cast("string"), q["lat"].cast("string"), F.lit("0"))), " ")
-    return p.select(F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><LineString><coordinates>'), c, F.lit("</coordinates></LineString></Placemark></kml>")).alias("value"))
+    return p.select(*by, F.size("p").cast("long").alias("points"), F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><LineString><coordinates>'), c, F.lit("</coordinates></LineString></Placemark></kml>")).alias("value"))
 
 
 def world_lines(pixel: Column, left: Column, top: Column) -> Column:
