@@ -86,25 +86,21 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, cell:
     return best.select("id", "b.seg_id", F.col("b.d").alias("distance"), F.col("b.fx").alias("foot_x"), F.col("b.fy").alias("foot_y"), F.col("b.t").alias("t"))
 
 
-def assign_transects(tracks: DataFrame, centre_lines: DataFrame, areas: DataFrame, truncation: float | None) -> DataFrame:
+def assign_transects(tracks: DataFrame, centre_lines: DataFrame, areas: DataFrame, truncation: float | None, cell: float = 100.0) -> DataFrame:
     """Tracks (id, x, y) to the nearest centre line (transect_id, ax, ay, bx, by_) among the transects whose area holds them.
 
     areas: transect_id and an axis-parallel box lx, ly, hx, hy (bounds included). Returns id, transect_id, distance,
-    outside (in no area) and truncated (nearest, but too far: transect_id is null). Lowest transect_id on a tie.
-    Boxes and lines are a project's transects: a bounded list, joined by condition against the tracks.
+    outside (in no area) and truncated (nearest, but too far: transect_id is null). Lowest transect_id on a tie. Areas are
+    entered into the grid cells that they touch, tracks are looked up in their own.
     """
-    a = areas.join(centre_lines, "transect_id")
-    listed = a.agg(F.collect_list(F.struct("transect_id", "lx", "ly", "hx", "hy", "ax", "ay", "bx", "by_")).alias("l")).scalar()
-
-    def candidate(r: Column) -> Column:
-        f = foot(F.col("x"), F.col("y"), r["ax"], r["ay"], r["bx"], r["by_"])
-        return F.struct(f["d"].alias("d"), r["transect_id"].alias("transect_id"))
-
-    tracks = tracks.withColumn("_areas", listed)
-    held = F.filter("_areas", lambda r: (F.col("x") >= r["lx"]) & (F.col("x") <= r["hx"]) & (F.col("y") >= r["ly"]) & (F.col("y") <= r["hy"]))
-    best = tracks.withColumn("b", F.array_min(F.transform(held, candidate)))
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+    a = areas.where("lx <= hx and ly <= hy").join(centre_lines, "transect_id").withColumn("cx", F.explode(span("lx", "hx"))).withColumn("cy", F.explode(span("ly", "hy")))
+    own = tracks.select("id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    held = own.join(a, ["cx", "cy"]).where("x between lx and hx and y between ly and hy")
+    f = foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))
+    best = held.groupBy("id").agg(F.min(F.struct(f["d"].alias("d"), "transect_id")).alias("b"))
     far = F.col("b.d") > truncation if truncation is not None else F.lit(False)
-    return best.select(
+    return tracks.select("id").join(best, "id", "left").select(
         "id", F.when(~far, F.col("b.transect_id")).alias("transect_id"), F.col("b.d").alias("distance"),
         F.col("b").isNull().alias("outside"), F.coalesce(far, F.lit(False)).alias("truncated"),
     )

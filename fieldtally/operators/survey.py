@@ -24,21 +24,20 @@ def perpendicular(points: DataFrame, segments: DataFrame, reach: float) -> DataF
     return both.withColumn("f", f).select("id", "seg_id", F.col("f.d").alias("distance_m"), F.col("f.t").alias("t"))
 
 
-def visible_perpendicular(points: DataFrame, segments: DataFrame) -> DataFrame:
+def visible_perpendicular(points: DataFrame, segments: DataFrame, cell: float = 50.0) -> DataFrame:
     """As ``perpendicular``, but over the segments that a point's footprint (ring) sees: an interior foot first, else any seen segment.
 
-    points: id, x, y, ring and ``segs``, the candidate segments near it as an array of structs.
+    points: id, x, y, ring. Footprints and segments are entered into the grid cells that their boxes touch and meet there.
     """
-
-    def ranked(s: Column) -> Column:
-        f = foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by_"], clamp=False)
-        a, b = F.struct(s["ax"].alias("x"), s["ay"].alias("y")), F.struct(s["bx"].alias("x"), s["by_"].alias("y"))
-        seen = geometry.segment_touches(a, b, F.col("ring"))
-        return F.struct((~seen).cast("int").alias("hidden"), (~f["t"].between(0, 1)).cast("int").alias("outside"), f["d"].alias("d"), s["seg_id"].alias("seg_id"))
-
-    listed = segments.agg(F.collect_list(F.struct("seg_id", "ax", "ay", "bx", "by_")).alias("s")).scalar()
-    best = points.withColumn("_s", listed).withColumn("_b", F.array_min(F.transform("_s", ranked)))
-    return best.where("_b.hidden = 0").select("id", F.col("_b.seg_id").alias("seg_id"), F.col("_b.d").alias("distance_m"), (F.col("_b.outside") == 0).alias("interior"))
+    span = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
+    edge = lambda c, f: f(F.transform("ring", lambda p: p[c]))
+    p = points.withColumn("cx", F.explode(span(edge("x", F.array_min), edge("x", F.array_max)))).withColumn("cy", F.explode(span(edge("y", F.array_min), edge("y", F.array_max))))
+    s = segments.withColumn("cx", F.explode(span(F.least("ax", "bx"), F.greatest("ax", "bx")))).withColumn("cy", F.explode(span(F.least("ay", "by_"), F.greatest("ay", "by_"))))
+    f = foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"), clamp=False)
+    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by_").alias("y"))
+    near = p.join(s, ["cx", "cy"]).where(geometry.segment_touches(a, b, F.col("ring"))).withColumn("f", f)
+    best = near.groupBy("id").agg(F.min(F.struct((~F.col("f.t").between(0, 1)).cast("int").alias("outside"), F.col("f.d").alias("d"), "seg_id")).alias("b"))
+    return best.select("id", "b.seg_id", F.col("b.d").alias("distance_m"), (F.col("b.outside") == 0).alias("interior"))
 
 
 def transect_table(transects: DataFrame, assigned: DataFrame, footprints: DataFrame) -> DataFrame:

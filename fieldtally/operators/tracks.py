@@ -73,6 +73,18 @@ def path_between(lengths: DataFrame, pairs: DataFrame, by: str) -> DataFrame:
     return pairs.join(at("a"), [by, "a"]).join(at("b"), [by, "b"]).select(by, "a", "b", F.abs(F.col("_a") - F.col("_b")).alias("length_m"))
 
 
+def frame_reached(lengths: DataFrame, targets: DataFrame, by: str) -> DataFrame:
+    """targets (by, start, target) with ``reached``: the first frame from start on at which the path is that long.
+
+    Lengths never fall along a path, so that the next length in order belongs to the first such frame: a union and one
+    window by path, no pair of rows.
+    """
+    both = lengths.select(by, F.col("cum").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), "frame")
+    both = both.unionByName(targets.select(by, F.col("target").alias("at"), F.lit(0).alias("kind"), "start", F.lit(None).cast("long").alias("frame")))
+    w = Window.partitionBy(by).orderBy("at", "kind", "frame").rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn("reached", F.first("frame", True).over(w)).where("kind = 0").select(by, "start", F.col("at").alias("target"), "reached")
+
+
 def cohort_ratio(areas: DataFrame, by: str) -> DataFrame:
     """Areas with their ratio to the median of their cohort."""
     middle = areas.groupBy(by).agg(F.expr("percentile(area, 0.5)").alias("_m"))

@@ -81,16 +81,17 @@ def keyframes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(200).selectExpr(
-        "id as frame",
+    """One pose for each flight and frame."""
+    return detections(spark, sf).selectExpr("flight_id", "frame as id").distinct().selectExpr(
+        "flight_id", "id as frame",
         "case when id % 37 = 0 then null when (id div 20) % 2 = 0 then cast((id % 20) * 10 as double) else cast(190 - (id % 20) * 10 as double) end as x",
         "case when id % 37 = 0 then null else cast((id div 20) * 50 as double) end as y", "100D as z",
     )
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Centre lines of ten transects: one segment each, the third one reversed."""
-    return spark.range(1, 11).selectExpr(
+    """Centre lines: one segment for every twenty frames of the survey, the third one reversed."""
+    return detections(spark, sf).selectExpr("frame div 20 + 1 as id").distinct().selectExpr(
         "id as transect_id", "0 as seq", "case when id = 3 then 190D else 0D end as ax", "cast((id - 1) * 50 as double) as ay",
         "case when id = 3 then 0D else 190D end as bx", "cast((id - 1) * 50 as double) as by_",
     )
@@ -123,8 +124,8 @@ CTE = ",\n".join([
     "tracks as (select distinct track_id, track_id % 10 as run_id, case when track_id // 10 % 4 = 3 then -2 else track_id // 10 % 4 end as species_id from members)",
     "label_tracks as (select track_id // 10 as label_track_id, track_id as origin_track_id, case when track_id // 10 % 10 = 0 then null else track_id + 1 end as track_id, 4::bigint as species_id from tracks where run_id = 2 and track_id // 10 % 5 = 0)",
     "keyframes as (select label_track_id, frame, x1, y1, x2, y2, stop from (select flight_id*15+obj as label_track_id, frame, x1, y1, x2, y2, detection_id % 5 = 0 as stop, row_number() over (partition by flight_id*15+obj, frame order by detection_id) as r from det where detection_id % 7 = 0) where r = 1)",
-    "poses as (select i as frame, case when i % 37 = 0 then null when (i // 20) % 2 = 0 then ((i % 20) * 10)::double else (190 - (i % 20) * 10)::double end as x, case when i % 37 = 0 then null else ((i // 20) * 50)::double end as y, 100::double as z from range(200) r(i))",
-    "lines as (select i as transect_id, 0 as seq, case when i = 3 then 190::double else 0::double end as ax, ((i-1)*50)::double as ay, case when i = 3 then 0::double else 190::double end as bx, ((i-1)*50)::double as by_ from range(1,11) r(i))",
+    "poses as (select flight_id, i as frame, case when i % 37 = 0 then null when (i // 20) % 2 = 0 then ((i % 20) * 10)::double else (190 - (i % 20) * 10)::double end as x, case when i % 37 = 0 then null else ((i // 20) * 50)::double end as y, 100::double as z from (select distinct flight_id, frame as i from det))",
+    "lines as (select i as transect_id, 0 as seq, case when i = 3 then 190::double else 0::double end as ax, ((i-1)*50)::double as ay, case when i = 3 then 0::double else 190::double end as bx, ((i-1)*50)::double as by_ from (select distinct frame // 20 + 1 as i from det))",
     "predictions as (select detection_id, flight_id*15+obj as track_id, (detection_id+obj) % 3 as class_index, (['roe deer','red deer','chamois'])[((detection_id+obj) % 3 + 1)::int] as label from det)",
     "corrections as (select * from (values (0,10::bigint,100::bigint,1.0::double,2.0::double),(1,50,300,null,5.0),(2,200,210,7.0,7.0)) v(pos,start_frame,end_frame,tx,rz))",
 ])

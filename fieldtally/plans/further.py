@@ -20,37 +20,25 @@ def query(text: str | None = None):
     return put
 
 
-PERP = "with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y, (detection_id % 180)::double as cx, (detection_id % 450)::double as cy from det where detection_id % 11 = 0), c as (select id, transect_id, sqrt((cx - greatest(0, least(190, cx)))^2 + (cy - ay)^2) as d, row_number() over (partition by id order by sqrt((cx - greatest(0, least(190, cx)))^2 + (cy - ay)^2), transect_id) as r from p, lines)"
+PERP = "with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y, (detection_id % 180)::double as cx, (detection_id % 450)::double as cy from det), c as (select id, transect_id, sqrt((cx - greatest(0, least(190, cx)))^2 + (cy - ay)^2) as d, row_number() over (partition by id order by sqrt((cx - greatest(0, least(190, cx)))^2 + (cy - ay)^2), transect_id) as r from p, lines)"
 
 
 @query(PERP + " select p.id, c.transect_id as seg_id, round(abs(p.y - l.ay), 6) as distance_m from c join p using (id) join lines l using (transect_id) where r = 1 and d <= 80")
-def j24_perpendicular(spark, sf, where="detection_id % 11 = 0"):
-    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y", "cast(detection_id % 180 as double) as cam_x", "cast(detection_id % 450 as double) as cam_y")
+def j24_perpendicular(spark, sf):
+    p = d.detections(spark, sf).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y", "cast(detection_id % 180 as double) as cam_x", "cast(detection_id % 450 as double) as cam_y")
     r = survey.perpendicular(p, d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq"), 80.0)
     return r.select("id", "seg_id", F.round("distance_m", 6).alias("distance_m"))
 
 
-@query()
-def j24_perpendicular_all(spark, sf):
-    """The same for every detection."""
-    return j24_perpendicular(spark, sf, "true")
-
-
-@query("with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y from det where detection_id % 11 = 0), s as (select id, x, transect_id, abs(y - ay) as d, row_number() over (partition by id order by (x < 0 or x > 190)::int, abs(y - ay), transect_id) as r from p, lines where ay > y - 40 and ay < y + 40 and x + 50 > 0 and x - 50 < 190) select id, transect_id as seg_id, round(d, 6) as distance_m, x between 0 and 190 as interior from s where r = 1")
-def j25_visible_segments(spark, sf, where="detection_id % 11 = 0"):
-    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+@query("with p as (select detection_id as id, (x1+x2)/2/4 as x, (y1+y2)/2 as y from det), s as (select id, x, transect_id, abs(y - ay) as d, row_number() over (partition by id order by (x < 0 or x > 190)::int, abs(y - ay), transect_id) as r from p, lines where ay > y - 40 and ay < y + 40 and x + 50 > 0 and x - 50 < 190) select id, transect_id as seg_id, round(d, 6) as distance_m, x between 0 and 190 as interior from s where r = 1")
+def j25_visible_segments(spark, sf):
+    p = d.detections(spark, sf).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     c = lambda i, j: F.struct((F.col("x") + 50 * i).alias("x"), (F.col("y") + 40 * j).alias("y"))
     p = p.withColumn("ring", F.array(c(-1, -1), c(1, -1), c(1, 1), c(-1, 1)))
     r = survey.visible_perpendicular(p, d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq"))
     return r.withColumn("distance_m", F.round("distance_m", 6))
 
 
-@query()
-def j25_visible_segments_all(spark, sf):
-    """The same for every detection."""
-    return j25_visible_segments(spark, sf, "true")
-
-
 @query("select l.transect_id, coalesce(n, 0) as count, coalesce(f, 0) as frames, coalesce(s, 0) as frames_with_fov from lines l left join (select obj + 1 as transect_id, count(*) as n from det where obj < 6 group by 1) a using (transect_id) left join (select frame // 20 + 1 as transect_id, count(*) as f, count(x) as s from poses group by 1) p using (transect_id)")
 def a17_transect_table(spark, sf):
     a = d.detections(spark, sf).where("obj < 6").select((F.col("obj") + 1).alias("transect_id"))
@@ -113,9 +101,9 @@ def u3_vocabulary_sets(spark, sf):
     return a.intersect(b).withColumn("where_", F.lit("both")).unionByName(a.subtract(b).withColumn("where_", F.lit("first")))
 
 
-@query("select event_id as detection_id from events where event_id % 2 = 0 and event_id < 600 except select vec_id from embeddings")
+@query("select event_id as detection_id from events where event_id % 2 = 0 except select vec_id from embeddings")
 def u5_vanished_vectors(spark, sf):
-    recorded = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 2 = 0 and event_id < 600").select(F.col("event_id").alias("detection_id"))
+    recorded = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 2 = 0").select(F.col("event_id").alias("detection_id"))
     return recorded.subtract(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id"))
 
 
@@ -125,9 +113,12 @@ def w13_running_index(spark, sf):
     return tracks.running_index(g, ["frame", "detection_id"], ["flight_id"]).select("detection_id", F.col("idx").cast("long").alias("idx"))
 
 
-@query()
+SPLIT = "with n as (select *, lead(frame) over w as nf, lead(x1) over w as nx1 from keyframes window w as (partition by label_track_id order by frame)), c as (select case when frame = 20 then x1 else x1 + (nx1 - x1) * (20 - frame) / (nf - frame) end as x1 from n where label_track_id = 1 and (frame = 20 or (not stop and frame < 20 and nf > 20)))"
+
+
+@query(SPLIT + " select label_track_id, frame, x1, stop from keyframes where label_track_id <> 1 or frame < 20 union all select 9001, frame, x1, stop from keyframes where label_track_id = 1 and frame > 20 union all select 1, 20, x1, true from c union all select 9001, 20, x1, false from c")
 def w15_split_track(spark, sf):
-    return tracks.split_track(d.keyframes(spark, sf), 1, 20, 9001).where("label_track_id in (1, 9001)")
+    return tracks.split_track(d.keyframes(spark, sf), 1, 20, 9001).select("label_track_id", "frame", "x1", "stop")
 
 
 @query("select detection_id, unnest(list_distinct(list_concat(range(frame + 3, frame + (detection_id % 9) + 1, 3), [frame + detection_id % 9]))) as f from det")
@@ -136,7 +127,11 @@ def w18_propagation_frames(spark, sf):
     return x.select("detection_id", F.explode(survey.propagation_frames(F.col("frame"), F.col("frame") + F.col("detection_id") % 9, 3)).alias("f"))
 
 
-@query()
+# slopes of the curve through (0, 0), (0.25, 0.4), (0.5, 0.5), (1, 1), by harmonic means of the rises 1.6, 0.4 and 1
+TONE = "with v as (select detection_id, least(1.0::double, detection_id % 120 / 100.0::double) as v from det), s as (select *, case when v < 0.25 then 0.0::double when v < 0.5 then 0.25 else 0.5 end as a, case when v < 0.5 then 0.25::double else 0.5 end as h, case when v < 0.25 then 0.0::double when v < 0.5 then 0.4 else 0.5 end as y0, case when v < 0.25 then 0.4::double when v < 0.5 then 0.5 else 1.0 end as y1, case when v < 0.25 then 1.6::double when v < 0.5 then 1.5::double / (0.75::double / 1.6 + 0.75::double / 0.4) else 2.25::double / (1.25::double / 0.4 + 1) end as m0, case when v < 0.25 then 1.5::double / (0.75::double / 1.6 + 0.75::double / 0.4) when v < 0.5 then 2.25::double / (1.25::double / 0.4 + 1) else 1.0 end as m1 from v), t as (select *, (v - a) / h as t from s)"
+
+
+@query(TONE + " select detection_id, round((1 + 2 * t) * (1 - t) * (1 - t) * y0 + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1, 6) as v from t")
 def m25_tone_curve(spark, sf):
     v = F.col("detection_id") % 120 / 100.0
     return d.detections(spark, sf).select("detection_id", F.round(survey.tone_curve([(0.0, 0.0), (0.25, 0.4), (0.5, 0.5), (1.0, 1.0)], v), 6).alias("v"))
@@ -154,11 +149,11 @@ def k9_replace_task(spark, sf):
     return mutate.replace_where(old, x.where("detection_id % 7 = 0").selectExpr("detection_id", "'sex' as task", "'female' as label"), "task", "sex")
 
 
-@query("select event_id as detection_id, event_id % 2 as run_id from events where event_id < 50 union select event_id, 1 from events where event_id between 40 and 60 except select event_id, event_id % 2 from events where event_id % 10 = 3")
+@query("select event_id as detection_id, event_id % 2 as run_id from events union select event_id, 1 from events where event_id % 3 = 0 except select event_id, event_id % 2 from events where event_id % 10 = 3")
 def k8_membership(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    old = e.where("event_id < 50").selectExpr("event_id as detection_id", "event_id % 2 as run_id")
-    added = old.unionByName(e.where("event_id between 40 and 60").selectExpr("event_id as detection_id", "1L as run_id")).distinct()
+    old = e.selectExpr("event_id as detection_id", "event_id % 2 as run_id")
+    added = old.unionByName(e.where("event_id % 3 = 0").selectExpr("event_id as detection_id", "1L as run_id")).distinct()
     return mutate.without(added, e.where("event_id % 10 = 3").selectExpr("event_id as detection_id", "event_id % 2 as run_id"), "detection_id", "run_id")
 
 

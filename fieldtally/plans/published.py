@@ -91,9 +91,9 @@ def e11_labels_csv(spark, sf):
     return c.groupBy("label_track_id").agg(F.count(F.lit(1)).alias("boxes"), F.sum(F.substring_index("value", ",", -1).cast("long")).alias("keys"))
 
 
-@query("select count(*) as points from poses where x is not null and not (x = 0 and y = 0)")
+@query("select flight_id, count(*) as points from poses where x is not null and not (x = 0 and y = 0) group by 1")
 def e12_flight_route(spark, sf):
-    return exports.route_line(d.poses(spark, sf)).select("points")
+    return exports.route_line(d.poses(spark, sf), "flight_id").select("flight_id", "points")
 
 
 @query("select time_bucket(interval 10 minute, ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")

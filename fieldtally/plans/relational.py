@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, mutate, select, tracks
@@ -133,11 +134,11 @@ def j21_matched_features(spark, sf):
     return both.select("pair", F.when(F.col("thermal").isNull(), "rgb").otherwise("both").alias("kind"), F.size("v").cast("long").alias("dims"), F.round(total, 4).alias("total"))
 
 
-@query("select det.frame, coalesce('IMG_' || p.frame || '.jpg', printf('frame_%06d.jpg', det.frame)) as image, count(*) as n from det left join (select frame from poses where x is not null) p using (frame) group by all")
+@query("select flight_id, det.frame, coalesce('IMG_' || p.frame || '.jpg', printf('frame_%06d.jpg', det.frame)) as image, count(*) as n from det left join (select flight_id, frame from poses where x is not null) p using (flight_id, frame) group by all")
 def j28_frame_images(spark, sf):
-    p = d.poses(spark, sf).where("x is not null").select("frame", F.concat(F.lit("IMG_"), F.col("frame").cast("string"), F.lit(".jpg")).alias("file"))
-    r = d.detections(spark, sf).join(F.broadcast(p), "frame", "left")
-    return r.groupBy("frame", F.coalesce("file", F.format_string("frame_%06d.jpg", "frame")).alias("image")).agg(F.count(F.lit(1)).alias("n"))
+    p = d.poses(spark, sf).where("x is not null").select("flight_id", "frame", F.concat(F.lit("IMG_"), F.col("frame").cast("string"), F.lit(".jpg")).alias("file"))
+    r = d.detections(spark, sf).join(p, ["flight_id", "frame"], "left")
+    return r.groupBy("flight_id", "frame", F.coalesce("file", F.format_string("frame_%06d.jpg", "frame")).alias("image")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select n.name, species_id from (values ('fox'), ('lynx'), ('hare')) n(name) left join species using (name)")
@@ -241,11 +242,12 @@ def k4_append_track_run(spark, sf):
     return mutate.rekey_tracks(m, 1000)
 
 
-@query("with old as (select frame, 0 as v from range(0, 50) r(frame)), new as (select frame, frame as v from range(40, 60) r(frame)) select frame, v, frame % 7 = 0 as empty from new where frame % 7 <> 0 union all select frame, v, false from old where frame not in (select frame from new)")
+@query("with old as (select distinct flight_id, frame, 0 as v from det where frame % 4 <> 3), new as (select distinct flight_id, frame, frame as v from det where frame % 5 < 2) select flight_id, frame, v, false as empty from new where frame % 7 <> 0 union all select flight_id, frame, v, false from old where (flight_id, frame) not in (select (flight_id, frame) from new)")
 def k5_replace_frames(spark, sf):
-    old = spark.range(50).selectExpr("id as frame", "0L as v", "false as empty")
-    new = spark.range(40, 60).selectExpr("id as frame", "id as v", "id % 7 = 0 as empty")
-    return mutate.replace_keys(old, new, "frame").where("not empty")
+    f = d.detections(spark, sf).select("flight_id", "frame").distinct()
+    old = f.where("frame % 4 <> 3").selectExpr("flight_id", "frame", "0L as v", "false as empty")
+    new = f.where("frame % 5 < 2").selectExpr("flight_id", "frame", "frame as v", "frame % 7 = 0 as empty")
+    return mutate.replace_keys(old, new, "flight_id", "frame").where("not empty")
 
 
 @query("with old as (select * from keyframes where frame % 3 <> 0), new as (select label_track_id, frame, case when frame % 4 = 0 then x1 + 1 else x1 end as x1, y1, x2, y2 from keyframes where frame % 5 <> 0) select coalesce(o.label_track_id, n.label_track_id) as label_track_id, case when o.frame is null then 'added' when n.frame is null then 'removed' when abs(o.x1 - n.x1) > 1e-6 or abs(o.y1 - n.y1) > 1e-6 or abs(o.x2 - n.x2) > 1e-6 or abs(o.y2 - n.y2) > 1e-6 then 'moved' else 'kept' end as change, count(*) as n from old o full join new n on o.label_track_id = n.label_track_id and o.frame = n.frame group by all")
@@ -305,9 +307,10 @@ def r7_parity_check(spark, sf):
 
 @query("select a.track_id as track_id, count(*) as others from members a join det da using (detection_id) join members b on true join det db on b.detection_id = db.detection_id and da.frame = db.frame and da.modality = db.modality where a.track_id <> b.track_id and a.track_id % 10 = 2 and b.track_id % 10 = 2 group by 1")
 def r18_other_boxes_on_frame(spark, sf):
-    m = d.members(spark, sf).where("track_id % 10 = 2").join(d.detections(spark, sf), "detection_id").select("track_id", "frame", "modality")
-    b = m.select(F.col("track_id").alias("other"), "frame", "modality")
-    return m.join(b, ["frame", "modality"]).where("track_id <> other").groupBy("track_id").agg(F.count(F.lit(1)).alias("others"))
+    m = d.members(spark, sf).where("track_id % 10 = 2").join(d.detections(spark, sf), "detection_id")
+    own = m.groupBy("track_id", "frame", "modality").agg(F.count(F.lit(1)).alias("own"))
+    own = own.withColumn("n", F.sum("own").over(Window.partitionBy("frame", "modality")))
+    return own.groupBy("track_id").agg(F.sum(F.col("own") * (F.col("n") - F.col("own"))).alias("others")).where("others > 0")
 
 
 @query("select frame, cast(count(*) as bigint) as boxes, min(x1) as left_most from det group by frame order by frame")

@@ -79,9 +79,9 @@ def w16_tracker(spark, sf):
     return matching.track(x, ["flight_id", "modality"])
 
 
-@query("with recursive e as (select obj as a, (obj * 7 + 3) % 60 as b from range(60) r(obj) where obj % 3 = 0), s as (select a, b from e union select b, a from e), r as (select a as node, a as root from s union select s.b, r.root from r join s on s.a = r.node) select node, min(root) as root from r group by node")
+@query("with recursive e as (select event_id as a, event_id + 3 as b from events where event_id % 3 = 0 and event_id % 12 <> 9), s as (select a, b from e union select b, a from e), r as (select a as node, a as root from s union select s.b, r.root from r join s on s.a = r.node) select node, min(root) as root from r group by node")
 def u7_merge_groups(spark, sf):
-    pairs = spark.range(60).where("id % 3 = 0").selectExpr("id as a", "(id * 7 + 3) % 60 as b")
+    pairs = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 3 = 0 and event_id % 12 <> 9").selectExpr("event_id as a", "event_id + 3 as b")
     return graphs.merge_groups(pairs)
 
 
@@ -120,9 +120,9 @@ def g1_distance_sampling(spark, sf):
     return r.select("modality", "model", "n", *[F.round(c, 4).alias(c) for c in ("w", "sigma", "esw", "p", "density_ha", "low", "high")])
 
 
-@query("select frame // 20 as transect_id, round(sum(case when nxt is null then 900 else 900 - greatest(0, 30 - abs(nxt - x)) * 30 end), 4) as area from (select frame, x, lead(x) over (partition by frame // 20 order by x) as nxt from poses where x is not null) group by 1")
+@query("select flight_id * 1000000 + frame // 20 as transect_id, round(sum(case when nxt is null then 900 else 900 - greatest(0, 30 - abs(nxt - x)) * 30 end), 4) as area from (select flight_id, frame, x, lead(x) over (partition by flight_id, frame // 20 order by x) as nxt from poses where x is not null) group by 1")
 def a26_union_area(spark, sf):
     pt = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
     ring = F.array(pt(-15.0, -15.0), pt(15.0, -15.0), pt(15.0, 15.0), pt(-15.0, 15.0))
-    f = d.poses(spark, sf).where("x is not null").withColumn("ring", ring).withColumn("transect_id", F.expr("frame div 20"))
+    f = d.poses(spark, sf).where("x is not null").withColumn("ring", ring).withColumn("transect_id", F.expr("flight_id * 1000000 + frame div 20"))
     return statistics.union_areas(f, "transect_id").withColumn("area", F.round("area", 4))

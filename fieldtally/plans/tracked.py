@@ -44,19 +44,20 @@ def w2_keyframe_boxes(spark, sf):
     return tracks.between_keyframes(d.keyframes(spark, sf)).select("label_track_id", "frame", F.round("x1", 6).alias("x1"), "is_key")
 
 
-@query("with s as (select frame, x, y, last_value(x ignore nulls) over w as px, last_value(y ignore nulls) over w as py from poses window w as (order by frame rows between unbounded preceding and 1 preceding)) select frame, round(sum(coalesce(sqrt((x-px)*(x-px) + (y-py)*(y-py)), 0)) over (order by frame), 4) as cum from s")
+STEPS = "with s as (select flight_id, frame, x, y, last_value(x ignore nulls) over w as px, last_value(y ignore nulls) over w as py from poses window w as (partition by flight_id order by frame rows between unbounded preceding and 1 preceding)), c as (select flight_id, frame, sum(coalesce(sqrt((x-px)*(x-px) + (y-py)*(y-py)), 0)) over (partition by flight_id order by frame) as cum from s)"
+
+
+@query(STEPS + " select flight_id, frame, round(cum, 4) as cum from c")
 def w3_path_length(spark, sf):
-    return tracks.path_lengths(d.poses(spark, sf)).select("frame", F.round("cum", 4).alias("cum"))
+    return tracks.path_lengths(d.poses(spark, sf), ["flight_id"]).select("flight_id", "frame", F.round("cum", 4).alias("cum"))
 
 
-@query("with s as (select frame, x, y, last_value(x ignore nulls) over w as px, last_value(y ignore nulls) over w as py from poses window w as (order by frame rows between unbounded preceding and 1 preceding)), c as (select frame, sum(coalesce(sqrt((x-px)*(x-px) + (y-py)*(y-py)), 0)) over (order by frame) as cum from s), q as (select unnest([10, 60, 150]) as start, unnest([100.0::double, 333.0, 50.0]) as m) select start, round(abs((select cum from c where frame = start + 40) - (select cum from c where frame = start)), 4) as length_40, (select min(c.frame) from c where c.frame >= start and cum >= (select cum from c c2 where c2.frame = start) + m) as reached from q")
+@query(STEPS + ", q as (select flight_id, frame as start, cum + 100 as target from c where frame % 10 = 0) select q.flight_id, start, min(c.frame) as reached from q left join c on c.flight_id = q.flight_id and c.frame >= start and cum >= target group by 1, 2")
 def w5_frame_at_distance(spark, sf):
-    c = tracks.path_lengths(d.poses(spark, sf)).select("frame", "cum")
-    q = spark.createDataFrame([(10, 100.0), (60, 333.0), (150, 50.0)], "start long, m double")
-    q = q.join(c.select(F.col("frame").alias("start"), F.col("cum").alias("c0")), "start")
-    length = q.join(c.select((F.col("frame") - 40).alias("start"), F.col("cum").alias("c40")), "start").select("start", "c0", "m", F.round(F.abs(F.col("c40") - F.col("c0")), 4).alias("length_40"))
-    hit = length.join(F.broadcast(c), (F.col("frame") >= F.col("start")) & (F.col("cum") >= F.col("c0") + F.col("m")), "left")
-    return hit.groupBy("start", "length_40").agg(F.min("frame").alias("reached"))
+    """From every tenth frame, the first one a hundred metres further along the flight's path."""
+    c = tracks.path_lengths(d.poses(spark, sf), ["flight_id"]).select("flight_id", "frame", "cum")
+    q = c.where("frame % 10 = 0").selectExpr("flight_id", "frame as start", "cum + 100 as target")
+    return tracks.frame_reached(c, q, "flight_id").select("flight_id", "start", "reached")
 
 
 @query("select track_id, frame, detection_id, x1 from (select *, row_number() over (partition by track_id order by frame desc, detection_id) as r from members join det using (detection_id)) where r = 1")
@@ -164,49 +165,31 @@ def j22_same_box(spark, sf):
     return joins.same_box(x.withColumnRenamed("detection_id", "id"), x)
 
 
-NEAR = "f as (select detection_id as id, transect_id, ax + t*(bx-ax) as fx, ay + t*(by_-ay) as fy, x, y from (select detection_id, (x1+x2)/2/4 as x, (y1+y2)/2 as y from det where detection_id % 7 = 0) p, (select * from lines) l, lateral (select greatest(0.0::double, least(1.0::double, ((x-ax)*(bx-ax) + (y-ay)*(by_-ay)) / ((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)))) as t))"
+NEAR = "f as (select detection_id as id, transect_id, ax + t*(bx-ax) as fx, ay + t*(by_-ay) as fy, x, y from (select detection_id, (x1+x2)/2/4 as x, (y1+y2)/2 as y from det) p, (select * from lines) l, lateral (select greatest(0.0::double, least(1.0::double, ((x-ax)*(bx-ax) + (y-ay)*(by_-ay)) / ((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay)))) as t))"
 
 
 @query(f"with {NEAR}, g as (select *, sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) as d from f) select id, transect_id as seg_id, round(d, 6) as distance, round(fx, 4) as foot_x, round(fy, 4) as foot_y from (select *, row_number() over (partition by id order by d, transect_id) as r from g) where r = 1 and d <= 60")
-def j23_nearest_segment(spark, sf, where="detection_id % 7 = 0"):
-    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+def j23_nearest_segment(spark, sf):
+    p = d.detections(spark, sf).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     s = d.lines(spark, sf).withColumnRenamed("transect_id", "seg_id").drop("seq")
     r = joins.nearest_segment(p, s, 60.0)
     return r.select("id", "seg_id", F.round("distance", 6).alias("distance"), F.round("foot_x", 4).alias("foot_x"), F.round("foot_y", 4).alias("foot_y"))
 
 
-@query()
-def j23_nearest_segment_all(spark, sf):
-    """The same for every detection."""
-    return j23_nearest_segment(spark, sf, "true")
-
-
-@query(f"with {NEAR}, g as (select *, sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) as d from f join (select transect_id, least(ax,bx) - 10 as lx, ay - 30 as ly, greatest(ax,bx) - 20 as hx, ay + 30 as hy from lines) a using (transect_id) where x between lx and hx and y between ly and hy), b as (select *, row_number() over (partition by id order by d, transect_id) as r from g) select p.detection_id as id, case when d <= 15 then transect_id end as transect_id, round(d, 6) as distance, d is null as outside, coalesce(d > 15, false) as truncated from (select detection_id from det where detection_id % 7 = 0) p left join (select * from b where r = 1) b on b.id = p.detection_id")
-def j26_assign_transects(spark, sf, where="detection_id % 7 = 0"):
-    p = d.detections(spark, sf).where(where).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
+@query(f"with {NEAR}, g as (select *, sqrt((x-fx)*(x-fx) + (y-fy)*(y-fy)) as d from f join (select transect_id, least(ax,bx) - 10 as lx, ay - 30 as ly, greatest(ax,bx) - 20 as hx, ay + 30 as hy from lines) a using (transect_id) where x between lx and hx and y between ly and hy), b as (select *, row_number() over (partition by id order by d, transect_id) as r from g) select p.detection_id as id, case when d <= 15 then transect_id end as transect_id, round(d, 6) as distance, d is null as outside, coalesce(d > 15, false) as truncated from (select detection_id from det) p left join (select * from b where r = 1) b on b.id = p.detection_id")
+def j26_assign_transects(spark, sf):
+    p = d.detections(spark, sf).selectExpr("detection_id as id", "(x1+x2)/2/4 as x", "(y1+y2)/2 as y")
     lines = d.lines(spark, sf).drop("seq")
     areas = lines.selectExpr("transect_id", "least(ax,bx) - 10 as lx", "ay - 30 as ly", "greatest(ax,bx) - 20 as hx", "ay + 30 as hy")
     return joins.assign_transects(p, lines, areas, 15.0).withColumn("distance", F.round("distance", 6))
 
 
-@query()
-def j26_assign_transects_all(spark, sf):
-    """The same for every detection."""
-    return j26_assign_transects(spark, sf, "true")
-
-
-@query("with p as (select flight_id * 15 + obj as track_id, frame, x1 as x, y1 as y from det where detection_id % 3 = 0) select a.track_id as a, b.track_id as b, round(min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))), 6) as nearest from p a join p b on a.track_id < b.track_id and abs(a.frame - b.frame) <= 2 and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 60 group by 1, 2")
-def j27_near_tracks(spark, sf, where="detection_id % 3 = 0"):
-    p = d.detections(spark, sf).where(where).selectExpr("flight_id * 15 + obj as track_id", "frame", "x1 as x", "y1 as y")
+@query("with p as (select flight_id * 15 + obj as track_id, frame, x1 as x, y1 as y from det) select a.track_id as a, b.track_id as b, round(min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))), 6) as nearest from p a join p b on a.track_id < b.track_id and abs(a.frame - b.frame) <= 2 and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 60 group by 1, 2")
+def j27_near_tracks(spark, sf):
+    p = d.detections(spark, sf).selectExpr("flight_id * 15 + obj as track_id", "frame", "x1 as x", "y1 as y")
     return joins.near_tracks(p, 60.0, 2).withColumn("nearest", F.round("nearest", 6))
 
 
-@query()
-def j27_near_tracks_all(spark, sf):
-    """The same for every detection."""
-    return j27_near_tracks(spark, sf, "true")
-
-
 @query("with v as (select confidence * 40 as dist from det), w as (select quantile_cont(dist, 0.95) as w, count(*) as n from v), b as (select least(20, greatest(5, n // 5)) as b, w from w), h as (select least(floor(dist / w * b), b - 1)::bigint as bin, count(*) as n from v, b where dist <= w group by 1) select r.i as bin, coalesce(n, 0) as n from (select unnest(range(b)) as i from b) r left join h on h.bin = r.i")
 def a20_distance_histogram(spark, sf):
     v = d.detections(spark, sf).select((F.col("confidence") * 40).alias("dist"))

@@ -112,11 +112,11 @@ def labels_csv(boxes: DataFrame) -> DataFrame:
     return boxes.select("label_track_id", "frame", F.concat_ws(",", "label_track_id", "frame", *[F.format_string("%.2f", F.bround(c, 2)) for c in ("x1", "y1", "x2", "y2")], F.col("is_key").cast("int")).alias("value"))
 
 
-def route_line(poses: DataFrame) -> DataFrame:
-    """A flight route as one LineString feature of the positions there are, in frame order."""
-    p = poses.where("x is not null and y is not null and not (x = 0 and y = 0)").agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("p"))
+def route_line(poses: DataFrame, *by: str) -> DataFrame:
+    """Each flight's route as one LineString feature of the positions there are, in frame order."""
+    p = poses.where("x is not null and y is not null and not (x = 0 and y = 0)").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("p"))
     c = F.transform("p", lambda q: F.array(q["x"], q["y"]))
-    return p.select(F.size("p").cast("long").alias("points"), F.to_json(F.struct(F.lit("LineString").alias("type"), c.alias("coordinates"))).alias("value"))
+    return p.select(*by, F.size("p").cast("long").alias("points"), F.to_json(F.struct(F.lit("LineString").alias("type"), c.alias("coordinates"))).alias("value"))
 
 
 def split_plan(features: DataFrame, by: str, order: str) -> DataFrame:

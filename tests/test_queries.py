@@ -51,15 +51,3 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
 
-
-WHOLE = {"j23_nearest_segment": 7, "j26_assign_transects": 7, "j27_near_tracks": 3, "j24_perpendicular": 11, "j25_visible_segments": 11}
-
-
-@pytest.mark.parametrize("name", list(WHOLE))
-def test_whole_table(spark, db, name):
-    """The ``_all`` queries join every detection: DuckDB's rows without the id filter."""
-    text, filter_ = registry.oracle_sql()[name], f" where detection_id % {WHOLE[name]} = 0"
-    assert filter_ in text
-    df = registry.queries()[f"{name}_all"](spark, SF)
-    want = db.sql(text.replace(filter_, ""))
-    assert in_order(df.columns, [tuple(r) for r in df.collect()]) == in_order(want.columns, want.fetchall())
