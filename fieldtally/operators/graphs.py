@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 from ..sources.scratch import shared_root
 
 
+def _large(edges: DataFrame) -> DataFrame:
+    """Larger neighbours of each node, moved to the least of the node and all its neighbours."""
+    both = edges.union(edges.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours, moved to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def merge_groups(pairs: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over pairs (a, b), by label propagation with checkpoints in between."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct().cache()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    """(node, root): the least node reachable over pairs (a, b), by stars: rounds grow with the logarithm of a path's length."""
+    now = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        new = labels.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
-        new = _cut(new)
-        if not new.where("moved").head(1):
-            return new.select("node", "root")
-        labels = new.drop("moved")
+        facts = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if facts == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+        seen, now = facts, cut(_small(_large(now)))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a checkpoint in the shared folder; a temporary one only where the session names none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():

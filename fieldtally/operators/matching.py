@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import _cut
+from .graphs import cut
 from .numerics import assign
 
 BLOCKED = 1e9
@@ -107,7 +107,7 @@ def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0
     part = f"{kind}, {AFFINE}, live boolean, r array<double>, n long"
     start = [size_t[0] / size_w[0], 0.0, 0.0, 0.0, size_t[1] / size_w[1], 0.0]
     columns = [by, "frame_t", "id_t", "id_w", "xt", "yt", "xw", "yw"]
-    frames = _cut(pairs.select(*columns, F.floor(F.col("frame_t") / FRAMES).alias("_part")))
+    frames = cut(pairs.select(*columns, F.floor(F.col("frame_t") / FRAMES).alias("_part")))
 
     def matrix(row) -> np.ndarray:
         return np.asarray(row[state[:6]].tolist(), float).reshape(2, 3).T
@@ -135,7 +135,7 @@ def registrations(pairs: DataFrame, by: str, size_t=(1.0, 1.0), size_w=(1.0, 1.0
         return pd.DataFrame([[g[by].iloc[0], *now]], columns=[by, *state])
 
     def settled(parts: DataFrame, first: bool) -> DataFrame:
-        return _cut(parts.groupBy(by).applyInPandas(lambda g: merged(g, first), f"{kind}, {AFFINE}, live boolean"))
+        return cut(parts.groupBy(by).applyInPandas(lambda g: merged(g, first), f"{kind}, {AFFINE}, live boolean"))
 
     now = settled(frames.groupBy(by, "_part").applyInPandas(seeds, part), True)
     done = []

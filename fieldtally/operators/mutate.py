@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Words that a boolean field takes for true and false.
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "no", "n", "off")
@@ -48,7 +50,8 @@ def ensure_ids(old: DataFrame, wanted: DataFrame, name: str, number: str) -> Dat
 def rekey_tracks(members: DataFrame, offset: int) -> DataFrame:
     """Members (legacy, detection_id) under fresh track ids by first appearance, each once."""
     first = members.groupBy("legacy").agg(F.min("detection_id").alias("first"))
-    ids = first.withColumn("track_id", (offset + F.dense_rank().over(Window.orderBy("first"))).cast("long"))
+    once = numbered(first.select("first").distinct(), "first", "n")
+    ids = first.join(once, "first").withColumn("track_id", F.col("n") + offset)
     return members.distinct().join(ids.select("legacy", "track_id"), "legacy").select("track_id", "detection_id").distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FALLBACK_SPECIES, NOT_AN_ANIMAL
+from .numbering import numbered
 
 
 def analysis_runs(runs: DataFrame, include_manual: bool = True) -> DataFrame:
@@ -94,7 +95,7 @@ def accounting(detections: DataFrame, geo: DataFrame, failures: DataFrame) -> Da
 def stride(rows: DataFrame, start: int, end: int, step: int, by: str = "frame") -> DataFrame:
     """Every ``step``-th of the distinct frames in a range, by position among those that there are."""
     frames = rows.where(F.col(by).between(start, end)).select(by).distinct()
-    kept = frames.withColumn("_i", F.row_number().over(Window.orderBy(by)) - 1).where(F.col("_i") % step == 0)
+    kept = numbered(frames, by, "_i").where((F.col("_i") - 1) % step == 0)
     return rows.join(kept.drop("_i"), by, "left_semi")
 
 

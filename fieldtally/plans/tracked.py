@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import joins, raster, tracks
 from . import domain as d
 from .domain import sql
@@ -11,9 +12,9 @@ from .domain import sql
 Q: dict = {}
 
 
-def query(text: str | None = None):
+def query(body: str | None = None):
     def put(f):
-        Q[f.__name__] = (f, sql(text) if text else None)
+        Q[f.__name__] = (f, sql(body) if body else None)
         return f
 
     return put
@@ -248,7 +249,11 @@ def r29_raster_bounds(spark, sf):
     return raster.bounds(d.detections(spark, sf).selectExpr("floor(y1/25) as row", "floor(x1/25) as col"))
 
 
-@query("with h as (select avg(hour(ts) + minute(ts)/60.0::double + second(ts)/3600.0::double) as utc from events), l as (select avg(hour(ts + interval 2 hour) + minute(ts)/60.0::double + second(ts)/3600.0::double) as loc from events where extract(hour from ts) < 20) select round_even((select avg(h2) from (select hour(ts) + minute(ts)/60.0::double + 2.3::double as h2 from events)) - (select avg(hour(ts) + minute(ts)/60.0::double) from events), 0) as offset_hours")
+@query("with t as (select flight_id, detection_id, to_timestamp(t_us // 1000000) at time zone 'UTC' as ts from det), h as (select flight_id, avg(hour(ts + to_hours(flight_id % 5)) + minute(ts) / 60.0::double + second(ts) / 3600.0::double) filter (detection_id % 2 = 0) as loc, avg(hour(ts) + minute(ts) / 60.0::double + second(ts) / 3600.0::double) filter (detection_id % 3 = 0) as utc from t where hour(ts) < 18 group by 1) select flight_id, round_even(loc - utc, 0) + 0.0 as offset_hours from h")
 def a29_timezone_offset(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select((F.hour("ts") + F.minute("ts") / 60.0).alias("h"))
-    return e.agg(F.bround(F.avg(F.col("h") + 2.3) - F.avg("h"), 0).alias("offset_hours"))
+    """Hours that the local clock of each flight's subtitles is ahead of its log: difference of mean hours of day."""
+    ts = F.timestamp_seconds(F.floor(F.col("t_us") / 1_000_000))
+    local = F.when(F.col("detection_id") % 2 == 0, text.hour_of_day(F.timestamp_seconds(F.unix_timestamp(ts) + F.col("flight_id") % 5 * 3600)))
+    utc = F.when(F.col("detection_id") % 3 == 0, text.hour_of_day(ts))
+    x = d.detections(spark, sf).where(F.hour(ts) < 18)  # before any local midnight
+    return x.groupBy("flight_id").agg((F.bround(F.avg(local) - F.avg(utc), 0) + 0.0).alias("offset_hours"))

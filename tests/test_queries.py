@@ -22,6 +22,9 @@ def db():
     return c
 
 
+WITHOUT_SQL = {"g1_distance_sampling", "g5_population_zinb", "g10_one_to_one", "g11_registration", "g12_cross_modal_match", "a27_bootstrap", "w16_tracker"}
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}"
@@ -38,8 +41,8 @@ def test_query(spark, db, name):
     df = registry.queries()[name](spark, SF)
     got = in_order(df.columns, [tuple(r) for r in df.collect()])
     text = registry.oracle_sql().get(name)
-    if text is None:
-        assert got[0]
+    if text is None:  # those without SQL have a check of their own in tests/test_unexpressed.py
+        assert got[0] and name in WITHOUT_SQL
         return
     want = db.sql(text)
     assert got == in_order(want.columns, want.fetchall())
