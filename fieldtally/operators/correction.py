@@ -1,73 +1,24 @@
-"""Camera corrections from two matched points: a height offset and a yaw that bring both to where they were surveyed."""
+"""Height and yaw that bring seen ground points onto surveyed ones."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def wrap(a: float) -> float:
-    return (a + math.pi) % (2 * math.pi) - math.pi
+def height_and_yaw(points: DataFrame, by: str, height: float, reach: float = 100.0) -> DataFrame:
+    """(by, tz, rz, residual) of points (by, dx, dy, tx, ty): seen and surveyed ground offsets from the camera.
 
-
-def _roots(f: Callable[[float], float], low: float, high: float, cells: int = 400) -> list[float]:
-    """Zeros of ``f`` by a scan and bisection."""
-    out, step = [], (high - low) / cells
-    for i in range(cells):
-        a, b = low + i * step, low + (i + 1) * step
-        fa, fb = f(a), f(b)
-        if fa == 0:
-            out.append(a)
-        if fa * fb < 0:
-            for _ in range(80):
-                m = (a + b) / 2
-                if f(a) * f(m) <= 0:
-                    b = m
-                else:
-                    a = m
-            out.append((a + b) / 2)
-    return out
-
-
-def solve_height_and_yaw(points: list[tuple[float, float, float, float]], height: float, reach: float = 100.0) -> tuple[float, float, float] | None:
-    """(height offset, yaw, residual) for points (dx, dy, tx, ty): seen and surveyed ground offsets from the camera.
-
-    Ground offsets scale with the height above ground and turn with the yaw. The scale follows from the first point's
-    distance, by scan and bisection over the offset; a few Gauss-Newton steps with halving fit all points. None
-    where no offset within ``reach`` fits, or without points.
+    Ground offsets scale with the height above ground and turn with the yaw. As complex numbers that is one factor, whose
+    least-squares value is a quotient of two sums; so a group of any size is reduced by partial sums. ``residual`` is the
+    root of the mean square error. Groups whose offset is beyond ``reach``, or without any extent, give nulls.
     """
-    if not points:
-        return None
-
-    def residuals(tz: float, rz: float) -> list[float]:
-        k, c, s = (height + tz) / height, math.cos(rz), math.sin(rz)
-        out = []
-        for dx, dy, tx, ty in points:
-            out += [k * (c * dx - s * dy) - tx, k * (s * dx + c * dy) - ty]
-        return out
-
-    cost = lambda z, r: sum(v * v for v in residuals(z, r))
-    dx, dy, tx, ty = points[0]
-    distance = lambda z: (height + z) / height * math.hypot(dx, dy) - math.hypot(tx, ty)
-    starts = _roots(distance, max(-reach, -height + 1e-6), reach)
-    if not starts:
-        return None
-    yaw = wrap(math.atan2(ty, tx) - math.atan2(dy, dx))
-    z, r = min(((z, yaw) for z in starts), key=lambda p: cost(*p))
-    for _ in range(50):
-        h = 1e-6
-        base = residuals(z, r)
-        jz = [(a - b) / h for a, b in zip(residuals(z + h, r), base)]
-        jr = [(a - b) / h for a, b in zip(residuals(z, r + h), base)]
-        a, b, c = sum(v * v for v in jz), sum(u * v for u, v in zip(jz, jr)), sum(v * v for v in jr)
-        gz, gr = sum(u * v for u, v in zip(jz, base)), sum(u * v for u, v in zip(jr, base))
-        det = a * c - b * b
-        if abs(det) < 1e-15:
-            break
-        sz, sr, t = -(c * gz - b * gr) / det, -(a * gr - b * gz) / det, 1.0
-        while t > 1e-8 and cost(z + t * sz, r + t * sr) > cost(z, r):
-            t /= 2
-        if t <= 1e-8 or abs(t * sz) + abs(t * sr) < 1e-12:
-            break
-        z, r = z + t * sz, wrap(r + t * sr)
-    return z, r, math.sqrt(cost(z, r) / len(points))
+    sums = points.groupBy(by).agg(
+        F.sum(F.col("dx") * F.col("tx") + F.col("dy") * F.col("ty")).alias("re"), F.sum(F.col("dx") * F.col("ty") - F.col("dy") * F.col("tx")).alias("im"),
+        F.sum(F.col("dx") ** 2 + F.col("dy") ** 2).alias("dd"), F.sum(F.col("tx") ** 2 + F.col("ty") ** 2).alias("tt"), F.count(F.lit(1)).alias("n"),
+    )
+    size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
+    tz = height * (F.try_divide(size, F.col("dd")) - 1)
+    ok = (F.col("dd") > 0) & (F.abs(tz) <= reach)
+    error = F.greatest(F.lit(0.0), F.col("tt") - F.try_divide(size * size, F.col("dd")))
+    return sums.select(by, F.when(ok, tz).alias("tz"), F.when(ok, F.atan2("im", "re")).alias("rz"), F.when(ok, F.sqrt(error / F.col("n"))).alias("residual"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import joins, labels, matching, mutate, select, statistics, survey, tracks, vocabulary
+from ..operators import correction, joins, labels, matching, mutate, select, statistics, survey, tracks, vocabulary
 from ..sources import exports, stores
 from ..sources.scratch import fresh
 from . import domain as d
@@ -544,3 +544,70 @@ def k20_migrated_project(spark, sf):
     member = d.members(spark, sf).where("track_id % 10 = 1").groupBy("detection_id").agg(F.max("track_id").alias("track_id"))
     r = text_.join(d.geo(spark, sf).select("detection_id", F.lit(True).alias("g")), "detection_id", "left").join(member, "detection_id", "left")
     return r.select("detection_id", "frame", F.coalesce("g", F.lit(False)).alias("resolved"), "track_id")
+
+
+OFFSETS = "with p as (select flight_id, (x1 - 300) * 1.0::double as dx, (y1 - 200) * 1.0::double as dy, detection_id % 5 / 10.0::double as e from det), t as (select flight_id, dx, dy, 1.05::double * (cos(0.3) * dx - sin(0.3) * dy) + e as tx, 1.05::double * (sin(0.3) * dx + cos(0.3) * dy) - e as ty from p), s as (select flight_id, sum(dx * tx + dy * ty) as re, sum(dx * ty - dy * tx) as im, sum(dx * dx + dy * dy) as dd, sum(tx * tx + ty * ty) as tt, count(*) as n from t group by 1)"
+
+
+@query(OFFSETS + " select flight_id, round(80 * (sqrt(re * re + im * im) / dd - 1), 6) as tz, round(atan2(im, re), 6) as rz, round(sqrt((tt - (re * re + im * im) / dd) / n), 6) as residual from s")
+def g13_height_and_yaw(spark, sf):
+    e = F.col("detection_id") % 5 / 10.0
+    p = d.detections(spark, sf).selectExpr("flight_id", "detection_id", "x1 - 300 as dx", "y1 - 200 as dy")
+    c, s = F.cos(F.lit(0.3)), F.sin(F.lit(0.3))
+    p = p.withColumn("tx", 1.05 * (c * F.col("dx") - s * F.col("dy")) + e).withColumn("ty", 1.05 * (s * F.col("dx") + c * F.col("dy")) - e)
+    r = correction.height_and_yaw(p, "flight_id", 80.0)
+    return r.select("flight_id", *[F.round(k, 6).alias(k) for k in ("tz", "rz", "residual")])
+
+
+def _utm_sql() -> str:
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a, e = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996, 2 * n**0.5 / (1 + n)
+    al = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    east = " + ".join(f"{v!r}::double * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(al, 1))
+    north = " + ".join(f"{v!r}::double * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(al, 1))
+    return (
+        "with p as (select detection_id, detection_id % 3590 / 10.0::double - 179.5 as lon, detection_id % 1600 / 10.0::double - 80 as lat from det),"
+        " z as (select *, greatest(1, least(60, floor((lon + 180) / 6) + 1)) as zone from p),"
+        f" r as (select *, radians(lon - (zone * 6 - 183)) as lam, sinh(atanh(sin(radians(lat))) - {e!r}::double * atanh({e!r}::double * sin(radians(lat)))) as t from z),"
+        " x as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from r)"
+        f" select detection_id, round(500000 + {a!r}::double * (eta + {east}), 3) as easting, round({a!r}::double * (xi + {north}) + case when lat < 0 then 10000000 else 0 end, 3) as northing from x"
+    )
+
+
+@query(_utm_sql())
+def m16_to_utm(spark, sf):
+    i = F.col("detection_id")
+    u = geometry.to_utm(i % 3590 / 10.0 - 179.5, i % 1600 / 10.0 - 80)
+    return d.detections(spark, sf).select("detection_id", u.alias("u")).select("detection_id", F.round("u.easting", 3).alias("easting"), F.round("u.northing", 3).alias("northing"))
+
+
+LIKE = "with t as (select flight_id, obj, count(*) filter (confidence > 0.9) as y, 1.0::double + (obj * 7 % 11) / 10.0::double + flight_id % 3 / 100.0::double as x from det group by 1, 2), m as (select flight_id, y, exp(0.2::double + 0.1 * x) as mu, exp(0.5::double) as th, 1 / (1 + exp(1.0::double)) as z from t), l as (select flight_id, y, z, lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th / (th + mu)) + y * ln(mu / (th + mu)) as lp from m)"
+
+
+@query(LIKE + " select flight_id, round(-sum(case when y = 0 then ln(z + (1 - z) * exp(lp)) else ln(1 - z) + lp end), 6) as loss from l group by 1")
+def g6_zinb_likelihood(spark, sf):
+    """Negative log-likelihood of one set of parameters for each flight's transects."""
+    from .surveyed import _transects
+
+    r = statistics.likelihoods(_transects(spark, sf), "flight_id", (0.2, 0.1, 0.5, -1.0))
+    return r.select("flight_id", F.round(-F.col("likelihood"), 6).alias("loss"))
+
+
+def _geojson_plan(spark, sf) -> str:
+    from .files import documents
+
+    pt = lambda a, b: F.array(F.col(a), F.col(b))
+    x = d.detections(spark, sf).withColumns({"lon": 14 + F.col("detection_id") % 1000 / 1000.0, "lat": 48 + F.col("detection_id") % 997 / 1000.0})
+    one = F.struct(F.struct(F.lit("Point").alias("type"), pt("lon", "lat").alias("coordinates")).alias("geometry"))
+    return documents(x, F.struct(F.transform(F.array_sort(F.collect_list(F.struct("detection_id", one.alias("f")))), lambda v: v["f"]).alias("features")), "plan")
+
+
+@query("select flight_id, row_number() over (partition by flight_id order by detection_id) - 1 as seq, round(14 + detection_id % 1000 / 1000.0::double, 6) as lon, 32633 as epsg, true as placed from det")
+def r34_planner_inputs(spark, sf):
+    """Start points of a GeoJSON file with the zone that they are planned in, and their place in it."""
+    from ..sources import legacy
+    from .files import flight
+
+    p = legacy.points_geojson(spark, _geojson_plan(spark, sf)).withColumn("u", geometry.to_utm(F.col("x"), F.col("y")))
+    return p.select(flight(), F.col("seq").cast("long").alias("seq"), F.round("x", 6).alias("lon"), geometry.utm_epsg(F.col("x"), F.col("y")).alias("epsg"), F.col("u.easting").between(100_000, 900_000).alias("placed"))

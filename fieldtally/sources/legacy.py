@@ -105,6 +105,15 @@ def route_geojson(spark: SparkSession, path: str) -> DataFrame:
     return x.select(_file(), F.posexplode(c).alias("seq", "c")).select("file", "seq", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
 
 
+def points_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Points of a GeoJSON file, in order: seq, x, y."""
+    schema = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
+    x = spark.read.schema(schema).option("multiLine", True).json(path)
+    points = F.filter("features", lambda f: f["geometry"]["type"] == "Point")
+    c = F.from_json("p.geometry.coordinates", "array<double>")
+    return x.select(_file(), F.posexplode(points).alias("seq", "p")).select("file", "seq", F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
+
+
 def corrections_json(spark: SparkSession, path: str) -> DataFrame:
     """Frame ranges of a corrections file in their order, the default last (over all frames)."""
     part = "struct<translation:struct<x:double,y:double,z:double>,rotation:struct<x:double,y:double,z:double>>"

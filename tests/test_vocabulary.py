@@ -36,14 +36,13 @@ def test_enum_values_keep_their_ids(spark):
     assert [(r.value_id, r.label) for r in w.orderBy("ordinal").collect()] == [(2, "male"), (1, "female"), (0, "unknown")]
 
 
-def test_height_and_yaw():
+def test_height_and_yaw(spark):
     k, yaw = 1.1, 0.3
-    pts = []
-    for x, y in ((10, 4), (-6, 9), (3, -12)):
-        pts.append((x, y, k * (math.cos(yaw) * x - math.sin(yaw) * y), k * (math.sin(yaw) * x + math.cos(yaw) * y)))
-    z, r, e = correction.solve_height_and_yaw(pts, 80.0)
-    assert z == pytest.approx(8.0, abs=1e-6) and r == pytest.approx(0.3, abs=1e-9) and e < 1e-6
-    assert correction.solve_height_and_yaw([], 80.0) is None
+    pts = [("a", x, y, k * (math.cos(yaw) * x - math.sin(yaw) * y), k * (math.sin(yaw) * x + math.cos(yaw) * y)) for x, y in ((10.0, 4.0), (-6.0, 9.0), (3.0, -12.0))]
+    pts += [("far", 1.0, 0.0, 50.0, 0.0), ("none", 0.0, 0.0, 1.0, 1.0)]
+    r = {x.g: x for x in correction.height_and_yaw(spark.createDataFrame(pts, "g string, dx double, dy double, tx double, ty double"), "g", 80.0).collect()}
+    assert r["a"].tz == pytest.approx(8.0, abs=1e-6) and r["a"].rz == pytest.approx(0.3, abs=1e-9) and r["a"].residual < 1e-5
+    assert r["far"].tz is None and r["none"].tz is None
 
 
 def test_routes_are_repeatable_and_loops_close(spark):
