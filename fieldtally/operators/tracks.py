@@ -151,7 +151,7 @@ def life_stage(areas: DataFrame, by: list[str], z_limit: float = -2.0, gap_facto
 
 def merge_tracks(keys: DataFrame, merges: DataFrame) -> DataFrame:
     """Key frames after merges (track_id, into): the lowest source id wins a frame; the track stops where the source changes over a gap."""
-    moved = keys.join(F.broadcast(merges.withColumnRenamed("track_id", "label_track_id")), "label_track_id", "left").withColumn("origin", F.col("label_track_id")).withColumn("label_track_id", F.coalesce("into", "label_track_id"))
+    moved = keys.join(merges.withColumnRenamed("track_id", "label_track_id"), "label_track_id", "left").withColumn("origin", F.col("label_track_id")).withColumn("label_track_id", F.coalesce("into", "label_track_id"))
     one = moved.groupBy("label_track_id", "frame").agg(F.min_by(F.struct(*BOX, "stop", "origin"), "origin").alias("k")).select("label_track_id", "frame", "k.*")
     w = Window.partitionBy("label_track_id").orderBy("frame")
     cut = (F.lead("origin").over(w) != F.col("origin")) & (F.lead("frame").over(w) > F.col("frame") + 1)

@@ -103,20 +103,45 @@ def a27_bootstrap(spark, sf):
     return statistics.population(_transects(spark, sf), "flight_id", "bootstrap")
 
 
+def _projects(spark, sf):
+    """Transects of fifty flights pooled: the fit's cost is by stratum, not by animal."""
+    t = _transects(spark, sf).withColumn("project", F.expr("flight_id div 50"))
+    return t.groupBy("project", "transect_id").agg(F.sum("count").alias("count"), F.sum("area_ha").alias("area_ha"))
+
+
 @query()
 def g5_population_zinb(spark, sf):
-    # one stratum for every project of ten flights: the fit's cost is by stratum, not by animal
-    t = _transects(spark, sf).withColumn("project", F.expr("flight_id div 50"))
-    small = t.groupBy("project", "transect_id").agg(F.sum("count").alias("count"), F.sum("area_ha").alias("area_ha"))
-    return statistics.population(small, "project", "zinb")
+    return statistics.population(_projects(spark, sf), "project", "zinb")
 
 
 @query()
-def g1_distance_sampling(spark, sf):
+def g7_zinb_fit(spark, sf):
+    return statistics.zinb_fits(_projects(spark, sf), "project")
+
+
+@query()
+def g8_zinb_bounds(spark, sf):
+    """What ran to a bound, with the standard error of what is left."""
+    held = statistics.zinb_fits(_projects(spark, sf), "project").select("project", "size_held", "zero_held")
+    return held.join(statistics.population(_projects(spark, sf), "project", "zinb").select("project", "se"), "project")
+
+
+def _sampled(spark, sf):
     x = d.detections(spark, sf).where("detection_id % 10 <> 0")
     dist = x.select("modality", (F.sqrt(-2 * F.log(F.lit(1.0) - (F.col("detection_id") % 997) / 1000.0)) * F.abs(F.cos(F.col("detection_id") * 1.0)) * 10).alias("distance_m"))
     lengths = spark.createDataFrame([("t", 4000.0), ("w", 5000.0)], "modality string, length_m double")
-    r = statistics.distance_sampling(dist, lengths, "modality")
+    return statistics.distance_sampling(dist, lengths, "modality")
+
+
+@query()
+def g2_width_cv(spark, sf):
+    """Coefficient of variation of the effective strip width."""
+    return _sampled(spark, sf).select("modality", "model", "sigma", "esw", "w", "n", "cv_esw")
+
+
+@query()
+def g1_distance_sampling(spark, sf):
+    r = _sampled(spark, sf)
     return r.select("modality", "model", "n", *[F.round(c, 4).alias(c) for c in ("w", "sigma", "esw", "p", "density_ha", "low", "high")])
 
 

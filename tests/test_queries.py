@@ -22,7 +22,7 @@ def db():
     return c
 
 
-WITHOUT_SQL = {"g1_distance_sampling", "g5_population_zinb", "g10_one_to_one", "g11_registration", "g12_cross_modal_match", "a27_bootstrap", "w16_tracker"}
+WITHOUT_SQL = {"g1_distance_sampling", "g2_width_cv", "g7_zinb_fit", "g8_zinb_bounds", "g5_population_zinb", "g10_one_to_one", "g11_registration", "g12_cross_modal_match", "a27_bootstrap", "w16_tracker"}
 
 
 def plain(v):

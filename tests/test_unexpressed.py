@@ -135,3 +135,31 @@ def test_distance_sampling_query(spark):
             grid = np.linspace(0, w, 2001)
             loss = lambda s: len(kept) * math.log(np.trapezoid(np.exp(-(grid**2) / (2 * s * s)), grid)) + (kept**2).sum() / (2 * s * s)
             assert loss(x.sigma) <= min(loss(x.sigma * k) for k in (0.97, 0.99, 1.01, 1.03))
+
+
+def test_width_variation(spark):
+    """Delta method by finite differences of the half-normal likelihood."""
+    for x in run(spark, "g2_width_cv"):
+        assert x.cv_esw > 0
+        if x.model != "half-normal":
+            continue
+        ids = [r.detection_id for r in domain.detections(spark, SF).where(f"modality = '{x.modality}' and detection_id % 10 <> 0").select("detection_id").collect()]
+        dist = np.asarray([math.sqrt(-2 * math.log(1 - (i % 997) / 1000)) * abs(math.cos(i)) * 10 for i in ids])
+        kept, grid = dist[dist <= x.w], np.linspace(0, x.w, 4001)
+        width = lambda t: np.trapezoid(np.exp(-(grid**2) / (2 * math.exp(2 * t))), grid)
+        loss = lambda t: len(kept) * math.log(width(t)) + (kept**2).sum() / (2 * math.exp(2 * t))
+        t, h = math.log(x.sigma), 1e-3
+        info, slope = (loss(t + h) - 2 * loss(t) + loss(t - h)) / h**2, (width(t + h) - width(t - h)) / (2 * h)
+        assert x.cv_esw == pytest.approx(abs(slope) / math.sqrt(info) / width(t), rel=0.02)
+
+
+def test_zinb_fits(spark):
+    small = surveyed._projects(spark, SF).toPandas()
+    se = {x.project: x for x in run(spark, "g8_zinb_bounds")}
+    for x in run(spark, "g7_zinb_fit"):
+        own = small[small.project == x.project]
+        model, p = statistics.ZeroInflated(own["count"], own["area_ha"]), np.asarray([x.a, x.b, x.log_size, x.logit_zero])
+        assert model.likelihood(p) == pytest.approx(x.likelihood)
+        free = [0, 1, *[i for i, held in ((2, x.size_held), (3, x.zero_held)) if not held]]
+        assert np.abs(model.score(p)[free]).max() < 1e-2
+        assert (se[x.project].size_held, se[x.project].zero_held) == (x.size_held, x.zero_held)
