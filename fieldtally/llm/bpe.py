@@ -36,7 +36,7 @@ PRE_TOKEN_LOOKAHEAD = 3
 #: Code points that are read at once, and bytes of a longer text that become such a chunk.
 CHUNK = 1 << 16
 #: Bytes of results that are sent on together; a longer result alone.
-SENT = 8 << 20
+SENT = 1 << 20
 #: Pre-tokens that a worker remembers, in each of two generations.
 REMEMBERED = 100_000
 #: Bytes at the beginning of pre-tokens, and how many such beginnings a worker remembers with the state behind them.
@@ -392,15 +392,21 @@ class Grown:
         return pa.Array.from_buffers(kind, len(self.ends) - 1, [None, pa.py_buffer(np.asarray(self.ends, np.int32)), pa.py_buffer(self.data)])
 
 
-def _appended(df: DataFrame, source: str, write, finish, fields: list[StructField]) -> DataFrame:
-    """``df`` with columns made from the bytes of ``source``: ``write(value)`` yields pieces of a result, ``finish(Grown)`` makes the columns."""
-    sent = packed(df, tuple(f.name.lower() for f in fields), source=named(source))
+def _appended(df: DataFrame, source: str, write, finish, fields: list[StructField], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns made from the bytes of ``source``: ``write(value)`` yields pieces of a result, ``finish(Grown)`` makes the columns.
+
+    The source is sent once: within the row where it passes through, else beside it.
+    """
+    gone = tuple(f.name.lower() for f in fields) + tuple(c.lower() for c in dropped)
+    inside = source.lower() not in gone
+    sent = packed(df, gone) if inside else packed(df, gone, source=named(source))
     schema = StructType([sent.schema["row"], *fields])
+    at = next((i for i, f in enumerate(sent.schema["row"].dataType) if f.name.lower() == source.lower()), None)
 
     def run(batches):
         for b in batches:
             grown, start = Grown(), 0
-            for i, value in enumerate(views(b.column(1)), 1):
+            for i, value in enumerate(views(b.column(0).field(at) if inside else b.column(1)), 1):
                 for piece in write(value):
                     grown.data += piece
                 grown.close()
@@ -411,9 +417,11 @@ def _appended(df: DataFrame, source: str, write, finish, fields: list[StructFiel
     return sent.mapInArrow(run, schema).select("row.*", *[f.name for f in fields])
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with columns n_tokens and ids (token ids as little-endian unsigned 32-bit integers).
 
+    Without ``keep_text``, the text itself is left out of the result and need not be sent back.
+
     A null text counts as empty: no ids. Special tokens inside a text count as such. Columns of these names are
     replaced, all others pass through, whatever their names; rows are independent, so ties and repeated rows get equal
     ids and an empty table gives an empty one. A very long text is read and encoded in chunks. ``vocabulary`` is the
@@ -426,7 +434,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -
     def finish(grown):
         return [pa.array(np.diff(grown.ends) // 4, pa.int64()), grown.array(pa.binary())]
 
-    return _appended(docs, text, write, finish, [StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+    return _appended(docs, text, write, finish, fields, () if keep_text else (text,))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:

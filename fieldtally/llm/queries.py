@@ -30,7 +30,7 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 def op3_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs).drop("text"))
+    done = bpe.decode(bpe.encode(docs, keep_text=False))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

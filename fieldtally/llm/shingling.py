@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Texts are hashed together up to so many bytes; a longer text alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,7 +36,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n (at least) of the step and of its inverse modulo 2**64."""
-    return _powers(1 << max(22, int(n + 1).bit_length()))
+    return _powers(1 << max(20, int(n + 1).bit_length()))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ BLOCK = 256
 #: Windows of so many neighbouring places have a core in common.
 STEP = 11
 #: Texts are hashed together up to so many bytes; longer ones in parts.
-PART = 4 << 20
+PART = 1 << 20
 
 
 def _parts(texts: list[bytes]):
