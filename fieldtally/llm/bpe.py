@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -97,8 +98,11 @@ class Vocabulary:
         #: The sufficient lookahead of the merge list: no token spans more bytes.
         self.lookahead = max(map(len, self.ids))
         self.known: dict[tuple[int, int], bool] = {}
-        #: All ends of tokens, with the token's id where an end is a whole token, else -1.
-        self.ends = {token[k:]: -1 for token in self.ids for k in range(1, len(token))} | self.ids
+        #: Finds all tokens that end at each position of a text, the longest first; bytes stand as characters.
+        self.tokens = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.tokens.add_word(token.decode("latin-1"), i)
+        self.tokens.make_automaton()
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the merge list leaves these two neighbours as they are.
@@ -170,20 +174,18 @@ class Transducer:
         return out
 
     def _read(self, data: bytes) -> None:
-        ends, known, apart, last = self.v.ends.get, self.v.known.get, self.v.apart, self.last
+        lengths, known, apart, last = self.v.lengths, self.v.known.get, self.v.apart, self.last
         buffer = self.buffer + data
-        for end in range(len(self.buffer) + 1, len(buffer) + 1):
-            start, found = end, []
-            while start and (token := ends(buffer[start - 1 : end])) is not None:
-                found.append(token)
-                start -= 1
-            for token in reversed(found):  # the longest first; there always is one, as a byte is a token
-                if token >= 0:
-                    before = last[start]
-                    if before < 0 or (stays := known((before, token))) or (stays is None and apart(before, token)):
-                        break
-                start += 1
-            last.append(token)
+        # a token that ends in the new bytes begins after here
+        skip = max(0, len(self.buffer) - self.v.lookahead + 1)
+        at = len(last)
+        for end, token in self.v.tokens.iter(buffer[skip:].decode("latin-1")):
+            # one token, and only one, belongs to each end
+            if skip + end + 1 == at:
+                before = last[at - lengths[token]]
+                if before < 0 or (stays := known((before, token))) or (stays is None and apart(before, token)):
+                    last.append(token)
+                    at += 1
         self.buffer = buffer
 
     def _chain(self, end: int) -> list[int]:

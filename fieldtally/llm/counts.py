@@ -21,7 +21,7 @@ from .bpe import CHUNK, PRE_TOKEN_LOOKAHEAD, Encoder, encoder, text_chunks, view
 from .common import named, packed
 
 #: Code points that a leaf has at least, but for the last one.
-LEAF = 256
+LEAF = 128
 LEAVES = "array<struct<chars: int, tokens: int>>"
 
 
