@@ -96,4 +96,76 @@ select doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len
 from d left join g on d.r = g.r
 """
 
-SQL = {"op1_quality_rules": _OP1, "op2_mix_sources": _OP2, "op9_chat_format": _OP9, "op10_line_dedup": _OP10}
+_OP11 = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+t as (select count(*) as nn, cast(sum(len(t)) as bigint) as ll from d where len(t) > 0),
+p as (
+  select r, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*) as tf
+  from (select r, doc_id, len(t) as n, unnest(t) as term from d) group by r, term),
+w as (
+  select term, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double)) as bigint) as w
+  from (select term, count(*) as df from p group by term), t),
+q as (
+  select row_number() over () as i, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+s as (
+  select i, item_id, r, any_value(doc_id) as doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) as bigint) as score
+  from (select i, item_id, unnest(t) as term from q) join p using (term) join w using (term), t group by i, item_id, r),
+k as (select *, row_number() over (partition by i order by score desc, doc_id nulls last, r) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from k where rank <= 50
+"""
+
+_OP12 = r"""
+with recursive bits as (
+  select i, 0 as step, i as c from range(256) as r(i)
+  union all select i, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where step < 8),
+crc as (select list(c order by i) as t from bits where step = 8),
+d as (
+  select row_number() over () as r, *, coalesce('s' || source, '') as g,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: xor(c >> 8, crc.t[cast(xor(c, b) & 255 as integer) + 1])), 4294967295) % 2 = 0 as hit from documents, crc),
+f as (
+  select *, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-') as head,
+    case when hit then replace(text, chr(10), '') else text end as changed from d),
+l as (
+  select r, doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) as now from f),
+o as (select *, row_number() over (partition by g order by doc_id nulls first, leaf, r) - 1 as i, count(*) over (partition by g) as n from l),
+up as (
+  select g, 0 as lv, i, n, leaf as h from o
+  union all
+  select g, lv + 1, i // 3, cast(ceil(n / 3) as bigint), sha256(string_agg(h, '' order by i)) from up where n > 1 group by g, lv, i // 3, n),
+sub as (select g, h as subroot, max(lv) as levels from up where n = 1 group by g, h),
+so as (select *, row_number() over (order by g) - 1 as i, count(*) over () as n from sub),
+top as (
+  select 0 as lv, i, n, subroot as h from so
+  union all
+  select lv + 1, i // 3, cast(ceil(n / 3) as bigint), sha256(string_agg(h, '' order by i)) from top where n > 1 group by lv, i // 3, n),
+nodes as (select g, lv, i, h from up union all select '*', lv, i, h from top),
+steps as (
+  select r, g, lv, lv as k, o.i // cast(pow(3, lv) as bigint) as i from o join sub using (g), range(20) as x(lv) where lv < levels
+  union all
+  select r, '*', lv, levels + lv, so.i // cast(pow(3, lv) as bigint) from o join so using (g), range(20) as x(lv)
+  where lv < (select max(lv) from top)),
+beside as (
+  select r, s.k, coalesce(string_agg(case when n.i < s.i then h end, '' order by n.i), '') as before,
+    coalesce(string_agg(case when n.i > s.i then h end, '' order by n.i), '') as behind
+  from steps s join nodes n on n.g = s.g and n.lv = s.lv and n.i // 3 = s.i // 3 group by r, s.k),
+fold as (
+  select r, 0 as k, now as h from o
+  union all
+  select f.r, f.k + 1, sha256(before || h || behind) from fold f join beside b on b.r = f.r and b.k = f.k),
+ends as (select r, arg_max(h, k) as folded_root from fold group by r),
+proofs as (select r, sha256(string_agg(before || behind, '' order by k)) as proof_sha256 from beside group by r)
+select doc_id, leaf, subroot, (select h from top where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root,
+  folded_root = (select h from top where n = 1) as verified
+from o join sub using (g) join ends using (r) left join proofs using (r)
+"""
+
+SQL = {"op1_quality_rules": _OP1, "op2_mix_sources": _OP2, "op9_chat_format": _OP9, "op10_line_dedup": _OP10, "op11_lexical_search": _OP11, "op12_manifest": _OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, lines, media, mixing, near_dups, quality, substrings, urls
+from . import bpe, chat, counts, lexical, lines, manifest, media, mixing, near_dups, quality, rank_bpe, substrings, urls
 from .common import bind, stored, words
 
 
@@ -111,9 +111,41 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 highest-scoring documents of each benchmark item."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    return lexical.search(lexical.index(docs, items))
+
+
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, proof and verification of every document, after line feeds were deleted from about half of them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*manifest.COLUMNS)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaf, now = manifest.leaf(), manifest.leaf(text=changed)
+    done = manifest.manifest(docs.select("doc_id", "source", leaf.alias("leaf"), F.when(now != leaf, now).alias("now")))
+    done = done.withColumn("folded_root", manifest.folded(F.coalesce("now", "leaf"), F.col("path")))
+    return done.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_rank_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of each document's ids by rank and of the bytes decoded from them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    done = rank_bpe.decode(rank_bpe.encode(docs))
+    return done.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     """Name to query."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op4_near_dups, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_media, op9_chat_format, op10_line_dedup)}
+    found = (
+        op1_quality_rules, op2_mix_sources, op3_bpe_roundtrip, op4_near_dups, op5_substring_dedup, op6_url_filter, op7_token_counts,
+        op8_media, op9_chat_format, op10_line_dedup, op11_lexical_search, op12_manifest, op13_rank_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
