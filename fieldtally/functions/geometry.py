@@ -101,18 +101,23 @@ def flat_footprint(x: Column, y: Column, z: Column, fovy: Column, yaw: Column, a
     return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
 
 
-def ground_ray(px: Column, py: Column, width: float, height: float, x: Column, y: Column, z: Column, fovy: Column, yaw: Column, pitch: Column, ground: Column, aspect: float = 1.0) -> Column:
-    """Struct (x, y, range) where a pixel's ray meets the plane z = ground, null for a level or rising ray.
+def pixel_ray(px: Column, py: Column, width: float, height: float, fovy: Column, yaw: Column, pitch: Column, aspect: float = 1.0) -> Column:
+    """Struct (dx, dy, dz): direction of a pixel's ray; it goes down by 1 in the middle of a level camera's picture.
 
     The camera looks straight down at pitch 0; a pitch tips it about its own x axis, then the yaw turns it.
     """
     t = F.tan(F.radians(fovy) / 2)
     u, v = (2 * px / width - 1) * aspect * t, (1 - 2 * py / height) * t
     cp, sp, cy, sy = F.cos(F.radians(pitch)), F.sin(F.radians(pitch)), F.cos(F.radians(yaw)), F.sin(F.radians(yaw))
-    dy, dz = cp * v + sp, sp * v - cp
-    dx2, dy2 = cy * u - sy * dy, sy * u + cy * dy
-    k = (ground - z) / F.when(dz < -1e-9, dz)
-    return F.when(k.isNotNull(), F.struct((x + k * dx2).alias("x"), (y + k * dy2).alias("y"), F.sqrt((k * dx2) ** 2 + (k * dy2) ** 2).alias("range")))
+    dy = cp * v + sp
+    return F.struct((cy * u - sy * dy).alias("dx"), (sy * u + cy * dy).alias("dy"), (sp * v - cp).alias("dz"))
+
+
+def ground_ray(px: Column, py: Column, width: float, height: float, x: Column, y: Column, z: Column, fovy: Column, yaw: Column, pitch: Column, ground: Column, aspect: float = 1.0) -> Column:
+    """Struct (x, y, range) where a pixel's ray (``pixel_ray``) meets the plane z = ground, null for a level or rising ray."""
+    d = pixel_ray(px, py, width, height, fovy, yaw, pitch, aspect)
+    k = (ground - z) / F.when(d["dz"] < -1e-9, d["dz"])
+    return F.when(k.isNotNull(), F.struct((x + k * d["dx"]).alias("x"), (y + k * d["dy"]).alias("y"), F.sqrt((k * d["dx"]) ** 2 + (k * d["dy"]) ** 2).alias("range")))
 
 
 def miss_reason(rays: Column, lx: float, hx: float, ly: float, hy: float) -> Column:
@@ -165,6 +170,29 @@ def to_utm(lon: Column, lat: Column) -> Column:
     return F.struct((_EAST + _K0 * big_a * east).alias("easting"), (_K0 * big_a * north + F.when(lat < 0, 10_000_000.0).otherwise(0.0)).alias("northing"))
 
 
+def from_utm(easting: Column, northing: Column, epsg: Column) -> Column:
+    """Struct (lon, lat) of a UTM position, the inverse of ``to_utm``; null where the code names no UTM zone.
+
+    Krueger's inverse series to third order, whose rest is below a tenth of a millimetre within a zone.
+    """
+    n = _FLAT / (2 - _FLAT)
+    big_a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (northing - F.when(epsg >= 32700, 10_000_000.0).otherwise(0.0)) / (_K0 * big_a)
+    eta = (easting - _EAST) / (_K0 * big_a)
+    up, out = xi, eta
+    for j, b in enumerate(beta, 1):
+        up = up - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        out = out - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(out))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    lon = epsg % 100 * 6 - 183 + F.degrees(F.atan2(F.sinh(out), F.cos(up)))
+    return F.when(is_utm(epsg), F.struct(lon.alias("lon"), F.degrees(phi).alias("lat")))
+
+
 def tile(lon: Column, lat: Column, zoom: int) -> Column:
     """Slippy-map tile (x, y) of a position."""
     n = float(1 << zoom)

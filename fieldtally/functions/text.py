@@ -31,6 +31,12 @@ def hour_of_day(ts: Column) -> Column:
     return F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0
 
 
+def mean_hour(hour: Column) -> Column:
+    """Mean of hours of day on the clock's circle, from -12 to 12: hours around midnight have a mean around midnight."""
+    angle = F.radians(15 * hour)
+    return F.degrees(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle)))) / 15
+
+
 def zone_offset(ts: Column, zone: str) -> Column:
     """Hours that a time zone is ahead of UTC at a moment."""
     return (F.unix_timestamp(F.from_utc_timestamp(ts, zone)) - F.unix_timestamp(ts)) / 3600.0

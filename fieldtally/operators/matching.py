@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import cut
-from .numerics import assign
+from .graphs import cut, merge_groups
+from .numerics import assign, sparse_pairs
 
 BLOCKED = 1e9
 #: Gates of a match.
@@ -183,16 +183,22 @@ def gate(found: DataFrame, shared: int = MIN_SHARED, px: float = GATE_PX, confid
 
 
 def one_to_one(admitted: DataFrame, by: str) -> DataFrame:
-    """Assignment of least total distance within each flight; pairs that aren't candidates are never matched."""
+    """Assignment of least total distance within each flight; pairs that aren't candidates are never matched.
+
+    As many pairs as can be, and of these the ones of least distance. Tracks that no chain of candidates connects don't
+    bear on each other, so each connected group is solved on its own, on its candidates alone; a group is one task.
+    """
+    name = lambda side: F.concat_ws(":", F.col(by).cast("string"), F.lit(side), F.col(f"track_{side}").cast("string"))
+    pairs = admitted.select(by, "track_t", "track_w", "median_dist").withColumns({"a": name("t"), "b": name("w")})
+    groups = merge_groups(pairs.select("a", "b"))
+    dealt = pairs.join(groups.hint("merge"), F.col("a") == F.col("node"))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
-        t, w = np.sort(g["track_t"].unique()), np.sort(g["track_w"].unique())
-        cost = np.full((len(t), len(w)), BLOCKED)
-        cost[np.searchsorted(t, g["track_t"]), np.searchsorted(w, g["track_w"])] = g["median_dist"]
-        rows = [(g[by].iloc[0], t[i], w[j], cost[i, j]) for i, j in assign(cost) if cost[i, j] < BLOCKED]
+        least = g.groupby(["track_t", "track_w"], sort=True)["median_dist"].min()
+        rows = [(g[by].iloc[0], t, w, least[t, w]) for t, w in sparse_pairs([(t, w, c) for (t, w), c in least.items()], BLOCKED)]
         return pd.DataFrame(rows, columns=[by, "track_t", "track_w", "median_dist"])
 
-    return admitted.select(by, "track_t", "track_w", "median_dist").groupBy(by).applyInPandas(solve, f"{by} {dict(admitted.dtypes)[by]}, track_t long, track_w long, median_dist double")
+    return dealt.groupBy("root").applyInPandas(solve, f"{by} {dict(admitted.dtypes)[by]}, track_t long, track_w long, median_dist double")
 
 
 def match_summary(found: DataFrame, matched: DataFrame, by: str) -> DataFrame:

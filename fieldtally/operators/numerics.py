@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -96,6 +97,48 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), j) for j, r in enumerate(row_of) if r >= 0)
 
 
+def sparse_pairs(candidates: list[tuple[int, int, float]], alone: float) -> list[tuple[int, int]]:
+    """One-to-one pairs of candidates (row, column, cost of 0 or more) with the least total, where a row without a pair costs ``alone``.
+
+    Rows come in one after the other; each takes the shortest path of swaps to a free column, or to leaving one row
+    alone, on costs that are reduced by prices of rows and columns. Work and memory grow with the candidates.
+    """
+    ways: dict = {}
+    for row, column, cost in candidates:
+        ways.setdefault(row, []).append(((0, column), cost))
+    price_of_row, price, taken, held = dict.fromkeys(ways, 0.0), {}, {}, {}
+    for row in sorted(ways):
+        ways[row].append(((1, row), alone))  # a column of its own
+        reached: dict = {}
+        behind: dict = {}
+        queue: list = []
+        now, far = row, 0.0
+        while True:
+            for column, cost in ways[now]:
+                if column not in reached:
+                    heapq.heappush(queue, (far + cost - price_of_row[now] - price.get(column, 0.0), column, now))
+            while queue[0][1] in reached:
+                heapq.heappop(queue)
+            far, column, now = heapq.heappop(queue)
+            reached[column], behind[column] = far, now
+            if column not in taken:
+                break
+            now = taken[column]
+        price_of_row[row] += far
+        for c, d in reached.items():
+            if c in taken:
+                price_of_row[taken[c]] += far - d
+            price[c] = price.get(c, 0.0) - (far - d)
+        while True:  # swap back along the path
+            now = behind[column]
+            before = held.get(now)
+            taken[column], held[now] = now, column
+            if now == row:
+                break
+            column = before
+    return sorted((row, column[1]) for column, row in taken.items() if column[0] == 0)
+
+
 def union_area(rings: list) -> float:
     """Area covered by simple polygons (even-odd within each), by vertical slabs between all vertices and crossings."""
     edges = []

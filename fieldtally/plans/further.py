@@ -39,9 +39,9 @@ def j25_visible_segments(spark, sf):
     return r.withColumn("distance_m", F.round("distance_m", 6))
 
 
-@query("select l.transect_id, coalesce(n, 0) as count, coalesce(f, 0) as frames, coalesce(s, 0) as frames_with_fov from lines l left join (select obj + 1 as transect_id, count(*) as n from det where obj < 6 group by 1) a using (transect_id) left join (select frame // 20 + 1 as transect_id, count(*) as f, count(x) as s from poses group by 1) p using (transect_id)")
+@query("select l.transect_id, coalesce(n, 0) as count, coalesce(f, 0) as frames, coalesce(s, 0) as frames_with_fov from lines l left join (select obj + 1 as transect_id, count(*) as n from det group by 1) a using (transect_id) left join (select frame // 20 + 1 as transect_id, count(*) as f, count(x) as s from poses group by 1) p using (transect_id)")
 def a17_transect_table(spark, sf):
-    a = d.detections(spark, sf).where("obj < 6").select((F.col("obj") + 1).alias("transect_id"))
+    a = d.detections(spark, sf).select((F.col("obj") + 1).alias("transect_id"))
     f = d.poses(spark, sf).selectExpr("frame div 20 + 1 as transect_id", "x is not null as seen")
     return survey.transect_table(d.lines(spark, sf), a, f)
 

@@ -106,10 +106,3 @@ def x1_windowed_counts(spark, sf):
 def x2_sessions(spark, sf):
     s = windows.sessions(spark.read.parquet(f"{sf}/events.parquet"))
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
-
-
-@query("with recursive e(a, b) as (select * from (values ('frames','detections'),('detections','georeferenced'),('georeferenced','tracks'),('frames','fov'),('tracks','matches'),('detections','embeddings'),('embeddings','classification'),('tracks','classification'),('classification','life_stage'),('tracks','perpendicular'),('fov','perpendicular'),('tracks','density'),('fov','coverage'),('tracks','population'),('fov','population'),('frames','flight_route'),('classification','export')) v(a,b)), r(root, stage) as (select a, b from e union select r.root, e.b from r join e on e.a = r.stage) select root, stage from r where root in ('detections', 'fov')")
-def c1_dependents(spark, sf):
-    from .stages import dependents
-
-    return spark.createDataFrame([(r, s) for r in ("detections", "fov") for s in dependents(r)], "root string, stage string")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, further, lifecycle, published, relational, scalars, surveyed, tracked
+from . import files, further, grounded, lifecycle, published, relational, scalars, staged, surveyed, tracked
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = relational.Q | tracked.Q | scalars.Q | surveyed.Q | published.Q | further.Q | files.Q | lifecycle.Q
+_ALL = relational.Q | tracked.Q | scalars.Q | surveyed.Q | published.Q | further.Q | files.Q | lifecycle.Q | grounded.Q | staged.Q
 
 
 def queries() -> dict[str, Query]:

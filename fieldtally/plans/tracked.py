@@ -249,11 +249,21 @@ def r29_raster_bounds(spark, sf):
     return raster.bounds(d.detections(spark, sf).selectExpr("floor(y1/25) as row", "floor(x1/25) as col"))
 
 
-@query("with t as (select flight_id, detection_id, to_timestamp(t_us // 1000000) at time zone 'UTC' as ts from det), h as (select flight_id, avg(hour(ts + to_hours(flight_id % 5)) + minute(ts) / 60.0::double + second(ts) / 3600.0::double) filter (detection_id % 2 = 0) as loc, avg(hour(ts) + minute(ts) / 60.0::double + second(ts) / 3600.0::double) filter (detection_id % 3 = 0) as utc from t where hour(ts) < 18 group by 1) select flight_id, round_even(loc - utc, 0) + 0.0 as offset_hours from h")
+@query("""
+with t as (select flight_id, detection_id, to_timestamp(t_us // 1000000) at time zone 'UTC' as ts from det),
+h as (
+  select flight_id, detection_id, hour(ts) + minute(ts) / 60.0::double + second(ts) / 3600.0::double as utc,
+    hour(ts + to_hours(flight_id % 5)) + minute(ts) / 60.0::double + second(ts) / 3600.0::double as loc from t),
+m as (
+  select flight_id, degrees(atan2(avg(sin(radians(15 * loc))) filter (detection_id % 2 = 0), avg(cos(radians(15 * loc))) filter (detection_id % 2 = 0))) / 15
+    - degrees(atan2(avg(sin(radians(15 * utc))) filter (detection_id % 2 = 0), avg(cos(radians(15 * utc))) filter (detection_id % 2 = 0))) / 15 as off
+  from h group by 1)
+select flight_id, round_even(off - 24 * floor((off + 12) / 24), 0) + 0.0 as offset_hours from m""")
 def a29_timezone_offset(spark, sf):
-    """Hours that the local clock of each flight's subtitles is ahead of its log: difference of mean hours of day."""
+    """Hours that the local clock of each flight's subtitles is ahead of its log: difference of mean hours, over midnight as well."""
     ts = F.timestamp_seconds(F.floor(F.col("t_us") / 1_000_000))
-    local = F.when(F.col("detection_id") % 2 == 0, text.hour_of_day(F.timestamp_seconds(F.unix_timestamp(ts) + F.col("flight_id") % 5 * 3600)))
-    utc = F.when(F.col("detection_id") % 3 == 0, text.hour_of_day(ts))
-    x = d.detections(spark, sf).where(F.hour(ts) < 18)  # before any local midnight
-    return x.groupBy("flight_id").agg((F.bround(F.avg(local) - F.avg(utc), 0) + 0.0).alias("offset_hours"))
+    x = d.detections(spark, sf).where("detection_id % 2 = 0")
+    local = text.hour_of_day(F.timestamp_seconds(F.unix_timestamp(ts) + F.col("flight_id") % 5 * 3600))
+    hours = x.groupBy("flight_id").agg(text.mean_hour(local).alias("loc"), text.mean_hour(text.hour_of_day(ts)).alias("utc"))
+    off = F.col("loc") - F.col("utc")
+    return hours.select("flight_id", (F.bround(off - 24 * F.floor((off + 12) / 24), 0) + 0.0).alias("offset_hours"))
