@@ -5,8 +5,8 @@ the term adds to a score at most) and its k-th largest. An item's k-th score is
 terms: k documents reach that with this term alone. Sums over an item's few strongest terms raise this threshold further,
 since they too are lower bounds of scores. Sorted by largest impact, the terms at the weak end whose largest impacts sum
 up to less than the threshold can bring no document into the result on their own: only postings of the others make
-candidates. A candidate whose sum, with all that the weak terms could add, stays below the threshold goes; the rest are
-scored exactly from the index.
+candidates. A candidate whose sum, with all that the weak terms could add, stays below the threshold, or below the k-th of
+these sums, goes; the rest are scored exactly from the index.
 
 Terms are the maximal runs of ASCII letters and digits and of all code points from U+0080, A-Z in lower case.
 """
@@ -69,7 +69,8 @@ def index(docs: DataFrame, items: DataFrame, k: int = TOP) -> Index:
     found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", terms_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     each = found.select("row", "doc_id", F.size("words").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
     each = each.join(_near(known, known.count()), "word").groupBy("row", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = stored(each, "counted")
+    # a document's postings lie together, so that sums over them are small before they are shuffled
+    counted = stored(each.repartition("row"), "counted")
     total = counted.where(F.col("term") == own).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
     m = F.expr(f"50 + (50 * n * {total.docs}) div {max(1, total.terms or 0)}")
     postings = counted.where(F.col("term") != own).select("row", "doc_id", "term", "tf", m.alias("m"))
@@ -112,8 +113,15 @@ def search(ix: Index, k: int = TOP) -> DataFrame:
     weak = F.sum("top").over(item.orderBy(F.col("place").desc()))
     terms = terms.withColumn("upto", weak).withColumn("strong", F.col("upto") >= F.col("least"))
     rest = F.coalesce(F.max(F.when(~F.col("strong"), F.col("upto"))).over(item), F.lit(0))
-    terms = stored(terms.withColumn("least", F.greatest(F.col("least") - rest, F.lit(1))), "bounded-terms")
+    terms = terms.withColumn("rest", rest).withColumn("least", F.greatest(F.col("least") - F.col("rest"), F.lit(1)))
+    terms = stored(terms, "bounded-terms")
     found = _sums(ix, terms.where("strong").select("item", "term", "weight", "least")).where(F.col("sum") >= F.col("least"))
+    # the k-th of these sums bounds the k-th score once more; what the weak terms add can't make up for less than that
+    found = stored(found, "sums")
+    best = found.withColumn("r", F.row_number().over(item.orderBy(F.col("sum").desc()))).where(F.col("r") <= k)
+    last = best.groupBy("item").agg(F.min(F.when(F.col("r") == k, F.col("sum"))).alias("last"))
+    last = last.join(terms.groupBy("item").agg(F.first("rest").alias("rest")), "item").select("item", (F.col("last") - F.col("rest")).alias("need"))
+    found = found.join(_near(last, ix.n_asked), "item").where(F.col("need").isNull() | (F.col("sum") >= F.col("need")))
     found = stored(found.select("item", "row"), "candidates")
     # all postings of the candidates, and of these the item's terms
     exact = ix.postings.join(found.hint("merge"), "row").join(_near(terms.select("item", "item_id", "term", "weight"), ix.n_asked), ["item", "term"])
