@@ -1,6 +1,6 @@
 """URL filters: a tree of path templates for each host, judged by smoothed labelled purity.
 
-A URL's path is cut into segments. Level by level, until no path has segments left, segments that vary become the
+A URL's path is cut into segments. From one branching point to the next, until no path has segments left, those that vary become the
 wildcard ``*``: those that look like an identifier, unless their own labels differ from those of the identifiers beside
 them, and those of a branching point with many rare children. Of the named siblings that remain, those on one side of
 the rejection share are compared with each other: a branch that is statistically like the rest of its side is merged
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, packed, stored
+from .common import named, packed, remove, shared_path, stored
 
 #: A segment with digits, or of hexadecimal or long opaque text, looks like an identifier.
 IDENTIFIER = r"^(?=.*[0-9]).*$|^[0-9a-fA-F-]{8,}$|^.{40,}$"
@@ -72,34 +72,87 @@ def alike(bad: Column, labelled: Column, all_bad: Column, all_labelled: Column)
     return F.abs(F.try_divide(bad, labelled) - F.try_divide(all_bad - bad, rest)) < ALIKE_Z * F.sqrt(variance)
 
 
+def _shared(rest: Column, other: Column) -> Column:
+    """How many first segments two paths share; ``other`` is no beginning of ``rest``."""
+    at = F.array_position(F.zip_with(rest, other, lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    return F.when(at > 0, at - 1).otherwise(F.size(rest)).cast("int")
+
+
+def _alone(segment: Column) -> Column:
+    """What a segment without a sibling becomes."""
+    return F.when(segment.isin(WILDCARD, GOOD, BAD) | segment.rlike(IDENTIFIER), WILDCARD).otherwise(segment)
+
+
+def _past_chains(level: DataFrame) -> DataFrame:
+    """``level`` with each path taken on to where its branching point's paths part, or to its own end before.
+
+    Up to there no segment has a sibling, so what it becomes and its smoothed share follow from itself, however many
+    there are. ``longest`` is the greatest rest below a point: the paths that part from it do so where they differ from it,
+    and those that don't are beginnings of it.
+    """
+    key = ["host", "template"]
+    point = level.groupBy(key).agg(F.max("rest").alias("longest"))
+    each = level.join(point, key).withColumn("same", _shared(F.col("rest"), F.col("longest")))
+    parts = each.groupBy(key).agg(F.min(F.when(F.col("same") < F.size("rest"), F.col("same"))).alias("parts"))
+    each = each.join(parts, key).withColumn("chain", F.coalesce("parts", F.size("longest")))
+    each = each.withColumn("steps", F.least(F.size("rest"), F.col("chain")))
+    # labels of the paths that are still there after so many steps, and the share that they make of the one before
+    sums = each.groupBy(*key, "chain", "steps").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.first("bad_share").alias("up"), F.first("support").alias("s0"))
+    ends = sums.groupBy(*key, "chain").agg(F.collect_list(F.struct("steps", "bad", "labelled")).alias("ends"), F.first("up").alias("up"), F.first("s0").alias("s0"))
+    there = lambda t, c: F.aggregate(F.filter("ends", lambda e: e["steps"] >= t), F.lit(0).cast("long"), lambda a, e: a + e[c])
+
+    def step(shares: Column, t: Column) -> Column:
+        bad, labelled = there(t, "bad"), there(t, "labelled")
+        share = (bad + PRIOR * F.element_at(shares, -1)["share"]) / (labelled + PRIOR)
+        return F.array_append(shares, F.struct(share.alias("share"), labelled.alias("support")))
+
+    first = F.array(F.struct(F.col("up").alias("share"), F.col("s0").alias("support")))
+    turns = F.when(F.col("chain") > 0, F.sequence(F.lit(1), F.col("chain"))).otherwise(F.array().cast("array<int>"))
+    shares = ends.select(*key, F.aggregate(turns, first, step).alias("shares"))
+    here = F.get(F.col("shares"), F.col("steps"))
+    return each.join(shares, key).select(
+        "host", "segments", F.slice("rest", F.col("steps") + 1, F.size("rest")).alias("rest"),
+        F.concat("template", F.transform(F.slice("rest", F.lit(1), F.col("steps")), _alone)).alias("template"),
+        here["share"].alias("bad_share"), here["support"].alias("support"), "n", "bad", "labelled",
+    )
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """The deepest template of each path, and its purity: host, segments, template (array), bad_share, support (labels).
 
     ``paths``: host, segments, bad (1, 0, or null without a label). Rows are pre-aggregated by whole path first, so the
-    result grows with the number of different paths alone. There is a stored level for each segment of the longest
-    path; a path leaves at its last segment. A level's share is smoothed towards its parent's, from all hosts down.
+    result grows with the number of different paths alone. Each round takes all paths on to the next branching point and
+    then past it, so there are as many rounds as branching points lie on one path, however long paths are; a path leaves
+    where it ends. A node's share is smoothed towards its parent's, from all hosts down. A round's tables are removed after it.
     """
+    spark = paths.sparkSession
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
     smoothed = (F.col("bad") + PRIOR * F.col("up")) / (F.col("labelled") + PRIOR)
     level = paths.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("bad", F.lit(0)).cast("long")).alias("bad"), F.count("bad").alias("labelled")
     )
-    level = stored(level, "paths")
+    level = whole = stored(level, "paths")
     total = level.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR * PRIOR_BAD) / (F.coalesce(F.sum("labelled"), F.lit(0)) + PRIOR)).alias("up")
     )
     root = level.groupBy("host").agg(*sums).withColumn("up", total.scalar())
     root = root.select("host", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
-    level = stored(level.join(root, "host").withColumn("template", F.array().cast("array<string>")), "level")
+    level = level.join(root, "host").withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("segments"))
+    level = stored(level, "level")
+    remove(spark, whole)
     kept = ("host", "segments", "template", "bad_share", "support")
-    done, depth = level.where(F.size("segments") == 0).select(*kept), 0
+    path = shared_path(spark, "templates")
+    level.where(F.size("rest") == 0).select(*kept).write.parquet(path)
     wild = F.col("segment").isin(WILDCARD, GOOD, BAD)  # as in a path that is a template itself
     opaque = ~wild & F.col("segment").rlike(IDENTIFIER)
     plain = ~wild & ~opaque
     side = F.when(plain & (F.col("labelled") > 0), F.when(F.col("bad") >= REJECT * F.col("labelled"), BAD).otherwise(GOOD))
     kinds = {"named": plain, "opaque": opaque, "good": side == GOOD, "bad": side == BAD}
-    while not (here := level.where(F.size("segments") > depth)).isEmpty():
-        here = here.withColumn("segment", F.get("segments", F.lit(depth)))
+    while not (live := level.where(F.size("rest") > 0)).isEmpty():
+        past = stored(_past_chains(live), "past-chains")
+        remove(spark, level)
+        past.where(F.size("rest") == 0).select(*kept).write.mode("append").parquet(path)
+        here = past.where(F.size("rest") > 0).withColumn("segment", F.get("rest", F.lit(0)))
         child = stored(here.groupBy("host", "template", "segment").agg(*sums, F.first("bad_share").alias("up")), "children")
         # a branching point's facts: children, pages and labels below it, of each kind of child
         facts = [
@@ -120,10 +173,14 @@ def templates(paths: DataFrame) -> DataFrame:
         node = node.select("host", "template", "to", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
         step = step.select("host", "template", "segment", "to").join(node, ["host", "template", "to"])
         moved = here.drop("bad_share", "support").join(step, ["host", "template", "segment"])
-        level = moved.select("host", "segments", F.concat("template", F.array("to")).alias("template"), "bad_share", "support", "n", "bad", "labelled")
-        level, depth = stored(level, "level"), depth + 1
-        done = done.unionByName(level.where(F.size("segments") == depth).select(*kept))
-    return done
+        rest = F.slice("rest", F.lit(2), F.size("rest"))
+        level = moved.select("host", "segments", rest.alias("rest"), F.concat("template", F.array("to")).alias("template"), "bad_share", "support", "n", "bad", "labelled")
+        level = stored(level, "level")
+        for gone in (past, child):
+            remove(spark, gone)
+        level.where(F.size("rest") == 0).select(*kept).write.mode("append").parquet(path)
+    remove(spark, level)
+    return spark.read.schema(level.select(*kept).schema).parquet(path)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str, url: str = "url") -> DataFrame:
