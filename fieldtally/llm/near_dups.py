@@ -58,21 +58,22 @@ def _texts(column) -> list[bytes]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set) and signature of each row."""
+    """doc_id, h (a hash of the text), n_shingles, key (null for an empty set) and signature of each row."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                sets = [s for g in grouped(_texts(b.column(1))) for s in shingle_sets(g)]
+                sets = [s for g in grouped(_texts(b.column(2))) for s in shingle_sets(g)]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0),
+                    b.column(0), b.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
-                ], ["doc_id", "n_shingles", "key", "signature"])
+                ], ["doc_id", "h", "n_shingles", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, signature binary")
+    sent = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    return sent.mapInArrow(run, "doc_id long, h long, n_shingles long, key binary, signature binary")
 
 
 def _node(doc_id: Column, key: Column) -> Column:
@@ -243,9 +244,13 @@ def _hub_links(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted classes (node, doc_id, key), from the texts of their least documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
-    found = texts.join(wanted.select("doc_id", "key", "node").hint("merge").alias("w"), F.expr("d.doc_id <=> w.doc_id")).select("text", "key", "node")
+    """(node, shingles) of the wanted classes (node, doc_id, h, key), each from the text of one of its documents.
+
+    Joined by doc_id and the text's hash: however many rows share a doc_id, or have none, a class meets only its own text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").alias("d")
+    by = F.expr("d.h = w.h and d.doc_id <=> w.doc_id")
+    found = texts.join(wanted.select("doc_id", "h", "key", "node").hint("merge").alias("w"), by).select("text", "key", "node")
 
     def run(batches):
         for whole in batches:
@@ -270,7 +275,9 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = stored(features(docs), "features")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")
+    classes = rows.where("key is not null").groupBy("key").agg(least, F.first("signature").alias("signature"))
+    classes = classes.select("key", "least.doc_id", "least.h", "signature")
     classes = stored(classes.withColumn("node", _node(F.col("doc_id"), F.col("key"))), "classes")
     regions = stored(_regions(classes.select("node", "signature")), "all-regions")
     small = regions.where(F.col("n") <= SMALL).groupBy("region").agg(F.array_sort(F.collect_list("node")).alias("m"))
