@@ -9,6 +9,7 @@ read is tried again alone, from its offset; one that stays unreadable gives a ro
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zipfile
@@ -127,12 +128,15 @@ class Range(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, folder: str, size: int):
-        self.folder, self.size = folder, size
+    def __init__(self, folder: str, size: int, names: list[str] | None):
+        self.folder, self.size, self.names = folder, size, names
 
     def partitions(self) -> list[Range]:
         files, base = fs.FileSystem.from_uri(self.folder)
-        found = [f for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.path.endswith(".zip")]
+        if self.names is None:
+            found = [f for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.path.endswith(".zip")]
+        else:
+            found = files.get_file_info([f"{base}/{n}" for n in self.names])
         found.sort(key=lambda f: f.path)
         return [Range(f.path, at, at + self.size) for f in found for at in range(0, f.size, self.size)] or [Range("", 0, 0)]
 
@@ -170,7 +174,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media_archives").load(folder)``; option rangeBytes."""
+    """``spark.read.format("media_archives").load(folder)``; options rangeBytes, and names: a JSON list of the archives to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -180,13 +184,15 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)))
+        names = json.loads(self.options["names"]) if "names" in self.options else None
+        return ArchiveReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)), names)
 
 
-def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All members below a folder; see SCHEMA. An empty folder has none."""
+def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, names: list[str] | None = None) -> DataFrame:
+    """All members of the named archives in a folder, or of all archives there; see SCHEMA. No archive, no members."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archives").option("rangeBytes", str(range_bytes)).load(folder)
+    reader = spark.read.format("media_archives").option("rangeBytes", str(range_bytes))
+    return (reader if names is None else reader.option("names", json.dumps(names))).load(folder)
 
 
 def measured(members: DataFrame) -> DataFrame:
@@ -225,8 +231,10 @@ def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "media")
-    write_archives(docs, key, text, folder)
-    members = read_archives(spark, folder)
+    # archives that a task which was lost has left behind are not among those that were committed
+    made = write_archives(docs, key, text, folder)
+    names = sorted(r.name for r in made.select(F.substring_index("archive", "/", -1).alias("name")).collect())
+    members = read_archives(spark, folder, names=names)
     at = F.instr("member", "/")
     key_of = F.when(at > 0, F.substring(F.col("member"), at + 1, F.length("member")))
     return measured(members.select(key_of.alias("key"), "media", "error"))
