@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from .common import bind, named, packed, remove, stored
 
 #: Most words that are folded once for all; their bytes are at most MEMO_BYTES each.
-MEMO, MEMO_BYTES = 1 << 18, 64
+MEMO, MEMO_BYTES = 1 << 19, 64
 #: Small maps in the literal map of ranks, a power of two.
 RANKS = 1 << 16
 #: Bytes that are folded at once: of a pre-token, and at most.
 CHUNK, FOLDED = 96, 126
-#: Stands for no rank; above every rank.
-NONE = 1 << 23
+#: A rank is kept as the character from FIRST on, and NONE, above all of them, stands for no rank; between are MOST ranks.
+FIRST, NONE = 0x100, "\ufffd"
+MOST = 0xD800 - FIRST
 #: Bytes on each side of a border within which tokens are folded again, until those at the window's ends stay. A token is shorter than the last.
 WINDOWS = (16, 34, 62)
 #: One character for each byte.
@@ -58,10 +59,13 @@ def pattern() -> str:
 
 
 def ranks(path: str) -> pa.Table:
-    """Columns (key, value) of a rank file: each token's bytes and its rank. Only the driver reads it."""
+    """Columns (key, value) of a rank file of at most MOST ranks: each token's bytes, and its rank as a character. Only the driver reads it."""
     with open(path, "rb") as f:
         pairs = [line.split() for line in f if line.strip()]
-    return pa.table({"key": pa.array([base64.b64decode(a) for a, _ in pairs], pa.binary()), "value": pa.array([int(b) for _, b in pairs], pa.int32())})
+    if max(int(b) for _, b in pairs) >= MOST:
+        raise ValueError(f"{path}: ranks of {MOST} and more are not supported")
+    keys, values = [base64.b64decode(a) for a, _ in pairs], [chr(FIRST + int(b)) for _, b in pairs]
+    return pa.table({"key": pa.array(keys, pa.binary()), "value": pa.array(values, pa.string())})
 
 
 def one_value(spark: SparkSession, value: pa.Array) -> Column:
@@ -87,7 +91,7 @@ def found(table: Column, key: Column, size: int) -> Column:
 
 
 def _rank(table: Column, data: Column, start: Column, end: Column) -> Column:
-    """Rank of the bytes from ``start`` to before ``end``, or null."""
+    """Rank of the bytes from ``start`` to before ``end`` as a character, or null."""
     return found(table, F.substring(data, start + 1, end - start), RANKS)
 
 
@@ -102,46 +106,38 @@ def _steps(a: Column, b: Column) -> Column:
 def fold(table: Column, data: Column, first: Column, end: Column) -> Column:
     """Boundaries of the tokens of ``data`` from ``first`` to ``end``, at most FOLDED bytes: an array of places, both ends included.
 
-    A step merges one pair. ``pairs`` has an entry for each byte: FOLDED + 1 times the rank of the pair whose first part
-    begins there (NONE: there is no such pair or token), plus the place; so the least entry is the pair to merge.
-    ``cuts`` has the places where parts begin, and the end, as the characters from 1 of a string.
+    A step merges one pair. The state is two strings, which Spark cuts and joins faster than arrays: ``pairs`` has the rank
+    of each pair of neighbours as a character (NONE: they are no token), so the least one, where it stands first, is the
+    pair to merge; ``cuts`` has the places where parts begin, and the end, as the characters from 1.
     """
-    width = FOLDED + 1
-    at = lambda cuts, i: F.ascii(F.substring(cuts, i, F.lit(1))) - 1
-
-    def entry(start: Column, stop: Column) -> Column:
-        return F.coalesce(_rank(table, data, first + start, first + stop), F.lit(NONE)) * width + start
+    char = lambda x, i: F.substring(x, i, F.lit(1))
+    at = lambda cuts, i: F.ascii(char(cuts, i)) + (first - 1)
 
     def step(state: Column, _) -> Column:
         cuts, pairs = state["cuts"], state["pairs"]
 
-        def merged(m: Column) -> Column:
-            # parts a, s, r and e follow each other; s and r become one
-            s, i = m["s"], m["i"]
-            a, r, e, behind = at(cuts, i - 1), at(cuts, i + 1), at(cuts, i + 2), at(cuts, i + 3)
-            new = bind(F.struct(F.when(i > 1, a).alias("a"), r.alias("r")), lambda x: F.transform(
-                pairs,
-                lambda p: F.when(p % width == s, F.when(behind > 0, entry(s, behind)).otherwise(NONE * width + s))
-                .when(p % width == x["r"], NONE * width + p % width)
-                .when(p % width == x["a"], entry(x["a"], e))
-                .otherwise(p),
-            ))
-            left = F.concat(F.substring(cuts, F.lit(1), i), F.substring(cuts, i + 2, F.length(cuts)))
-            return F.struct(left.alias("cuts"), new.alias("pairs"))
-
-        def go_on(lowest: Column) -> Column:
-            s = lowest % width
-            return F.when(lowest < NONE * width, bind(F.struct(s.alias("s"), F.instr(cuts, F.chr(s + 1)).alias("i")), merged)).otherwise(state)
-
-        return bind(F.array_min(pairs), go_on)
+        def rank(i: Column, j: Column) -> Column:
+            return F.coalesce(_rank(table, data, at(cuts, i), at(cuts, j)), F.lit(NONE))
+
+        def merged(i: Column) -> Column:
+            # pair i is of the parts that begin at cuts i and i + 1, so cut i + 1 goes
+            before = F.when(i > 1, rank(i - 1, i + 2)).otherwise("")
+            behind = F.when(i < F.length(pairs), rank(i, i + 3)).otherwise("")
+            return F.struct(
+                F.concat(F.substring(cuts, F.lit(1), i), F.substr(cuts, i + 2)).alias("cuts"),
+                F.concat(F.substring(pairs, F.lit(1), i - 2), before, behind, F.substr(pairs, i + 2)).alias("pairs"),
+            )
+
+        lowest = F.array_min(F.split(pairs, ""))
+        return bind(lowest, lambda x: F.when(x < NONE, bind(F.instr(pairs, x), merged)).otherwise(state))
 
     n = end - first
     start = F.struct(
-        F.substring(F.lit("".join(map(chr, range(1, width + 1)))), F.lit(1), n + 1).alias("cuts"),
-        F.transform(_steps(F.lit(0), n - 2), lambda i: entry(i, i + 2)).alias("pairs"),
+        F.substring(F.lit("".join(map(chr, range(1, FOLDED + 2)))), F.lit(1), n + 1).alias("cuts"),
+        F.array_join(F.transform(_steps(first, end - 2), lambda i: F.coalesce(_rank(table, data, i, i + 2), F.lit(NONE))), "").alias("pairs"),
     )
-    done = F.when(n > 1, F.aggregate(_steps(F.lit(0), n - 2), start, step, lambda state: state["cuts"])).otherwise(start["cuts"])
-    return bind(done, lambda cuts: F.transform(_steps(F.lit(1), F.length(cuts)), lambda i: at(cuts, i) + first))
+    done = F.aggregate(_steps(F.lit(2), n), start, step, lambda state: state["cuts"])
+    return bind(done, lambda cuts: F.transform(_steps(F.lit(1), F.length(cuts)), lambda i: at(cuts, i)))
 
 
 def fold_long(table: Column, data: Column) -> Column:
@@ -152,11 +148,12 @@ def fold_long(table: Column, data: Column) -> Column:
 
     def step(state: Column, _) -> Column:
         cuts, pairs = state["cuts"], state["pairs"]
+        empty = F.array().cast("array<string>")
 
         def merged(i: Column) -> Column:
             # pair i (from 1) is of the parts between cuts i - 1, i and i + 1 (from 0): cut i goes
-            before = F.when(i > 1, F.array(_rank(table, data, F.get(cuts, i - 2), F.get(cuts, i + 1)))).otherwise(_none())
-            behind = F.when(i < F.size(pairs), F.array(_rank(table, data, F.get(cuts, i - 1), F.get(cuts, i + 2)))).otherwise(_none())
+            before = F.when(i > 1, F.array(_rank(table, data, F.get(cuts, i - 2), F.get(cuts, i + 1)))).otherwise(empty)
+            behind = F.when(i < F.size(pairs), F.array(_rank(table, data, F.get(cuts, i - 1), F.get(cuts, i + 2)))).otherwise(empty)
             return F.struct(
                 F.concat(F.slice(cuts, F.lit(1), i), F.slice(cuts, i + 2, F.size(cuts))).alias("cuts"),
                 F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), before, behind, F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"),
@@ -210,13 +207,13 @@ def chunked(table: Column, data: Column) -> Column:
 
 
 def word_ids(table: Column, word: Column) -> Column:
-    """Ids of one pre-token: its own rank where it is a token, else its tokens'."""
+    """Ids of one pre-token, as characters: its own rank where it is a token, else its tokens'."""
 
     def of(data: Column) -> Column:
         short = fold(table, data, F.lit(0), F.length(data))
         cuts = F.when(F.length(data) <= CHUNK, short).otherwise(F.coalesce(chunked(table, data), fold_long(table, data)))
         tokens = bind(cuts, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: _rank(table, data, F.get(c, i - 1), F.get(c, i))))
-        return bind(found(table, data, RANKS), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(tokens))
+        return F.coalesce(found(table, data, RANKS), F.array_join(tokens, ""))
 
     return bind(F.encode(word, "UTF-8"), of)
 
@@ -253,8 +250,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", m
     once = often.select("word", table.alias("t")).select(F.col("word").alias("key"), bind(F.col("t"), lambda t: word_ids(t, F.col("word"))).alias("value"))
     known = buckets(spark, once.toArrow(), MEMO)
     one = lambda t, k: lambda w: F.coalesce(found(k, w, MEMO), word_ids(t, w))
-    ids = bind(F.col("t"), lambda t: bind(F.col("k"), lambda k: F.flatten(F.transform(pieces(F.col("text")), one(t, k)))))
-    done = packed(docs, ("n_tokens", "ids"), text=named(text), t=table, k=known).select("row", ids.alias("ids"))
+    coded = bind(F.col("t"), lambda t: bind(F.col("k"), lambda k: F.array_join(F.transform(pieces(F.col("text")), one(t, k)), "")))
+    done = packed(docs, ("n_tokens", "ids"), text=named(text), t=table, k=known).select("row", coded.alias("c"))
+    ids = F.when(F.col("c") == "", _none()).otherwise(F.transform(F.split("c", ""), lambda x: F.ascii(x) - FIRST))
+    done = done.select("row", ids.alias("ids"))
     return done.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -266,7 +265,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids")
     """
     pairs = ranks(vocabulary or default_vocabulary())
     # token bytes by id; ids may have gaps
-    ids_of = pairs["value"].to_numpy()
+    ids_of = np.asarray([ord(c) - FIRST for c in pairs["value"].to_pylist()])
     at = np.full(ids_of.max() + 1, -1)
     at[ids_of] = np.arange(len(ids_of))
     # as characters, one a byte: Spark joins strings at once, and binary values two by two
