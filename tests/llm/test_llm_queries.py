@@ -17,7 +17,7 @@ def test_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
     c = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     want = c.sql(queries.oracle_sql()[name])
