@@ -28,14 +28,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, tolerance: int, b
     return near.where(F.col("gap") <= tolerance)
 
 
-def first_range(rows: DataFrame, ranges: DataFrame, frame: str = "frame") -> DataFrame:
+def first_range(rows: DataFrame, ranges: DataFrame, frame: str = "frame", by: str | None = None) -> DataFrame:
     """Each row with the first listed range (start_frame, end_frame, pos) that holds its frame: column ``range`` or null.
 
-    A project has a handful of ranges; they come as one array of the row's plan, so rows are never multiplied.
+    With ``by``, rows meet the ranges of their own flight (or whatever it names) by an equi-join, as one array a flight.
+    Without, ``ranges`` are a project's handful and come as one array of the row's plan. Rows are never multiplied.
     """
-    listed = ranges.agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in ranges.columns if c != "pos"]))).alias("r"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", *[c for c in ranges.columns if c not in ("pos", by)]))).alias("_ranges")
+    if by is None:
+        rows = rows.withColumn("_ranges", ranges.agg(listed).scalar())
+    else:
+        rows = rows.join(ranges.groupBy(by).agg(listed), by, "left")
     fit = F.filter("_ranges", lambda r: F.col(frame).between(r["start_frame"], r["end_frame"]))
-    return rows.withColumn("_ranges", listed.scalar()).withColumn("range", F.get(fit, F.lit(0))).drop("_ranges")
+    return rows.withColumn("range", F.get(fit, F.lit(0))).drop("_ranges")
 
 
 def positional(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str) -> DataFrame:
@@ -68,17 +73,31 @@ def foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column,
     return F.struct(F.sqrt((px - fx) * (px - fx) + (py - fy) * (py - fy)).alias("d"), t.alias("t"), fx.alias("fx"), fy.alias("fy"))
 
 
+def along_cells(segments: DataFrame, reach: float, cell: float) -> DataFrame:
+    """``segments`` (ax, ay, bx, by_) entered into the grid cells (cx, cy) that their way, grown by ``reach``, passes.
+
+    Column by column: within a column of cells a segment has a piece of its own, and only that piece's rows of cells are
+    entered. So a diagonal has as many entries as its length asks for, and not those of its box.
+    """
+    span = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
+    s = segments.withColumn("cx", F.explode(span(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach)))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
+    share = lambda x: F.when(dx == 0, None).otherwise((x - F.col("ax")) / F.when(dx != 0, dx))
+    in_, out = share(F.col("cx") * cell - reach), share((F.col("cx") + 1) * cell + reach)
+    cut = lambda t, whole: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(whole))
+    start, end = F.when(dx == 0, 0.0).otherwise(cut(F.least(in_, out), 0.0)), F.when(dx == 0, 1.0).otherwise(cut(F.greatest(in_, out), 1.0))
+    y0, y1 = F.col("ay") + start * dy, F.col("ay") + end * dy
+    return s.withColumn("cy", F.explode(span(F.least(y0, y1) - reach, F.greatest(y0, y1) + reach)))
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, cell: float | None = None) -> DataFrame:
     """Each point (id, x, y) with the nearest segment (seg_id, ax, ay, bx, by_) within ``reach``; a tie goes to the lowest seg_id.
 
-    Segments are entered into all grid cells that their box, grown by ``reach``, touches; points are looked up in
-    their own cell. So points meet the few segments near them only, and both sides are dealt by cell.
+    Segments are entered into the cells along their way, points are looked up in their own cell. So points meet the few
+    segments near them only, and both sides are dealt by cell; a hot cell's points are split by the join.
     """
     cell = cell or reach
-    low = lambda a, b: F.floor((F.least(a, b) - reach) / cell)
-    high = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell)
-    s = segments.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx"))))
-    s = s.withColumn("cy", F.explode(F.sequence(low("ay", "by_"), high("ay", "by_"))))
+    s = along_cells(segments, reach, cell).hint("merge")
     p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     f = foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))
     near = p.join(s, ["cx", "cy"]).withColumn("f", f).where(F.col("f.d") <= reach)
@@ -109,19 +128,24 @@ def assign_transects(tracks: DataFrame, centre_lines: DataFrame, areas: DataFram
 def near_tracks(points: DataFrame, distance: float, gap: int) -> DataFrame:
     """Pairs of tracks that come within ``distance`` of each other, at frames at most ``gap`` apart: a, b, nearest.
 
-    points: track_id, frame, x, y. Equi-join on cells of space and time instead of all pairs.
+    points: track_id, frame, x, y. Equi-join on cells of space and time instead of all pairs: a point meets those of its
+    own cell and of that half of the cells around it which comes later, so each pair of cells is met once.
     """
     gap = max(gap, 1)
     own = points.withColumn("cx", F.floor(F.col("x") / distance)).withColumn("cy", F.floor(F.col("y") / distance)).withColumn("ct", F.floor(F.col("frame") / gap))
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    other = own
-    for c in ("cx", "cy", "ct"):
-        other = other.withColumn("_k", F.explode(around)).withColumn(c, F.col(c) + F.col("_k")).drop("_k")
-    a = own.select("cx", "cy", "ct", F.col("track_id").alias("a"), F.col("frame").alias("fa"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = other.select("cx", "cy", "ct", F.col("track_id").alias("b"), F.col("frame").alias("fb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    d = F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2)
-    close = a.join(b, ["cx", "cy", "ct"]).where("a < b").where(F.abs(F.col("fa") - F.col("fb")) <= gap).withColumn("d", d)
-    return close.where(F.col("d") <= distance).groupBy("a", "b").agg(F.min("d").alias("nearest"))
+    ways = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in ways])
+    moved = own.withColumn("_w", F.explode(around))
+    p = own.select("cx", "cy", "ct", F.col("track_id").alias("p"), F.col("frame").alias("fp"), F.col("x").alias("xp"), F.col("y").alias("yp"))
+    q = moved.select(
+        *[(F.col(c) + F.col(f"_w.{w}")).alias(c) for c, w in zip(("cx", "cy", "ct"), "ijk")], F.col("track_id").alias("q"), F.col("frame").alias("fq"),
+        F.col("x").alias("xq"), F.col("y").alias("yq"), ((F.col("_w.i") == 0) & (F.col("_w.j") == 0) & (F.col("_w.k") == 0)).alias("own"),
+    )
+    d = F.sqrt((F.col("xp") - F.col("xq")) ** 2 + (F.col("yp") - F.col("yq")) ** 2)
+    once = F.when(F.col("own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))
+    both = p.join(q.hint("merge"), ["cx", "cy", "ct"]).where(once & (F.abs(F.col("fp") - F.col("fq")) <= gap)).withColumn("d", d)
+    both = both.where(F.col("d") <= distance).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d")
+    return both.groupBy("a", "b").agg(F.min("d").alias("nearest"))
 
 
 def same_box(viewer: DataFrame, stored: DataFrame, within: float = 0.0015) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import terrain
+from ..operators import joins, terrain
 from . import domain as d
 from .domain import sql
 
@@ -138,3 +138,38 @@ def m16_round_trip(spark, sf):
     metres = 6378137.0 * math.pi / 180
     off = F.hypot((F.col("p.lon") - F.col("lon0")) * F.cos(F.radians("lat0")) * metres, (F.col("p.lat") - F.col("lat0")) * metres)
     return p.select("detection_id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), (off < 0.001).alias("within_a_millimetre"))
+
+
+@query("""
+with c as (
+  select distinct flight_id, obj as pos, obj * 40 as start_frame, obj * 40 + 60 + flight_id % 7 as end_frame, (obj - 7) / 10.0::double as tz from det where obj % 4 < 3),
+r as (
+  select det.detection_id, c.pos, c.tz, row_number() over (partition by detection_id order by c.pos) as k
+  from det left join c on c.flight_id = det.flight_id and det.frame between start_frame and end_frame)
+select detection_id, pos, coalesce(tz, 0.0::double) as tz from r where k = 1""")
+def j8_correction_by_flight(spark, sf):
+    """Every detection with the first correction of its own flight that holds its frame."""
+    x = d.detections(spark, sf)
+    ranges = x.where("obj % 4 < 3").selectExpr("flight_id", "obj as pos", "obj * 40 as start_frame", "obj * 40 + 60 + flight_id % 7 as end_frame", "(obj - 7) / 10D as tz").distinct()
+    r = joins.first_range(x, ranges, by="flight_id")
+    return r.select("detection_id", "range.pos", F.coalesce("range.tz", F.lit(0.0)).alias("tz"))
+
+
+@query("""
+with s as (
+  select distinct frame as seg_id, (frame * 7 % 190)::double as ax, (frame * 3 % 400)::double as ay, (frame * 11 % 190)::double as bx, (frame * 5 % 400)::double as by_
+  from det where frame % 5 = 0),
+p as (select detection_id as id, (x1 + x2) / 2 / 4 as x, (y1 + y2) / 2 as y from det),
+f as (
+  select id, seg_id, greatest(0.0::double, least(1.0::double, case when ax = bx and ay = by_ then 0.0::double
+    else ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) end)) as t, x, y, ax, ay, bx, by_ from p, s),
+g as (select id, seg_id, sqrt((x - ax - t * (bx - ax)) * (x - ax - t * (bx - ax)) + (y - ay - t * (by_ - ay)) * (y - ay - t * (by_ - ay))) as d from f)
+select id, round(min(d), 6) as distance from g where d <= 8 group by id""")
+def j23_nearest_diagonal(spark, sf):
+    """Distance of every detection to the nearest of many slanted segments, which are entered along their way."""
+    x = d.detections(spark, sf)
+    s = x.where("frame % 5 = 0").selectExpr(
+        "frame as seg_id", "cast(frame * 7 % 190 as double) as ax", "cast(frame * 3 % 400 as double) as ay", "cast(frame * 11 % 190 as double) as bx", "cast(frame * 5 % 400 as double) as by_"
+    ).distinct()
+    r = joins.nearest_segment(x.selectExpr("detection_id as id", "(x1 + x2) / 2 / 4 as x", "(y1 + y2) / 2 as y"), s, 8.0)
+    return r.select("id", F.round("distance", 6).alias("distance"))
