@@ -39,12 +39,15 @@ def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def ensure_ids(old: DataFrame, wanted: DataFrame, name: str, number: str) -> DataFrame:
-    """``old`` (a small vocabulary) with the missing names added under the next ids, by name."""
-    top = old.agg(F.coalesce(F.max(number), F.lit(0)).alias("m")).scalar()
-    missing = wanted.select(name).distinct().join(old.select(name), name, "left_anti")
-    added = missing.select(name, (top + F.row_number().over(Window.orderBy(name))).cast("long").alias(number))
-    return old.select(name, number).unionByName(added)
+def ensure_ids(old: DataFrame, wanted: DataFrame, name: str, number: str, by: str | None = None) -> DataFrame:
+    """``old`` (a vocabulary) with the missing names added under the next ids, by name. With ``by``, each project has its own."""
+    keys = [by] if by else []
+    missing = wanted.select(*keys, name).distinct().join(old.select(*keys, name), [*keys, name], "left_anti")
+    top = old.groupBy(*keys).agg(F.max(number).alias("top"))
+    both = missing.join(top, keys, "left") if by else missing.withColumn("top", old.agg(F.max(number).alias("top")).scalar())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
+    added = both.select(*keys, name, (F.coalesce("top", F.lit(0)) + place).cast("long").alias(number))
+    return old.select(*keys, name, number).unionByName(added)
 
 
 def rekey_tracks(members: DataFrame, offset: int) -> DataFrame:
@@ -123,9 +126,10 @@ def parity(a: DataFrame, b: DataFrame, group: str, order_a: str, order_b: str, v
     return both.groupBy(group).agg(F.min(F.when(differ, F.col("n"))).cast("long").alias("first_mismatch"), F.count(F.lit(1)).alias("compared"))
 
 
-def append_run(runs: DataFrame, kind: str) -> DataFrame:
-    """Runs with a new active one of a kind, next generation of it; all others become inactive."""
-    top = runs.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("m")).scalar()
-    new = runs.agg((F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("generation"))), F.lit(0)) + 1).alias("generation"))
-    new = new.select((top + 1).alias("run_id"), F.lit(kind).alias("kind"), "generation", F.lit(True).alias("is_active"))
+def append_run(runs: DataFrame, kind: str, by: str | None = None) -> DataFrame:
+    """Runs with a new active one of a kind, next generation of it; all others become inactive. With ``by``, one for each project."""
+    keys = [by] if by else []
+    run, generation = F.coalesce(F.max("run_id"), F.lit(0)) + 1, F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("generation"))), F.lit(0)) + 1
+    new = runs.groupBy(*keys).agg(run.alias("run_id"), generation.alias("generation"))
+    new = new.select(*keys, "run_id", F.lit(kind).alias("kind"), "generation", F.lit(True).alias("is_active"))
     return runs.withColumn("is_active", F.lit(False)).unionByName(new)

@@ -9,12 +9,25 @@ from ..schema import FALLBACK_SPECIES, NOT_AN_ANIMAL
 from .numbering import numbered
 
 
-def analysis_runs(runs: DataFrame, include_manual: bool = True) -> DataFrame:
-    """run_id of the latest active run that isn't manual, and of the latest manual run."""
-    rank = F.row_number().over(Window.partitionBy(F.col("kind") == "manual").orderBy(F.col("run_id").desc()))
-    usable = runs.where((F.col("kind") == "manual") | F.col("is_active"))
-    found = usable.withColumn("r", rank).where("r = 1")
-    return found.where(F.lit(include_manual) | (F.col("kind") != "manual")).select("run_id")
+def analysis_runs(runs: DataFrame, include_manual: bool = True, by: str | None = None) -> DataFrame:
+    """run_id of the latest active run that isn't manual, and of the latest manual run; with ``by``, of each project."""
+    keys = [by] if by else []
+    manual = F.coalesce(F.col("kind") == "manual", F.lit(False))
+    usable = runs.where(manual | F.col("is_active")).where(F.lit(include_manual) | ~manual)
+    return usable.groupBy(*keys, manual.alias("_manual")).agg(F.max("run_id").alias("run_id")).select(*keys, "run_id")
+
+
+def latest_active(runs: DataFrame, by: str | None = None) -> DataFrame:
+    """The active run with the highest run_id: (by, run_id, kind)."""
+    keys = [by] if by else []
+    return runs.where("is_active").groupBy(*keys).agg(F.max("run_id").alias("run_id"), F.max_by("kind", "run_id").alias("kind")).where("run_id is not null")
+
+
+def vocabulary_differences(names: DataFrame, project: str, name: str = "name") -> DataFrame:
+    """For each name the number of projects that have it, whether all do, and the first of them."""
+    projects = names.agg(F.count_distinct(project).alias("n")).scalar()
+    each = names.groupBy(name).agg(F.count_distinct(project).alias("projects"), F.min(project).alias("first_project"))
+    return each.withColumn("shared", F.col("projects") == projects)
 
 
 def superseded(label_tracks: DataFrame) -> DataFrame:

@@ -88,19 +88,6 @@ def l7_largest_box(spark, sf):
     return d.detections(spark, sf).groupBy("frame").agg(F.max_by("detection_id", F.struct(area, -F.col("detection_id"))).alias("detection_id"))
 
 
-@query("select run_id from track_runs where is_active union select max(run_id) from track_runs where kind = 'manual'")
-def u1_union_of_runs(spark, sf):
-    r = d.track_runs(spark, sf)
-    return r.where("is_active").select("run_id").union(r.where("kind = 'manual'").agg(F.max("run_id"))).distinct()
-
-
-@query("select name, 'both' as where_ from (select name from species where species_id > 0 intersect select name from species where species_id < 4) union all select name, 'first' from (select name from species where species_id > 0 except select name from species where species_id < 4)")
-def u3_vocabulary_sets(spark, sf):
-    s = d.species(spark, sf)
-    a, b = s.where("species_id > 0").select("name"), s.where("species_id < 4").select("name")
-    return a.intersect(b).withColumn("where_", F.lit("both")).unionByName(a.subtract(b).withColumn("where_", F.lit("first")))
-
-
 @query("select event_id as detection_id from events where event_id % 2 = 0 except select vec_id from embeddings")
 def u5_vanished_vectors(spark, sf):
     recorded = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 2 = 0").select(F.col("event_id").alias("detection_id"))
@@ -137,11 +124,6 @@ def m25_tone_curve(spark, sf):
     return d.detections(spark, sf).select("detection_id", F.round(survey.tone_curve([(0.0, 0.0), (0.25, 0.4), (0.5, 0.5), (1.0, 1.0)], v), 6).alias("v"))
 
 
-@query("select run_id, kind, generation, run_id = 4 as is_active from (select * from track_runs union all values (4, 'builtin', 2, true)) where kind <> 'manual' union all select run_id, kind, generation, false from track_runs where kind = 'manual'")
-def k4_activate_run(spark, sf):
-    return mutate.append_run(d.track_runs(spark, sf), "builtin")
-
-
 @query("with p as (select detection_id, 'species' as task, label from predictions where detection_id % 2 = 0 union all select detection_id, 'sex', 'male' from predictions where detection_id % 5 = 0) select detection_id, task, label from p where task <> 'sex' union all select detection_id, 'sex', 'female' from predictions where detection_id % 7 = 0")
 def k9_replace_task(spark, sf):
     x = d.predictions(spark, sf)
@@ -194,12 +176,6 @@ def j17_partner_direction(spark, sf):
     return x.join(n, ["frame", "modality"]).select("detection_id", "modality", "partners")
 
 
-@query("select count(*) as points, max(x) as right_most from (select unnest(range(0, 11)) as i), lateral (select unnest(range(0, 21)) as j), lateral (select i * 25.0::double as x)")
-def g17_grid_points(spark, sf):
-    g = survey.grid_points(F.lit(0.0), F.lit(0.0), F.lit(250.0), F.lit(500.0), 25.0)
-    return spark.range(1).select(F.explode(g).alias("p")).agg(F.count(F.lit(1)).alias("points"), F.max("p.x").alias("right_most"))
-
-
 @query("select detection_id, attributes->>'$.k' as occlusion from det where try_cast(attributes->>'$.k' as int) > 50")
 def r4_stored_attribute(spark, sf):
     k = F.get_json_object("attributes", "$.k")
@@ -216,5 +192,3 @@ def r35_miss_summary(spark, sf):
 def r23_track_groups(spark, sf):
     r = rows(spark, sf)
     return r.agg(F.count("track_id").alias("tracked"), F.sum(F.col("track_id").isNull().cast("long")).alias("untracked"), F.count_distinct("track_id").alias("tracks"))
-
-

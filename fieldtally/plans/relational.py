@@ -88,11 +88,6 @@ def j4_geo_tracks(spark, sf):
     return own.join(d.detections(spark, sf), "detection_id").join(d.geo(spark, sf), "detection_id").select("track_id", "frame", "gx1", "gy1")
 
 
-@query(f"with {RUNS} select run_id from runs order by run_id")
-def j7_analysis_runs(spark, sf):
-    return select.analysis_runs(d.track_runs(spark, sf)).orderBy("run_id")
-
-
 @query("select distinct m.track_id from members m where not exists (select 1 from geo where geo.detection_id = m.detection_id)")
 def j11_orphan_members(spark, sf):
     return d.members(spark, sf).join(d.geo(spark, sf), "detection_id", "left_anti").select("track_id").distinct()
@@ -141,11 +136,6 @@ def j28_frame_images(spark, sf):
     return r.groupBy("flight_id", "frame", F.coalesce("file", F.format_string("frame_%06d.jpg", "frame")).alias("image")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select n.name, species_id from (values ('fox'), ('lynx'), ('hare')) n(name) left join species using (name)")
-def j29_species_by_name(spark, sf):
-    return joins.by_name(spark.createDataFrame([("fox",), ("lynx",), ("hare",)], "name string"), d.species(spark, sf))
-
-
 @query("select coalesce(case source_id when 1 then 'yolo' end, 'unknown') as kind, count(*) as n from det group by all")
 def a1_by_producer(spark, sf):
     s = spark.createDataFrame([(1, "yolo")], "source_id long, kind string")
@@ -204,14 +194,6 @@ def a13_quorum_vote(spark, sf):
     return v.select("track_id", "class_index", "label", "frames", F.round("share", 6).alias("share"))
 
 
-@query("with v as (select 'a' as project, name from species where species_id > 0 union all select 'b', name from species where species_id in (1, 2, 3) union all values ('b', 'lynx')) select name, count(distinct project) as projects, count(distinct project) = 2 as shared, min(project) as first_project from v group by name")
-def a16_vocabulary_compare(spark, sf):
-    s = d.species(spark, sf)
-    v = s.where("species_id > 0").select(F.lit("a").alias("project"), "name").unionByName(s.where("species_id in (1, 2, 3)").select(F.lit("b").alias("project"), "name"))
-    v = v.unionByName(spark.createDataFrame([("b", "lynx")], "project string, name string"))
-    return v.groupBy("name").agg(F.count_distinct("project").alias("projects"), (F.count_distinct("project") == 2).alias("shared"), F.min("project").alias("first_project"))
-
-
 @query("select flight_id, modality, count(*) as n, count(distinct obj) as objects from det group by grouping sets ((flight_id, modality), (flight_id), ())")
 def a18_pooled_tallies(spark, sf):
     return d.detections(spark, sf).rollup("flight_id", "modality").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("obj").alias("objects"))
@@ -229,12 +211,6 @@ def k1_replace_producer(spark, sf):
     return mutate.replace_where(old, new, "source_id", 2)
 
 
-@query("with old as (select 'yolo' as kind, 1::bigint as source_id union all values ('manual', 2)), want as (values ('yolo'), ('trex'), ('sam')) select kind, source_id from old union all select col0, 2 + row_number() over (order by col0) from want where col0 not in (select kind from old)")
-def k2_ensure_source(spark, sf):
-    old = spark.createDataFrame([("yolo", 1), ("manual", 2)], "kind string, source_id long")
-    return mutate.ensure_ids(old, spark.createDataFrame([("yolo",), ("trex",), ("sam",)], "kind string"), "kind", "source_id")
-
-
 @query("with m as (select flight_id * 15 + obj as legacy, detection_id from det where detection_id % 2 = 0 union all select flight_id * 15 + obj, detection_id from det where detection_id % 4 = 0), f as (select legacy, min(detection_id) as first from m group by 1), k as (select legacy, 1000 + dense_rank() over (order by first) as track_id from f) select distinct track_id, detection_id from m join k using (legacy)")
 def k4_append_track_run(spark, sf):
     d0 = d.detections(spark, sf)
@@ -286,11 +262,6 @@ def g22_provenance(spark, sf):
     return select.provenance(rows(spark, sf), select.analysis_runs(d.track_runs(spark, sf)))
 
 
-@query("select species_id, name from species where species_id <> -2 order by species_id")
-def r1_species_options(spark, sf):
-    return d.species(spark, sf).where("species_id <> -2").orderBy("species_id")
-
-
 @query(f"with {RUNS}, {GONE} select track_id, species_id from tracks join runs using (run_id) where species_id <> 0 and track_id not in (select track_id from gone)")
 def r2_track_species(spark, sf):
     t = d.tracks(spark, sf).join(F.broadcast(select.analysis_runs(d.track_runs(spark, sf))), "run_id", "left_semi")
@@ -336,8 +307,3 @@ def u4_pool_projects(spark, sf):
 @query("select frame, detection_id, confidence from det order by confidence desc, detection_id limit 25")
 def l4_closest_first(spark, sf):
     return d.detections(spark, sf).select("frame", "detection_id", "confidence").orderBy(F.desc("confidence"), "detection_id").limit(25)
-
-
-@query("select run_id, kind from track_runs where is_active order by run_id desc limit 1")
-def l2_latest_active(spark, sf):
-    return d.track_runs(spark, sf).where("is_active").orderBy(F.desc("run_id")).limit(1).select("run_id", "kind")

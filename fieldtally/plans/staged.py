@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import stage_states
+from ..operators import joins, mutate, select, stage_states, survey
 from . import domain as d
 from .domain import sql
 from .stages import NEEDS
@@ -144,3 +144,130 @@ def c8_output_inventory(spark, sf):
         F.count_if("there").alias("with_output"), F.count_if(F.col("there") & (F.col("state") == "complete")).alias("complete"),
         F.count_if(F.col("there") & (F.col("state") == "stale")).alias("stale"),
     )
+
+
+def _runs(spark, sf) -> DataFrame:
+    """Track runs of every flight: one for each producer that its detections name."""
+    by = d.detections(spark, sf).groupBy("flight_id", "source_class").agg(F.count(F.lit(1)).alias("n"), F.min("detection_id").alias("first"))
+    return by.selectExpr(
+        "flight_id", "first as run_id", "case source_class when 'click' then 'builtin' when 'view' then 'boxmot' when 'error' then 'manual' when 'signup' then 'manual' else 'builtin' end as kind",
+        "n % 5 as generation", "n % 2 = 0 as is_active",
+    )
+
+
+_RUNS = """with runs as (
+  select flight_id, min(detection_id) as run_id, count(*) % 5 as generation, count(*) % 2 = 0 as is_active,
+    case source_class when 'click' then 'builtin' when 'view' then 'boxmot' when 'error' then 'manual' when 'signup' then 'manual' else 'builtin' end as kind
+  from det group by flight_id, source_class)"""
+
+
+@query(_RUNS + """
+select flight_id, max(run_id) as run_id from runs where is_active or kind = 'manual' group by flight_id, kind = 'manual'""")
+def j7_analysis_runs(spark, sf):
+    """Runs that count for the analysis of each flight."""
+    return select.analysis_runs(_runs(spark, sf), by="flight_id")
+
+
+@query(_RUNS + """
+select flight_id, run_id, kind from (select *, row_number() over (partition by flight_id order by run_id desc) as r from runs where is_active) where r = 1""")
+def l2_latest_active(spark, sf):
+    """Latest active run of each flight."""
+    return select.latest_active(_runs(spark, sf), "flight_id")
+
+
+@query(_RUNS + """
+select flight_id, run_id from runs where is_active union select flight_id, max(run_id) from runs where kind = 'manual' group by 1""")
+def u1_union_of_runs(spark, sf):
+    """Active runs of each flight and its latest manual one, each once."""
+    r = _runs(spark, sf)
+    manual = r.where("kind = 'manual'").groupBy("flight_id").agg(F.max("run_id").alias("run_id"))
+    return r.where("is_active").select("flight_id", "run_id").union(manual).distinct()
+
+
+@query(_RUNS + """
+select flight_id, run_id, kind, generation, false as is_active from runs
+union all
+select flight_id, max(run_id) + 1, 'builtin', coalesce(max(generation) filter (kind = 'builtin'), 0) + 1, true from runs group by 1""")
+def k4_activate_run(spark, sf):
+    """Runs of each flight after a new one was added and made the active one."""
+    return mutate.append_run(_runs(spark, sf), "builtin", "flight_id")
+
+
+@query("""
+with old as (
+  select flight_id, source_class as kind, row_number() over (partition by flight_id order by source_class) as source_id
+  from (select distinct flight_id, source_class from det where detection_id % 7 = 0 and source_class in ('error', 'view', 'signup'))),
+want as (select distinct flight_id, source_class as kind from det)
+select * from old
+union all
+select flight_id, kind, coalesce((select max(source_id) from old where old.flight_id = want.flight_id), 0) + row_number() over (partition by flight_id order by kind)
+from want where (flight_id, kind) not in (select (flight_id, kind) from old)""")
+def k2_ensure_source(spark, sf):
+    """Sources of each flight, with those that its detections name and that it doesn't have yet."""
+    x = d.detections(spark, sf)
+    old = x.where("detection_id % 7 = 0 and source_class in ('error', 'view', 'signup')").select("flight_id", F.col("source_class").alias("kind")).distinct()
+    old = mutate.ensure_ids(old.limit(0).withColumn("source_id", F.lit(0).cast("long")), old, "kind", "source_id", "flight_id")
+    return mutate.ensure_ids(old, x.select("flight_id", F.col("source_class").alias("kind")), "kind", "source_id", "flight_id")
+
+
+_LABELS = """with named as (
+  select distinct flight_id, label as name from predictions join det using (detection_id) where detection_id % (3 + flight_id % 4) = 0
+  union select distinct flight_id, source_class from det where detection_id % (5 + flight_id % 3) = 1 and frame % 50 = 0)"""
+
+
+def _names(spark, sf) -> DataFrame:
+    """Names that each flight uses: some of the vocabulary's, and some of its own."""
+    x = d.detections(spark, sf)
+    p = d.predictions(spark, sf).join(x.select("detection_id", "flight_id"), "detection_id").where("detection_id % (3 + flight_id % 4) = 0")
+    own = x.where("detection_id % (5 + flight_id % 3) = 1 and frame % 50 = 0")
+    return p.select("flight_id", F.col("label").alias("name")).union(own.select("flight_id", "source_class")).distinct()
+
+
+@query(_LABELS + " select flight_id, name, species_id from named left join species using (name)")
+def j29_species_by_name(spark, sf):
+    """Names of each flight with their species in the vocabulary, by name alone."""
+    return joins.by_name(_names(spark, sf), d.species(spark, sf)).select("flight_id", "name", "species_id")
+
+
+@query(_LABELS + """
+select name, count(distinct flight_id) as projects, min(flight_id) as first_project, count(distinct flight_id) = (select count(distinct flight_id) from named) as shared
+from named group by name""")
+def a16_vocabulary_compare(spark, sf):
+    """Names by the flights that have them."""
+    return select.vocabulary_differences(_names(spark, sf), "flight_id")
+
+
+@query(_LABELS + """,
+a as (select flight_id, name from named), b as (select flight_id - 1 as flight_id, name from named where flight_id > 0)
+select flight_id, name, 'both' as where_ from (select * from a intersect select * from b)
+union all select flight_id, name, 'first' from (select * from a except select * from b)
+union all select flight_id, name, 'second' from (select * from b except select * from a)""")
+def u3_vocabulary_sets(spark, sf):
+    """Each flight's names and the next one's: in both, in the first or in the second."""
+    a = _names(spark, sf).select("flight_id", "name")
+    b = a.where("flight_id > 0").select((F.col("flight_id") - 1).alias("flight_id"), "name")
+    each = {"both": a.intersect(b), "first": a.subtract(b), "second": b.subtract(a)}
+    parts = [v.withColumn("where_", F.lit(k)) for k, v in each.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+with used as (select track_id // 150 as flight_id, species_id, count(*) as n from tracks group by 1, 2)
+select f.flight_id, s.species_id, s.name, coalesce(n, 0) as n_tracks
+from (select distinct flight_id from used) f, species s left join used u on u.flight_id = f.flight_id and u.species_id = s.species_id where s.species_id <> -2""")
+def r1_species_options(spark, sf):
+    """What can be chosen in each flight: the vocabulary without what is no animal, with the flight's tracks of each."""
+    t = d.tracks(spark, sf).groupBy(F.expr("track_id div 150").alias("flight_id"), "species_id").agg(F.count(F.lit(1)).alias("n"))
+    known = d.species(spark, sf).where("species_id <> -2").agg(F.array_sort(F.collect_list(F.struct("species_id", "name"))).alias("s")).scalar()
+    options = t.select("flight_id").distinct().withColumn("s", known).select("flight_id", F.inline("s"))
+    return options.join(t, ["flight_id", "species_id"], "left").select("flight_id", "species_id", "name", F.coalesce("n", F.lit(0)).alias("n_tracks"))
+
+
+@query("""
+with box as (select flight_id, min(x1) as lx, min(y1) as ly, max(x2) as hx, max(y2) as hy from det group by 1)
+select flight_id, lx + c * 25 as x, ly + r * 25 as y
+from (select *, unnest(range(0, floor((hx - lx) / 25)::bigint + 1)) as c from box) s, lateral (select unnest(range(0, floor((hy - ly) / 25)::bigint + 1)) as r)""")
+def g17_grid_points(spark, sf):
+    """Points of a planning grid over what each flight has seen."""
+    box = d.detections(spark, sf).groupBy("flight_id").agg(F.min("x1").alias("lx"), F.min("y1").alias("ly"), F.max("x2").alias("hx"), F.max("y2").alias("hy"))
+    return box.select("flight_id", F.explode(survey.grid_points(F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy"), 25.0)).alias("p")).select("flight_id", "p.x", "p.y")
