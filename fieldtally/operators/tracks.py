@@ -19,15 +19,16 @@ def fill_gaps(points: DataFrame, keys: list[str], class_from: str = "previous")
     """
     w = Window.partitionBy(*keys).orderBy("frame")
     cols = ["frame", *BOX, "confidence", "cls"]
+    # a row and those that follow it up to the next one come from one pass
     nxt = points.withColumn("n", F.lead(F.struct(*cols)).over(w))
-    gaps = nxt.where(F.col("n.frame") > F.col("frame") + 1)
-    gaps = gaps.withColumn("f", F.explode(F.sequence(F.col("frame") + 1, F.col("n.frame") - 1)))
-    filled = gaps.select(
-        *keys, F.col("f").alias("frame"), *[_between(F.col(c), F.col(f"n.{c}"), F.col("f"), F.col("frame"), F.col("n.frame")).alias(c) for c in BOX],
-        ((F.col("confidence") + F.col("n.confidence")) / 2).alias("confidence"),
-        (F.col("cls") if class_from == "previous" else F.col("n.cls")).alias("cls"), F.lit(True).alias("interpolated"),
+    each = nxt.withColumn("f", F.explode(F.sequence(F.col("frame"), F.greatest(F.col("frame"), F.coalesce(F.col("n.frame") - 1, F.col("frame"))))))
+    made = F.col("f") > F.col("frame")
+    pick = lambda new, old: F.when(made, new).otherwise(old)
+    return each.select(
+        *keys, F.col("f").alias("frame"), *[pick(_between(F.col(c), F.col(f"n.{c}"), F.col("f"), F.col("frame"), F.col("n.frame")), F.col(c)).alias(c) for c in BOX],
+        pick((F.col("confidence") + F.col("n.confidence")) / 2, F.col("confidence")).alias("confidence"),
+        (F.col("cls") if class_from == "previous" else pick(F.col("n.cls"), F.col("cls"))).alias("cls"), made.alias("interpolated"),
     )
-    return points.select(*keys, *cols, F.lit(False).alias("interpolated")).unionByName(filled)
 
 
 def between_keyframes(keys: DataFrame, track: str = "label_track_id") -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import joins, terrain
+from ..sources import photos
+from ..sources.scratch import binary_files
 from . import domain as d
 from .domain import sql
 
@@ -173,3 +176,30 @@ def j23_nearest_diagonal(spark, sf):
     ).distinct()
     r = joins.nearest_segment(x.selectExpr("detection_id as id", "(x1 + x2) / 2 / 4 as x", "(y1 + y2) / 2 as y"), s, 8.0)
     return r.select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+with p as (
+  select flight_id, frame, min(detection_id) as i, to_timestamp(min(t_us) // 1000000) at time zone 'UTC' as ts from det where frame % 4 = 0 group by 1, 2)
+select flight_id, frame, case when i % 11 in (3, 7) then null else strftime(ts, '%Y:%m:%d %H:%M:%S') end as taken,
+  case when i % 11 in (3, 7) then null else round(hour(ts) + minute(ts) / 60.0::double + second(ts) / 3600.0::double, 6) end as hour from p""")
+def s19_photo_times(spark, sf):
+    """Times of photos, written as files of three kinds and two byte orders, some without a time or cut off, and read back."""
+    ts = F.date_format(F.timestamp_seconds(F.floor(F.min("t_us") / 1_000_000)), "yyyy:MM:dd HH:mm:ss")
+    p = d.detections(spark, sf).where("frame % 4 = 0").groupBy("flight_id", "frame").agg(F.min("detection_id").alias("i"), ts.alias("ts"))
+
+    def files(frames):
+        for f in frames:
+            rows = []
+            for flight, frame, i, taken in f.itertuples(index=False):
+                block = photos.tagged_tiff(None if i % 11 == 3 else taken, i % 2 == 0)
+                block = block[:-9] if i % 11 == 7 else block
+                kind = ("jpg", "tif", "png")[i % 3]
+                content = {"jpg": photos.tagged_jpeg, "tif": bytes, "png": photos.tagged_png}[kind](block)
+                rows.append((f"flight_id={flight}/{frame}.{kind}", content))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    folder = binary_files(p.select("flight_id", "frame", "i", "ts").mapInPandas(files, "path string, content binary"), "photos")
+    r = photos.photo_times(spark, f"{folder}/*")
+    place = [F.regexp_extract("file", r"flight_id=(\d+)/(\d+)\.", k).cast("long").alias(n) for k, n in ((1, "flight_id"), (2, "frame"))]
+    return r.select(*place, "taken", F.round(photos.hours(F.col("taken")), 6).alias("hour"))
