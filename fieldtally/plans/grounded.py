@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import joins, terrain
+from ..operators import joins, outlines, terrain
 from ..sources import photos
 from ..sources.scratch import binary_files
 from . import domain as d
@@ -203,3 +203,22 @@ def s19_photo_times(spark, sf):
     r = photos.photo_times(spark, f"{folder}/*")
     place = [F.regexp_extract("file", r"flight_id=(\d+)/(\d+)\.", k).cast("long").alias(n) for k, n in ((1, "flight_id"), (2, "frame"))]
     return r.select(*place, "taken", F.round(photos.hours(F.col("taken")), 6).alias("hour"))
+
+
+@query("""
+with p as (select flight_id * 1000000 + frame // 20 as transect_id, x, y from poses where x is not null),
+i as (
+  select *, sum(case when x - prev <= 30 then 0 else 1 end) over (partition by transect_id order by x) as island
+  from (select *, lag(x) over (partition by transect_id order by x) as prev from p))
+select transect_id, 4 as corners, round(min(x) - 15, 4) as lx, round(max(x) + 15, 4) as hx, round(min(y) - 15, 4) as ly, round((max(x) - min(x) + 30) * 30, 4) as area, false as hole
+from i group by transect_id, island""")
+def r22_union_outlines(spark, sf):
+    """Rings around what the footprints of each transect cover."""
+    pt = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
+    f = d.poses(spark, sf).where("x is not null").withColumn("ring", F.array(pt(-15.0, -15.0), pt(15.0, -15.0), pt(15.0, 15.0), pt(-15.0, 15.0)))
+    r = outlines.union_outlines(f.withColumn("transect_id", F.expr("flight_id * 1000000 + frame div 20")), "transect_id", F.col("ring"))
+    edge = lambda f, c: F.round(f(F.col(f"ring.{c}")), 4)
+    return r.select(
+        "transect_id", F.size("ring").alias("corners"), edge(F.array_min, "x").alias("lx"), edge(F.array_max, "x").alias("hx"), edge(F.array_min, "y").alias("ly"),
+        F.round("area", 4).alias("area"), "hole",
+    )
