@@ -83,19 +83,20 @@ def _alone(segment: Column) -> Column:
     return F.when(segment.isin(WILDCARD, GOOD, BAD) | segment.rlike(IDENTIFIER), WILDCARD).otherwise(segment)
 
 
-def _past_chains(level: DataFrame) -> DataFrame:
+def _past_chains(level: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``level`` with each path taken on to where its branching point's paths part, or to its own end before.
 
     Up to there no segment has a sibling, so what it becomes and its smoothed share follow from itself, however many
     there are. ``longest`` is the greatest rest below a point: the paths that part from it do so where they differ from it,
-    and those that don't are beginnings of it.
+    and those that don't are beginnings of it. Joined rows are stored before they are summed, so that a host with many of
+    them is split; the second value returned is these tables.
     """
     key = ["host", "template"]
     point = level.groupBy(key).agg(F.max("rest").alias("longest"))
-    each = level.join(point, key).withColumn("same", _shared(F.col("rest"), F.col("longest")))
+    shared = each = stored(level.join(point.hint("merge"), key).withColumn("same", _shared(F.col("rest"), F.col("longest"))), "shared")
     parts = each.groupBy(key).agg(F.min(F.when(F.col("same") < F.size("rest"), F.col("same"))).alias("parts"))
-    each = each.join(parts, key).withColumn("chain", F.coalesce("parts", F.size("longest")))
-    each = each.withColumn("steps", F.least(F.size("rest"), F.col("chain")))
+    each = each.join(parts.hint("merge"), key).withColumn("chain", F.coalesce("parts", F.size("longest")))
+    each = stored(each.withColumn("steps", F.least(F.size("rest"), F.col("chain"))).drop("longest", "same", "parts"), "steps")
     # labels of the paths that are still there after so many steps, and the share that they make of the one before
     sums = each.groupBy(*key, "chain", "steps").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.first("bad_share").alias("up"), F.first("support").alias("s0"))
     ends = sums.groupBy(*key, "chain").agg(F.collect_list(F.struct("steps", "bad", "labelled")).alias("ends"), F.first("up").alias("up"), F.first("s0").alias("s0"))
@@ -110,11 +111,12 @@ def _past_chains(level: DataFrame) -> DataFrame:
     turns = F.when(F.col("chain") > 0, F.sequence(F.lit(1), F.col("chain"))).otherwise(F.array().cast("array<int>"))
     shares = ends.select(*key, F.aggregate(turns, first, step).alias("shares"))
     here = F.get(F.col("shares"), F.col("steps"))
-    return each.join(shares, key).select(
+    past = each.join(shares.hint("merge"), key).select(
         "host", "segments", F.slice("rest", F.col("steps") + 1, F.size("rest")).alias("rest"),
         F.concat("template", F.transform(F.slice("rest", F.lit(1), F.col("steps")), _alone)).alias("template"),
         here["share"].alias("bad_share"), here["support"].alias("support"), "n", "bad", "labelled",
     )
+    return past, [shared, each]
 
 
 def templates(paths: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def templates(paths: DataFrame) -> DataFrame:
     )
     root = level.groupBy("host").agg(*sums).withColumn("up", total.scalar())
     root = root.select("host", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
-    level = level.join(root, "host").withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("segments"))
+    level = level.join(root.hint("merge"), "host").withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("segments"))
     level = stored(level, "level")
     remove(spark, whole)
     kept = ("host", "segments", "template", "bad_share", "support")
@@ -149,8 +151,10 @@ def templates(paths: DataFrame) -> DataFrame:
     side = F.when(plain & (F.col("labelled") > 0), F.when(F.col("bad") >= REJECT * F.col("labelled"), BAD).otherwise(GOOD))
     kinds = {"named": plain, "opaque": opaque, "good": side == GOOD, "bad": side == BAD}
     while not (live := level.where(F.size("rest") > 0)).isEmpty():
-        past = stored(_past_chains(live), "past-chains")
-        remove(spark, level)
+        past, used = _past_chains(live)
+        past = stored(past, "past-chains")
+        for gone in (level, *used):
+            remove(spark, gone)
         past.where(F.size("rest") == 0).select(*kept).write.mode("append").parquet(path)
         here = past.where(F.size("rest") > 0).withColumn("segment", F.get("rest", F.lit(0)))
         child = stored(here.groupBy("host", "template", "segment").agg(*sums, F.first("bad_share").alias("up")), "children")
@@ -168,11 +172,11 @@ def templates(paths: DataFrame) -> DataFrame:
             .when((side == BAD) & near["bad"], BAD)
             .otherwise(F.col("segment"))
         )
-        step = child.join(point, ["host", "template"]).select("host", "template", "segment", general.alias("to"), "n", "bad", "labelled", "up")
+        step = child.join(point.hint("merge"), ["host", "template"]).select("host", "template", "segment", general.alias("to"), "n", "bad", "labelled", "up")
         node = step.groupBy("host", "template", "to").agg(*sums, F.first("up").alias("up"))
         node = node.select("host", "template", "to", smoothed.alias("bad_share"), F.col("labelled").alias("support"))
-        step = step.select("host", "template", "segment", "to").join(node, ["host", "template", "to"])
-        moved = here.drop("bad_share", "support").join(step, ["host", "template", "segment"])
+        step = step.select("host", "template", "segment", "to").join(node.hint("merge"), ["host", "template", "to"])
+        moved = here.drop("bad_share", "support").join(step.hint("merge"), ["host", "template", "segment"])
         rest = F.slice("rest", F.lit(2), F.size("rest"))
         level = moved.select("host", "segments", rest.alias("rest"), F.concat("template", F.array("to")).alias("template"), "bad_share", "support", "n", "bad", "labelled")
         level = stored(level, "level")
@@ -196,7 +200,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], label: str, url: str =
     p = packed(pages, new, u=parts(named(url)), bad=named(label).cast("int"))
     p = p.withColumns({"r": rule_for(F.col("u.host"), F.col("u.path"), rules), "host": F.col("u.host"), "segments": segments(F.col("u.path"))})
     # templates of the different paths, then joined to the rows: one row a path, however many pages it has
-    both = p.join(templates(p.select("host", "segments", "bad")), ["host", "segments"])
+    both = p.join(templates(p.select("host", "segments", "bad")).hint("merge"), ["host", "segments"])
     verdict = F.when((F.col("support") > 0) & (F.col("bad_share") >= REJECT), "block").otherwise("allow")
     out = both.select(
         "row", "host", F.col("u.path").alias("path"), F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), verdict).alias("verdict"),
