@@ -106,6 +106,33 @@ def test_urls(spark):
     assert urls.judge(p.limit(0), rules, "bad").count() == 0
 
 
+def _jobs(spark, run) -> int:
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+
+
+def test_url_jobs_grow_with_branching_points_and_not_with_length(spark):
+    def judged(urls_):
+        p = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("bad", F.col("page_id") % 2 == 0)
+        return lambda: urls.judge(p, [("block", "net/")], "bad").collect()
+
+    # the second pair shares a long beginning; in the third, each path is the beginning of the next
+    few = _jobs(spark, judged(["http://a.com/x/1", "http://a.com/x/b"]))
+    assert _jobs(spark, judged(["http://a.com/" + "x/" * 60 + "1", "http://a.com/" + "x/" * 60 + "b"])) <= few + 5
+    assert _jobs(spark, judged(["http://a.com/" + "x/" * k for k in range(1, 60)])) <= few + 5
+
+
+def test_near_dups_with_many_rows_of_one_id_and_of_none(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(None if i % 2 else 7, text(i // 4 if i < 2000 else i)) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    r = near_dups.group(d).collect()
+    assert len(r) == 4000 and all(x.n_shingles == 8 for x in r)
+    # four rows of a text, two of them without an id: the group's least id is 7, as it is for rows of id 7 alone
+    assert sum(x.component_id == 7 for x in r) == 2000 + 1000 and sum(x.kept for x in r) == 3000
+
+
 #: Names that operators give to columns of their own, now or in the past, and awkward ones.
 OWN = """row k1 k2 n u r segments value stored todo edits doc id data lo hi place first size rate target starts later all copies
 source_size h c p here before m mix2 node key label region bad support_ d k _n _c _p _size _rate _copy _u _s _r _k1 _k2 _lo _data _source
