@@ -113,13 +113,17 @@ def pixel_ray(px: Column, py: Column, width: float, height: float, fovy: Column,
     return F.struct((cy * u - sy * dy).alias("dx"), (sy * u + cy * dy).alias("dy"), (sp * v - cp).alias("dz"))
 
 
-def ground_ray(px: Column, py: Column, width: float, height: float, x: Column, y: Column, z: Column, fovy: Column, yaw: Column, pitch: Column, ground: Column, aspect: float = 1.0) -> Column:
-    """Struct (x, y, range) where a pixel's ray (``pixel_ray``) meets the plane z = ground, null for a level or rising ray."""
-    d = pixel_ray(px, py, width, height, fovy, yaw, pitch, aspect)
+def on_plane(d: Column, x: Column, y: Column, z: Column, ground: Column) -> Column:
+    """Struct (x, y, range) where a ray (``pixel_ray``) from a place meets the plane z = ground, null for a level or rising ray."""
     k = (ground - z) / F.when(d["dz"] < -1e-9, d["dz"])
     return F.when(k.isNotNull(), F.struct((x + k * d["dx"]).alias("x"), (y + k * d["dy"]).alias("y"), F.sqrt((k * d["dx"]) ** 2 + (k * d["dy"]) ** 2).alias("range")))
 
 
+def ground_ray(px: Column, py: Column, width: float, height: float, x: Column, y: Column, z: Column, fovy: Column, yaw: Column, pitch: Column, ground: Column, aspect: float = 1.0) -> Column:
+    """Struct (x, y, range) where a pixel's ray (``pixel_ray``) meets the plane z = ground, null for a level or rising ray."""
+    return on_plane(pixel_ray(px, py, width, height, fovy, yaw, pitch, aspect), x, y, z, ground)
+
+
 def miss_reason(rays: Column, lx: float, hx: float, ly: float, hy: float) -> Column:
     """Why a box's corner rays (array of ``ground_ray``) missed a mesh: other, beyond_mesh or above_horizon."""
     down = F.filter(rays, lambda r: r.isNotNull())

@@ -55,11 +55,6 @@ def _over(tx: Column, ty: Column, size: float, x0: float, y0: float, border: flo
     return F.greatest("t0", ax, ay), F.least("t1", bx, by)
 
 
-def _passes(tile: Column, size: float, x0: float, y0: float, border: float) -> Column:
-    a, b = _over(tile["tx"], tile["ty"], size, x0, y0, border)
-    return a <= b
-
-
 def _meetings(cell: float, x0: float, y0: float) -> Column:
     """Array of the times at which a ray meets the two triangles of a cell."""
     u0, v0 = (F.col("ox") - x0) / cell - F.col("cx"), (F.col("oy") - y0) / cell - F.col("cy")
@@ -115,9 +110,9 @@ def first_hits(rays: DataFrame, vertices: DataFrame, cell: float, x0: float = 0.
         za, zb = F.col("oz") + F.col("a") * F.col("dz"), F.col("oz") + F.col("b") * F.col("dz")
         here = here.where((F.least(za, zb) <= F.col("hi") + border) & (F.greatest(za, zb) >= F.col("lo") - border))
         if level:
-            ways, size = range(1 << STEP), cell * (1 << STEP * (level - 1))
+            ways = range(1 << STEP)
             child = F.array(*[F.struct((F.col("tx") * (1 << STEP) + i).alias("tx"), (F.col("ty") * (1 << STEP) + j).alias("ty")) for i in ways for j in ways])
-            here = here.select("ray", "ox", "oy", "oz", "dx", "dy", "dz", "t0", "t1", F.inline(F.filter(child, lambda c: _passes(c, size, x0, y0, border))))  # noqa: B023
+            here = here.select("ray", "ox", "oy", "oz", "dx", "dy", "dz", "t0", "t1", F.inline(child))
     here = here.withColumnsRenamed({"tx": "cx", "ty": "cy"}).withColumn("t", _meetings(cell, x0, y0)).where("t is not null")
     spot = F.struct("t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
     return here.groupBy("ray").agg(F.min(spot).alias("spot")).select("ray", "spot.*")
@@ -130,10 +125,10 @@ def ground_boxes(boxes: DataFrame, vertices: DataFrame, cell: float, width: floa
     is null where a corner hits; else no_pose, beyond_mesh or above_horizon by the plane of the mean height, or other.
     """
     corners = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
-    camera = [F.col(c) for c in ("x", "y", "z")]
     angles = [F.col(c) for c in ("fovy", "yaw", "pitch")]
     ray = [g.pixel_ray(F.col(a), F.col(b), width, height, *angles, aspect) for a, b in corners]
-    rays = boxes.select("detection_id", *[c.alias(f"o{n}") for c, n in zip(camera, "xyz")], F.posexplode(F.array(*ray)).alias("corner", "d"))
+    boxes = boxes.withColumn("_rays", F.array(*ray))
+    rays = boxes.select("detection_id", *[F.col(c).alias(f"o{c}") for c in "xyz"], F.posexplode("_rays").alias("corner", "d"))
     rays = rays.select(F.struct("detection_id", "corner").alias("ray"), "ox", "oy", "oz", "d.dx", "d.dy", "d.dz")
     hits = first_hits(rays, vertices, cell, x0, y0)
     found = hits.groupBy(F.col("ray.detection_id").alias("detection_id")).agg(
@@ -142,7 +137,7 @@ def ground_boxes(boxes: DataFrame, vertices: DataFrame, cell: float, width: floa
     whole = vertices.agg((F.min("ix") * cell + x0).alias("lx"), (F.max("ix") * cell + x0).alias("hx"), (F.min("iy") * cell + y0).alias("ly"), (F.max("iy") * cell + y0).alias("hy"), F.avg("h").alias("mean")).first()
     both = boxes.join(found.hint("merge"), "detection_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     if whole.mean is None:
-        return both.withColumn("reason", F.when(F.col("x").isNull(), "no_pose").otherwise("other"))
-    plane = [g.ground_ray(F.col(a), F.col(b), width, height, *camera, *angles, F.lit(whole.mean), aspect) for a, b in corners]
-    reason = g.miss_reason(F.array(*plane), whole.lx, whole.hx, whole.ly, whole.hy)
-    return both.withColumn("reason", F.when(F.col("x").isNull() | F.col("y").isNull(), "no_pose").when(F.col("hits") == 0, reason))
+        return both.withColumn("reason", F.when(F.col("x").isNull(), "no_pose").otherwise("other")).drop("_rays")
+    plane = F.transform("_rays", lambda d: g.on_plane(d, F.col("x"), F.col("y"), F.col("z"), F.lit(whole.mean)))
+    reason = g.miss_reason(plane, whole.lx, whole.hx, whole.ly, whole.hy)
+    return both.withColumn("reason", F.when(F.col("x").isNull() | F.col("y").isNull(), "no_pose").when(F.col("hits") == 0, reason)).drop("_rays")
