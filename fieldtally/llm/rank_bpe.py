@@ -92,7 +92,11 @@ def found(table: Column, key: Column, size: int) -> Column:
 
 def _rank(table: Column, data: Column, start: Column, end: Column) -> Column:
     """Rank of the bytes from ``start`` to before ``end`` as a character, or null."""
-    return found(table, F.substring(data, start + 1, end - start), RANKS)
+    return _rank_of(table, F.substring(data, start + 1, end - start))
+
+
+def _rank_of(table: Column, token: Column) -> Column:
+    return bind(token, lambda x: found(table, x, RANKS))
 
 
 def _none() -> Column:
@@ -110,14 +114,14 @@ def fold(table: Column, data: Column, first: Column, end: Column) -> Column:
     of each pair of neighbours as a character (NONE: they are no token), so the least one, where it stands first, is the
     pair to merge; ``cuts`` has the places where parts begin, and the end, as the characters from 1.
     """
-    char = lambda x, i: F.substring(x, i, F.lit(1))
-    at = lambda cuts, i: F.ascii(char(cuts, i)) + (first - 1)
+    at = lambda cuts, i: F.ascii(F.substring(cuts, i, F.lit(1)))
 
     def step(state: Column, _) -> Column:
         cuts, pairs = state["cuts"], state["pairs"]
 
         def rank(i: Column, j: Column) -> Column:
-            return F.coalesce(_rank(table, data, at(cuts, i), at(cuts, j)), F.lit(NONE))
+            # the first place is a character, from 1, and so is substring's
+            return F.coalesce(_rank_of(table, F.substring(data, at(cuts, i) + first, at(cuts, j) - at(cuts, i))), F.lit(NONE))
 
         def merged(i: Column) -> Column:
             # pair i is of the parts that begin at cuts i and i + 1, so cut i + 1 goes
@@ -134,10 +138,10 @@ def fold(table: Column, data: Column, first: Column, end: Column) -> Column:
     n = end - first
     start = F.struct(
         F.substring(F.lit("".join(map(chr, range(1, FOLDED + 2)))), F.lit(1), n + 1).alias("cuts"),
-        F.array_join(F.transform(_steps(first, end - 2), lambda i: F.coalesce(_rank(table, data, i, i + 2), F.lit(NONE))), "").alias("pairs"),
+        F.array_join(F.transform(_steps(first, end - 2), lambda i: F.coalesce(_rank_of(table, F.substring(data, i + 1, F.lit(2))), F.lit(NONE))), "").alias("pairs"),
     )
     done = F.aggregate(_steps(F.lit(2), n), start, step, lambda state: state["cuts"])
-    return bind(done, lambda cuts: F.transform(_steps(F.lit(1), F.length(cuts)), lambda i: at(cuts, i)))
+    return bind(done, lambda cuts: F.transform(_steps(F.lit(1), F.length(cuts)), lambda i: at(cuts, i) + (first - 1)))
 
 
 def fold_long(table: Column, data: Column) -> Column:
