@@ -94,15 +94,18 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, cell:
     """Each point (id, x, y) with the nearest segment (seg_id, ax, ay, bx, by_) within ``reach``; a tie goes to the lowest seg_id.
 
     Segments are entered into the cells along their way, points are looked up in their own cell. So points meet the few
-    segments near them only, and both sides are dealt by cell; a hot cell's points are split by the join.
+    segments near them only, and both sides are dealt by cell; a hot cell's points are split by the join. Points of one
+    place are looked up once, and of segments that are equal, the lowest seg_id is entered alone. An id names a point.
     """
     cell = cell or reach
-    s = along_cells(segments, reach, cell).hint("merge")
-    p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    f = foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))
-    near = p.join(s, ["cx", "cy"]).withColumn("f", f).where(F.col("f.d") <= reach)
-    best = near.groupBy("id").agg(F.min(F.struct(F.col("f.d").alias("d"), "seg_id", F.col("f.t").alias("t"), F.col("f.fx").alias("fx"), F.col("f.fy").alias("fy"))).alias("b"))
-    return best.select("id", "b.seg_id", F.col("b.d").alias("distance"), F.col("b.fx").alias("foot_x"), F.col("b.fy").alias("foot_y"), F.col("b.t").alias("t"))
+    ends = ["ax", "ay", "bx", "by_"]
+    s = along_cells(segments.groupBy(*ends).agg(F.min("seg_id").alias("seg_id")), reach, cell).hint("merge")
+    places = points.select("x", "y").distinct().withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    f = foot(F.col("x"), F.col("y"), *[F.col(c) for c in ends])
+    near = places.join(s, ["cx", "cy"]).withColumn("f", f).where(F.col("f.d") <= reach)
+    best = near.groupBy("cx", "cy", "x", "y").agg(F.min(F.struct(F.col("f.d").alias("d"), "seg_id", F.col("f.t").alias("t"), F.col("f.fx").alias("fx"), F.col("f.fy").alias("fy"))).alias("b"))
+    found = points.select("id", "x", "y").join(best.select("x", "y", "b").hint("merge"), ["x", "y"])
+    return found.select("id", "b.seg_id", F.col("b.d").alias("distance"), F.col("b.fx").alias("foot_x"), F.col("b.fy").alias("foot_y"), F.col("b.t").alias("t"))
 
 
 def assign_transects(tracks: DataFrame, centre_lines: DataFrame, areas: DataFrame, truncation: float | None, cell: float = 100.0) -> DataFrame:
