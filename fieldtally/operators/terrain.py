@@ -1,10 +1,11 @@
 """Rays on a terrain grid: a pyramid of lowest and highest heights, and a descent of rays through its tiles.
 
-The terrain is a grid of heights; two triangles span each cell. Tiles of 4 x 4 cells, then of 4 x 4 tiles, keep the lowest
-and the highest height below them, level by level. A ray begins at the top and goes on to those children that it passes
-over, as long as its heights there and the tile's meet: an equi-join by tile for each level, so that what a ray flies over
-or has passed beneath is skipped in large pieces. Only the cells that are left are met triangle by triangle, and the first
-meeting counts. No tile is held as an array, and the number of joins grows with the logarithm of the terrain's width.
+The terrain is a grid of heights; two triangles span each cell. Tiles of 16 x 16 cells, then of 16 x 16 tiles, keep the lowest
+and the highest height below them, level by level. A ray begins at the top and goes on to those tiles that lie along its way,
+and there to the time in which its heights meet the tile's: an equi-join by tile for each level, so that what a ray flies
+over or has passed beneath is skipped in large pieces. A tile of the lowest level brings the heights of its 256 cells as one
+array, so that the cells along a ray's way need no join; each is met triangle by triangle, and the first meeting counts. The
+number of joins grows with the logarithm of the terrain's width, and rows are dealt by ray and tile, never by ray and cell.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..functions import geometry as g
 from .graphs import cut
 
 #: Tiles of a level along one side of a tile of the next, as a power of two.
-STEP = 2
+STEP = 4
 #: Tiles of a level up to which its table is sent to all tasks.
 SMALL = 4096
 #: Tolerance inside of a cell, and of tiles, in cells.
@@ -48,11 +49,29 @@ def _slab(o: Column, d: Column, lo: Column, hi: Column) -> tuple[Column, Column]
     )
 
 
-def _over(tx: Column, ty: Column, size: float, x0: float, y0: float, border: float) -> tuple[Column, Column]:
-    """From when to when a ray is over a tile."""
-    ax, bx = _slab(F.col("ox"), F.col("dx"), x0 + tx * size - border, x0 + (tx + 1) * size + border)
-    ay, by = _slab(F.col("oy"), F.col("dy"), y0 + ty * size - border, y0 + (ty + 1) * size + border)
-    return F.greatest("t0", ax, ay), F.least("t1", bx, by)
+def _along(here: DataFrame, axis: str, place: str, low: Column, high: Column, origin: float, size: float, border: float) -> DataFrame:
+    """Rays, entered into those of the tiles low to high of one axis that they pass from a to b: column ``place``; a and b become that part."""
+    o, d = F.col(f"o{axis}"), F.col(f"d{axis}")
+    at = lambda t: F.when(d == 0, o).otherwise(o + F.col(t) * d)
+    first = F.greatest(low, F.floor((F.least(at("a"), at("b")) - 2 * border - origin) / size))
+    last = F.least(high, F.floor((F.greatest(at("a"), at("b")) + 2 * border - origin) / size))
+    here = here.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn(place, F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    return _during(here, *_slab(o, d, origin + F.col(place) * size - border, origin + (F.col(place) + 1) * size + border))
+
+
+def _during(here: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Rays with a and b narrowed to another time; without those for which nothing is left."""
+    return here.withColumns({"a": F.greatest("a", a), "b": F.least("b", b)}).where("a <= b")
+
+
+def _heights(ground: DataFrame) -> DataFrame:
+    """(tx, ty, lo, hi, heights) of the tiles of the lowest level: four heights for each of their cells, null for a hole."""
+    side = 1 << STEP
+    within = F.col("cy").bitwiseAND(side - 1) * side + F.col("cx").bitwiseAND(side - 1)
+    listed = F.map_from_entries(F.collect_list(F.struct(within.cast("int"), F.array("h00", "h10", "h01", "h11"))))
+    by = ground.groupBy(F.shiftright("cx", STEP).alias("tx"), F.shiftright("cy", STEP).alias("ty")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), listed.alias("m"))
+    hole = F.array_repeat(F.lit(None).cast("double"), 4)
+    return by.select("tx", "ty", "lo", "hi", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.try_element_at("m", i), hole))).alias("heights"))
 
 
 def _meetings(cell: float, x0: float, y0: float) -> Column:
@@ -85,7 +104,7 @@ def first_hits(rays: DataFrame, vertices: DataFrame, cell: float, x0: float = 0.
     if span.lo is None:
         return rays.limit(0).select("ray", *[F.lit(0.0).alias(c) for c in ("t", "x", "y", "z")])
     side = max(span.b_cx - span.a_cx, span.b_cy - span.a_cy) + 1
-    top = 0
+    top = 1
     while side > 1 << (STEP * top):
         top += 1
     # from when to when a ray is in the box of the whole terrain
@@ -95,25 +114,24 @@ def first_hits(rays: DataFrame, vertices: DataFrame, cell: float, x0: float = 0.
         _slab(F.col("oy"), F.col("dy"), F.lit(y0 + span.a_cy * cell - border), F.lit(y0 + (span.b_cy + 1) * cell + border)),
         _slab(F.col("oz"), F.col("dz"), F.lit(span.lo - border), F.lit(span.hi + border)),
     ]
-    here = rays.withColumn("t0", F.greatest(F.lit(0.0), *[a for a, _ in box])).withColumn("t1", F.least(*[b for _, b in box])).where("t0 <= t1")
-    shift = STEP * top
-    first = [(x, y) for x in range(span.a_cx >> shift, (span.b_cx >> shift) + 1) for y in range(span.a_cy >> shift, (span.b_cy >> shift) + 1)]
-    here = here.withColumn("tile", F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("tx"), F.lit(y).cast("long").alias("ty")) for x, y in first])))
-    here = here.select(*[c for c in here.columns if c != "tile"], "tile.tx", "tile.ty")
+    here = rays.withColumn("a", F.greatest(F.lit(0.0), *[a for a, _ in box])).withColumn("b", F.least(*[b for _, b in box])).where("a <= b")
+    own = ["ray", "ox", "oy", "oz", "dx", "dy", "dz", "a", "b"]
     for level in range(top, -1, -1):
-        n = ((span.b_cx >> STEP * level) - (span.a_cx >> STEP * level) + 1) * ((span.b_cy >> STEP * level) - (span.a_cy >> STEP * level) + 1)
-        a, b = _over(F.col("tx"), F.col("ty"), cell * (1 << STEP * level), x0, y0, border)
-        here = here.withColumns({"a": a, "b": b}).where("a <= b")
-        table = _tiles(ground, level) if level else ground.withColumnsRenamed({"cx": "tx", "cy": "ty"})
-        here = here.join(F.broadcast(table) if n <= SMALL else table.hint("merge"), ["tx", "ty"])
-        # heights of the ray over the tile, and the tile's
-        za, zb = F.col("oz") + F.col("a") * F.col("dz"), F.col("oz") + F.col("b") * F.col("dz")
-        here = here.where((F.least(za, zb) <= F.col("hi") + border) & (F.greatest(za, zb) >= F.col("lo") - border))
+        size = cell * (1 << STEP * level)
+        for axis, origin, least, most in (("x", x0, span.a_cx, span.b_cx), ("y", y0, span.a_cy, span.b_cy)):
+            low, high = F.lit(least >> STEP * level), F.lit(most >> STEP * level)
+            if level < top:
+                low, high = F.greatest(low, F.col(f"t{axis}") * (1 << STEP)), F.least(high, F.col(f"t{axis}") * (1 << STEP) + ((1 << STEP) - 1))
+            here = _along(here, axis, f"c{axis}", low.cast("long"), high.cast("long"), origin, size, border)
         if level:
-            ways = range(1 << STEP)
-            child = F.array(*[F.struct((F.col("tx") * (1 << STEP) + i).alias("tx"), (F.col("ty") * (1 << STEP) + j).alias("ty")) for i in ways for j in ways])
-            here = here.select("ray", "ox", "oy", "oz", "dx", "dy", "dz", "t0", "t1", F.inline(child))
-    here = here.withColumnsRenamed({"tx": "cx", "ty": "cy"}).withColumn("t", _meetings(cell, x0, y0)).where("t is not null")
+            n = ((span.b_cx >> STEP * level) - (span.a_cx >> STEP * level) + 1) * ((span.b_cy >> STEP * level) - (span.a_cy >> STEP * level) + 1)
+            table = _tiles(ground, level) if level > 1 else _heights(ground)
+            here = here.select(*own, F.col("cx").alias("tx"), F.col("cy").alias("ty")).join(F.broadcast(table) if n <= SMALL else table.hint("merge"), ["tx", "ty"])
+            here = _during(here, *_slab(F.col("oz"), F.col("dz"), F.col("lo") - border, F.col("hi") + border))
+    # the cell's place in its tile's heights
+    k = ((F.col("cy") - F.col("ty") * (1 << STEP)) * (1 << STEP) + F.col("cx") - F.col("tx") * (1 << STEP)).cast("int") * 4
+    here = here.select(*own, "cx", "cy", *[F.get("heights", k + i).alias(n) for i, n in enumerate(("h00", "h10", "h01", "h11"))])
+    here = here.withColumn("t", _meetings(cell, x0, y0)).where("t is not null")
     spot = F.struct("t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
     return here.groupBy("ray").agg(F.min(spot).alias("spot")).select("ray", "spot.*")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.operators import areas
+from fieldtally.operators import areas, joins, terrain
 from fieldtally.operators.numerics import union_area
 
 
@@ -41,3 +41,20 @@ def test_a_cell_of_footprints_is_no_python_group(spark):
         row = sorted(xs.pop(x.g))
         assert x.area == pytest.approx(30 * (30 + sum(min(30, b - a) for a, b in zip(row, row[1:]))))
     assert not xs
+
+
+def test_equal_places_and_segments_meet_once(spark):
+    points = spark.range(900).selectExpr("id", "(id % 3) * 4D as x", "1D as y")
+    segments = spark.range(800).selectExpr("id + 5 as seg_id", "0D as ax", "(id % 2) * 3D as ay", "4D as bx", "(id % 2) * 3D as by_")
+    got = joins.nearest_segment(points, segments, 8.0)
+    below = plan(got).split("Join", 2)[2]
+    assert below.count("Aggregate") == 3  # places, segments, and the best of each place
+    assert {(x.id, x.seg_id, x.distance) for x in got.collect()} == {(i, 5, 1.0 if i % 3 < 2 else 17**0.5) for i in range(900)}
+
+
+def test_cells_along_a_ray_need_no_join(spark):
+    v = spark.range(40 * 40).selectExpr("id % 40 as ix", "id div 40 as iy", "(id * 7 % 23) * 1D as h")
+    rays = spark.createDataFrame([(1, 5.0, 5.0, 60.0, 1.0, 0.9, -0.2), (2, 5.0, 5.0, 60.0, 1.0, 0.9, 0.2)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    got = terrain.first_hits(rays, v, 10.0)
+    assert plan(got).count("Join ") == 2  # tiles of 256 and of 16 cells in width
+    assert [x.ray for x in got.collect()] == [1]
