@@ -47,8 +47,7 @@ def test_equal_places_and_segments_meet_once(spark):
     points = spark.range(900).selectExpr("id", "(id % 3) * 4D as x", "1D as y")
     segments = spark.range(800).selectExpr("id + 5 as seg_id", "0D as ax", "(id % 2) * 3D as ay", "4D as bx", "(id % 2) * 3D as by_")
     got = joins.nearest_segment(points, segments, 8.0)
-    below = plan(got).split("Join", 2)[2]
-    assert below.count("Aggregate") == 3  # places, segments, and the best of each place
+    assert plan(got).count("Aggregate ") == 3  # places, segments, and the best of each place
     assert {(x.id, x.seg_id, x.distance) for x in got.collect()} == {(i, 5, 1.0 if i % 3 < 2 else 17**0.5) for i in range(900)}
 
 
