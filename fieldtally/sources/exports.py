@@ -107,9 +107,18 @@ def occurrences(rows: DataFrame, species: DataFrame) -> DataFrame:
     return t.withColumn("published", ok).withColumn("occurrenceID", F.concat(F.lit("track:"), F.col("track_id").cast("string")))
 
 
+def two_digits(c: Column) -> Column:
+    """A number as text with two digits, ties to even. Those of common size that are not near a tie go by whole hundredths."""
+    hundred = c * 100
+    cents = F.rint(hundred).cast("long")
+    plain = c.between(0.0, 1e7) & (F.abs(hundred - F.floor(hundred) - 0.5) > 1e-4)
+    fast = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(plain, fast).otherwise(F.format_string("%.2f", F.bround(c, 2)))
+
+
 def labels_csv(boxes: DataFrame) -> DataFrame:
     """Interpolated label boxes as CSV lines."""
-    return boxes.select("label_track_id", "frame", F.concat_ws(",", "label_track_id", "frame", *[F.format_string("%.2f", F.bround(c, 2)) for c in ("x1", "y1", "x2", "y2")], F.col("is_key").cast("int")).alias("value"))
+    return boxes.select("label_track_id", "frame", F.concat_ws(",", "label_track_id", "frame", *[two_digits(F.col(c)) for c in ("x1", "y1", "x2", "y2")], F.col("is_key").cast("int")).alias("value"))
 
 
 def route_line(poses: DataFrame, *by: str) -> DataFrame:

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.operators import areas, joins, terrain
+from fieldtally.operators import areas, joins, terrain, tracks
 from fieldtally.operators.numerics import union_area
+from fieldtally.sources import exports, legacy, photos, stores
 
 
 def plan(df):
@@ -57,3 +58,38 @@ def test_cells_along_a_ray_need_no_join(spark):
     got = terrain.first_hits(rays, v, 10.0)
     assert plan(got).count("Join ") == 2  # tiles of 256 and of 16 cells in width
     assert [x.ray for x in got.collect()] == [1]
+
+
+def test_few_points_that_become_many_rows_are_many_tasks(spark):
+    p = spark.range(400).selectExpr("id % 40 as k", "id * 100 as frame", "0D as x1", "0D as y1", "1D as x2", "1D as y2", "1D as confidence", "0 as cls", "false as stop")
+    for rows in (tracks.fill_gaps(p, ["k"]), tracks.between_keyframes(p, "k")):
+        n = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(n) > 4 and sum(x.n for x in n) == 40 * (9 * 4000 + 1)
+
+
+def test_numbers_with_two_digits(spark):
+    r = random.Random(2)
+    values = [r.uniform(0, 900) for _ in range(500)] + [k / 200 for k in range(400)] + [8.345, 1.005, 0.285, 0.995, 99.995, -0.001, -3.337, 1e7, 12345678.125, 1e17, float("inf"), float("nan"), None, 0.0]
+    v = spark.createDataFrame([(x,) for x in values], "v double").select(exports.two_digits(F.col("v")).alias("got"), F.format_string("%.2f", F.bround("v", 2)).alias("want"))
+    assert all(x.got == x.want for x in v.collect())
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a=1/00000001.tiff", "a=1/00000007.tif", "a=2/deep/00000005.tiff", "a=2/00000004.txt", "a=2/_00000006.tiff", "b/00000008.tiff", "00000009.tiff"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"II*")
+    found = lambda path: sorted(x.frame for x in legacy.frame_images(spark, path, 0, 100).collect())
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert found(f"{root}/a=*") == [1, 5, 7] and found(root) == [1, 5, 7, 8, 9] and found(f"{root}/*/*.tif*") == [1, 7, 8]
+        assert found(f"{root}/a=1/00000001.tiff") == [1] and found(f"{root}/none*") == []
+    assert "binaryFile" not in plan(legacy.frame_images(spark, str(tmp_path), 0, 9))
+    (tmp_path / "b/1.jpg").write_bytes(photos.tagged_jpeg(photos.tagged_tiff("2024:05:06 07:08:09", True)))
+    (tmp_path / "b/2.png").write_bytes(b"no photo")
+    got = photos.photo_times(spark, f"{tmp_path}/b")
+    assert "binaryFile" not in plan(got) and {x.file[-5:]: x.taken for x in got.collect()} == {"1.jpg": "2024:05:06 07:08:09", "2.png": None, ".tiff": None}
+
+
+def test_a_partition_of_a_store_is_one_file(spark, tmp_path):
+    x = spark.range(0, 4000, 1, 8).selectExpr("id as detection_id", "id as frame", "0D as x1", "0D as y1", "1D as x2", "1D as y2", "1D as confidence", "1L as source_id", "'c' as source_class", "'{}' as attributes", "id % 10 as flight_id", "'t' as modality")
+    stores.write_table(x, str(tmp_path), "detections")
+    assert len(list(tmp_path.glob("detections/*/*/*.parquet"))) == 10 and stores.read_table(spark, str(tmp_path), "detections").count() == 4000
