@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import exports, legacy, stores
-from ..sources.scratch import binary_files, fresh, text_files
+from ..sources.scratch import binary_files, fresh, spread, text_files
 from . import domain as d
 from .domain import sql
 
@@ -217,7 +217,7 @@ def s23_corrections_json(spark, sf):
 
 @query("select distinct flight_id, frame from det where frame >= 3")
 def s24_frame_images(spark, sf):
-    x = d.detections(spark, sf).select("flight_id", "frame").distinct()
+    x = d.detections(spark, sf).select("flight_id", "frame").repartition(spread(spark), "flight_id").distinct()
     folder = binary_files(x.select(F.format_string("flight_id=%d/%08d.tiff", "flight_id", "frame").alias("path"), F.encode(F.lit("II*"), "utf-8").alias("content")), "frames")
     r = legacy.frame_images(spark, f"{folder}/*", 3, 10**8 - 1)
     return r.select(F.regexp_extract("path", r"flight_id=(\d+)", 1).cast("long").alias("flight_id"), "frame")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import listed_files
+
 #: Fixed value: marker line before the label block of a detections text.
 LABEL_MARKER = "# labels"
 
@@ -168,7 +170,7 @@ def required_tiles(lx: Column, ly: Column, hx: Column, hy: Column, size: int = 5
 
 def frame_images(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """Rendered frames (``{frame:08d}.tiff``) of a folder within a range: frame, path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path")
+    files = listed_files(spark, path, ("*.tif*",))
     return files.select(F.regexp_extract("path", r"(\d+)\.tiff?$", 1).try_cast("long").alias("frame"), "path").where(F.col("frame").between(first, last))
 
 
