@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import TABLES, VERSION
+from .scratch import spread
 
 
 def write_table(df: DataFrame, root: str, table: str) -> None:
@@ -17,7 +18,8 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
     wanted = [f.split()[0] for f in TABLES[table].split(", ")]
     if extra := set(df.columns) - {*wanted, "flight_id", "modality"}:
         raise ValueError(f"{table} has no columns {sorted(extra)}")
-    out = df.withColumn("schema_version", F.lit(VERSION))
+    # one task writes all of a partition, so that files don't grow with the tasks times the partitions
+    out = df.withColumn("schema_version", F.lit(VERSION)).repartition(spread(df.sparkSession), "flight_id", "modality")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("flight_id", "modality").parquet(f"{root}/{table}")
 
 
