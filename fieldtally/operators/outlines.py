@@ -53,13 +53,20 @@ def _crossings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _split(edges: DataFrame, side: float, kind: str) -> DataFrame:
     """(g, eid, px, py): places, in UNIT, at which edges are cut."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        at, p = _crossings(f[["ax", "ay", "bx", "by_"]].to_numpy())
-        q = np.rint(p / UNIT).astype(np.int64)
-        return pd.DataFrame({"g": f["g"].iloc[0], "eid": f["eid"].to_numpy()[at], "px": q[:, 0], "py": q[:, 1]})
-
-    dealt = along_cells(edges, ON, side)
-    return dealt.groupBy("g", "cx", "cy").applyInPandas(run, f"g {kind}, eid long, px long, py long").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            gs, eids, places = [], [], []
+            for g, e, *ends in zip(f["g"], f["eid"], f["ax"], f["ay"], f["bx"], f["by_"]):
+                at, p = _crossings(np.stack(ends, axis=1))
+                gs += [g] * len(at)
+                eids.append(np.asarray(e)[at])
+                places.append(np.rint(p / UNIT).astype(np.int64))
+            q = np.concatenate(places) if places else np.empty((0, 2), np.int64)
+            yield pd.DataFrame({"g": pd.Series(gs, dtype=f["g"].dtype), "eid": np.concatenate(eids) if eids else q[:, 0], "px": q[:, 0], "py": q[:, 1]})
+
+    # many cells come in one batch; an edge that is alone in its cell meets nothing there
+    dealt = along_cells(edges, ON, side).groupBy("g", "cx", "cy").agg(*[F.collect_list(c).alias(c) for c in ("eid", "ax", "ay", "bx", "by_")]).where(F.size("eid") > 1)
+    return dealt.select("g", "eid", "ax", "ay", "bx", "by_").mapInPandas(run, f"g {kind}, eid long, px long, py long").distinct()
 
 
 def _inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -81,23 +88,30 @@ def _open(pieces: DataFrame, rings: DataFrame, side: float, kind: str) -> DataFr
     span = lambda c: F.sequence(F.floor(F.array_min(F.col(f"ring.{c}")) / side), F.floor(F.array_max(F.col(f"ring.{c}")) / side))
     around = rings.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
-    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty:
-            return mine[["g", "px", "py", "qx", "qy"]]
-        left, points = np.ones(len(mine), bool), mine[["sx", "sy"]].to_numpy()
-        for r in theirs["ring"]:
-            ring = np.asarray([(p["x"], p["y"]) for p in r])
-            left[left] = ~_inside(points[left], ring)
-        return mine.loc[left, ["g", "px", "py", "qx", "qy"]]
-
-    around = around.select(F.col("g").alias("rg"), F.col("cx").alias("rcx"), F.col("cy").alias("rcy"), "ring")
-    return beside.groupBy("g", "cx", "cy").cogroup(around.groupBy("rg", "rcx", "rcy")).applyInPandas(run, f"g {kind}, px long, py long, qx long, qy long")
-
-
-def _chained(f: pd.DataFrame) -> list[tuple[int, int]]:
-    """Corners of one ring, from pieces with ``id`` and ``next``; places in the middle of a straight line are left out."""
-    step = dict(zip(f["id"], f["next"]))
-    place = dict(zip(f["id"], zip(f["px"].tolist(), f["py"].tolist())))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            gs, kept = [], []
+            for g, rx, ry, *mine in zip(f["g"], f["rx"], f["ry"], f["px"], f["py"], f["qx"], f["qy"], f["sx"], f["sy"]):
+                pieces, points = np.stack(mine[:4], axis=1), np.stack(mine[4:], axis=1)
+                left = np.ones(len(points), bool)
+                for x, y in zip(rx if rx is not None else (), ry if ry is not None else ()):
+                    left[left] = ~_inside(points[left], np.stack([x, y], axis=1))
+                gs += [g] * int(left.sum())
+                kept.append(pieces[left])
+            q = np.concatenate(kept) if kept else np.empty((0, 4), np.int64)
+            yield pd.DataFrame({"g": pd.Series(gs, dtype=f["g"].dtype), **{c: q[:, i] for i, c in enumerate(("px", "py", "qx", "qy"))}})
+
+    # many cells come in one batch
+    each = beside.groupBy("g", "cx", "cy").agg(*[F.collect_list(c).alias(c) for c in ("px", "py", "qx", "qy", "sx", "sy")])
+    around = around.groupBy("g", "cx", "cy").agg(F.collect_list("ring.x").alias("rx"), F.collect_list("ring.y").alias("ry"))
+    both = each.join(around.hint("merge"), ["g", "cx", "cy"], "left")
+    return both.select("g", "px", "py", "qx", "qy", "sx", "sy", "rx", "ry").mapInPandas(run, f"g {kind}, px long, py long, qx long, qy long")
+
+
+def _chained(ids: list[int], xs: list[int], ys: list[int], nexts: list[int]) -> list[tuple[int, int]]:
+    """Corners of one ring, from pieces and the piece that follows each; places in the middle of a straight line are left out."""
+    step = dict(zip(ids, nexts))
+    place = dict(zip(ids, zip(xs, ys)))
     at = first = min(step)
     points = []
     while True:
@@ -148,12 +162,16 @@ def union_outlines(footprints: DataFrame, by: str, ring: Column, side: float | N
     ways = cut(ways.select("g", "id", "w.px", "w.py", "w.next"))
     chains = merge_groups(ways.select(F.col("id").alias("a"), F.col("next").alias("b")))
 
-    def ringed(f: pd.DataFrame) -> pd.DataFrame:
-        p = _chained(f)
-        x0, y0 = p[0] if p else (0, 0)
-        area = sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(p, p[1:] + p[:1])) / 2 * UNIT * UNIT
-        rows = [(f["g"].iloc[0], [{"x": x * UNIT, "y": y * UNIT} for x, y in p], area, area < 0)] if len(p) >= 3 else []
-        return pd.DataFrame(rows, columns=["g", "ring", "area", "hole"])
-
-    dealt = ways.join(chains.hint("merge"), F.col("id") == F.col("node")).select("g", "root", "id", "px", "py", "next")
-    return dealt.groupBy("root").applyInPandas(ringed, f"g {kind}, ring array<struct<x: double, y: double>>, area double, hole boolean").withColumnRenamed("g", by)
+    def ringed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for g, ids, xs, ys, nexts in zip(f["g"], f["id"], f["px"], f["py"], f["next"]):
+                p = _chained(ids.tolist(), xs.tolist(), ys.tolist(), nexts.tolist())
+                x0, y0 = p[0] if p else (0, 0)
+                area = sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(p, p[1:] + p[:1])) / 2 * UNIT * UNIT
+                if len(p) >= 3:
+                    rows.append((g, [{"x": x * UNIT, "y": y * UNIT} for x, y in p], area, area < 0))
+            yield pd.DataFrame(rows, columns=["g", "ring", "area", "hole"])
+
+    dealt = ways.join(chains.hint("merge"), F.col("id") == F.col("node")).groupBy("g", "root").agg(*[F.collect_list(c).alias(c) for c in ("id", "px", "py", "next")])
+    return dealt.select("g", "id", "px", "py", "next").mapInPandas(ringed, f"g {kind}, ring array<struct<x: double, y: double>>, area double, hole boolean").withColumnRenamed("g", by)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtally.operators import areas, joins, terrain, tracks
+from fieldtally.operators import areas, joins, outlines, terrain, tracks
 from fieldtally.operators.numerics import union_area
 from fieldtally.sources import exports, legacy, photos, stores
 
@@ -93,3 +93,11 @@ def test_a_partition_of_a_store_is_one_file(spark, tmp_path):
     x = spark.range(0, 4000, 1, 8).selectExpr("id as detection_id", "id as frame", "0D as x1", "0D as y1", "1D as x2", "1D as y2", "1D as confidence", "1L as source_id", "'c' as source_class", "'{}' as attributes", "id % 10 as flight_id", "'t' as modality")
     stores.write_table(x, str(tmp_path), "detections")
     assert len(list(tmp_path.glob("detections/*/*/*.parquet"))) == 10 and stores.read_table(spark, str(tmp_path), "detections").count() == 4000
+
+
+def test_a_ring_of_an_outline_is_no_python_group(spark):
+    box = F.expr("array(named_struct('x', x, 'y', 0D), named_struct('x', x + 30, 'y', 0D), named_struct('x', x + 30, 'y', 30D), named_struct('x', x, 'y', 30D))")
+    f = spark.sql("select 1L as g, 0D as x union all select 1L, 10D union all select 1L, 50D union all select 2L, 0D")
+    got = outlines.union_outlines(f, "g", box)
+    assert "FlatMapGroups" not in plan(got)
+    assert sorted((x.g, round(x.area, 6), x.hole) for x in got.collect()) == [(1, 900.0, False), (1, 1200.0, False), (2, 900.0, False)]
