@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.operators import areas, joins, outlines, terrain, tracks
 from fieldtally.operators.numerics import union_area
+from fieldtally.plans import registry
 from fieldtally.sources import exports, legacy, photos, stores
 
 
@@ -67,6 +68,12 @@ def test_few_points_that_become_many_rows_are_many_tasks(spark):
         assert len(n) > 4 and sum(x.n for x in n) == 40 * (9 * 4000 + 1)
 
 
+@pytest.mark.parametrize("name", ["w1_fill_gaps"])
+def test_rows_of_a_track_are_shuffled_once(spark, name):
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_numbers_with_two_digits(spark):
     r = random.Random(2)
     values = [r.uniform(0, 900) for _ in range(500)] + [k / 200 for k in range(400)] + [8.345, 1.005, 0.285, 0.995, 99.995, -0.001, -3.337, 1e7, 12345678.125, 1e17, float("inf"), float("nan"), None, 0.0]
