@@ -87,7 +87,7 @@ def e8_occurrences(spark, sf):
 
 @query("with n as (select *, lead(frame) over w as nf, lead(x1) over w as nx1 from keyframes window w as (partition by label_track_id order by frame)), e as (select *, unnest(range(frame, case when stop or nf is null then frame + 1 else nf end)) as f from n) select label_track_id, count(*) as boxes, count(*) filter (f = frame) as keys from e group by 1")
 def e11_labels_csv(spark, sf):
-    c = exports.labels_csv(tracks.between_keyframes(d.keyframes(spark, sf)))
+    c = exports.labels_csv(tracks.between_keyframes(d.keyframes(spark, sf, tracks.dealt), deal=False))
     return c.groupBy("label_track_id").agg(F.count(F.lit(1)).alias("boxes"), F.sum(F.substring_index("value", ",", -1).cast("long")).alias("keys"))
 
 

@@ -68,7 +68,7 @@ def test_few_points_that_become_many_rows_are_many_tasks(spark):
         assert len(n) > 4 and sum(x.n for x in n) == 40 * (9 * 4000 + 1)
 
 
-@pytest.mark.parametrize("name", ["w1_fill_gaps"])
+@pytest.mark.parametrize("name", ["w1_fill_gaps", "w2_keyframe_boxes", "e11_labels_csv"])
 def test_rows_of_a_track_are_shuffled_once(spark, name):
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
