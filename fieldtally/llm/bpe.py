@@ -242,11 +242,59 @@ class Pieces(dict):
         return packed
 
 
+class Counts(dict):
+    """Number of tokens of pre-tokens, for what needs no ids. Remembers two generations, as ``Pieces`` does.
+
+    Tokens are the encoding if each two neighbours stay apart, and only one way through the bytes has that. It is looked
+    for from the left, the longest token first; a place from which no way goes on is not tried again.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.transducer, self.old = Transducer(vocabulary), {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            data = piece.encode("utf-8", "replace")
+            if len(data) > self.transducer.v.lookahead:
+                return len(self.transducer.feed(data)) + len(self.transducer.finish())
+            n = self._count(data)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = n
+        return n
+
+    def _count(self, data: bytes) -> int:
+        v = self.transducer.v
+        token_of, known, apart = v.ids.get, v.known.get, v.apart
+        size = end = len(data)
+        start, before, path, closed = 0, -1, [], set()
+        while True:
+            token = token_of(data[start:end])
+            if token is not None and end not in closed and (before < 0 or (stays := known((before, token))) or (stays is None and apart(before, token))):
+                path.append((start, before))
+                if end == size:
+                    return len(path)
+                start, before, end = end, token, size
+            elif end - start > 1:
+                end -= 1
+            else:
+                closed.add(start)
+                end = start - 1
+                start, before = path.pop()
+                while end == start:  # the token before was a single byte: nothing shorter
+                    closed.add(start)
+                    end = start - 1
+                    start, before = path.pop()
+
+
 class Encoder:
     """Text in, ids out, in bounded chunks."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.pieces = vocabulary, Pieces(vocabulary)
+        self.v, self.pieces, self.counts = vocabulary, Pieces(vocabulary), Counts(vocabulary)
         self.find = regex.compile(PRE_TOKEN)
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
         self.longest = max(map(len, vocabulary.special), default=0)

@@ -10,9 +10,10 @@ the tree is cut at the touched leaves and joined again. The leaves that result c
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -23,6 +24,8 @@ from .common import named, packed
 #: Code points that a leaf has at least, but for the last one.
 LEAF = 128
 LEAVES = "array<struct<chars: int, tokens: int>>"
+ARROW_LEAVES = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
 
 class Node:
@@ -178,49 +181,66 @@ def cut(e: Encoder, text: str, behind: str = "") -> list[tuple[str, int]] | None
     """
     whole, size = text + behind if behind else text, len(text)
     chunks = ((whole[i : i + CHUNK], i + CHUNK >= len(whole)) for i in range(0, len(whole), CHUNK))
-    look, out, at = e.pieces.__getitem__, [], 0
+    look, out, at = e.counts.__getitem__, [], 0
     for found, special in e.lists(chunks):
         if at >= size:
             break
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + at
-        counts = [1] if special else [len(p) // 4 for p in map(look, found)]
+        ends = list(accumulate(map(len, found), initial=at))[1:]
+        counts = [1] if special else list(map(look, found))
         first, stop = 0, len(found)
-        if len(ends) and ends[-1] > size:
-            stop = int(np.searchsorted(ends, size)) + 1
+        if ends and ends[-1] > size:
+            stop = bisect_left(ends, size) + 1
             if ends[stop - 1] != size:
                 return None
         while first < stop:
-            last = min(stop - 1, int(np.searchsorted(ends, at + LEAF)))
-            out.append((whole[at : ends[last]], sum(counts[first : last + 1])))
-            first, at = last + 1, int(ends[last])
+            last = min(stop, bisect_left(ends, at + LEAF, first) + 1)
+            out.append((whole[at : ends[last - 1]], sum(counts[first:last])))
+            first, at = last, ends[last - 1]
     return out
 
 
 def _mapped(sent: DataFrame, make, fields: str) -> DataFrame:
-    """``sent`` (row and further columns) with columns that ``make(further values)`` returns for each row."""
+    """``sent`` (row and further columns) with columns that ``make(further values)`` returns for each row.
+
+    Leaves go in and out as lists of (code points, tokens).
+    """
     new = StructType.fromDDL(fields)
     kinds = [f.name for f in new]
+    schema = StructType([sent.schema["row"], *new.fields])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                rows = [make(*values) for values in zip(*map(_values, b.columns[1:]))]
-                made = pa.RecordBatch.from_pylist([dict(zip(kinds, r)) for r in rows], _arrow(new))
-                yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], ["row", *kinds])
+                made = zip(*[make(*values) for values in zip(*map(_values, b.columns[1:]))])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[_array(v, f.dataType.simpleString()) for v, f in zip(made, new)]], ["row", *kinds])
 
-    schema = StructType([sent.schema["row"], *new.fields])
     return sent.mapInArrow(run, schema).select("row.*", *kinds)
 
 
 def _values(column: pa.Array):
-    return views(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else (v.as_py() for v in column)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return views(column)
+    if column.type == ARROW_LEAVES:
+        return _leaves(column)
+    return (v.as_py() for v in column)
+
+
+def _leaves(column: pa.Array) -> Iterator[list[tuple[int, int]] | None]:
+    """Lists of (code points, tokens), None for a null list or one with nulls in it."""
+    ends = column.offsets.to_pylist()
+    chars, tokens = (x.slice(ends[0], ends[-1] - ends[0]).to_pylist() for x in column.values.flatten())
+    for valid, start, end in zip(column.is_valid().to_pylist(), ends, ends[1:]):
+        found = list(zip(chars[start - ends[0] : end - ends[0]], tokens[start - ends[0] : end - ends[0]])) if valid else None
+        yield None if found is None or any(a is None or b is None for a, b in found) else found
 
 
-def _arrow(fields: StructType) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "string": pa.string()}
-    leaves = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
-    return pa.schema([(f.name, kinds.get(f.dataType.simpleString(), leaves)) for f in fields])
+def _array(values: tuple, kind: str) -> pa.Array:
+    if kind in ARROW:
+        return pa.array(values, ARROW[kind])
+    offsets = pa.array(list(accumulate(map(len, values), initial=0)), pa.int32())
+    parts = [pa.array([x[i] for v in values for x in v], pa.int32()) for i in (0, 1)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(ARROW_LEAVES.value_type)))
 
 
 def _text(value: memoryview) -> str:
@@ -236,7 +256,7 @@ def plant(docs: DataFrame, vocabulary: str | None = None, text: str = "text") ->
 
     def make(value):
         leaves = cut(encoder(vocabulary), _text(value))
-        return sum(n for _, n in leaves), sum(len(t) for t, _ in leaves), [{"chars": len(t), "tokens": n} for t, n in leaves]
+        return sum(n for _, n in leaves), sum(len(t) for t, _ in leaves), [(len(t), n) for t, n in leaves]
 
     sent = packed(docs, ("n_tokens", "n_chars", "leaves"), value=named(text))
     return _mapped(sent, make, f"n_tokens long, n_chars long, leaves {LEAVES}")
@@ -253,11 +273,11 @@ def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text:
 
     def make(value, stored, todo):
         e, t = encoder(vocabulary), _text(value)
-        if sum(x["chars"] for x in stored or ()) == len(t):
+        if sum(chars for chars, _ in stored or ()) == len(t):
             at, found = 0, []
-            for x in stored or ():
-                found.append((t[at : at + x["chars"]], x["tokens"]))
-                at += x["chars"]
+            for chars, tokens in stored or ():
+                found.append((t[at : at + chars], tokens))
+                at += chars
             tree = CountTree(e, found)
         else:
             tree = CountTree(e)
@@ -266,7 +286,7 @@ def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text:
             if x is not None:
                 tree.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
         now = list(tree.leaves())
-        return "".join(p for p, _ in now), [{"chars": len(p), "tokens": n} for p, n in now], tree.n_tokens, tree.n_chars, tree.reencoded
+        return "".join(p for p, _ in now), [(len(p), n) for p, n in now], tree.n_tokens, tree.n_chars, tree.reencoded
 
     new = ("text_after", "leaves_after", "n_tokens_after", "n_chars_after", "n_chars_reencoded")
     sent = packed(planted, new, value=named(text), stored=named(leaves), todo=named(edits))

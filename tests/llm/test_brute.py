@@ -349,3 +349,22 @@ def test_templates_part_at_any_depth(spark):
     assert len(r) == 1200
     assert [x.url for x in held if (x.verdict == "block") != ("casino" in x.url or "spam" in x.url)] == []
     assert {x.template for x in r} == {"/en/shop/a/b/casino/x/*", "/en/shop/a/b/news/x/*", "/web2-spam/*", "/top10/*"}
+
+
+def test_counts_are_those_of_the_ids():
+    from fieldtally.llm import bpe
+
+    e = bpe.encoder(None)
+    r = random.Random(5)
+    letters = ["ab", "etaoinshr", " \n\t", "éñüß", "0123456789", "中文字", ".,;:!-=#*", "aÁ😀"]
+    pieces = {"".join(r.choice(r.choice(letters)) for _ in range(r.randint(1, 24))) for _ in range(20_000)} | {"a" * 3000, "ab" * 400}
+    assert all(e.counts[p] == len(e.pieces[p]) // 4 for p in pieces)
+
+
+def test_stored_leaves_with_nulls_are_made_anew(spark):
+    from fieldtally.llm import counts
+
+    kinds = f"text string, leaves {counts.LEAVES}, edits array<struct<start: long, length: int, text: string>>"
+    d = spark.createDataFrame([("some words", x, None) for x in (None, [], [None], [(None, 2)], [(10, 2)])], kinds)
+    got = counts.revise(d, "edits").collect()
+    assert [(x.n_tokens_after, x.n_chars_after) for x in got][:4] == [(got[0].n_tokens_after, 10)] * 4 and got[4].n_chars_reencoded == 0
