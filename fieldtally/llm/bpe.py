@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -44,6 +45,10 @@ REMEMBERED = 100_000
 HEAD, HEADS = 5, 50_000
 #: Pairs of tokens that a worker remembers as staying apart or not.
 PAIRS = 150_000
+#: Bytes of pre-tokens that are counted many at once, those up to each width together, and how many these are at most.
+WIDTHS, MANY = (8, 12, 24), 1 << 13
+#: Above all ranks: no merge.
+NO_MERGE = np.iinfo(np.int32).max
 
 
 def default_vocabulary() -> str:
@@ -53,6 +58,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def plain_pattern() -> re.Pattern:
+    """PRE_TOKEN for Python's own expressions, which are faster: its classes as ranges, up to U+FFFF. Surrogates are in none."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    pattern = PRE_TOKEN
+    for name in (r"\p{White_Space}", r"\p{L}", r"\p{N}"):
+        runs = "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(name + "+", every))
+        negated = name.replace("p", "P", 1)
+        pattern = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(name, runs), pattern).replace(name, f"[{runs}]").replace(negated, f"[^{runs}]")
+    return re.compile(pattern)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte: itself where printable, else the next free code point from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -242,16 +258,93 @@ class Pieces(dict):
         return packed
 
 
+class Merges:
+    """Merges of many short pre-tokens at once: a row of an array each, the pair of the lowest rank in each row at each step."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.size = len(vocabulary.bytes_of)
+        keys = np.array([a * self.size + b for a, b in vocabulary.merges], np.int64)
+        order = np.argsort(keys)
+        made = np.array(list(vocabulary.merges.values()), np.int32).reshape(-1, 2)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(made[order, 0], NO_MERGE)
+        #: What a merge makes, by its rank.
+        self.tokens = np.zeros(made[:, 0].max(initial=0) + 1, np.int32)
+        self.tokens[made[:, 0]] = made[:, 1]
+        #: Tokens of bytes and ranks of their pairs; 256 stands for no byte.
+        self.base = np.array([*vocabulary.base, -1], np.int32)
+        self.pairs = self._ranks(self.base[:, None], self.base)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, NO_MERGE without one. Tokens below 0 are none."""
+        pairs = a.astype(np.int64) * self.size + b
+        pairs[(a < 0) | (b < 0)] = -2
+        at = np.searchsorted(self.keys[:-1], pairs)
+        return np.where(self.keys[at] == pairs, self.ranks[at], NO_MERGE).astype(np.int32)
+
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of tokens of each of these pre-tokens."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = lengths.copy()
+        for low, high in zip((1, *WIDTHS), WIDTHS):
+            of = np.flatnonzero((lengths > low) & (lengths <= high))
+            if len(of):
+                counts[of] -= self._merged([pieces[i] for i in of.tolist()], lengths[of], high)
+        return counts
+
+    def _merged(self, pieces: list[bytes], lengths: np.ndarray, width: int) -> np.ndarray:
+        """Number of merges in pre-tokens of at most ``width`` bytes."""
+        data = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(-1, width)
+        data = np.where(np.arange(width) < lengths[:, None], data, np.int16(256))
+        tokens, ranks = self.base[data], self.pairs[data[:, :-1], data[:, 1:]]
+        done, rows = np.zeros(len(pieces), np.int64), np.arange(len(pieces))
+        for step in range(width - 1):
+            own = np.arange(len(rows))
+            at = ranks.argmin(axis=1)  # of equal ranks the first
+            best = ranks[own, at]
+            merged = best < NO_MERGE
+            done[rows[~merged]] = step
+            rows, at, best, tokens, ranks, own = rows[merged], at[merged], best[merged], tokens[merged], ranks[merged], own[: merged.sum()]
+            left = width - 1 - step
+            # the left part becomes the token made, the right part and the pair go, and what stands behind moves up
+            made = tokens[own, at] = self.tokens[best]
+            tokens = tokens[np.arange(left + 1) != at[:, None] + 1].reshape(len(rows), left)
+            ranks = ranks[np.arange(left) != at[:, None]].reshape(len(rows), left - 1)
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self._ranks(tokens[some, at[some] - 1], made[some])
+            some = np.flatnonzero(at < left - 1)
+            ranks[some, at[some]] = self._ranks(made[some], tokens[some, at[some] + 1])
+            if not len(rows):
+                break
+        done[rows] = width - 1
+        return done
+
+
 class Counts(dict):
     """Number of tokens of pre-tokens, for what needs no ids. Remembers two generations, as ``Pieces`` does.
 
-    Tokens are the encoding if each two neighbours stay apart, and only one way through the bytes has that. It is looked
+    ``learn`` merges many short ones at once. What comes one by one is searched for: tokens are the encoding if each two neighbours stay apart, and only one way through the bytes has that. It is looked
     for from the left, the longest token first; a place from which no way goes on is not tried again.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.transducer, self.old = Transducer(vocabulary), {}
+        self.transducer, self.old, self.merges = Transducer(vocabulary), {}, Merges(vocabulary)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the counts of those of these pre-tokens that are new and short."""
+        known, new = self.old.get, []
+        for piece in pieces.difference(self):
+            n = known(piece)
+            if n is not None:
+                self[piece] = n
+            elif 0 < len(data := piece.encode("utf-8", "replace")) <= WIDTHS[-1]:
+                new.append((piece, data))
+        for at in range(0, len(new), MANY):
+            some = new[at : at + MANY]
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self.update(zip([p for p, _ in some], self.merges.counts([data for _, data in some]).tolist()))
 
     def __missing__(self, piece: str) -> int:
         n = self.old.get(piece)
@@ -295,12 +388,16 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.pieces, self.counts = vocabulary, Pieces(vocabulary), Counts(vocabulary)
-        self.find = regex.compile(PRE_TOKEN)
+        self.find, self.plain, self.beyond = regex.compile(PRE_TOKEN), plain_pattern(), re.compile("[\U00010000-\U0010ffff]")
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
         self.longest = max(map(len, vocabulary.special), default=0)
         self.spaces = regex.compile(r"\p{White_Space}*")
         self.runs = [self.spaces, *map(regex.compile, (r"\p{L}*", r"\p{N}*", r"[^\p{White_Space}\p{L}\p{N}]*"))]
 
+    def found(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return (self.find if not text.isascii() and self.beyond.search(text) else self.plain).findall(text)
+
     def segments(self, chunks: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, bool | None]]:
         """Text between special tokens, and whether it ends there; a special token comes with None.
 
@@ -343,10 +440,10 @@ class Encoder:
                         break
                     run = None
                 elif ends:
-                    yield self.find.findall(held), None
+                    yield self.found(held), None
                     held = ""
                 else:
-                    found, done = self.find.findall(held), len(held)
+                    found, done = self.found(held), len(held)
                     while found and done > len(held) - PRE_TOKEN_LOOKAHEAD:
                         done -= len(found.pop())
                     yield found, None

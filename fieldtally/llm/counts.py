@@ -23,6 +23,8 @@ from .common import named, packed
 
 #: Code points that a leaf has at least, but for the last one.
 LEAF = 128
+#: Code points of texts whose pre-tokens are counted together.
+TOGETHER = 1 << 19
 LEAVES = "array<struct<chars: int, tokens: int>>"
 ARROW_LEAVES = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
 ARROW = {"bigint": pa.int64(), "string": pa.string()}
@@ -179,10 +181,39 @@ def cut(e: Encoder, text: str, behind: str = "") -> list[tuple[str, int]] | None
 
     None if the text's end is no pre-token boundary there. A leaf also ends with what was read at once.
     """
-    whole, size = text + behind if behind else text, len(text)
-    chunks = ((whole[i : i + CHUNK], i + CHUNK >= len(whole)) for i in range(0, len(whole), CHUNK))
+    whole = text + behind if behind else text
+    return _leaves_from(e, whole, len(text), read(e, whole))
+
+
+def read(e: Encoder, text: str) -> Iterator[tuple[list[str], bool]]:
+    """Pre-tokens of a text, some at a time, and whether they are a special token."""
+    return e.lists((text[i : i + CHUNK], i + CHUNK >= len(text)) for i in range(0, len(text), CHUNK))
+
+
+def cut_all(e: Encoder, texts: Iterable[str]) -> Iterator[list[tuple[str, int]]]:
+    """Leaves of whole texts. The pre-tokens of texts that are short enough to be held are counted together."""
+    held, size = [], 0
+
+    def done() -> list[list[tuple[str, int]]]:
+        e.counts.learn(set().union(*[found for _, lists in held for found, special in lists if not special]))
+        return [_leaves_from(e, t, len(t), lists) for t, lists in held]
+
+    for text in texts:
+        if held and (size + len(text) > TOGETHER or len(text) > CHUNK):
+            yield from done()
+            held, size = [], 0
+        if len(text) > CHUNK:
+            yield cut(e, text)
+        else:
+            held.append((text, list(read(e, text))))
+            size += len(text)
+    yield from done()
+
+
+def _leaves_from(e: Encoder, whole: str, size: int, lists: Iterable[tuple[list[str], bool]]) -> list[tuple[str, int]] | None:
+    """Leaves of the first ``size`` code points of a text, from its pre-tokens."""
     look, out, at = e.counts.__getitem__, [], 0
-    for found, special in e.lists(chunks):
+    for found, special in lists:
         if at >= size:
             break
         ends = list(accumulate(map(len, found), initial=at))[1:]
@@ -200,7 +231,7 @@ def cut(e: Encoder, text: str, behind: str = "") -> list[tuple[str, int]] | None
 
 
 def _mapped(sent: DataFrame, make, fields: str) -> DataFrame:
-    """``sent`` (row and further columns) with columns that ``make(further values)`` returns for each row.
+    """``sent`` (row and further columns) with columns: ``make(further values, one iterable each)`` yields those of each row.
 
     Leaves go in and out as lists of (code points, tokens).
     """
@@ -212,7 +243,7 @@ def _mapped(sent: DataFrame, make, fields: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                made = zip(*[make(*values) for values in zip(*map(_values, b.columns[1:]))])
+                made = zip(*make(*map(_values, b.columns[1:])))
                 yield pa.RecordBatch.from_arrays([b.column(0), *[_array(v, f.dataType.simpleString()) for v, f in zip(made, new)]], ["row", *kinds])
 
     return sent.mapInArrow(run, schema).select("row.*", *kinds)
@@ -254,24 +285,26 @@ def plant(docs: DataFrame, vocabulary: str | None = None, text: str = "text") ->
     names. Rows are independent: ties and repeated rows get equal counts, an empty table gives an empty one.
     """
 
-    def make(value):
-        leaves = cut(encoder(vocabulary), _text(value))
-        return sum(n for _, n in leaves), sum(len(t) for t, _ in leaves), [(len(t), n) for t, n in leaves]
+    def make(values):
+        for leaves in cut_all(encoder(vocabulary), map(_text, values)):
+            yield sum(n for _, n in leaves), sum(len(t) for t, _ in leaves), [(len(t), n) for t, n in leaves]
 
     sent = packed(docs, ("n_tokens", "n_chars", "leaves"), value=named(text))
     return _mapped(sent, make, f"n_tokens long, n_chars long, leaves {LEAVES}")
 
 
-def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text", leaves: str = "leaves") -> DataFrame:
+def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text", leaves: str = "leaves", keep_text: bool = True) -> DataFrame:
     """``planted`` with columns text_after, leaves_after, n_tokens_after, n_chars_after and n_chars_reencoded.
 
+    Without ``keep_text``, the texts and leaves, old and new, are left out of the result and need not be sent back.
+
     ``edits`` names a column of arrays of structs (start, length, text), applied one after the other to the text as
     the ones before have left it; code points, clipped to the text. Null edits, or null parts of one: no edit, position
     0, no length, no text. Only touched leaves are encoded; ``n_chars_reencoded`` counts their code points. Leaves that
     are null, or don't fit the text, are made anew (and counted). Other columns pass through, whatever their names.
     """
 
-    def make(value, stored, todo):
+    def revised(value, stored, todo):
         e, t = encoder(vocabulary), _text(value)
         if sum(chars for chars, _ in stored or ()) == len(t):
             at, found = 0, []
@@ -285,12 +318,20 @@ def revise(planted: DataFrame, edits: str, vocabulary: str | None = None, text:
         for x in todo or []:
             if x is not None:
                 tree.edit(x["start"] or 0, x["length"] or 0, x["text"] or "")
+        sums = tree.n_tokens, tree.n_chars, tree.reencoded
+        if not keep_text:
+            return sums
         now = list(tree.leaves())
-        return "".join(p for p, _ in now), [(len(p), n) for p, n in now], tree.n_tokens, tree.n_chars, tree.reencoded
+        return "".join(p for p, _ in now), [(len(p), n) for p, n in now], *sums
+
+    def make(*columns):
+        return map(revised, *columns)
 
     new = ("text_after", "leaves_after", "n_tokens_after", "n_chars_after", "n_chars_reencoded")
-    sent = packed(planted, new, value=named(text), stored=named(leaves), todo=named(edits))
-    return _mapped(sent, make, f"text_after string, leaves_after {LEAVES}, n_tokens_after long, n_chars_after long, n_chars_reencoded long")
+    gone = () if keep_text else (text.lower(), leaves.lower())
+    sent = packed(planted, new + gone, value=named(text), stored=named(leaves), todo=named(edits))
+    texts = f"text_after string, leaves_after {LEAVES}, " if keep_text else ""
+    return _mapped(sent, make, f"{texts}n_tokens_after long, n_chars_after long, n_chars_reencoded long")
 
 
 def count_tokens(docs: DataFrame, edits: str, vocabulary: str | None = None, text: str = "text") -> DataFrame:
@@ -300,5 +341,5 @@ def count_tokens(docs: DataFrame, edits: str, vocabulary: str | None = None, tex
     """
     new = ("n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
     sent = packed(docs, new, value=named(text), edits=named(edits))
-    done = revise(plant(sent, vocabulary, "value"), "edits", vocabulary, "value")
+    done = revise(plant(sent, vocabulary, "value"), "edits", vocabulary, "value", keep_text=False)
     return done.select("row.*", *new)

@@ -79,7 +79,7 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda at, length, text: F.struct(at.alias("start"), F.lit(length).alias("length"), F.lit(text).alias("text"))
     edits = F.array(edit(F.floor(n / 3), 7, ""), edit(F.floor(2 * n / 3), 0, " [edit] "))
-    done = counts.revise(counts.plant(docs).withColumn("edits", edits), "edits")
+    done = counts.revise(counts.plant(docs).withColumn("edits", edits), "edits", keep_text=False)
     return done.select("doc_id", "n_tokens", "n_tokens_after", "n_chars", "n_chars_after", "n_chars_reencoded")
 
 
