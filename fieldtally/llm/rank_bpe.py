@@ -40,6 +40,10 @@ FIRST, NONE = 0x100, "\ufffd"
 MOST = 0xD800 - FIRST
 #: Bytes on each side of a border within which tokens are folded again, until those at the window's ends stay. A token is shorter than the last.
 WINDOWS = (16, 34, 62)
+#: The published pattern, the characters that are white space, and the pattern with them.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WHITE = r"\t-\r \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PLAIN = rf" ?\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?\p{{N}}++| ?[^{WHITE}\p{{L}}\p{{N}}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: One character for each byte.
 BYTES = "ISO-8859-1"
 
@@ -52,10 +56,14 @@ def default_vocabulary() -> str:
 
 
 def pattern() -> str:
-    """The published pre-token pattern for Java's regular expressions; (?U) makes white space a Unicode property."""
+    """The published pre-token pattern for Java's regular expressions.
+
+    (?U) makes white space a Unicode property. The pattern that is known is put as PLAIN, which finds the same faster:
+    what words match comes first, runs don't go back, white space is named by its characters.
+    """
     import public_tokenizers
 
-    return "(?U)" + public_tokenizers.PATTERN
+    return PLAIN if public_tokenizers.PATTERN == KNOWN else "(?U)" + public_tokenizers.PATTERN
 
 
 def ranks(path: str) -> pa.Table:
