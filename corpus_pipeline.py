@@ -62,7 +62,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     through. A null text has no ids; repeated rows get equal ones; a very long text is read in chunks.
     """
     sent = packed(docs, ("text", "n_tokens", "ids", "decoded_sha256"), text=F.col("text"))
-    done = bpe.decode(bpe.encode(sent, keep_text=False))
+    done = bpe.round_trip(sent, keep_text=False)
     done = done.withColumn("decoded_sha256", F.sha2("decoded", 256))
     return done.select("row.*", "n_tokens", "ids", "decoded_sha256")
 

@@ -539,8 +539,8 @@ class Grown:
         return pa.Array.from_buffers(kind, len(self.ends) - 1, [None, pa.py_buffer(np.asarray(self.ends, np.int32)), pa.py_buffer(self.data)])
 
 
-def _appended(df: DataFrame, source: str, write, finish, fields: list[StructField], dropped: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with columns made from the bytes of ``source``: ``write(value)`` yields pieces of a result, ``finish(Grown)`` makes the columns.
+def _appended(df: DataFrame, source: str, write, finish, fields: list[StructField], dropped: tuple[str, ...] = (), grows: int = 1) -> DataFrame:
+    """``df`` with columns made from the bytes of ``source``: ``write(value, *grown)`` adds a result to each of ``grows`` buffers, ``finish(*grown)`` makes the columns.
 
     The source is sent once: within the row where it passes through, else beside it.
     """
@@ -552,18 +552,39 @@ def _appended(df: DataFrame, source: str, write, finish, fields: list[StructFiel
 
     def run(batches):
         for b in batches:
-            grown, start = Grown(), 0
+            grown, start = [Grown() for _ in range(grows)], 0
             for i, value in enumerate(views(b.column(0).field(at) if inside else b.column(1)), 1):
-                for piece in write(value):
-                    grown.data += piece
-                grown.close()
-                if len(grown.data) > SENT or i == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i - start), *finish(grown)], schema.names)
-                    grown, start = Grown(), i
+                write(value, *grown)
+                for g in grown:
+                    g.close()
+                if max(len(g.data) for g in grown) > SENT or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i - start), *finish(*grown)], schema.names)
+                    grown, start = [Grown() for _ in range(grows)], i
 
     return sent.mapInArrow(run, schema).select("row.*", *[f.name for f in fields])
 
 
+#: Columns that encoding and decoding make.
+ENCODED = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+DECODED = [StructField("decoded", StringType())]
+
+
+def _encoded(grown: Grown) -> list[pa.Array]:
+    return [pa.array(np.diff(grown.ends) // 4, pa.int64()), grown.array(pa.binary())]
+
+
+def _write_ids(vocabulary: str | None, value: memoryview, ids: Grown) -> None:
+    for piece in encoder(vocabulary).stream(text_chunks(value)):
+        ids.data += piece
+
+
+def _write_text(bytes_of: list[bytes], value, first: int, text: Grown) -> None:
+    """The text of the packed ids in ``value`` from byte ``first`` on."""
+    parts = (value[i : i + 4 * CHUNK] for i in range(first, len(value), 4 * CHUNK))
+    for t in decode_stream(bytes_of, parts):
+        text.data += t.encode()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with columns n_tokens and ids (token ids as little-endian unsigned 32-bit integers).
 
@@ -574,15 +595,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     ids and an empty table gives an empty one. A very long text is read and encoded in chunks. ``vocabulary`` is the
     path of a tokenizer file on every executor.
     """
-
-    def write(value):
-        return encoder(vocabulary).stream(text_chunks(value))
-
-    def finish(grown):
-        return [pa.array(np.diff(grown.ends) // 4, pa.int64()), grown.array(pa.binary())]
-
-    fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
-    return _appended(docs, text, write, finish, fields, () if keep_text else (text,))
+    return _appended(docs, text, lambda value, ids: _write_ids(vocabulary, value, ids), _encoded, ENCODED, () if keep_text else (text,))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
@@ -590,9 +603,19 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids")
 
     Null ids give an empty text. A column named decoded is replaced, all others pass through; rows are independent.
     """
+    return _appended(encoded, ids, lambda value, text: _write_text(id_bytes(vocabulary), value, 0, text), lambda text: [text.array(pa.string())], DECODED)
+
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with columns n_tokens, ids and decoded: ``encode``, then ``decode``, of each row in one pass.
+
+    A task then needs one Python worker and not one for each of the two, which keep tokens and caches in memory until they end.
+    """
 
-    def write(value):
-        parts = (value[i : i + 4 * CHUNK] for i in range(0, len(value), 4 * CHUNK))
-        return (t.encode() for t in decode_stream(id_bytes(vocabulary), parts))
+    def write(value, ids, decoded):
+        first = len(ids.data)
+        _write_ids(vocabulary, value, ids)
+        _write_text(encoder(vocabulary).v.bytes_of, ids.data, first, decoded)
 
-    return _appended(encoded, ids, write, lambda grown: [grown.array(pa.string())], [StructField("decoded", StringType())])
+    finish = lambda ids, decoded: [*_encoded(ids), decoded.array(pa.string())]
+    return _appended(docs, text, write, finish, ENCODED + DECODED, () if keep_text else (text,), 2)
