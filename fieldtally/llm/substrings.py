@@ -5,7 +5,8 @@ anchor depends on the window's content alone, so equal windows have equal anchor
 an anchor make a context of at most a few hundred bytes. Only contexts whose anchor is shared are looked at further:
 
 * contexts that are equal as a whole are repeated, without another look;
-* different contexts of one anchor go to suffix arrays (``suffixes``), in blocks of at most BLOCK contexts; where an
+* different contexts of one anchor go to suffix arrays (``suffixes``), in blocks of at most BLOCK contexts, cut to the
+  windows whose core (what STEP neighbours have in common) another context of the block has; where an
   anchor has several blocks, the different windows of each are compared over blocks by hash, but for windows whose
   core (what STEP neighbours have in common) is in no other context.
 
@@ -157,6 +158,30 @@ def _cores(found: DataFrame) -> DataFrame:
     return found.select("anchor", "whole", "p", "data").mapInArrow(run, "anchor long, whole long, core long, k int")
 
 
+def alike_parts(data: list[bytes], places: list[int]) -> list[tuple[int, int, bytes]]:
+    """(index, first byte, bytes) of the part of each context (bytes, anchor's place) whose classes have their core in another of these contexts.
+
+    Classes and cores are as in ``_cores``, cores by their bytes; what is left out repeats in none of the others.
+    """
+    seen: dict[tuple[int, bytes], int] = {}
+    classes = []
+    for t, p in zip(data, places):
+        own = []
+        for k in range((p - len(t) + WIDTH) // STEP, p // STEP + 1):
+            at = p - STEP * k
+            own.append((k, t[at : p + PIECE + max(0, WIDTH - PIECE - STEP * k - STEP + 1)]))
+        for c in own:
+            seen[c] = seen.get(c, 0) + 1
+        classes.append(own)
+    out = []
+    for i, (t, p, own) in enumerate(zip(data, places, classes)):
+        shared = [k for k, core in own if seen[k, core] > 1]
+        if shared:
+            lo = max(0, p - STEP * shared[-1] - STEP + 1)
+            out.append((i, lo, t[lo : p - STEP * shared[0] + WIDTH]))
+    return out
+
+
 def _blocks(found: DataFrame) -> DataFrame:
     """Suffix arrays over blocks of contexts (anchor, block, blocks, whole, p, near, data): (anchor, whole, lo, hi, digest).
 
@@ -168,9 +193,10 @@ def _blocks(found: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         data = table.column("data").to_pylist()
         context, lo, hi = [], [], []
-        for i, starts in enumerate(repeated_starts(data, WIDTH)):
+        parts = alike_parts(data, table.column("p").to_pylist())
+        for (i, first, _), starts in zip(parts, repeated_starts([t for _, _, t in parts], WIDTH) if parts else ()):
             if starts:
-                s = np.asarray(starts, np.int32)
+                s = np.asarray(starts, np.int32) + np.int32(first)
                 breaks = np.flatnonzero(np.diff(s) > 1)
                 lo.append(s[np.concatenate([[0], breaks + 1])])
                 hi.append(s[np.concatenate([breaks, [len(s) - 1]])])

@@ -13,6 +13,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
+def _above(h: int, under: int, found: list[int], size: int, group: list[int], members: list[list[int]], length: list[int], above: list[int], below: list[int], alive: list[int]) -> int:
+    """A new group just above ``under`` of the members ``found`` of ``h``, whose prefix grows by ``size``."""
+    new, over = len(length), above[under]
+    members.append(found)
+    length.append(length[h] + size)
+    alive.append(len(found))
+    alive[h] -= len(found)
+    above.append(over)
+    below.append(under)
+    above[under] = new
+    if over >= 0:
+        below[over] = new
+    for p in found:
+        group[p] = new
+    return new
+
+
 def _lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
     """(group of each suffix, prefix length of each group, groups in ascending order)."""
     n = len(text)
@@ -25,40 +42,49 @@ def _lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]
     length = [1] * len(letters)
     above = [*range(1, len(letters)), -1]
     below = [*range(-1, len(letters) - 1)]
+    alive = [len(m) for m in members]  # members that have not left their group
     back = [*range(-1, n)]  # back[s]: the suffix, not yet taken, whose prefix ends at s
     g = len(letters) - 1
-    top = g
     while g >= 0:
         size = length[g]
-        moved: dict[int, dict[int, list[int]]] = {}
+        once: dict[int, list[int]] = {}
+        repeats: dict[int, dict[int, list[int]]] = {}
         for s in members[g]:
             if group[s] != g:
                 continue
             p = back[s]
-            if p >= 0 and group[p] == g:  # inside a run of the same prefix; its first member counts
+            if p < 0:
+                end = s + size
+                while end < n and group[end] == g:
+                    end += size
+                back[end] = p
+                continue
+            h = group[p]
+            if h == g:  # inside a run of the same prefix; its first member counts
                 continue
-            end, times = s + size, 1
-            while end < n and group[end] == g:
-                end += size
-                times += 1
+            end = s + size
+            if end < n and group[end] == g:
+                times = 1
+                while end < n and group[end] == g:
+                    end += size
+                    times += 1
+                repeats.setdefault(h, {}).setdefault(times, []).append(p)
+            elif h in once:
+                once[h].append(p)
+            else:
+                once[h] = [p]
             back[end] = p
-            if p >= 0:
-                moved.setdefault(group[p], {}).setdefault(times, []).append(p)
-        for h, by_times in moved.items():
+        for h, by_times in repeats.items():
+            if h in once:
+                by_times[1] = once.pop(h)
             under = h
             for times in sorted(by_times):
-                new = len(length)
-                members.append(by_times[times])
-                length.append(length[h] + times * size)
-                over = above[under]
-                above.append(over)
-                below.append(under)
-                above[under] = new
-                if over >= 0:
-                    below[over] = new
-                for p in by_times[times]:
-                    group[p] = new
-                under = new
+                under = _above(h, under, by_times[times], times * size, group, members, length, above, below, alive)
+        for h, found in once.items():
+            if len(found) == alive[h]:  # all of a group grow alike: it stays one
+                length[h] += size
+            else:
+                _above(h, h, found, size, group, members, length, above, below, alive)
         members[g] = []
         g = below[g]
     order, g = [], 0
