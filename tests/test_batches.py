@@ -81,6 +81,18 @@ def test_numbers_with_two_digits(spark):
     assert all(x.got == x.want for x in v.collect())
 
 
+def test_a_label_line_is_put_together_at_once(spark):
+    r = random.Random(3)
+    values = [r.uniform(0, 1200) for _ in range(400)] + [k / 200 for k in range(400)] + [8.345, 0.995, 99.995, 999.994, 999.996, -0.001, -3.337, 1e7, 12345678.125, 1e17, float("inf"), float("nan"), None, -0.0]
+    rows = [(r.choice([7, 123456789, None]), r.choice([0, 4711, None]), *[r.choice(values) for _ in range(4)], r.random() < 0.5) for _ in range(3000)]
+    rows += [(1, 2, v, 1.25, v, 3.5, True) for v in values]
+    b = spark.createDataFrame(rows, "label_track_id long, frame long, x1 double, y1 double, x2 double, y2 double, is_key boolean")
+    want = F.concat_ws(",", "label_track_id", "frame", *[F.format_string("%.2f", F.bround(c, 2)) for c in ("x1", "y1", "x2", "y2")], F.col("is_key").cast("int"))
+    got = exports.labels_csv(b)
+    assert plan(got).count("format_string(") == 1 and "lpad(" not in plan(got)
+    assert sorted(x.value for x in got.collect()) == sorted(x.v for x in b.select(want.alias("v")).collect())
+
+
 def test_files_are_listed_by_tasks(spark, tmp_path):
     for name in ("a=1/00000001.tiff", "a=1/00000007.tif", "a=2/deep/00000005.tiff", "a=2/00000004.txt", "a=2/_00000006.tiff", "b/00000008.tiff", "00000009.tiff"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
