@@ -58,3 +58,40 @@ def test_slanted_rings(spark):
             got ^= outlines._inside(points, np.asarray([(p.x, p.y) for p in x.ring]))
         assert (want == got).all() and want.any() and not want.all()
     assert outlines.union_outlines(frame(spark, groups).limit(0), "g", F.col("ring")).count() == 0
+
+
+def corners(rows):
+    """Rings with their least corner first, so that it doesn't matter where they begin."""
+    out = []
+    for x in rows:
+        p = [(round(c.x / outlines.UNIT), round(c.y / outlines.UNIT)) for c in x.ring]
+        k = p.index(min(p))
+        out.append((x.g, p[k:] + p[:k], round(x.area, 6), x.hole))
+    return sorted(out)
+
+
+def test_groups_taken_whole_are_those_by_cells(spark):
+    r = random.Random(11)
+    at = lambda: r.randint(0, 14) * 2.5
+    groups = {g: [box(at(), at(), r.choice([2.5, 5, 10]), r.choice([2.5, 5, 10])) for _ in range(r.randint(1, 12))] for g in range(60)}
+    groups |= {g + 100: [[(at(), at()), (at() + 0.5, at()), (at(), at() + 0.25)] for _ in range(r.randint(1, 6))] for g in range(40)}
+    groups |= {g + 200: s[0] for g, s in SHAPES.items()}
+    groups[300] = [box(2 * k, 0, 3, 3) for k in range(outlines.WHOLE // 4 + 1)]  # too large to be taken whole
+    f = frame(spark, groups)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go on in the next batch
+    try:
+        got = outlines.union_outlines(f, "g", F.col("ring")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert corners(got) == corners(outlines.union_outlines(f, "g", F.col("ring"), 7.0).collect())
+    names = outlines.union_outlines(f.selectExpr("concat('g', g) as g", "ring").where("g < 'g3'"), "g", F.col("ring"))
+    assert "Join " not in names._jdf.queryExecution().optimizedPlan().toString()
+    assert corners(names.collect()) == [x for x in sorted((f"g{g}", *x) for g, *x in corners(got)) if x[0] < "g3"]
+
+
+def test_pieces_without_one_next_piece_are_rings_too():
+    g, p = np.zeros(5, int), [(0, 0), (9_000_000, 0), (9_000_000, 9_000_000), (0, 9_000_000), (5_000_000, 5_000_000)]
+    px, py = (np.asarray([q[k] for q in p]) for k in (0, 1))
+    found = list(outlines._loose(g, px, py, np.asarray([1, 2, 3, 0, -1])))
+    assert found == [(0, p[:4])]
+    assert outlines._in_order(np.asarray([2, 3, 4, 1, 0]))[0].tolist() == [0, 2, 4, 1, 3]
